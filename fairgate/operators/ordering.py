@@ -73,17 +73,24 @@ def ordinal_codes(values: DataFrame, value: str, by: Sequence[str] = (),
     return ranked.select(*by, value, (F.col("cum__one") - 1).alias(code))
 
 
+def count_values(long: DataFrame, by: str = "column", value: str = "value") -> DataFrame:
+    """(by, value, n) with NULL values kept as their own row."""
+    return long.groupBy(by, value).agg(F.count(F.lit(1)).alias("n"))
+
+
 def exact_quantiles(long: DataFrame, probs: Sequence[float], by: str = "column",
-                    value: str = "value", buckets: int | None = None) -> DataFrame:
+                    value: str = "value", buckets: int | None = None,
+                    counted: DataFrame | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation (pandas ``quantile``,
     DuckDB ``quantile_cont``) for each ``by`` group of a long table.
 
     Nulls are skipped.  Returns (by, q, quantile).  Nothing is held per group
     in one task: values are counted, ranked by ``running_sums`` and the two
     neighbours of each position are picked by a bounded broadcast join.
+    ``counted`` may pass a ready (by, value, n) table.
     """
-    counted = (long.where(F.col(value).isNotNull())
-               .groupBy(by, value).agg(F.count(F.lit(1)).alias("n")))
+    counted = counted if counted is not None else count_values(long, by, value)
+    counted = counted.where(F.col(value).isNotNull())
     cum = running_sums(counted, value, ["n"], [by], buckets)
     sizes = counted.groupBy(by).agg(F.sum("n").alias("_N"))
     q_arr = F.array(*[F.lit(float(p)) for p in probs])

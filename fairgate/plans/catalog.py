@@ -151,3 +151,209 @@ def q_chi2_segment_status(spark, sf_dir):
     counts = stats.pair_counts(df, [("c_mktsegment", "c_mktsegment", "o_orderstatus"),
                                     ("o_orderpriority", "o_orderpriority", "o_orderstatus")])
     return stats.chi2_tests(counts).select("column", r6("chi2").alias("chi2"), "dof")
+
+
+# -- P1-P6, A1, A2, A5, A7, A8, F9, A9: profile ---------------------------------
+
+from ..functions.text import NUMERIC_TEXT_PATTERN, PII_PATTERNS  # noqa: E402
+from ..operators import fairness as fair  # noqa: E402
+from ..operators import pii  # noqa: E402
+from ..operators import profile as prof  # noqa: E402
+
+DUCK_TYPES = """CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int'
+  WHEN 'DOUBLE' THEN 'double' WHEN 'FLOAT' THEN 'float' WHEN 'VARCHAR' THEN 'string'
+  WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'BOOLEAN' THEN 'boolean' ELSE lower(data_type) END"""
+
+
+@register("overview_lineitem", f"""
+SELECT column_name AS "column", CAST(ordinal_position - 1 AS INTEGER) AS position,
+       {DUCK_TYPES} AS data_type,
+       (SELECT COUNT(*) FROM lineitem) AS n_rows, 11 AS n_columns
+FROM information_schema.columns WHERE table_name = 'lineitem'
+""")
+def q_overview_lineitem(spark, sf_dir):
+    return prof.overview(table(spark, sf_dir, "lineitem"))
+
+
+def _union_sql(cols, template):
+    return "\n  UNION ALL ".join(template.format(c=c) for c in cols)
+
+
+DOC_LABEL_COLS = ["doc_id", "lang", "source", "n_chars", "quality", "toxic"]
+
+
+@register("missing_by_column_doc_labels", f"""
+WITH j AS ({DOC_LEFT_LABELS_SQL}),
+m AS ({_union_sql(DOC_LABEL_COLS, "SELECT '{c}' AS \"column\", COUNT(*) - COUNT({c}) AS missing_count, COUNT(*) AS n FROM j")})
+SELECT "column", missing_count, round_even(100.0 * missing_count / n, 2) AS missing_percent
+FROM m WHERE missing_count > 0
+""")
+def q_missing_by_column_doc_labels(spark, sf_dir):
+    return prof.missing_by_column(fx.documents_with_labels(spark, sf_dir))
+
+
+@register("missing_total_doc_labels", f"""
+WITH j AS ({DOC_LEFT_LABELS_SQL})
+SELECT COUNT(*) AS n_rows, COUNT(*) * 6 AS n_cells,
+       {" + ".join(f"(COUNT(*) - COUNT({c}))" for c in DOC_LABEL_COLS)} AS n_missing,
+       ROUND(100.0 * ({" + ".join(f"(COUNT(*) - COUNT({c}))" for c in DOC_LABEL_COLS)}) / (COUNT(*) * 6), 6) AS missing_pct
+FROM j
+""")
+def q_missing_total_doc_labels(spark, sf_dir):
+    out = prof.missing_total(fx.documents_with_labels(spark, sf_dir))
+    return out.select("n_rows", "n_cells", "n_missing", r6("missing_pct").alias("missing_pct"))
+
+
+DOC_COLS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+@register("distinct_counts_documents", f"""
+{_union_sql(DOC_COLS, "SELECT '{c}' AS \"column\", COUNT(DISTINCT {c}) AS n_distinct FROM documents")}
+""")
+def q_distinct_counts_documents(spark, sf_dir):
+    return prof.distinct_counts(table(spark, sf_dir, "documents"))
+
+
+@register("value_counts_part", """
+SELECT 'p_brand' AS "column", p_brand AS value, COUNT(*) AS "count" FROM part GROUP BY p_brand
+UNION ALL
+SELECT 'p_type', p_type, COUNT(*) FROM part GROUP BY p_type
+""")
+def q_value_counts_part(spark, sf_dir):
+    return rep.value_counts(table(spark, sf_dir, "part"), ["p_brand", "p_type"])
+
+
+def _underrep_sql(tbl, cols):
+    return f"""
+WITH l AS ({_union_sql(cols, "SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS v FROM " + tbl)}),
+c AS (SELECT "column", v, COUNT(*) AS cnt FROM l GROUP BY ALL),
+t AS (SELECT "column", SUM(cnt) AS total FROM c GROUP BY ALL),
+p AS (SELECT c."column", v, cnt, round_even(CAST(cnt AS DOUBLE) / total * 100.0, 2) AS pct
+      FROM c JOIN t ON c."column" = t."column" WHERE v IS NOT NULL)
+SELECT "column", v AS "group", cnt AS "count", pct AS percentage FROM p WHERE pct < 5.0
+"""
+
+
+@register("underrepresented_part", _underrep_sql("part", ["p_name", "p_brand", "p_type"]))
+def q_underrepresented_part(spark, sf_dir):
+    return rep.underrepresented_groups(table(spark, sf_dir, "part"))
+
+
+@register("underrepresented_documents",
+          _underrep_sql("documents", ["text", "lang", "source"]))
+def q_underrepresented_documents(spark, sf_dir):
+    return rep.underrepresented_groups(table(spark, sf_dir, "documents"))
+
+
+LINE_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@register("quartiles_lineitem", _union_sql(LINE_NUM, """
+SELECT '{c}' AS "column", ROUND(quantile_cont({c}, 0.25), 6) AS q1,
+       ROUND(quantile_cont({c}, 0.75), 6) AS q3,
+       ROUND(quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25), 6) AS iqr FROM lineitem"""))
+def q_quartiles_lineitem(spark, sf_dir):
+    out = prof.quartiles(table(spark, sf_dir, "lineitem"), LINE_NUM)
+    return out.select("column", r6("q1").alias("q1"), r6("q3").alias("q3"), r6("iqr").alias("iqr"))
+
+
+EVENT_NUM = ["event_id", "user_id", "value"]
+
+
+@register("outliers_events", f"""
+WITH f AS ({_union_sql(EVENT_NUM, "SELECT '{c}' AS \"column\", quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM events")}),
+l AS ({_union_sql(EVENT_NUM, "SELECT '{c}' AS \"column\", CAST({c} AS DOUBLE) AS v FROM events")})
+SELECT f."column", ROUND(q1, 6) AS q1, ROUND(q3, 6) AS q3,
+       ROUND(q1 - 3 * (q3 - q1), 6) AS lower, ROUND(q3 + 3 * (q3 - q1), 6) AS upper,
+       COUNT(*) FILTER (WHERE v < q1 - 3 * (q3 - q1) OR v > q3 + 3 * (q3 - q1)) AS n_outliers,
+       COUNT(*) AS n_rows,
+       ROUND(100.0 * COUNT(*) FILTER (WHERE v < q1 - 3 * (q3 - q1) OR v > q3 + 3 * (q3 - q1)) / COUNT(*), 6) AS outlier_pct,
+       CASE WHEN COUNT(*) FILTER (WHERE v < q1 - 3 * (q3 - q1) OR v > q3 + 3 * (q3 - q1)) > 0.05 * COUNT(*)
+            THEN printf('%s: %.1f%% outliers', f."column",
+                 100.0 * COUNT(*) FILTER (WHERE v < q1 - 3 * (q3 - q1) OR v > q3 + 3 * (q3 - q1)) / COUNT(*)) END AS warning
+FROM l JOIN f ON l."column" = f."column" GROUP BY f."column", q1, q3
+""")
+def q_outliers_events(spark, sf_dir):
+    out = prof.outliers(table(spark, sf_dir, "events"), EVENT_NUM)
+    return out.select("column", *[r6(c).alias(c) for c in ["q1", "q3", "lower", "upper"]],
+                      "n_outliers", "n_rows", r6("outlier_pct").alias("outlier_pct"), "warning")
+
+
+@register("duplicates_documents_text", """
+SELECT COUNT(*) AS n_rows, COUNT(DISTINCT text) AS n_distinct,
+       COUNT(*) - COUNT(DISTINCT text) AS n_duplicates FROM documents
+""")
+def q_duplicates_documents_text(spark, sf_dir):
+    return prof.duplicate_rows(table(spark, sf_dir, "documents").select("text"))
+
+
+@register("duplicates_part_type_size", """
+SELECT SUM(n) AS n_rows, COUNT(*) AS n_distinct, SUM(n - 1) AS n_duplicates
+FROM (SELECT p_type, p_size, COUNT(*) AS n FROM part GROUP BY ALL)
+""")
+def q_duplicates_part_type_size(spark, sf_dir):
+    return prof.duplicate_rows(table(spark, sf_dir, "part"), ["p_type", "p_size"])
+
+
+def events_with_k(spark, sf_dir):
+    """events plus the JSON field ``k`` kept as text (numeric-as-text case)."""
+    ev = table(spark, sf_dir, "events")
+    return ev.withColumn("k_text", F.get_json_object("props", "$.k"))
+
+
+EVENTS_K_SQL = "SELECT *, json_extract_string(props, '$.k') AS k_text FROM events"
+NUMERIC_TEXT_SQL = NUMERIC_TEXT_PATTERN.replace("'", "''")
+
+
+@register("numeric_as_text_events", f"""
+WITH e AS ({EVENTS_K_SQL}),
+l AS ({_union_sql(["event_type", "props", "k_text"], "SELECT '{c}' AS \"column\", {c} AS v FROM e")})
+SELECT "column", COUNT(v) AS n_values,
+       COUNT(*) FILTER (WHERE v IS NOT NULL AND regexp_matches(v, '{NUMERIC_TEXT_SQL}')) AS n_numeric,
+       ROUND(COUNT(*) FILTER (WHERE v IS NOT NULL AND regexp_matches(v, '{NUMERIC_TEXT_SQL}')) / COUNT(v), 6) AS numeric_share,
+       COUNT(v) > 0 AND COUNT(*) FILTER (WHERE v IS NOT NULL AND regexp_matches(v, '{NUMERIC_TEXT_SQL}')) = COUNT(v) AS numeric_as_text
+FROM l GROUP BY "column"
+""")
+def q_numeric_as_text_events(spark, sf_dir):
+    out = prof.numeric_as_text(events_with_k(spark, sf_dir))
+    return out.select("column", "n_values", "n_numeric",
+                      r6("numeric_share").alias("numeric_share"), "numeric_as_text")
+
+
+QUALITY_EVENTS_SQL = f"""
+WITH e AS ({EVENTS_K_SQL}),
+d AS (SELECT COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM e)) AS dups FROM e),
+m AS (SELECT 100.0 * ({" + ".join(f"(COUNT(*) - COUNT({c}))" for c in ["event_id", "ts", "user_id", "event_type", "value", "props", "k_text"])}) / (COUNT(*) * 7) AS pct FROM e),
+l AS ({_union_sql(["event_type", "props", "k_text"], "SELECT '{c}' AS \"column\", {c} AS v FROM e")}),
+t AS (SELECT "column", COUNT(v) AS nv,
+             COUNT(*) FILTER (WHERE v IS NOT NULL AND regexp_matches(v, '{NUMERIC_TEXT_SQL}')) AS nn
+      FROM l GROUP BY "column"),
+bad AS (SELECT "column", CAST(nn AS DOUBLE) / nv AS share FROM t WHERE nv > 0 AND nn = nv)
+SELECT 'duplicates' AS "check", dups = 0 AS passed, CAST(dups AS DOUBLE) AS value,
+       CASE WHEN dups > 0 THEN printf('Duplicate rows: %d', dups) END AS warning FROM d
+UNION ALL
+SELECT 'missing', CASE WHEN pct < 30 THEN TRUE END, ROUND(pct, 6),
+       CASE WHEN pct >= 30 THEN printf('High missing data: %.2f%%', pct) END FROM m
+UNION ALL
+SELECT 'types', (SELECT COUNT(*) FROM bad) = 0, CAST((SELECT COUNT(*) FROM bad) AS DOUBLE), NULL
+UNION ALL
+SELECT 'types_column', NULL, ROUND(share, 6), "column" || ': numeric as string' FROM bad
+"""
+
+
+@register("quality_checks_events", QUALITY_EVENTS_SQL)
+def q_quality_checks_events(spark, sf_dir):
+    out = prof.quality_checks(events_with_k(spark, sf_dir))
+    return out.select("check", "passed", r6("value").alias("value"), "warning")
+
+
+@register("quality_rollup_events", f"""
+WITH q AS ({QUALITY_EVENTS_SQL})
+SELECT COUNT(*) FILTER (WHERE "check" IN ('duplicates', 'missing', 'types')) AS total_checks,
+       COUNT(*) FILTER (WHERE "check" IN ('duplicates', 'missing', 'types') AND passed) AS passed,
+       COUNT(*) FILTER (WHERE "check" IN ('duplicates', 'missing', 'types') AND NOT passed) AS failed,
+       COUNT(warning) AS n_warnings
+FROM q
+""")
+def q_quality_rollup_events(spark, sf_dir):
+    return prof.quality_rollup(prof.quality_checks(events_with_k(spark, sf_dir)))
