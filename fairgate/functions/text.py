@@ -43,10 +43,14 @@ def pii_matches(text: Column, pii_type: str) -> Column:
     _, pattern, check = next(p for p in PII_PATTERNS if p[0] == pii_type)
     found = F.regexp_extract_all(text, _lit(pattern), 0)
     if check == "luhn":
-        found = F.filter(found, lambda m: F.luhn_check(F.regexp_replace(m, "[ -]", "")))
+        found = F.filter(found, lambda m: F.call_function("luhn_check", F.regexp_replace(m, "[ -]", "")))
     return found
 
 
+def _replace_with(tag: str):
+    return lambda acc, m: F.replace(acc, m, F.lit(tag))
+
+
 def redact(text: Column, types: Sequence[str] | None = None) -> Column:
     """Replace each PII span by ``<TYPE>``, types in priority order.
     Row-stateless, so it also applies to a streaming DataFrame."""
@@ -57,7 +61,7 @@ def redact(text: Column, types: Sequence[str] | None = None) -> Column:
         tag = f"<{pii_type}>"
         if check == "luhn":
             valid = pii_matches(out, pii_type)
-            out = F.aggregate(valid, out, lambda acc, m, tag=tag: F.replace(acc, m, F.lit(tag)))
+            out = F.aggregate(valid, out, _replace_with(tag))
         else:
             out = F.regexp_replace(out, _lit(pattern), _lit(tag))
     return F.when(text.isNull(), text).otherwise(out)

@@ -288,7 +288,8 @@ def q_duplicates_documents_text(spark, sf_dir):
 
 
 @register("duplicates_part_type_size", """
-SELECT SUM(n) AS n_rows, COUNT(*) AS n_distinct, SUM(n - 1) AS n_duplicates
+SELECT CAST(SUM(n) AS BIGINT) AS n_rows, COUNT(*) AS n_distinct,
+       CAST(SUM(n - 1) AS BIGINT) AS n_duplicates
 FROM (SELECT p_type, p_size, COUNT(*) AS n FROM part GROUP BY ALL)
 """)
 def q_duplicates_part_type_size(spark, sf_dir):
@@ -357,3 +358,192 @@ FROM q
 """)
 def q_quality_rollup_events(spark, sf_dir):
     return prof.quality_rollup(prof.quality_checks(events_with_k(spark, sf_dir)))
+
+
+# -- X2-X4: PII -----------------------------------------------------------------
+
+def _sql_lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _duck_luhn(x: str) -> str:
+    d = f"CAST(substr(reverse({x}), i + 1, 1) AS INTEGER)"
+    return (f"(length({x}) > 0 AND list_sum(list_transform(range(length({x})), lambda i: "
+            f"CASE WHEN i % 2 = 1 THEN ({d} * 2) % 10 + ({d} * 2) // 10 ELSE {d} END)) % 10 = 0)")
+
+
+def _duck_matches(v: str, pii_type: str) -> str:
+    _, pattern, check = next(p for p in PII_PATTERNS if p[0] == pii_type)
+    found = f"regexp_extract_all({v}, {_sql_lit(pattern)})"
+    if check == "luhn":
+        digits = "regexp_replace(x, '[ -]', '', 'g')"
+        found = f"list_filter({found}, lambda x: {_duck_luhn(digits)})"
+    return found
+
+
+def pii_findings_sql(tbl: str, cols) -> str:
+    types = [t for t, _, _ in PII_PATTERNS]
+    ms = ",\n  ".join(f"{_duck_matches('v', t)} AS m{i}" for i, t in enumerate(types))
+    aggs = ",\n  ".join(f"CAST(SUM(len(m{i})) AS BIGINT) AS n{i}, COUNT(*) FILTER (WHERE len(m{i}) > 0) AS r{i}, "
+                        f"MIN(list_min(m{i})) AS e{i}" for i, _ in enumerate(types))
+    outs = "\nUNION ALL ".join(
+        f"SELECT \"column\", '{t}' AS pii_type, n{i} AS n_detections, r{i} AS n_rows, "
+        f"sha256(e{i}) AS example_hash FROM agg WHERE n{i} > 0" for i, t in enumerate(types))
+    return f"""
+WITH l AS ({_union_sql(cols, "SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS v FROM " + tbl)}),
+m AS (SELECT "column", {ms} FROM l WHERE v IS NOT NULL),
+agg AS (SELECT "column", {aggs} FROM m GROUP BY "column")
+{outs}
+"""
+
+
+def redact_sql(v: str) -> str:
+    out = v
+    for t, pattern, check in PII_PATTERNS:
+        if check == "luhn":
+            out = (f"list_reduce({_duck_matches(out, t)}, lambda acc, m: replace(acc, m, '<{t}>'), {out})")
+        else:
+            out = f"regexp_replace({out}, {_sql_lit(pattern)}, '<{t}>', 'g')"
+    return out
+
+
+@register("pii_findings_documents", pii_findings_sql("documents", ["text", "lang", "source"]))
+def q_pii_findings_documents(spark, sf_dir):
+    return pii.pii_findings(table(spark, sf_dir, "documents"))
+
+
+@register("pii_findings_conversations", pii_findings_sql("conversations", ["role", "text"]))
+def q_pii_findings_conversations(spark, sf_dir):
+    return pii.pii_findings(table(spark, sf_dir, "conversations"))
+
+
+@register("pii_columns_documents", f"""
+WITH f AS ({pii_findings_sql("documents", ["text", "lang", "source"])})
+SELECT "column", CAST(SUM(n_detections) AS BIGINT) AS n_detections,
+       list_sort(list(DISTINCT pii_type)) AS pii_types
+FROM f GROUP BY "column"
+""")
+def q_pii_columns_documents(spark, sf_dir):
+    return pii.pii_columns(pii.pii_findings(table(spark, sf_dir, "documents")))
+
+
+@register("redacted_documents", f"""
+SELECT doc_id, {redact_sql("text")} AS text, lang, source FROM documents
+""")
+def q_redacted_documents(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return pii.anonymize(docs)
+
+
+# -- A13-A20: fairness ------------------------------------------------------------
+
+FAIR_ATTRS = ["lang", "source"]
+FAIR_METRIC_SQL = {
+    "accuracy": "correct / n",
+    "precision": "COALESCE(tp / NULLIF(tp + fp, 0), 0.0)",
+    "recall": "COALESCE(tp / NULLIF(tp + fn, 0), 0.0)",
+    "f1_score": "COALESCE(2 * tp / NULLIF(2 * tp + fp + fn, 0), 0.0)",
+    "selection_rate": "pred_pos / n",
+}
+FAIR_COUNTS_SQL = f"""
+WITH j AS ({DOC_LABELS_SQL}),
+l AS ({_union_sql(FAIR_ATTRS, "SELECT '{c}' AS attribute, CAST({c} AS VARCHAR) AS grp, y_true AS t, y_pred AS p FROM j")})
+SELECT attribute, grp, COUNT(*) AS n, COUNT(*) FILTER (WHERE t = p) AS correct,
+       COUNT(*) FILTER (WHERE t = 1 AND p = 1) AS tp, COUNT(*) FILTER (WHERE t <> 1 AND p = 1) AS fp,
+       COUNT(*) FILTER (WHERE t = 1 AND p <> 1) AS fn, COUNT(*) FILTER (WHERE p = 1) AS pred_pos
+FROM l WHERE grp IS NOT NULL AND t IS NOT NULL AND p IS NOT NULL GROUP BY ALL
+"""
+_METRIC_COLS = ", ".join(f'{e} AS "{k}"' for k, e in FAIR_METRIC_SQL.items())
+FAIR_SUMMARY_SQL = f"""
+WITH c AS ({FAIR_COUNTS_SQL}),
+g AS (SELECT attribute, grp, {_METRIC_COLS} FROM c),
+o AS (SELECT attribute, {_METRIC_COLS} FROM
+      (SELECT attribute, SUM(n) AS n, SUM(correct) AS correct, SUM(tp) AS tp, SUM(fp) AS fp,
+              SUM(fn) AS fn, SUM(pred_pos) AS pred_pos FROM c GROUP BY attribute)),
+gl AS (UNPIVOT g ON {", ".join(f'"{k}"' for k in FAIR_METRIC_SQL)} INTO NAME metric VALUE v),
+ol AS (UNPIVOT o ON {", ".join(f'"{k}"' for k in FAIR_METRIC_SQL)} INTO NAME metric VALUE overall),
+s AS (SELECT attribute, metric, MIN(v) AS group_min, MAX(v) AS group_max FROM gl GROUP BY ALL)
+SELECT s.attribute, s.metric, ol.overall, s.group_min, s.group_max,
+       s.group_max - s.group_min AS difference,
+       CASE WHEN s.group_max = 0 THEN NULL ELSE s.group_min / s.group_max END AS ratio
+FROM s JOIN ol ON s.attribute = ol.attribute AND s.metric = ol.metric
+"""
+
+
+def _fair_input(spark, sf_dir):
+    return fx.labelled_documents(spark, sf_dir)
+
+
+@register("fairness_by_group", f"""
+WITH c AS ({FAIR_COUNTS_SQL})
+SELECT attribute, grp AS "group", n,
+       {", ".join(f'ROUND({e}, 6) AS "{k}"' for k, e in FAIR_METRIC_SQL.items())}
+FROM c
+""")
+def q_fairness_by_group(spark, sf_dir):
+    out = fair.group_metrics(_fair_input(spark, sf_dir), "y_true", "y_pred", FAIR_ATTRS)
+    return out.select("attribute", "group", "n", *[r6(k).alias(k) for k in fair.DEFAULT_METRICS])
+
+
+SUMMARY_NUM = ["overall", "group_min", "group_max", "difference", "ratio"]
+
+
+@register("fairness_metric_summary", f"""
+SELECT attribute, metric, {", ".join(f"ROUND({c}, 6) AS {c}" for c in SUMMARY_NUM)}
+FROM ({FAIR_SUMMARY_SQL})
+""")
+def q_fairness_metric_summary(spark, sf_dir):
+    out = fair.metric_summary(_fair_input(spark, sf_dir), "y_true", "y_pred", FAIR_ATTRS)
+    return out.select("attribute", "metric", *[r6(c).alias(c) for c in SUMMARY_NUM])
+
+
+@register("demographic_parity", f"""
+SELECT attribute, ROUND(difference, 6) AS dp_difference, ROUND(ratio, 6) AS dp_ratio
+FROM ({FAIR_SUMMARY_SQL}) WHERE metric = 'selection_rate'
+""")
+def q_demographic_parity(spark, sf_dir):
+    s = fair.metric_summary(_fair_input(spark, sf_dir), "y_true", "y_pred", FAIR_ATTRS)
+    return fair.demographic_parity(s).select(
+        "attribute", r6("dp_difference").alias("dp_difference"), r6("dp_ratio").alias("dp_ratio"))
+
+
+FAIR_VIOLATIONS_SQL = f"""
+WITH s AS ({FAIR_SUMMARY_SQL})
+SELECT attribute, 'demographic_parity' AS metric,
+       printf('Demographic parity violation: ratio = %.3f (should be ≥ %s)', ratio, '0.8') AS violation
+FROM s WHERE metric = 'selection_rate' AND ratio < 0.8
+UNION ALL
+SELECT attribute, metric,
+       printf('%s disparity: %.3f difference between groups',
+              CASE metric WHEN 'accuracy' THEN 'Accuracy' WHEN 'precision' THEN 'Precision'
+                          WHEN 'recall' THEN 'Recall' ELSE 'F1_score' END, ABS(difference))
+FROM s WHERE metric IN ('accuracy', 'precision', 'recall', 'f1_score') AND ABS(difference) > 0.1
+"""
+
+
+@register("fairness_violations", FAIR_VIOLATIONS_SQL)
+def q_fairness_violations(spark, sf_dir):
+    s = fair.metric_summary(_fair_input(spark, sf_dir), "y_true", "y_pred", FAIR_ATTRS)
+    return fair.violations(s)
+
+
+@register("fairness_report", f"""
+SELECT attribute AS protected_attribute, 'demographic_parity_difference' AS metric,
+       ROUND(difference, 6) AS value FROM ({FAIR_SUMMARY_SQL}) WHERE metric = 'selection_rate'
+UNION ALL
+SELECT attribute, 'demographic_parity_ratio', ROUND(ratio, 6)
+FROM ({FAIR_SUMMARY_SQL}) WHERE metric = 'selection_rate'
+""")
+def q_fairness_report(spark, sf_dir):
+    s = fair.metric_summary(_fair_input(spark, sf_dir), "y_true", "y_pred", FAIR_ATTRS)
+    return fair.fairness_report(s).select("protected_attribute", "metric", r6("value").alias("value"))
+
+
+@register("fairness_status", f"""
+SELECT COUNT(*) AS total_violations,
+       CASE WHEN COUNT(*) = 0 THEN 'FAIR' ELSE 'CONCERNS' END AS status
+FROM ({FAIR_VIOLATIONS_SQL})
+""")
+def q_fairness_status(spark, sf_dir):
+    s = fair.metric_summary(_fair_input(spark, sf_dir), "y_true", "y_pred", FAIR_ATTRS)
+    return fair.fairness_summary(fair.violations(s))
