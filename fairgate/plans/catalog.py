@@ -547,3 +547,250 @@ FROM ({FAIR_VIOLATIONS_SQL})
 def q_fairness_status(spark, sf_dir):
     s = fair.metric_summary(_fair_input(spark, sf_dir), "y_true", "y_pred", FAIR_ATTRS)
     return fair.fairness_summary(fair.violations(s))
+
+
+# -- J4-J8: encoders ----------------------------------------------------------------
+
+from ..operators import association as assoc  # noqa: E402
+from ..operators import encode as enc  # noqa: E402
+
+BRAND_CODES = {"Brand#11": 1, "Brand#12": 2, "Brand#13": 3}
+
+
+@register("derived_columns_part", """
+SELECT p_partkey,
+       COALESCE(CAST(p_brand = 'Brand#13' AS INTEGER), 0) AS is_brand_13,
+       CASE WHEN p_size IS NULL THEN NULL WHEN p_size < 30 THEN '<30'
+            WHEN p_size <= 50 THEN '30-50' ELSE '>50' END AS size_group,
+       CASE p_brand WHEN 'Brand#11' THEN 1 WHEN 'Brand#12' THEN 2 WHEN 'Brand#13' THEN 3 END AS brand_code
+FROM part
+""")
+def q_derived_columns_part(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    return p.select("p_partkey", enc.binarise("p_brand", "Brand#13").alias("is_brand_13"),
+                    enc.bucket("p_size").alias("size_group"),
+                    enc.map_values("p_brand", BRAND_CODES).alias("brand_code"))
+
+
+@register("label_codes_orders", """
+SELECT "column", value, CAST(dense_rank() OVER (PARTITION BY "column" ORDER BY value) - 1 AS BIGINT) AS code
+FROM (SELECT DISTINCT 'o_orderpriority' AS "column", COALESCE(CAST(o_orderpriority AS VARCHAR), 'nan') AS value FROM orders
+      UNION SELECT DISTINCT 'o_orderstatus', COALESCE(CAST(o_orderstatus AS VARCHAR), 'nan') FROM orders)
+""")
+def q_label_codes_orders(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return enc.label_codes(o, ["o_orderpriority", "o_orderstatus"])
+
+
+@register("label_encoded_customer", """
+SELECT c_custkey,
+       CAST(dense_rank() OVER (ORDER BY COALESCE(c_mktsegment, 'nan')) - 1 AS BIGINT) AS c_mktsegment,
+       CAST(dense_rank() OVER (ORDER BY COALESCE(c_name, 'nan')) - 1 AS BIGINT) AS c_name
+FROM customer
+""")
+def q_label_encoded_customer(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_name")
+    return enc.label_encode(c, ["c_mktsegment", "c_name"])
+
+
+@register("impute_mean_doc_labels", f"""
+SELECT doc_id, ROUND(COALESCE(CAST(quality AS DOUBLE), AVG(quality) OVER ()), 6) AS quality,
+       ROUND(COALESCE(CAST(toxic AS DOUBLE), AVG(toxic) OVER ()), 6) AS toxic
+FROM ({DOC_LEFT_LABELS_SQL})
+""")
+def q_impute_mean_doc_labels(spark, sf_dir):
+    df = fx.documents_with_labels(spark, sf_dir).select("doc_id", "quality", "toxic")
+    out = enc.impute_mean(df, ["quality", "toxic"])
+    return out.select("doc_id", r6("quality").alias("quality"), r6("toxic").alias("toxic"))
+
+
+# -- T4: proxies --------------------------------------------------------------------
+
+def _duck_code(tbl_alias_col: str) -> str:
+    return f"dense_rank() OVER (ORDER BY COALESCE(CAST({tbl_alias_col} AS VARCHAR), 'nan')) - 1"
+
+
+ORDERS_ENC_SQL = f"""
+SELECT CAST(o_orderkey AS DOUBLE) AS o_orderkey, CAST(o_custkey AS DOUBLE) AS o_custkey,
+       CAST({_duck_code('o_orderstatus')} AS DOUBLE) AS o_orderstatus,
+       CAST(o_totalprice AS DOUBLE) AS o_totalprice,
+       CAST(epoch_us(o_orderdate) AS DOUBLE) AS o_orderdate,
+       CAST({_duck_code('o_orderpriority')} AS DOUBLE) AS o_orderpriority
+FROM orders
+"""
+ORDERS_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate",
+               "o_orderpriority"]
+
+
+def _corr_pairs_sql(src: str, protected, cols) -> str:
+    parts = [f"SELECT '{p}' AS protected_attribute, '{o}' AS proxy_variable, "
+             f"ROUND(corr({p}, {o}), 6) AS r FROM e"
+             for p in protected for o in cols if o != p]
+    return f"WITH e AS ({src})\n" + "\nUNION ALL ".join(parts)
+
+
+@register("proxy_matrix_orders", _corr_pairs_sql(ORDERS_ENC_SQL, ["o_orderpriority", "o_orderstatus"],
+                                                 ORDERS_COLS))
+def q_proxy_matrix_orders(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    out = assoc.correlation_pairs(o, ["o_orderpriority", "o_orderstatus"], ORDERS_COLS)
+    return out.select("protected_attribute", "proxy_variable", r6("r").alias("r"))
+
+
+DOCS_ENC_SQL = f"""
+SELECT CAST(doc_id AS DOUBLE) AS doc_id, CAST({_duck_code('text')} AS DOUBLE) AS text,
+       CAST({_duck_code('lang')} AS DOUBLE) AS lang, CAST({_duck_code('source')} AS DOUBLE) AS source,
+       CAST(n_chars AS DOUBLE) AS n_chars, CAST(length(text) AS DOUBLE) AS text_len
+FROM documents
+"""
+
+
+@register("proxies_documents", f"""
+SELECT protected_attribute, proxy_variable, ROUND(ABS(r), 6) AS correlation
+FROM ({_corr_pairs_sql(DOCS_ENC_SQL, ["n_chars"], ["doc_id", "text", "lang", "source", "n_chars", "text_len"])})
+WHERE ABS(r) > 0.7
+""")
+def q_proxies_documents(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").withColumn("text_len", F.length("text"))
+    spec = DatasetSpec(target=None, protected_attributes=("n_chars",))
+    out = assoc.proxy_variables(d, spec)
+    return out.select("protected_attribute", "proxy_variable",
+                      r6("correlation").alias("correlation"))
+
+
+# -- T3: drift -------------------------------------------------------------------------
+
+def _ks_sql(cur_sql: str, ref_sql: str, cols) -> str:
+    a = "\n  UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", CAST({c} AS DOUBLE) AS v, 1 AS s FROM ({cur_sql}) WHERE {c} IS NOT NULL"
+        f"\n  UNION ALL SELECT '{c}', CAST({c} AS DOUBLE), 2 FROM ({ref_sql}) WHERE {c} IS NOT NULL"
+        for c in cols)
+    lam = "((sqrt(en) + 0.12 + 0.11 / sqrt(en)) * d)"
+    return f"""
+WITH a AS ({a}),
+c AS (SELECT "column", v, COUNT(*) FILTER (WHERE s = 1) AS n1, COUNT(*) FILTER (WHERE s = 2) AS n2
+      FROM a GROUP BY ALL),
+w AS (SELECT "column", SUM(n1) OVER (PARTITION BY "column" ORDER BY v) AS c1,
+             SUM(n2) OVER (PARTITION BY "column" ORDER BY v) AS c2,
+             SUM(n1) OVER (PARTITION BY "column") AS t1, SUM(n2) OVER (PARTITION BY "column") AS t2
+      FROM c),
+dd AS (SELECT "column", MAX(ABS(c1 / t1 - c2 / t2)) AS d, CAST(MAX(t1) AS BIGINT) AS n1,
+              CAST(MAX(t2) AS BIGINT) AS n2, MAX(t1) * MAX(t2) / (MAX(t1) + MAX(t2)) AS en
+       FROM w GROUP BY "column"),
+pp AS (SELECT *, CASE WHEN {lam} < 0.2 THEN 1.0 ELSE LEAST(1.0, GREATEST(0.0,
+         list_sum(list_transform(range(1, 101), lambda k: 2.0 * power(-1.0, k - 1) * exp(-2.0 * k * k * {lam} * {lam})))))
+         END AS p FROM dd)
+SELECT "column", ROUND(d, 6) AS statistic, n1 AS n_current, n2 AS n_reference,
+       ROUND(p, 6) AS p_value, p < 0.05 AS drift FROM pp
+"""
+
+
+def _drift_out(df):
+    return df.select("column", r6("statistic").alias("statistic"), "n_current", "n_reference",
+                     r6("p_value").alias("p_value"), "drift")
+
+
+@register("drift_lineitem_returnflag", _ks_sql(
+    "SELECT * FROM lineitem WHERE l_returnflag = 'A'", "SELECT * FROM lineitem WHERE l_returnflag = 'R'",
+    LINE_NUM))
+def q_drift_lineitem_returnflag(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    cur = li.where(F.col("l_returnflag") == "A").select(*LINE_NUM)
+    ref = li.where(F.col("l_returnflag") == "R").select(*LINE_NUM)
+    return _drift_out(assoc.ks_drift(cur, ref))
+
+
+@register("drift_events_halves", _ks_sql(
+    "SELECT * FROM events WHERE ts < TIMESTAMP '2024-01-16'",
+    "SELECT * FROM events WHERE ts >= TIMESTAMP '2024-01-16'", EVENT_NUM))
+def q_drift_events_halves(spark, sf_dir):
+    ev = table(spark, sf_dir, "events")
+    cut = F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
+    cur = ev.where(F.col("ts") < cut).select(*EVENT_NUM)
+    ref = ev.where(F.col("ts") >= cut).select(*EVENT_NUM)
+    return _drift_out(assoc.ks_drift(cur, ref))
+
+
+# -- T2 / T5 with p-values ---------------------------------------------------------------
+
+def duck_chi2_sf(x: str, dof: str) -> str:
+    """Upper chi-square tail in DuckDB SQL: 1 - P(dof/2, x/2) by the series
+    sum_n exp(-y + (s+n) ln y - lgamma(s+n+1)), enough terms past the mode."""
+    y, s = f"({x}) / 2.0", f"({dof}) / 2.0"
+    n_terms = f"CAST(200 + 2 * ceil({y}) AS BIGINT)"
+    series = (f"list_sum(list_transform(range(0, {n_terms}), lambda n: "
+              f"exp(-({y}) + ({s} + n) * ln({y}) - lgamma({s} + n + 1))))")
+    return (f"CASE WHEN ({dof}) = 0 OR ({x}) <= 0 THEN 1.0 "
+            f"ELSE LEAST(1.0, GREATEST(0.0, 1.0 - {series})) END")
+
+
+def chi2_p_oracle(pairs_sql: str) -> str:
+    return f"""
+WITH t AS ({chi2_oracle(pairs_sql)})
+SELECT "column", chi2, dof, ROUND({duck_chi2_sf("chi2", "dof")}, 6) AS p_value FROM t
+"""
+
+
+DOC_NULL_FLAGS_SQL = _union_sql(
+    ["doc_id", "source", "n_chars", "quality", "toxic"],
+    "SELECT '{c}' AS \"column\", CAST(CAST({c} IS NULL AS INTEGER) AS VARCHAR) AS a, "
+    "CAST(lang AS VARCHAR) AS b FROM (" + DOC_LEFT_LABELS_SQL + ") WHERE lang IS NOT NULL")
+
+
+@register("missingness_bias_doc_labels", f"""
+WITH t AS ({chi2_p_oracle(DOC_NULL_FLAGS_SQL)}),
+nulls AS ({_union_sql(["doc_id", "source", "n_chars", "quality", "toxic"],
+                     "SELECT '{c}' AS \"column\", COUNT(*) - COUNT({c}) AS k FROM (" + DOC_LEFT_LABELS_SQL + ")")})
+SELECT t."column", t.chi2, t.p_value, 'MNAR' AS mechanism
+FROM t JOIN nulls ON t."column" = nulls."column" WHERE nulls.k > 0 AND t.p_value < 0.05
+""")
+def q_missingness_bias_doc_labels(spark, sf_dir):
+    df = fx.documents_with_labels(spark, sf_dir)
+    out = stats.missingness_bias(df, "lang")
+    return out.select("column", r6("chi2").alias("chi2"), r6("p_value").alias("p_value"), "mechanism")
+
+
+@register("missingness_tests_doc_labels", chi2_p_oracle(DOC_NULL_FLAGS_SQL))
+def q_missingness_tests_doc_labels(spark, sf_dir):
+    df = fx.documents_with_labels(spark, sf_dir)
+    flags = df.select("lang", *[F.col(c).isNull().cast("int").alias(c)
+                                for c in ["doc_id", "source", "n_chars", "quality", "toxic"]])
+    counts = stats.pair_counts(flags, [(c, c, "lang") for c in
+                                       ["doc_id", "source", "n_chars", "quality", "toxic"]])
+    return stats.chi2_tests(counts).select("column", r6("chi2").alias("chi2"), "dof",
+                                           r6("p_value").alias("p_value"))
+
+
+SEG_PAIRS_SQL = f"""
+  SELECT 'c_mktsegment' AS "column", CAST(c_mktsegment AS VARCHAR) AS a,
+         CAST(o_orderstatus AS VARCHAR) AS b FROM ({ORDERS_SEGMENT_SQL})
+  WHERE c_mktsegment IS NOT NULL AND o_orderstatus IS NOT NULL
+  UNION ALL
+  SELECT 'o_orderpriority', CAST(o_orderpriority AS VARCHAR), CAST(o_orderstatus AS VARCHAR)
+  FROM ({ORDERS_SEGMENT_SQL}) WHERE o_orderpriority IS NOT NULL AND o_orderstatus IS NOT NULL
+"""
+SEG_SPEC = DatasetSpec(target="o_orderstatus",
+                       protected_attributes=("c_mktsegment", "o_orderpriority"))
+
+
+@register("disparity_tests_segments", f"""
+SELECT "column", chi2, dof, p_value, p_value < 0.05 AS significant
+FROM ({chi2_p_oracle(SEG_PAIRS_SQL)})
+""")
+def q_disparity_tests_segments(spark, sf_dir):
+    df = fx.orders_by_segment(spark, sf_dir)
+    out = stats.disparity_tests(df, "o_orderstatus", SEG_SPEC)
+    return out.select("column", r6("chi2").alias("chi2"), "dof", r6("p_value").alias("p_value"),
+                      "significant")
+
+
+@register("crosstab_normalized_segments", f"""
+WITH c AS (SELECT "column", a, b, COUNT(*) AS n FROM ({SEG_PAIRS_SQL}) GROUP BY ALL)
+SELECT "column", a, b, n, ROUND(n / SUM(n) OVER (PARTITION BY "column", a), 6) AS share FROM c
+""")
+def q_crosstab_normalized_segments(spark, sf_dir):
+    df = fx.orders_by_segment(spark, sf_dir)
+    counts = stats.pair_counts(df, [("c_mktsegment", "c_mktsegment", "o_orderstatus"),
+                                    ("o_orderpriority", "o_orderpriority", "o_orderstatus")])
+    out = stats.crosstab_normalized(counts)
+    return out.select("column", "a", "b", "n", r6("share").alias("share"))
