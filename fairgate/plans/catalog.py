@@ -794,3 +794,192 @@ def q_crosstab_normalized_segments(spark, sf_dir):
                                     ("o_orderpriority", "o_orderpriority", "o_orderstatus")])
     out = stats.crosstab_normalized(counts)
     return out.select("column", "a", "b", "n", r6("share").alias("share"))
+
+
+# -- F2-F7, O5, O6: expectations and schema validation ---------------------------------
+
+from ..operators import expect  # noqa: E402
+from ..operators import minimise as mini  # noqa: E402
+from ..operators import reweight as rw  # noqa: E402
+from . import audit as audit_plan  # noqa: E402
+from . import eda as eda_plan  # noqa: E402
+from . import pipeline as pipe  # noqa: E402
+from . import verdict as verdict_plan  # noqa: E402
+
+LABEL_SPEC = DatasetSpec(target="quality", protected_attributes=())
+LABELS_EXPECTED = ["doc_id", "quality", "toxic", "score"]
+
+EXPECTATIONS_SQL = """
+SELECT 'Target not null' AS expectation, 'quality' AS "column",
+       COUNT(*) - COUNT(quality) = 0 AS success, CAST(COUNT(*) - COUNT(quality) AS DOUBLE) AS value FROM labels
+UNION ALL SELECT 'Column values not null', 'doc_id', COUNT(*) = COUNT(doc_id), CAST(COUNT(*) - COUNT(doc_id) AS DOUBLE) FROM labels
+UNION ALL SELECT 'Column values not null', 'quality', COUNT(*) = COUNT(quality), CAST(COUNT(*) - COUNT(quality) AS DOUBLE) FROM labels
+UNION ALL SELECT 'Column values not null', 'toxic', COUNT(*) = COUNT(toxic), CAST(COUNT(*) - COUNT(toxic) AS DOUBLE) FROM labels
+UNION ALL SELECT 'Column values in set', 'quality', COUNT(*) FILTER (WHERE quality NOT IN (0, 1)) = 0,
+                 CAST(COUNT(*) FILTER (WHERE quality NOT IN (0, 1)) AS DOUBLE) FROM labels
+UNION ALL SELECT 'Column values in set', 'toxic', COUNT(*) FILTER (WHERE toxic NOT IN (0, 1)) = 0,
+                 CAST(COUNT(*) FILTER (WHERE toxic NOT IN (0, 1)) AS DOUBLE) FROM labels
+UNION ALL SELECT 'Column exists', 'score', FALSE, CAST(NULL AS DOUBLE)
+UNION ALL SELECT 'Row count valid', NULL, COUNT(*) >= 1, CAST(COUNT(*) AS DOUBLE) FROM labels
+"""
+
+
+def _label_expectations(spark, sf_dir):
+    return expect.expectations(table(spark, sf_dir, "labels"), LABEL_SPEC, numeric_not_null=True,
+                               in_set={"quality": [0, 1], "toxic": [0, 1]},
+                               expected_columns=LABELS_EXPECTED)
+
+
+@register("expectations_labels", EXPECTATIONS_SQL)
+def q_expectations_labels(spark, sf_dir):
+    return _label_expectations(spark, sf_dir)
+
+
+@register("expectation_summary_labels", f"""
+SELECT COUNT(*) FILTER (WHERE success) AS passed, COUNT(*) AS total,
+       CASE WHEN COUNT(*) FILTER (WHERE success) = COUNT(*) THEN 'PASS' ELSE 'FAIL' END AS status,
+       COUNT(*) FILTER (WHERE success) = COUNT(*) AS success
+FROM ({EXPECTATIONS_SQL})
+""")
+def q_expectation_summary_labels(spark, sf_dir):
+    return expect.expectation_summary(_label_expectations(spark, sf_dir))
+
+
+@register("schema_validation_events", f"""
+WITH e AS ({EVENTS_K_SQL}),
+l AS ({_union_sql(["event_type", "props", "k_text"], "SELECT '{c}' AS \"column\", {c} AS v FROM e")}),
+t AS (SELECT "column", COUNT(v) AS nv,
+             COUNT(*) FILTER (WHERE v IS NOT NULL AND regexp_matches(v, '{NUMERIC_TEXT_SQL}')) AS nn
+      FROM l GROUP BY "column"),
+i AS (SELECT list_sort(list("column" || ': numeric data stored as string') FILTER (WHERE nv > 0 AND nn = nv)) AS issues FROM t)
+SELECT CASE WHEN len(COALESCE(issues, [])) > 0 THEN 'WARNING' ELSE 'PASS' END AS status,
+       COALESCE(issues, []) AS issues FROM i
+""")
+def q_schema_validation_events(spark, sf_dir):
+    return expect.schema_validation(events_with_k(spark, sf_dir))
+
+
+AUDIT_STATUS_EVENTS_SQL = f"""
+WITH s AS (SELECT status FROM ({ORACLE["schema_validation_events"]})),
+r AS ({ORACLE["quality_rollup_events"]})
+SELECT CASE WHEN (SELECT status FROM s) IN ('PASS', 'WARNING') AND (SELECT failed FROM r) = 0
+            THEN 'COMPLIANT' ELSE 'NON_COMPLIANT' END AS compliance_status,
+       CAST((SELECT failed FROM r) AS INTEGER) AS failed
+"""
+
+
+@register("audit_status_events", AUDIT_STATUS_EVENTS_SQL)
+def q_audit_status_events(spark, sf_dir):
+    ev = events_with_k(spark, sf_dir)
+    schema = expect.schema_validation(ev)
+    rollup = prof.quality_rollup(prof.quality_checks(ev))
+    return audit_plan.audit_status(schema, rollup)
+
+
+# -- M2, J1-J3, T6, T7, O2: minimisation -----------------------------------------------
+
+GOV_SPEC = DatasetSpec(target="is_filled", protected_attributes=("c_mktsegment", "c_nationkey"),
+                       domain="credit_scoring", name="credit_scoring_dataset")
+GOV_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority",
+            "c_mktsegment", "c_nationkey", "is_filled"]
+
+
+def governed_orders(spark, sf_dir):
+    return fx.orders_by_segment(spark, sf_dir).select(*GOV_COLS)
+
+
+def _class_sql(cols, spec):
+    prot = [a.lower().replace("-", "_").replace(" ", "_") for a in spec.protected_attributes]
+    rows = []
+    for i, c in enumerate(cols):
+        norm = c.lower().replace("-", "_").replace(" ", "_")
+        if c == spec.target:
+            rows.append(f"('{c}', 'essential', '{mini.RATIONALE_TARGET}', NULL, NULL, {i})")
+        elif any(p in norm for p in prot):
+            rows.append(f"('{c}', 'prohibited', '{mini.RATIONALE_PROTECTED}', '{mini.GDPR_REF_PROTECTED}', "
+                        f"'{mini.EU_AI_ACT_REF_PROTECTED}', {i})")
+        else:
+            rows.append(f"('{c}', 'optional', '{mini.RATIONALE_OPTIONAL}', NULL, NULL, {i})")
+    return ("SELECT col0 AS feature, col1 AS class, col2 AS rationale, CAST(col3 AS VARCHAR) AS gdpr_ref, "
+            "CAST(col4 AS VARCHAR) AS eu_ai_act_ref, CAST(col5 AS INTEGER) AS position FROM (VALUES "
+            + ", ".join(rows) + ")")
+
+
+@register("feature_class_orders", _class_sql(GOV_COLS, GOV_SPEC))
+def q_feature_class_orders(spark, sf_dir):
+    return mini.classify_features(governed_orders(spark, sf_dir), GOV_SPEC)
+
+
+@register("minimal_orders_protected_only", f"""
+WITH j AS ({ORDERS_SEGMENT_SQL})
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority, is_filled FROM j
+""")
+def q_minimal_orders_protected_only(spark, sf_dir):
+    df = governed_orders(spark, sf_dir)
+    minimal, _ = mini.create_minimal_dataset(df, mini.classify_features(df, GOV_SPEC), GOV_SPEC,
+                                             importances=None)
+    return minimal
+
+
+@register("exclusion_log_orders_protected_only", """
+SELECT * FROM (VALUES ('c_mktsegment', 'Protected attribute', 'Art. 9 (Special categories), Art. 5(1)(c)'),
+                      ('c_nationkey', 'Protected attribute', 'Art. 9 (Special categories), Art. 5(1)(c)'))
+  AS t(feature, reason, regulation)
+WHERE EXISTS (SELECT 1 FROM orders)
+""")
+def q_exclusion_log_orders_protected_only(spark, sf_dir):
+    df = governed_orders(spark, sf_dir)
+    _, log = mini.create_minimal_dataset(df, mini.classify_features(df, GOV_SPEC), GOV_SPEC,
+                                         importances=None)
+    return log
+
+
+LINE_SPEC = DatasetSpec(target="l_returnflag", protected_attributes=("l_linestatus",))
+
+
+def _lineitem_forest(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    return mini.feature_importance(li, "l_returnflag", mini.ForestParams())
+
+
+@register("feature_importance_lineitem")
+def q_feature_importance_lineitem(spark, sf_dir):
+    """T6 with the reference's forest (100 trees, depth 10, seed 42):
+    rows-only check (values cannot equal another library's forest)."""
+    return _lineitem_forest(spark, sf_dir)
+
+
+@register("low_importance_lineitem")
+def q_low_importance_lineitem(spark, sf_dir):
+    return mini.low_importance(_lineitem_forest(spark, sf_dir), LINE_SPEC)
+
+
+@register("minimisation_report_orders", f"""
+SELECT COUNT(*) FILTER (WHERE class = 'essential') AS essential_features_count,
+       COUNT(*) FILTER (WHERE class = 'prohibited') AS prohibited_features_count,
+       COUNT(*) FILTER (WHERE class = 'optional') AS optional_features_count,
+       CAST(0 AS BIGINT) AS recommended_exclusions_count
+FROM ({_class_sql(GOV_COLS, GOV_SPEC)})
+""")
+def q_minimisation_report_orders(spark, sf_dir):
+    df = governed_orders(spark, sf_dir)
+    return mini.minimisation_report(mini.classify_features(df, GOV_SPEC), None)
+
+
+@register("selected_features_customer", """
+SELECT c_custkey, c_acctbal FROM customer
+""")
+def q_selected_features_customer(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    return mini.select_features(c, include=["c_custkey", "c_acctbal", "c_mktsegment", "nope"],
+                                exclude=["c_mktsegment", "c_name", "absent"])
+
+
+@register("pii_columns_dropped_documents", """
+SELECT doc_id, lang, source, n_chars FROM documents
+""")
+def q_pii_columns_dropped_documents(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    cols = [r["column"] for r in pii.pii_columns(pii.pii_findings(docs)).collect()]
+    out, _ = mini.drop_pii_columns(docs, cols, protected=["lang"], target="source")
+    return out
