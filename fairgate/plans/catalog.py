@@ -983,3 +983,168 @@ def q_pii_columns_dropped_documents(spark, sf_dir):
     cols = [r["column"] for r in pii.pii_columns(pii.pii_findings(docs)).collect()]
     out, _ = mini.drop_pii_columns(docs, cols, protected=["lang"], target="source")
     return out
+
+
+# -- J9-J11, A6, O11: planted bias over customers -----------------------------------------
+
+SCORE_TERMS = [("c_acctbal", 0.5, "max", None), ("c_nationkey", 0.3, "const", 24.0)]
+PATTERN_SQL = {
+    "no_bias": "1.0",
+    "gender_bias": "CASE WHEN c_mktsegment = 'BUILDING' THEN 1.2 ELSE 1.0 END",
+    "age_bias": "CASE WHEN c_nationkey < 10 THEN 0.8 ELSE 1.0 END",
+}
+
+
+def _customer_patterns():
+    fav = F.col("c_mktsegment") == "BUILDING"
+    young = F.col("c_nationkey") < 10
+    return {"no_bias": rw.bias_rules("none"),
+            "gender_bias": rw.bias_rules("gender", favoured=fav),
+            "age_bias": rw.bias_rules("age", young=young)}
+
+
+PLANTED_SQL = f"""
+WITH c AS (SELECT c_custkey, c_mktsegment, c_nationkey,
+                  (0.0 + 0.5 * (c_acctbal / (SELECT MAX(c_acctbal) FROM customer)))
+                  + 0.3 * (c_nationkey / 24.0) AS base FROM customer),
+p AS ({" UNION ALL ".join(f"SELECT '{k}' AS pattern, c.*, base * {v} AS score FROM c" for k, v in PATTERN_SQL.items())}),
+t AS (SELECT pattern, quantile_cont(score, 0.5) AS thr FROM p GROUP BY pattern),
+l AS (SELECT p.pattern, c_custkey, c_mktsegment, CAST(score > thr AS INTEGER) AS y FROM p JOIN t USING (pattern)),
+r AS (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY md5(CAST(c_custkey AS VARCHAR) || ':42'), c_custkey) - 1 AS rk,
+             COUNT(*) OVER (PARTITION BY pattern) AS cnt FROM l)
+SELECT pattern, c_custkey, c_mktsegment, CASE WHEN rk < floor(0.05 * cnt) THEN 1 - y ELSE y END AS approved FROM r
+"""
+
+
+@register("bias_comparison_customers", f"""
+SELECT pattern, c_mktsegment AS "group", COUNT(*) AS n, ROUND(AVG(approved), 6) AS outcome_rate
+FROM ({PLANTED_SQL}) WHERE c_mktsegment IS NOT NULL GROUP BY ALL
+""")
+def q_bias_comparison_customers(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey",
+                                                "c_acctbal")
+    score = rw.weighted_score(c, SCORE_TERMS)
+    out = rw.bias_comparison(c, score, _customer_patterns(), "c_mktsegment", ["c_custkey"],
+                             threshold_q=0.5, flip_share=0.05, seed=42)
+    return out.select("pattern", "group", "n", r6("outcome_rate").alias("outcome_rate"))
+
+
+@register("planted_labels_customers", f"""
+SELECT c_custkey, approved FROM ({PLANTED_SQL}) WHERE pattern = 'gender_bias'
+""")
+def q_planted_labels_customers(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey",
+                                                "c_acctbal")
+    score = rw.weighted_score(c, SCORE_TERMS)
+    out = rw.planted_outcome(c, score, _customer_patterns()["gender_bias"], 0.5, ["c_custkey"],
+                             flip_share=0.05, seed=42)
+    return out.select("c_custkey", "approved")
+
+
+@register("quantile_threshold_orders", """
+SELECT o_orderkey, CAST(o_totalprice > (SELECT quantile_cont(o_totalprice, 0.7) FROM orders) AS INTEGER) AS top30
+FROM orders
+""")
+def q_quantile_threshold_orders(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    return rw.above_quantile(o, "o_totalprice", 0.7, "top30").select("o_orderkey", "top30")
+
+
+# -- O3/O4/O8/O9: bias EDA counts and the verdict over governed orders ---------------------
+
+GOV_SQL = f"SELECT {', '.join(GOV_COLS)} FROM ({ORDERS_SEGMENT_SQL})"
+GOV_TEXT = ["o_orderstatus", "o_orderpriority", "c_mktsegment"]
+GOV_ENC_SQL = f"""
+SELECT CAST(o_orderkey AS DOUBLE) AS o_orderkey, CAST(o_custkey AS DOUBLE) AS o_custkey,
+       CAST({_duck_code('o_orderstatus')} AS DOUBLE) AS o_orderstatus,
+       CAST(o_totalprice AS DOUBLE) AS o_totalprice,
+       CAST({_duck_code('o_orderpriority')} AS DOUBLE) AS o_orderpriority,
+       CAST({_duck_code('c_mktsegment')} AS DOUBLE) AS c_mktsegment,
+       CAST(c_nationkey AS DOUBLE) AS c_nationkey, CAST(is_filled AS DOUBLE) AS is_filled
+FROM ({GOV_SQL})
+"""
+GOV_PROT = ["c_mktsegment", "c_nationkey"]
+GOV_DISP_PAIRS = _union_sql(
+    GOV_PROT, "SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS a, CAST(is_filled AS VARCHAR) AS b "
+              "FROM (" + GOV_SQL + ") WHERE {c} IS NOT NULL AND is_filled IS NOT NULL")
+GOV_GROUPS = _union_sql(GOV_PROT, "SELECT '{c}' AS \"column\", COUNT(DISTINCT {c}) AS k FROM (" + GOV_SQL + ")")
+GOV_DUPS = f"(SELECT COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM ({GOV_SQL}))) FROM ({GOV_SQL}))"
+GOV_MISSING = (f"(SELECT 100.0 * ({' + '.join(f'(COUNT(*) - COUNT({c}))' for c in GOV_COLS)}) "
+               f"/ (COUNT(*) * {len(GOV_COLS)}) FROM ({GOV_SQL}))")
+GOV_TYPES_BAD = ("(SELECT COUNT(*) FROM (" + _union_sql(
+    GOV_TEXT, "SELECT '{c}' AS k, COUNT({c}) AS nv, COUNT(*) FILTER (WHERE {c} IS NOT NULL AND "
+              "regexp_matches({c}, '" + NUMERIC_TEXT_SQL + "')) AS nn FROM (" + GOV_SQL + ")")
+    + ") WHERE nv > 0 AND nn = nv)")
+GOV_EDA_COUNTS_SQL = f"""
+SELECT 'missing_sensitive_attrs_count' AS "check", CAST(0 AS BIGINT) AS n
+UNION ALL SELECT 'underrepresented_groups_count', COUNT(*) FROM ({_underrep_sql("(" + GOV_SQL + ")", GOV_TEXT)})
+UNION ALL SELECT 'missingness_bias_count', CAST(0 AS BIGINT)
+UNION ALL SELECT 'proxy_variables_count', COUNT(*) FROM ({_corr_pairs_sql(GOV_ENC_SQL, GOV_PROT, GOV_COLS)}) WHERE ABS(r) > 0.7
+UNION ALL SELECT 'statistical_disparities_count', COUNT(*) FROM ({chi2_p_oracle(GOV_DISP_PAIRS)}) t
+   JOIN ({GOV_GROUPS}) g ON t."column" = g."column" WHERE g.k <= 20 AND t.p_value < 0.05
+"""
+
+
+def _gov_eda(spark, sf_dir):
+    return eda_plan.run_bias_eda(governed_orders(spark, sf_dir), GOV_SPEC)
+
+
+@register("eda_counts_orders", GOV_EDA_COUNTS_SQL)
+def q_eda_counts_orders(spark, sf_dir):
+    return eda_plan.finding_counts(_gov_eda(spark, sf_dir))
+
+
+VERDICT_SQL = f"""
+WITH sig AS (
+  SELECT 'excluded_count' AS "check", COUNT(*) AS n FROM ({_class_sql(GOV_COLS, GOV_SPEC)}) WHERE class = 'prohibited'
+  UNION ALL SELECT 'prohibited_features_count', COUNT(*) FROM ({_class_sql(GOV_COLS, GOV_SPEC)}) WHERE class = 'prohibited'
+  UNION ALL SELECT 'audit_compliant', CASE WHEN {GOV_DUPS} = 0 AND {GOV_TYPES_BAD} = 0 AND {GOV_MISSING} < 30 THEN 1
+                                          WHEN {GOV_DUPS} = 0 AND {GOV_TYPES_BAD} = 0 THEN 1 ELSE 0 END
+  UNION ALL SELECT "check", n FROM ({GOV_EDA_COUNTS_SQL})),
+v AS (SELECT
+  CAST(COALESCE(SUM(n) FILTER (WHERE "check" = 'excluded_count'), 0) AS BIGINT) AS excluded_count,
+  CAST(COALESCE(SUM(n) FILTER (WHERE "check" = 'audit_compliant'), 0) AS BIGINT) AS audit_compliant,
+  CAST(COALESCE(SUM(n) FILTER (WHERE "check" = 'prohibited_features_count'), 0) AS BIGINT) AS prohibited_features_count,
+  CAST(COALESCE(SUM(n) FILTER (WHERE "check" = 'underrepresented_groups_count'), 0) AS BIGINT) AS underrepresented_groups_count,
+  CAST(COALESCE(SUM(n) FILTER (WHERE "check" = 'proxy_variables_count'), 0) AS BIGINT) AS proxy_variables_count,
+  CAST(COALESCE(SUM(n) FILTER (WHERE "check" = 'statistical_disparities_count'), 0) AS BIGINT) AS statistical_disparities_count
+  FROM sig),
+w AS (SELECT *, underrepresented_groups_count + proxy_variables_count + statistical_disparities_count AS bias FROM v),
+x AS (SELECT excluded_count, audit_compliant, prohibited_features_count, underrepresented_groups_count,
+  proxy_variables_count, statistical_disparities_count,
+  CASE WHEN excluded_count > 0 THEN 'COMPLIANT' ELSE 'WARNING' END AS gdpr_article_5_1_c,
+  CASE WHEN audit_compliant > 0 THEN 'COMPLIANT' ELSE 'NON_COMPLIANT' END AS gdpr_article_5_1_d,
+  CASE WHEN prohibited_features_count > 0 THEN 'COMPLIANT' ELSE 'WARNING' END AS gdpr_article_9,
+  CASE WHEN bias = 0 THEN 'COMPLIANT' WHEN bias < 5 THEN 'WARNING' ELSE 'NON_COMPLIANT' END AS eu_ai_act_annex_iii,
+  list_filter([CASE WHEN audit_compliant = 0 THEN '{verdict_plan.I_QUALITY}' END,
+               CASE WHEN bias >= 5 THEN printf('%d significant bias issues detected', bias) END],
+              lambda s: s IS NOT NULL) AS issues,
+  list_filter([CASE WHEN excluded_count = 0 THEN '{verdict_plan.W_NO_EXCLUSION}' END,
+               CASE WHEN prohibited_features_count > 0 THEN printf('%d protected attributes identified and handled appropriately', prohibited_features_count) END,
+               CASE WHEN bias > 0 AND bias < 5 THEN printf('%d potential bias issues detected', bias) END],
+              lambda s: s IS NOT NULL) AS warnings,
+  list_filter([CASE WHEN underrepresented_groups_count > 0 THEN '{verdict_plan.R_UNDERREP}' END,
+               CASE WHEN proxy_variables_count > 0 THEN '{verdict_plan.R_PROXIES}' END,
+               CASE WHEN statistical_disparities_count > 0 THEN '{verdict_plan.R_DISPARITIES}' END],
+              lambda s: s IS NOT NULL) AS recommendations
+  FROM w)
+SELECT *, CASE WHEN 'NON_COMPLIANT' IN (gdpr_article_5_1_c, gdpr_article_5_1_d, gdpr_article_9, eu_ai_act_annex_iii)
+                    OR len(issues) > 0 THEN 'NON_COMPLIANT'
+               WHEN len(warnings) > 0 THEN 'COMPLIANT_WITH_WARNINGS' ELSE 'COMPLIANT' END AS overall_status
+FROM x
+"""
+
+
+@register("governance_verdict_orders", VERDICT_SQL)
+def q_governance_verdict_orders(spark, sf_dir):
+    res = pipe.run_governance(governed_orders(spark, sf_dir), GOV_SPEC, bias_on="raw",
+                              importance=False)
+    return res.verdict
+
+
+@register("governance_verdict_orders_forest")
+def q_governance_verdict_orders_forest(spark, sf_dir):
+    """O9 with the forest (rows-only: low-importance exclusions depend on
+    the forest)."""
+    res = pipe.run_governance(governed_orders(spark, sf_dir), GOV_SPEC, bias_on="minimised")
+    return res.verdict
