@@ -39,3 +39,14 @@ def ratio_or_zero(num: Column, den: Column) -> Column:
 def q(name: str) -> Column:
     """Column reference safe for names with '-', ' ' or '.'."""
     return F.col(f"`{name}`")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """For CPU-heavy row work (regex over long texts): when the scan yields
+    fewer partitions than the cluster has cores, round-robin the rows over
+    all cores first.  A no-op on large inputs, which already have many
+    splits."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df

@@ -38,21 +38,53 @@ def _lit(s: str) -> Column:
     return F.lit(s)
 
 
+# Cheap necessary conditions checked before the full pattern (a row that
+# fails its guard cannot hold a match), so the costly patterns only run on
+# candidate rows.
+PII_GUARDS = {
+    "IBAN_CODE": lambda t: t.rlike("[A-Z]{2}[0-9]{2}"),
+    "CREDIT_CARD": lambda t: t.rlike("[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9]"),
+    "US_SSN": lambda t: F.instr(t, "-") > 0,
+    "EMAIL_ADDRESS": lambda t: F.instr(t, "@") > 0,
+    "URL": lambda t: F.instr(t, "://") > 0,
+    "IP_ADDRESS": lambda t: t.rlike("[0-9][.][0-9]"),
+    "PHONE_NUMBER": lambda t: t.rlike("[0-9]{3}[ .-][0-9]{3}"),
+}
+
+
 def pii_matches(text: Column, pii_type: str) -> Column:
     """array<string> of the (checksum-valid) matches of one PII type."""
     _, pattern, check = next(p for p in PII_PATTERNS if p[0] == pii_type)
     found = F.regexp_extract_all(text, _lit(pattern), 0)
     if check == "luhn":
         found = F.filter(found, lambda m: F.call_function("luhn_check", F.regexp_replace(m, "[ -]", "")))
-    return found
+    guard = PII_GUARDS.get(pii_type)
+    if guard is None:
+        return found
+    return F.when(guard(text), found).otherwise(F.array().cast("array<string>"))
 
 
 def _replace_with(tag: str):
     return lambda acc, m: F.replace(acc, m, F.lit(tag))
 
 
+def redact_step(text: Column, pii_type: str) -> Column:
+    """Replace the spans of one PII type by ``<TYPE>``; the guard skips
+    rows that cannot match.  ``text`` should be a column reference (the
+    previous step's output), not a nested expression."""
+    _, pattern, check = next(p for p in PII_PATTERNS if p[0] == pii_type)
+    tag = f"<{pii_type}>"
+    if check == "luhn":
+        replaced = F.aggregate(pii_matches(text, pii_type), text, _replace_with(tag))
+    else:
+        replaced = F.regexp_replace(text, _lit(pattern), _lit(tag))
+    guard = PII_GUARDS.get(pii_type)
+    return F.when(guard(text), replaced).otherwise(text) if guard else replaced
+
+
 def redact(text: Column, types: Sequence[str] | None = None) -> Column:
-    """Replace each PII span by ``<TYPE>``, types in priority order.
+    """Replace each PII span by ``<TYPE>``, types in priority order, as
+    one expression (each level references the previous one once).
     Row-stateless, so it also applies to a streaming DataFrame."""
     out = text
     for pii_type, pattern, check in PII_PATTERNS:
@@ -60,8 +92,14 @@ def redact(text: Column, types: Sequence[str] | None = None) -> Column:
             continue
         tag = f"<{pii_type}>"
         if check == "luhn":
-            valid = pii_matches(out, pii_type)
-            out = F.aggregate(valid, out, _replace_with(tag))
+            out = F.aggregate(F.regexp_extract_all(out, _lit(pattern), 0), out,
+                              _replace_if_luhn(tag))
         else:
             out = F.regexp_replace(out, _lit(pattern), _lit(tag))
-    return F.when(text.isNull(), text).otherwise(out)
+    return out
+
+
+def _replace_if_luhn(tag: str):
+    return lambda acc, m: F.when(
+        F.call_function("luhn_check", F.regexp_replace(m, "[ -]", "")),
+        F.replace(acc, m, F.lit(tag))).otherwise(acc)

@@ -16,8 +16,8 @@ from typing import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import q, to_long
-from ..functions.text import PII_TYPES, pii_matches, redact
+from ..functions.columns import q, spread, to_long
+from ..functions.text import PII_TYPES, pii_matches, redact_step
 from ..spec import columns_of, is_text
 
 
@@ -35,7 +35,7 @@ def pii_findings(df: DataFrame, columns: Sequence[str] | None = None,
         return df.sparkSession.createDataFrame(
             [], "column string, pii_type string, n_detections bigint, "
                 "n_rows bigint, example_hash string")
-    long = to_long(df, cols).where(F.col("value").isNotNull())
+    long = to_long(spread(df.select(*[q(c) for c in cols])), cols).where(F.col("value").isNotNull())
     found = long.select("column", *[detectors[t](F.col("value")).alias(f"_m{i}")
                                     for i, t in enumerate(names)])
     aggs = []
@@ -68,10 +68,14 @@ def anonymize(df: DataFrame, columns: Sequence[str] | None = None,
     is needed to choose them).  Columns that are absent or not text are
     skipped; NULLs stay NULL.  Works on streaming DataFrames too."""
     wanted = set(columns) if columns is not None else None
-    out = []
-    for f in df.schema.fields:
-        c = q(f.name)
-        if is_text(f.dataType) and (wanted is None or f.name in wanted):
-            c = redact(c, types)
-        out.append(c.alias(f.name))
-    return df.select(*out)
+    if not df.isStreaming:
+        df = spread(df)
+    targets = [f.name for f in df.schema.fields
+               if is_text(f.dataType) and (wanted is None or f.name in wanted)]
+    out = df
+    # One projection per PII type: each step reads the previous step's
+    # column, so no step's work is repeated inside a later expression.
+    for pii_type in (types or PII_TYPES):
+        out = out.select(*[redact_step(q(f), pii_type).alias(f) if f in targets else q(f)
+                           for f in df.columns])
+    return out
