@@ -1148,3 +1148,77 @@ def q_governance_verdict_orders_forest(spark, sf_dir):
     the forest)."""
     res = pipe.run_governance(governed_orders(spark, sf_dir), GOV_SPEC, bias_on="minimised")
     return res.verdict
+
+
+# -- P2, S1-S6 and streaming ---------------------------------------------------------------
+
+from ..sources import readers, sinks  # noqa: E402
+from ..streaming import redact as stream_redact  # noqa: E402
+
+
+@register("preview_orders", """
+SELECT * FROM orders ORDER BY o_orderkey LIMIT 10
+""")
+def q_preview_orders(spark, sf_dir):
+    return prof.preview(table(spark, sf_dir, "orders"), ["o_orderkey"], 10)
+
+
+@register("csv_roundtrip_customer", """
+SELECT * FROM customer
+""")
+def q_csv_roundtrip_customer(spark, sf_dir):
+    """S4 then S1: header CSV written to shared scratch, read back with
+    inferred types (cast to the table's types for comparison)."""
+    c = table(spark, sf_dir, "customer")
+    path = stream_redact.scratch_dir(spark, "customer-csv")
+    sinks.write_csv(c, path)
+    back = readers.read_csv(spark, path)
+    return back.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in c.schema.fields])
+
+
+@register("headerless_csv_nation", """
+SELECT * FROM nation
+""")
+def q_headerless_csv_nation(spark, sf_dir):
+    """Headerless CSV with given names/types and leading blanks skipped."""
+    n = table(spark, sf_dir, "nation")
+    path = stream_redact.scratch_dir(spark, "nation-csv")
+    n.select(F.col("n_nationkey").cast("string"), F.concat(F.lit(" "), "n_name"),
+             F.concat(F.lit(" "), F.col("n_regionkey").cast("string"))) \
+        .write.option("header", False).option("ignoreLeadingWhiteSpace", False).csv(path)
+    return readers.read_headerless_csv(spark, path, n.schema)
+
+
+@register("json_report_fairness", f"""
+SELECT attribute AS protected_attribute, 'demographic_parity_difference' AS metric,
+       ROUND(difference, 6) AS value FROM ({FAIR_SUMMARY_SQL}) WHERE metric = 'selection_rate'
+UNION ALL
+SELECT attribute, 'demographic_parity_ratio', ROUND(ratio, 6)
+FROM ({FAIR_SUMMARY_SQL}) WHERE metric = 'selection_rate'
+""")
+def q_json_report_fairness(spark, sf_dir):
+    """Findings written as JSON lines and read back."""
+    s = fair.metric_summary(_fair_input(spark, sf_dir), "y_true", "y_pred", FAIR_ATTRS)
+    path = stream_redact.scratch_dir(spark, "report-json")
+    sinks.write_json_report({"fairness_report": fair.fairness_report(s)}, path)
+    back = spark.read.schema("protected_attribute string, metric string, value double") \
+        .json(f"{path}/fairness_report")
+    return back.select("protected_attribute", "metric", r6("value").alias("value"))
+
+
+@register("summary_text_orders")
+def q_summary_text_orders(spark, sf_dir):
+    """The plain-text compliance summary (holds the run time, so rows-only)."""
+    res = pipe.run_governance(governed_orders(spark, sf_dir), GOV_SPEC, importance=False)
+    return sinks.summary_text(res.verdict, GOV_SPEC.domain)
+
+
+@register("streaming_redaction_documents", f"""
+SELECT doc_id, {redact_sql("text")} AS text, lang, source, n_chars FROM documents
+""")
+def q_streaming_redaction_documents(spark, sf_dir):
+    """X4 as a Structured Streaming job (file source -> redaction -> parquet
+    file sink with checkpoint), read back as a batch table."""
+    docs = table(spark, sf_dir, "documents")
+    out = stream_redact.run_redaction(spark, sf_dir, docs.schema, glob="documents.parquet")
+    return spark.read.parquet(out)
