@@ -98,14 +98,10 @@ def ks_drift(current: DataFrame, reference: DataFrame,
     counted = a.unionByName(b).groupBy("column", "value").agg(
         F.sum("_a").alias("n1"), F.sum("_b").alias("n2"))
     cum = running_sums(counted, "value", ["n1", "n2"], ["column"])
-    sizes = counted.groupBy("column").agg(F.sum("n1").alias("n_current"),
-                                          F.sum("n2").alias("n_reference"))
-    # sizes: one row per column, a bounded broadcast side.
-    gap = F.abs(ratio(F.col("cum_n1"), F.col("n_current"))
-                - ratio(F.col("cum_n2"), F.col("n_reference")))
-    d = (cum.join(F.broadcast(sizes), "column")
-         .groupBy("column", "n_current", "n_reference")
-         .agg(F.max(gap).alias("statistic")))
+    gap = F.abs(ratio(F.col("cum_n1"), F.col("tot_n1")) - ratio(F.col("cum_n2"), F.col("tot_n2")))
+    d = cum.groupBy("column").agg(F.max(gap).alias("statistic"),
+                                  F.max("tot_n1").alias("n_current"),
+                                  F.max("tot_n2").alias("n_reference"))
     p = kolmogorov_p_value(F.col("statistic"), F.col("n_current"), F.col("n_reference"))
     return d.select("column", "statistic", "n_current", "n_reference", p.alias("p_value"),
                     (p < th.p_value).alias("drift"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import q, ratio, ratio_or_zero
 from ..spec import Thresholds
+from .ordering import shared
 
 Counts = Mapping[str, Column]
 
@@ -117,7 +118,8 @@ def metric_summary(df: DataFrame, y_true: str, y_pred: str, attributes: Sequence
     difference (max - min), ratio (min / max, NULL when max is 0)."""
     metrics = _chosen(metric_names, extra)
     names = list(metrics)
-    counts = confusion_counts(df, y_true, y_pred, attributes)
+    # group rows and overall sums both come from one count table
+    counts = shared(confusion_counts(df, y_true, y_pred, attributes))
     by_group = _long(_apply(counts, ["attribute", "group"], metrics).drop("n"),
                      ["attribute", "group"], names, "value")
     spread = by_group.groupBy("attribute", "metric").agg(

@@ -29,9 +29,11 @@ def default_buckets(df: DataFrame) -> int:
 
 def running_sums(df: DataFrame, order: Sequence[str] | str,
                  weights: Sequence[str], by: Sequence[str] = (),
-                 buckets: int | None = None, prefix: str = "cum_") -> DataFrame:
+                 buckets: int | None = None, prefix: str = "cum_",
+                 total_prefix: str = "tot_") -> DataFrame:
     """Add ``cum_<w>``: inclusive running sum of each weight column in the
-    order of ``order`` within each ``by`` group.
+    order of ``order`` within each ``by`` group, and ``tot_<w>``: the
+    group's total.
 
     Rows must be unique on ``by + order`` for the result to be deterministic;
     callers pre-aggregate to one row per value first (which also removes
@@ -48,11 +50,15 @@ def running_sums(df: DataFrame, order: Sequence[str] | str,
         *[F.sum(w).alias(f"_t_{w}") for w in weights])
     before = (Window.partitionBy(*by).orderBy(BUCKET)
               .rowsBetween(Window.unboundedPreceding, -1))
+    whole = Window.partitionBy(*by)
     # At most buckets x (groups per bucket) rows: a bounded broadcast side.
+    # It also carries each group's grand total, so callers need no second
+    # pass (or join) to normalise.
     offsets = totals.select(
         BUCKET, *by,
         *[F.coalesce(F.sum(f"_t_{w}").over(before), F.lit(0)).alias(f"_o_{w}")
-          for w in weights])
+          for w in weights],
+        *[F.sum(f"_t_{w}").over(whole).alias(f"{total_prefix}{w}") for w in weights])
 
     within = (Window.partitionBy(BUCKET, *by).orderBy(*order)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -60,7 +66,8 @@ def running_sums(df: DataFrame, order: Sequence[str] | str,
     return joined.select(
         *[F.col(c) for c in df.columns],
         *[(F.col(f"_o_{w}") + F.sum(w).over(within)).alias(f"{prefix}{w}")
-          for w in weights])
+          for w in weights],
+        *[F.col(f"{total_prefix}{w}") for w in weights])
 
 
 def ordinal_codes(values: DataFrame, value: str, by: Sequence[str] = (),
@@ -73,6 +80,14 @@ def ordinal_codes(values: DataFrame, value: str, by: Sequence[str] = (),
     return ranked.select(*by, value, (F.col("cum__one") - 1).alias(code))
 
 
+def shared(df: DataFrame) -> DataFrame:
+    """An aggregated table that feeds several branches of one plan: column
+    pruning makes each branch's plan different, so Spark would recompute it
+    (scan, join, shuffle) once per branch.  A reliable checkpoint computes it
+    once and cuts the lineage."""
+    return materialize(df)
+
+
 def count_values(long: DataFrame, by: str = "column", value: str = "value") -> DataFrame:
     """(by, value, n) with NULL values kept as their own row."""
     return long.groupBy(by, value).agg(F.count(F.lit(1)).alias("n"))
@@ -85,32 +100,29 @@ def exact_quantiles(long: DataFrame, probs: Sequence[float], by: str = "column",
     DuckDB ``quantile_cont``) for each ``by`` group of a long table.
 
     Nulls are skipped.  Returns (by, q, quantile).  Nothing is held per group
-    in one task: values are counted, ranked by ``running_sums`` and the two
-    neighbours of each position are picked by a bounded broadcast join.
-    ``counted`` may pass a ready (by, value, n) table.
+    in one task: values are counted, ranked by ``running_sums`` and every
+    row checks whether it holds one of the two neighbours of a position (it
+    carries its group's size), so the pick is a filter plus a small
+    aggregate.  ``counted`` may pass a ready (by, value, n) table.
     """
     counted = counted if counted is not None else count_values(long, by, value)
     counted = counted.where(F.col(value).isNotNull())
     cum = running_sums(counted, value, ["n"], [by], buckets)
-    sizes = counted.groupBy(by).agg(F.sum("n").alias("_N"))
-    q_arr = F.array(*[F.lit(float(p)) for p in probs])
-    targets = (sizes.select(by, "_N", F.explode(q_arr).alias("q"))
-               .withColumn("_h", (F.col("_N") - 1) * F.col("q"))
-               .withColumn("_lo", F.floor("_h"))
-               .withColumn("_hi", F.ceil("_h")))
+    # Each row knows its group size, so it can tell by itself whether it
+    # holds the value at rank floor(h) or ceil(h), h = (N-1) q: no join.
+    h = (F.col("tot_n") - 1) * F.col("q")
     first = F.col("cum_n") - F.col("n")          # rank of the first copy
     covers = lambda r: (first <= r) & (r < F.col("cum_n"))
-    # One row per group and probability: bounded by (#groups x #probs).
-    hits = cum.join(F.broadcast(targets), by).where(
-        covers(F.col("_lo")) | covers(F.col("_hi")))
+    hits = (cum.select(by, value, "n", "cum_n", "tot_n",
+                       F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("q"))
+            .where(covers(F.floor(h)) | covers(F.ceil(h))))
     picked = hits.groupBy(by, "q").agg(
-        F.max(F.when(covers(F.col("_lo")), F.col(value))).alias("_vlo"),
-        F.max(F.when(covers(F.col("_hi")), F.col(value))).alias("_vhi"),
-        F.first("_h").alias("_h"), F.first("_lo").alias("_lo"))
+        F.max(F.when(covers(F.floor(h)), F.col(value))).alias("_vlo"),
+        F.max(F.when(covers(F.ceil(h)), F.col(value))).alias("_vhi"),
+        F.max(h - F.floor(h)).alias("_frac"))
     return picked.select(
         by, "q",
-        (F.col("_vlo") + (F.col("_h") - F.col("_lo")) * (F.col("_vhi") - F.col("_vlo")))
-        .alias("quantile"))
+        (F.col("_vlo") + F.col("_frac") * (F.col("_vhi") - F.col("_vlo"))).alias("quantile"))
 
 
 def nan_to_null(c: Column | str, is_float: bool) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from ..functions.columns import q, ratio, to_long
 from ..functions.text import NUMERIC_TEXT_PATTERN
 from ..spec import DatasetSpec, Thresholds, columns_of, is_numeric, is_text
-from .ordering import count_values, exact_quantiles
+from .ordering import count_values, exact_quantiles, shared
 
 
 def _sql_str(s: str) -> str:
@@ -110,7 +110,8 @@ def outliers(df: DataFrame, columns: Sequence[str] | None = None,
     both the quantiles and the outlier count."""
     th = thresholds or Thresholds()
     cols = list(columns) if columns is not None else columns_of(df, "numeric")
-    counted = count_values(numeric_long(df, cols))
+    # value counts feed the quantiles and the outlier count: computed once
+    counted = shared(count_values(numeric_long(df, cols)))
     qs = exact_quantiles(None, [0.25, 0.75], counted=counted)
     fences = (qs.groupBy("column").agg(
         F.max(F.when(F.col("q") == 0.25, F.col("quantile"))).alias("q1"),

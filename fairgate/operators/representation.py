@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import q, ratio, to_long
 from ..spec import DatasetSpec, columns_of, is_text, match_protected, normalise
+from .ordering import shared
 
 
 def value_counts(df: DataFrame, columns: Sequence[str] | None = None,
@@ -35,7 +36,8 @@ def underrepresented_groups(df: DataFrame, spec: DatasetSpec | None = None,
     as a percentage rounded half-even to 2 places, is below the threshold.
     Every text column takes part.  Columns: column, group, count, percentage."""
     th = (spec or DatasetSpec(target=None)).thresholds
-    counts = value_counts(df, columns)
+    # counts feed the groups and the per-column totals: computed once
+    counts = shared(value_counts(df, columns))
     totals = counts.groupBy("column").agg(F.sum("count").alias("_total"))
     pct = F.bround(ratio(F.col("count"), F.col("_total")) * 100.0, 2)
     return (counts.join(F.broadcast(totals), "column")
@@ -68,9 +70,9 @@ def representation(df: DataFrame, columns: Sequence[str], target: str | None = N
                         else (spec.positive_label if spec else None))
          if has_target else F.lit(None).cast("double"))
     long = to_long(df.withColumn("_y", y), columns, ids=["_y"])
-    groups = (long.where(F.col("value").isNotNull())
-              .groupBy("column", "value")
-              .agg(F.count(F.lit(1)).alias("count"), F.avg("_y").alias("outcome_rate")))
+    groups = shared(long.where(F.col("value").isNotNull())
+                    .groupBy("column", "value")
+                    .agg(F.count(F.lit(1)).alias("count"), F.avg("_y").alias("outcome_rate")))
     totals = groups.groupBy("column").agg(F.sum("count").alias("_total"))
     share = ratio(F.col("count"), F.col("_total"))
     warn = F.when(share < th.representation_share,

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import q, ratio
 from ..functions.pvalues import chi2_p_value
 from ..spec import DatasetSpec, is_text, matches_by_attribute
+from .ordering import shared
 
 DEC = "decimal(38,0)"
 
@@ -56,7 +57,8 @@ def chi2_tests(counts: DataFrame, keys: Sequence[str] = ("column",)) -> DataFram
     p_value.  dof = 0 gives chi2 0 and p 1; dof = 1 uses Yates' correction.
     """
     keys = list(keys)
-    c = counts.where(F.col("a").isNotNull() & F.col("b").isNotNull())
+    # The count table feeds both marginals and the cells: computed once.
+    c = shared(counts.where(F.col("a").isNotNull() & F.col("b").isNotNull()))
     R = c.groupBy(*keys, "a").agg(F.sum("n").alias("_R"))
     C = c.groupBy(*keys, "b").agg(F.sum("n").alias("_C"))
     rs = R.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"),
@@ -110,7 +112,7 @@ def missingness_bias(df: DataFrame, target: str, spec: DatasetSpec | None = None
     stack = ", ".join(f"'{c}', cast(`{c}` is null as int)" for c in cols)
     long = df.selectExpr(f"stack({len(cols)}, {stack}) as (column, a)",
                          f"cast(`{target}` as string) as b")
-    counts = long.groupBy("column", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    counts = shared(long.groupBy("column", "a", "b").agg(F.count(F.lit(1)).alias("n")))
     nulls = counts.groupBy("column").agg(
         F.sum(F.when(F.col("a") == 1, F.col("n")).otherwise(0)).alias("_nulls"))
     tests = chi2_tests(counts).join(F.broadcast(nulls), "column")
@@ -132,7 +134,7 @@ def disparity_tests(df: DataFrame, target: str, spec: DatasetSpec,
     if target not in df.columns or not pairs:
         return _empty_findings(df, ["column string", "chi2 double", "dof bigint",
                                     "p_value double", "significant boolean"])
-    counts = pair_counts(df, pairs)
+    counts = shared(pair_counts(df, pairs))
     groups = (counts.where(F.col("a").isNotNull()).select("column", "a").distinct()
               .groupBy("column").agg(F.count(F.lit(1)).alias("_groups")))
     tests = chi2_tests(counts).join(F.broadcast(groups), "column")
