@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import q
 from ..spec import DatasetSpec, is_numeric, is_temporal, is_text, normalise
-from .encode import as_label_text, as_number, label_codes, label_encode
+from .encode import as_label_text, as_number, label_codes
 
 # Rationale and regulation texts of the feature classes and
 # the exclusion log.
@@ -90,21 +90,31 @@ def feature_importance(df: DataFrame, target: str, params: ForestParams | None =
     left out (the forest cannot learn from them).  Protected columns stay
     in X.  Sorted by importance, highest first."""
     from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import Imputer, VectorAssembler
+    from pyspark.ml.feature import VectorAssembler
 
     p = params or ForestParams()
     feats = _forest_features(df, target)
     texts = [c for c in feats if is_text(df.schema[c].dataType)]
     base = df.where(q(target).isNotNull())
-    y_codes = (label_codes(base, [target])
-               .select(F.col("value").alias("_yv"), F.col("code").cast("double").alias("_label")))
-    enc = label_encode(base, texts)
-    enc = enc.withColumn("_yv", as_label_text(target)).join(y_codes, "_yv")
-    staged = enc.select("_label", *[as_number(enc, c).alias(f"_f{i}") for i, c in enumerate(feats)])
+    # one ranked pass encodes the text features and the target together
+    codes = label_codes(base, texts + [target])
+    enc = base
+    for c in texts + [target]:
+        tbl = (codes.where(F.col("column") == c)
+               .select(F.col("value").alias("_v"), F.col("code").alias("_code")))
+        enc = (enc.withColumn("_v", as_label_text(c)).join(tbl, "_v", "left").drop("_v")
+               .withColumn("_label" if c == target else c,
+                           F.col("_code").cast("double" if c == target else "long"))
+               .drop("_code"))
     cols = [f"_f{i}" for i in range(len(feats))]
-    imputed = Imputer(inputCols=cols, outputCols=cols, strategy="mean").fit(staged).transform(staged)
-    assembled = VectorAssembler(inputCols=cols, outputCol="_features").transform(imputed)
-    n_rows = base.count()
+    staged = enc.select("_label", *[as_number(enc, c).alias(f"_f{i}") for i, c in enumerate(feats)])
+    # J8 mean imputation and the row count in one aggregate (one value per feature)
+    stats = staged.agg(F.count(F.lit(1)).alias("_n"), *[F.avg(c).alias(c) for c in cols]).first()
+    n_rows = stats["_n"]
+    filled = staged.select("_label", *[F.coalesce(F.col(c), F.lit(stats[c])).alias(c)
+                                       if stats[c] is not None else F.col(c) for c in cols])
+    assembled = VectorAssembler(inputCols=cols, outputCol="_features",
+                                handleInvalid="keep").transform(filled)
     max_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n_parts = max(1, min(max_parts, math.ceil(n_rows / p.rows_per_partition)))
     train = (assembled.select("_label", "_features").repartition(n_parts)
