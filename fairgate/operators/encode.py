@@ -11,6 +11,7 @@ from typing import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import q, to_long
 from ..spec import is_numeric, is_temporal, is_text
@@ -89,8 +90,13 @@ def as_number(df: DataFrame, col: str) -> Column:
     booleans 0/1, timestamps/dates as epoch microseconds; NaN as NULL."""
     dt = df.schema[col].dataType
     c = q(col)
-    if is_temporal(dt):
-        c = F.unix_micros(c.cast("timestamp"))
+    if isinstance(dt, T.TimestampType):
+        c = F.unix_micros(c)                      # an instant: zone-free already
+    elif is_temporal(dt):
+        # wall-clock values (timestamp_ntz, date): distance from the epoch
+        # without the session time zone, so DST cannot bend the scale
+        c = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
+                             c.cast("timestamp_ntz"))
     out = c.cast("double")
     return F.when(F.isnan(out), F.lit(None)).otherwise(out)
 

@@ -34,14 +34,26 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return round(v, 5)
+        return round(v, 6)
     if hasattr(v, "as_integer_ratio") and not isinstance(v, (int, bool)):
-        return round(float(v), 5)
+        return round(float(v), 6)
     if isinstance(v, (list, tuple)):
         return tuple(_norm(x) for x in v)
     return v
 
 
+def _spark_type(t: str) -> str:
+    return {"int": "int32", "bigint": "int64", "double": "float64", "float": "float32",
+            "string": "string", "boolean": "bool", "timestamp_ntz": "timestamp",
+            "array<string>": "list<string>"}.get(t, t)
+
+
+def _duck_type(t: str) -> str:
+    return {"INTEGER": "int32", "BIGINT": "int64", "DOUBLE": "float64", "FLOAT": "float32",
+            "VARCHAR": "string", "BOOLEAN": "bool", "TIMESTAMP": "timestamp",
+            "VARCHAR[]": "list<string>"}.get(t, t)
+
+
 def _key(row):
     return tuple((x is None, str(type(x)), str(x)) for x in row)
 
@@ -56,6 +68,12 @@ def compare(spark, con, name, query, sql, sf_dir):
     d_cols = [c for c in rel.columns]
     d_rows = [tuple(_norm(x) for x in r) for r in rel.fetchall()]
     problems = []
+    s_types = {f.name: _spark_type(f.dataType.simpleString()) for f in sdf.schema.fields}
+    d_types = {c: _duck_type(str(t)) for c, t in zip(rel.columns, rel.types)}
+    bad = {c: (s_types[c], d_types.get(c)) for c in s_types
+           if c in d_types and s_types[c] != d_types[c]}
+    if bad:
+        problems.append(f"types {bad}")
     if sorted(s_cols) != sorted(d_cols):
         problems.append(f"columns spark={s_cols} duck={d_cols}")
     else:
