@@ -139,6 +139,19 @@ def low_importance(importances: DataFrame, spec: DatasetSpec | None = None) -> D
     return importances.where(F.col("importance") < th)
 
 
+def low_importance_preview(importances: DataFrame, spec: DatasetSpec | None = None,
+                           n: int = 5) -> DataFrame:
+    """L2: the first ``n`` low-importance features (most important first)
+    and how many more there are: feature, importance, n_more."""
+    low = low_importance(importances, spec)
+    head = (low.orderBy(F.desc("importance"), "feature").limit(n)
+            .withColumn("n_more", F.lit(None).cast("long")))
+    more = low.agg(F.greatest(F.count(F.lit(1)) - n, F.lit(0)).alias("n_more")).select(
+        F.lit(None).cast("string").alias("feature"),
+        F.lit(None).cast("double").alias("importance"), "n_more")
+    return head.unionByName(more)
+
+
 def top_importances(importances: DataFrame, n: int = 10) -> DataFrame:
     """L1: the n most important features (TakeOrderedAndProject)."""
     return importances.orderBy(F.desc("importance"), "feature").limit(n)

@@ -125,6 +125,16 @@ def exact_quantiles(long: DataFrame, probs: Sequence[float], by: str = "column",
         (F.col("_vlo") + F.col("_frac") * (F.col("_vhi") - F.col("_vlo"))).alias("quantile"))
 
 
+def first_n(long: DataFrame, order: Sequence[str], n: int, by: str = "column",
+            buckets: int | None = None) -> DataFrame:
+    """The first ``n`` rows of each ``by`` group in the order of
+    ``order`` (which must identify a row), via the bucketed global order —
+    no window holding a whole group in one task."""
+    ranked = running_sums(long.withColumn("_one", F.lit(1)), list(order), ["_one"], [by],
+                          buckets)
+    return ranked.where(F.col("cum__one") <= n).drop("_one", "cum__one", "tot__one")
+
+
 def nan_to_null(c: Column | str, is_float: bool) -> Column:
     """Double NaN is treated as NULL on entry (pandas semantics)."""
     col = F.col(c) if isinstance(c, str) else c

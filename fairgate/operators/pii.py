@@ -19,13 +19,17 @@ from pyspark.sql import functions as F
 from ..functions.columns import q, spread, to_long
 from ..functions.text import PII_TYPES, pii_matches, redact_step
 from ..spec import columns_of, is_text
+from .ordering import first_n
 
 
 def pii_findings(df: DataFrame, columns: Sequence[str] | None = None,
                  types: Sequence[str] | None = None,
-                 extra: Mapping[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+                 extra: Mapping[str, Callable[[Column], Column]] | None = None,
+                 sample_n: int | None = None, order_by: Sequence[str] = ()) -> DataFrame:
     """Column, pii_type, n_detections, n_rows, example_hash — one row per
-    (column, type) with at least one detection."""
+    (column, type) with at least one detection.  Every value is scanned;
+    ``sample_n`` with an explicit ``order_by`` key reproduces the first-n
+    sample per column."""
     cols = list(columns) if columns is not None else columns_of(df, "text")
     detectors: dict[str, Callable[[Column], Column]] = {
         t: (lambda c, t=t: pii_matches(c, t)) for t in (types or PII_TYPES)}
@@ -35,7 +39,13 @@ def pii_findings(df: DataFrame, columns: Sequence[str] | None = None,
         return df.sparkSession.createDataFrame(
             [], "column string, pii_type string, n_detections bigint, "
                 "n_rows bigint, example_hash string")
-    long = to_long(spread(df.select(*[q(c) for c in cols])), cols).where(F.col("value").isNotNull())
+    if sample_n is not None and not order_by:
+        raise ValueError("sample_n needs an explicit order_by")
+    keys = list(order_by) if sample_n is not None else []
+    long = to_long(spread(df.select(*[q(c) for c in keys + cols])), cols, ids=keys)
+    long = long.where(F.col("value").isNotNull())
+    if sample_n is not None:
+        long = first_n(long, keys, sample_n)
     found = long.select("column", *[detectors[t](F.col("value")).alias(f"_m{i}")
                                     for i, t in enumerate(names)])
     aggs = []

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from ..functions.columns import q, ratio, to_long
 from ..functions.text import NUMERIC_TEXT_PATTERN
 from ..spec import DatasetSpec, Thresholds, columns_of, is_numeric, is_text
-from .ordering import count_values, exact_quantiles, shared
+from .ordering import count_values, exact_quantiles, first_n, shared
 
 
 def _sql_str(s: str) -> str:
@@ -41,6 +41,21 @@ def preview(df: DataFrame, order_by: Sequence[str], n: int = 10) -> DataFrame:
     return df.orderBy(*[q(c) for c in order_by]).limit(n)
 
 
+def drop_null_rows(df: DataFrame, column: str) -> DataFrame:
+    """rows where ``column`` is not NULL (NaN counts as NULL)."""
+    c = q(column)
+    if isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType)):
+        return df.where(c.isNotNull() & ~F.isnan(c))
+    return df.where(c.isNotNull())
+
+
+def column_means(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Column, mean — one aggregate for all numeric columns, NULL/NaN
+    skipped."""
+    cols = list(columns) if columns is not None else columns_of(df, "numeric")
+    return numeric_long(df, cols).groupBy("column").agg(F.avg("value").alias("mean"))
+
+
 def _null_count(f: T.StructField):
     c = q(f.name)
     if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
@@ -159,9 +174,7 @@ def numeric_as_text(df: DataFrame, columns: Sequence[str] | None = None,
                 "numeric_share double, numeric_as_text boolean")
     long = to_long(df, cols, ids=list(order_by)).where(F.col("value").isNotNull())
     if sample_n is not None:
-        from pyspark.sql import Window
-        w = Window.partitionBy("column").orderBy(*order_by)
-        long = long.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= sample_n)
+        long = first_n(long, order_by, sample_n)
     agg = long.groupBy("column").agg(
         F.count(F.lit(1)).alias("n_values"),
         F.count_if(F.col("value").rlike(NUMERIC_TEXT_PATTERN)).alias("n_numeric"))

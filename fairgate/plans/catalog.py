@@ -1222,3 +1222,42 @@ def q_streaming_redaction_documents(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     out = stream_redact.run_redaction(spark, sf_dir, docs.schema, glob="documents.parquet")
     return spark.read.parquet(out)
+
+
+# -- A12, L5: means and first-n samples ------------------------------------------------------
+
+@register("column_means_lineitem", _union_sql(LINE_NUM, """
+SELECT '{c}' AS "column", ROUND(AVG({c}), 6) AS mean FROM lineitem"""))
+def q_column_means_lineitem(spark, sf_dir):
+    out = prof.column_means(table(spark, sf_dir, "lineitem"), LINE_NUM)
+    return out.select("column", r6("mean").alias("mean"))
+
+
+@register("numeric_as_text_events_first100", f"""
+WITH e AS ({EVENTS_K_SQL}),
+l AS ({_union_sql(["event_type", "props", "k_text"], "SELECT '{c}' AS \"column\", event_id, {c} AS v FROM e WHERE {c} IS NOT NULL")}),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY event_id) AS rn FROM l) WHERE rn <= 100)
+SELECT "column", COUNT(v) AS n_values,
+       COUNT(*) FILTER (WHERE regexp_matches(v, '{NUMERIC_TEXT_SQL}')) AS n_numeric,
+       ROUND(COUNT(*) FILTER (WHERE regexp_matches(v, '{NUMERIC_TEXT_SQL}')) / COUNT(v), 6) AS numeric_share,
+       COUNT(v) > 0 AND COUNT(*) FILTER (WHERE regexp_matches(v, '{NUMERIC_TEXT_SQL}')) = COUNT(v) AS numeric_as_text
+FROM f GROUP BY "column"
+""")
+def q_numeric_as_text_events_first100(spark, sf_dir):
+    """F9 with the reference's first-100 sample (explicit order: event_id)."""
+    out = prof.numeric_as_text(events_with_k(spark, sf_dir), sample_n=100, order_by=["event_id"])
+    return out.select("column", "n_values", "n_numeric",
+                      r6("numeric_share").alias("numeric_share"), "numeric_as_text")
+
+
+def _pii_first_n_sql(n: int) -> str:
+    full = pii_findings_sql("(SELECT * FROM (SELECT *, row_number() OVER (ORDER BY doc_id) AS rn "
+                            f"FROM documents) WHERE rn <= {n})", ["text"])
+    return full
+
+
+@register("pii_findings_documents_first50", _pii_first_n_sql(50))
+def q_pii_findings_documents_first50(spark, sf_dir):
+    """X3's walk-through sample: first 50 non-NULL texts by doc_id."""
+    return pii.pii_findings(table(spark, sf_dir, "documents"), ["text"], sample_n=50,
+                            order_by=["doc_id"])

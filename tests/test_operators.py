@@ -339,3 +339,26 @@ def test_flip_exact_share(spark):
     df = spark.createDataFrame([(i, 0) for i in range(1000)], "id int, y int")
     out = reweight.flip_labels(df, "y", ["id"], share=0.05, seed=42)
     assert out.agg(F.sum("y")).first()[0] == 50
+
+
+def test_drop_null_rows_and_means(spark):
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (None,), (3.0,)], "x double")
+    assert profile.drop_null_rows(df, "x").count() == 2
+    assert profile.column_means(df).first().mean == 2.0
+
+
+def test_low_importance_preview(spark):
+    imps = spark.createDataFrame([(f"f{i}", 0.001 * i) for i in range(8)] + [("big", 0.9)],
+                                 "feature string, importance double")
+    rows = minimise.low_importance_preview(imps).collect()
+    head = [r.feature for r in rows if r.feature is not None]
+    assert head == ["f7", "f6", "f5", "f4", "f3"]
+    assert [r.n_more for r in rows if r.feature is None] == [3]
+    assert [r.feature for r in minimise.top_importances(imps, 2).collect()] == ["big", "f7"]
+
+
+def test_first_n_per_group(spark):
+    rows = [(c, i, f"v{i}") for c in ("a", "b") for i in range(50)]
+    df = spark.createDataFrame(rows, "column string, k int, value string")
+    got = ordering.first_n(df, ["k"], 7).collect()
+    assert sorted((r.column, r.k) for r in got) == [(c, i) for c in ("a", "b") for i in range(7)]
