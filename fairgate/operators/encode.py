@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import q, to_long
 from ..spec import is_numeric, is_temporal, is_text
-from .ordering import ordinal_codes
+from .ordering import ordinal_codes, shared
 
 
 def binarise(col: str, positive) -> Column:
@@ -73,7 +73,7 @@ def label_encode(df: DataFrame, columns: Sequence[str] | None = None,
         f.name for f in df.schema.fields if is_text(f.dataType)]
     if not cols:
         return df
-    codes = label_codes(df, cols)
+    codes = shared(label_codes(df, cols))      # read once per column below
     out = df
     for c in cols:
         tbl = (codes.where(F.col("column") == c)

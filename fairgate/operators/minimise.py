@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from ..functions.columns import q
 from ..spec import DatasetSpec, is_numeric, is_temporal, is_text, normalise
 from .encode import as_label_text, as_number, label_codes
+from .ordering import shared
 
 # Rationale and regulation texts of the feature classes and
 # the exclusion log.
@@ -97,7 +98,7 @@ def feature_importance(df: DataFrame, target: str, params: ForestParams | None =
     texts = [c for c in feats if is_text(df.schema[c].dataType)]
     base = df.where(q(target).isNotNull())
     # one ranked pass encodes the text features and the target together
-    codes = label_codes(base, texts + [target])
+    codes = shared(label_codes(base, texts + [target]))
     enc = base
     for c in texts + [target]:
         tbl = (codes.where(F.col("column") == c)

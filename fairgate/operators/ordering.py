@@ -23,10 +23,6 @@ from ..session import materialize
 BUCKET = "_fg_bucket"
 
 
-def default_buckets(df: DataFrame) -> int:
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-
 def running_sums(df: DataFrame, order: Sequence[str] | str,
                  weights: Sequence[str], by: Sequence[str] = (),
                  buckets: int | None = None, prefix: str = "cum_",
@@ -41,10 +37,12 @@ def running_sums(df: DataFrame, order: Sequence[str] | str,
     """
     order = [order] if isinstance(order, str) else list(order)
     by = list(by)
-    nb = buckets or default_buckets(df)
-    ranged = materialize(
-        df.repartitionByRange(nb, *[F.col(c).asc_nulls_first() for c in by + order])
-        .withColumn(BUCKET, F.spark_partition_id()))
+    keys = [F.col(c).asc_nulls_first() for c in by + order]
+    # Without an explicit count the range shuffle is sized by AQE: adjacent
+    # ranges are coalesced (still contiguous, so partition ids stay in
+    # order), giving few buckets for small inputs and many for large ones.
+    ranged = df.repartitionByRange(buckets, *keys) if buckets else df.repartitionByRange(*keys)
+    ranged = materialize(ranged.withColumn(BUCKET, F.spark_partition_id()))
 
     totals = ranged.groupBy(BUCKET, *by).agg(
         *[F.sum(w).alias(f"_t_{w}") for w in weights])

@@ -362,3 +362,21 @@ def test_first_n_per_group(spark):
     df = spark.createDataFrame(rows, "column string, k int, value string")
     got = ordering.first_n(df, ["k"], 7).collect()
     assert sorted((r.column, r.k) for r in got) == [(c, i) for c in ("a", "b") for i in range(7)]
+
+
+def test_streaming_pii_counts_match_batch(spark, tmp_path):
+    from fairgate.streaming import redact as sr
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    stream = (spark.readStream.schema(docs.schema).option("pathGlobFilter", "documents.parquet")
+              .parquet(sf))
+    q = (sr.pii_counts_stream(stream, ["text"]).writeStream.outputMode("complete")
+         .format("memory").queryName("pii_stream_counts")
+         .option("checkpointLocation", str(tmp_path / "ckpt")).start())
+    q.processAllAvailable()
+    q.stop()
+    got = {(r.pii_type): (r.n_detections, r.n_rows)
+           for r in spark.table("pii_stream_counts").where("n_detections > 0").collect()}
+    want = {r.pii_type: (r.n_detections, r.n_rows)
+            for r in pii.pii_findings(docs, ["text"]).collect()}
+    assert got == want and got
