@@ -42,11 +42,14 @@ def q(name: str) -> Column:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """For CPU-heavy row work (regex over long texts): when the scan yields
-    fewer partitions than the cluster has cores, round-robin the rows over
-    all cores first.  A no-op on large inputs, which already have many
-    splits."""
+    """For CPU-heavy row work (regex over long texts): when the input comes
+    from fewer files than the cluster has cores (a small table whose scan
+    yields one or two splits), round-robin the rows over all cores first.
+    Decided from file metadata only (nothing is executed), and a no-op for
+    lake-sized inputs, which come from many files and already have many
+    splits; the extra shuffle is bounded by a few files' worth of data."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
+    n_files = len(df.inputFiles())
+    if 0 < n_files < cores:
         return df.repartition(cores)
     return df

@@ -139,11 +139,6 @@ def demographic_parity(summary: DataFrame) -> DataFrame:
                     F.col("ratio").alias("dp_ratio")))
 
 
-def _demographic_parity_any(df, y_true, y_pred, attributes):
-    return demographic_parity(metric_summary(df, y_true, y_pred, attributes,
-                                             ["selection_rate"]))
-
-
 def violations(summary: DataFrame, thresholds: Thresholds | None = None) -> DataFrame:
     """Attribute, metric, violation text.  Parity ratio below the
     threshold (a NULL ratio is no violation); |difference| above the
