@@ -123,14 +123,30 @@ def exact_quantiles(long: DataFrame, probs: Sequence[float], by: str = "column",
         (F.col("_vlo") + F.col("_frac") * (F.col("_vhi") - F.col("_vlo"))).alias("quantile"))
 
 
+def rank_cut(keys: DataFrame, order: Sequence[str], n: int, by: Sequence[str] = (),
+             buckets: int | None = None) -> DataFrame:
+    """The ``n``-th smallest ``order`` key (as a struct ``_cut``) per ``by``
+    group — or the largest when a group has fewer rows.  Only the keys are
+    ranked (no payload is shuffled or checkpointed); the result has one row
+    per group."""
+    order, by = list(order), list(by)
+    ranked = running_sums(keys.select(*by, *order).withColumn("_one", F.lit(1)), order,
+                          ["_one"], by, buckets)
+    return (ranked.where(F.col("cum__one") <= n)
+            .groupBy(*by).agg(F.max(F.struct(*order)).alias("_cut")))
+
+
 def first_n(long: DataFrame, order: Sequence[str], n: int, by: str = "column",
             buckets: int | None = None) -> DataFrame:
     """The first ``n`` rows of each ``by`` group in the order of
-    ``order`` (which must identify a row), via the bucketed global order —
-    no window holding a whole group in one task."""
-    ranked = running_sums(long.withColumn("_one", F.lit(1)), list(order), ["_one"], [by],
-                          buckets)
-    return ranked.where(F.col("cum__one") <= n).drop("_one", "cum__one", "tot__one")
+    ``order`` (which must identify a row): the keys are ranked with the
+    bucketed global order, the per-group cut-off key (one row per group, a
+    bounded broadcast) filters the rows — no window holding a whole group in
+    one task, and the payload is never materialised."""
+    order = list(order)
+    cut = rank_cut(long, order, n, [by], buckets)
+    return (long.join(F.broadcast(cut), by)
+            .where(F.struct(*order) <= F.col("_cut")).drop("_cut"))
 
 
 def nan_to_null(c: Column | str, is_float: bool) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import q
-from .ordering import exact_quantiles, running_sums
+from .ordering import exact_quantiles, rank_cut
 
 # Bias factors of the reference's credit and hiring patterns.
 CREDIT_GENDER_FACTOR = 1.2      # favoured group multiplied by this
@@ -99,30 +99,44 @@ def hash_rank_key(key: Sequence[str], seed: int) -> Column:
     return F.md5(F.concat_ws(":", *parts))
 
 
-def flip_labels(df: DataFrame, label: str, key: Sequence[str], share: float = 0.05,
-                seed: int = 42, out: str | None = None) -> DataFrame:
-    """Flip exactly floor(share * n) labels (1 - label) — the rows
-    first in md5(key, seed) order; ``key`` must identify a row."""
+def flip_flags(df: DataFrame, key: Sequence[str], share: float = 0.05,
+               seed: int = 42, out: str = "_flip") -> DataFrame:
+    """J11 selection: ``out`` is true for exactly floor(share * n) rows — the
+    first in md5(key, seed) order (``key`` must identify a row).  Only the
+    (hash, key) pairs are ranked; the cut-off is one value fetched once."""
     n = df.count()
     k = int(share * n)
-    ranked = running_sums(df.withColumn("_h", hash_rank_key(key, seed)).withColumn("_one", F.lit(1)),
-                          ["_h", *key], ["_one"])
-    flip = (F.col("cum__one") - 1) < F.lit(k)
+    hashed = df.withColumn("_h", hash_rank_key(key, seed))
+    if k <= 0:
+        return hashed.withColumn(out, F.lit(False)).drop("_h")
+    cut = rank_cut(hashed, ["_h", *key], k).first()["_cut"]
+    bound = F.struct(*[F.lit(v).cast(hashed.schema[c].dataType).alias(c)
+                       for c, v in zip(["_h", *key], cut)])
+    return hashed.withColumn(out, F.struct("_h", *key) <= bound).drop("_h")
+
+
+def flip_labels(df: DataFrame, label: str, key: Sequence[str], share: float = 0.05,
+                seed: int = 42, out: str | None = None) -> DataFrame:
+    """Flip exactly floor(share * n) labels (1 - label) — the rows first
+    in md5(key, seed) order."""
+    flagged = flip_flags(df, key, share, seed)
     target = out or label
-    return ranked.withColumn(target, F.when(flip, 1 - q(label)).otherwise(q(label))) \
-        .drop("_h", "_one", "cum__one")
+    return flagged.withColumn(target, F.when(F.col("_flip"), 1 - q(label))
+                              .otherwise(q(label))).drop("_flip")
 
 
 def planted_outcome(df: DataFrame, base_score: Column, rules, threshold_q: float,
                     key: Sequence[str], flip_share: float = 0.0, seed: int = 42,
-                    out: str = "approved") -> DataFrame:
+                    out: str = "approved", flags: DataFrame | None = None) -> DataFrame:
     """J9 + A6 + J11: biased score, 0/1 outcome above a quantile, optional
-    exact-share noise flips."""
-    scored = df.withColumn("_score", base_score * group_factor(rules))
+    exact-share noise flips (``flags``: a frame already carrying ``_flip``)."""
+    src = flags if flags is not None else (
+        flip_flags(df, key, flip_share, seed) if flip_share > 0
+        else df.withColumn("_flip", F.lit(False)))
+    scored = src.withColumn("_score", base_score * group_factor(rules))
     labelled = above_quantile(scored, "_score", threshold_q, out)
-    if flip_share > 0:
-        labelled = flip_labels(labelled, out, key, flip_share, seed)
-    return labelled
+    return (labelled.withColumn(out, F.when(F.col("_flip"), 1 - F.col(out)).otherwise(F.col(out)))
+            .drop("_flip", "_score"))
 
 
 def bias_comparison(df: DataFrame, base_score: Column, patterns: dict[str, list],
@@ -130,11 +144,13 @@ def bias_comparison(df: DataFrame, base_score: Column, patterns: dict[str, list]
                     flip_share: float = 0.05, seed: int = 42,
                     out: str = "approved") -> DataFrame:
     """The same table under several bias patterns (same seed, so the
-    same rows are flipped), stacked with a ``pattern`` column, then the
-    outcome rate per pattern and group (A4)."""
+    same rows are flipped — ranked once and shared), stacked with a
+    ``pattern`` column, then the outcome rate per pattern and group (A4)."""
+    flags = (flip_flags(df, key, flip_share, seed) if flip_share > 0
+             else df.withColumn("_flip", F.lit(False)))
     frames = []
     for name, rules in patterns.items():
-        labelled = planted_outcome(df, base_score, rules, threshold_q, key, flip_share, seed, out)
+        labelled = planted_outcome(df, base_score, rules, threshold_q, key, out=out, flags=flags)
         frames.append(labelled.select(F.lit(name).alias("pattern"), q(group).alias("group"), out))
     stacked = frames[0]
     for f in frames[1:]:
