@@ -60,7 +60,7 @@ def correlation_pairs(df: DataFrame, protected: Sequence[str],
 def proxy_variables(df: DataFrame, spec: DatasetSpec, match_mode: str = "column",
                     threshold: float | None = None) -> DataFrame:
     """T4 findings: protected_attribute, proxy_variable, correlation (|r|)
-    above the threshold, strongest first.  Each matched column is tested
+    above the threshold, strongest first (L4, names break ties).  Each matched column is tested
     once even when several attributes match it."""
     th = threshold if threshold is not None else spec.thresholds.proxy_abs_r
     protected = [c for _, c in matches_by_attribute(df.columns, spec.protected_attributes,

@@ -65,7 +65,8 @@ def _null_count(f: T.StructField):
 
 def missing_by_column(df: DataFrame, only_missing: bool = True) -> DataFrame:
     """Column, missing_count, missing_percent (half-even, 2 places),
-    columns with missing values only, most-missing first.  One aggregate."""
+    columns with missing values only, most-missing first (L3).  One
+    aggregate."""
     fields = df.schema.fields
     agg = df.agg(F.count(F.lit(1)).alias("_rows"),
                  *[_null_count(f).alias(f"_m{i}") for i, f in enumerate(fields)])

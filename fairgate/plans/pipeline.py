@@ -19,6 +19,7 @@ from ..operators import minimise, pii, representation
 from ..spec import DatasetSpec
 from .audit import AuditResult, run_audit
 from .eda import EdaFindings, finding_counts, run_bias_eda
+from .minimisation import run_minimisation
 from .verdict import count_signal, verdict
 
 
@@ -65,11 +66,9 @@ def run_governance(df: DataFrame, spec: DatasetSpec, bias_on: str = "raw",
     if bias_on not in ("raw", "minimised"):
         raise ValueError("bias_on must be 'raw' or 'minimised'")
     pii_f = pii.pii_findings(df)
-    classes = minimise.classify_features(df, spec)
-    imps = (minimise.feature_importance(df, spec.target, forest)
-            if importance and spec.target in df.columns else None)
-    minimal, log = minimise.create_minimal_dataset(df, classes, spec, imps)
-    report = minimise.minimisation_report(classes, imps, spec)
+    mini = run_minimisation(df, spec, forest, importance)
+    classes, imps, minimal, log, report = (mini.feature_class, mini.importances, mini.minimal,
+                                           mini.exclusion_log, mini.report)
     analysed = minimal if bias_on == "minimised" else df
     eda = run_bias_eda(analysed, spec)
     counts = finding_counts(eda)
