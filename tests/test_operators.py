@@ -380,3 +380,26 @@ def test_streaming_pii_counts_match_batch(spark, tmp_path):
     want = {r.pii_type: (r.n_detections, r.n_rows)
             for r in pii.pii_findings(docs, ["text"]).collect()}
     assert got == want and got
+
+
+def test_empty_inputs_for_ranked_operators(spark):
+    empty = spark.createDataFrame([], "k int, x double, s string")
+    assert profile.quartiles(empty, ["x"]).count() == 0
+    assert association.ks_drift(empty, empty, ["x"]).count() == 0
+    assert encode.label_codes(empty, ["s"]).count() == 0
+    assert reweight.flip_labels(empty.withColumn("y", F.lit(0)), "y", ["k"]).count() == 0
+    long = spark.createDataFrame([], "column string, k int, value string")
+    assert ordering.first_n(long, ["k"], 5).count() == 0
+
+
+def test_hot_value_holding_a_third_of_rows(spark):
+    # one group holds a third of all rows; results stay exact
+    rows = [("hot", float(i % 7)) for i in range(300)] + [(f"g{i % 40}", float(i)) for i in range(600)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    rep = {r.group: r for r in representation.representation(df, ["g"]).collect()}
+    assert rep["hot"]["count"] == 300 and rep["hot"].share == pytest.approx(1 / 3)
+    q = profile.quartiles(df, ["x"]).first()
+    xs = np.array([x for _, x in rows])
+    assert (q.q1, q.q3) == (pytest.approx(np.percentile(xs, 25)), pytest.approx(np.percentile(xs, 75)))
+    codes = {r.value: r.code for r in encode.label_codes(df, ["g"]).collect()}
+    assert len(codes) == 41 and sorted(codes.values()) == list(range(41))
