@@ -22,6 +22,7 @@ class AuditResult:
     expectation_summary: DataFrame
     drift: DataFrame | None      # None = SKIPPED
     status: DataFrame            # compliance_status
+    drift_status: str | DataFrame = "SKIPPED"   # or a one-row (n_drifted, status)
 
 
 def audit_status(schema: DataFrame, rollup: DataFrame) -> DataFrame:
@@ -47,4 +48,4 @@ def run_audit(df: DataFrame, spec: DatasetSpec, reference: DataFrame | None = No
     exps = expect.expectations(df, spec, expected_columns=df.columns)
     drift = association.ks_drift(df, reference, spec=spec) if reference is not None else None
     return AuditResult(schema, quality, rollup, exps, expect.expectation_summary(exps),
-                       drift, audit_status(schema, rollup))
+                       drift, audit_status(schema, rollup), association.drift_status(drift))

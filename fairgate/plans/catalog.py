@@ -1261,3 +1261,23 @@ def q_pii_findings_documents_first50(spark, sf_dir):
     """X3's walk-through sample: first 50 non-NULL texts by doc_id."""
     return pii.pii_findings(table(spark, sf_dir, "documents"), ["text"], sample_n=50,
                             order_by=["doc_id"])
+
+
+@register("low_importance_orders")
+def q_low_importance_orders(spark, sf_dir):
+    """T7 where the forest finds something: ``o_orderstatus`` decides
+    ``is_filled``, so most other features fall below 0.01 (rows-only)."""
+    imps = mini.feature_importance(governed_orders(spark, sf_dir), "is_filled", mini.ForestParams())
+    return mini.low_importance(imps, GOV_SPEC)
+
+
+@register("drift_status_lineitem_returnflag", f"""
+SELECT COUNT(*) FILTER (WHERE drift) AS n_drifted,
+       CASE WHEN COUNT(*) FILTER (WHERE drift) > 0 THEN 'DRIFT_DETECTED' ELSE 'NO_DRIFT' END AS status
+FROM ({ORACLE["drift_lineitem_returnflag"]})
+""")
+def q_drift_status_lineitem_returnflag(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    cur = li.where(F.col("l_returnflag") == "A").select(*LINE_NUM)
+    ref = li.where(F.col("l_returnflag") == "R").select(*LINE_NUM)
+    return assoc.drift_status(assoc.ks_drift(cur, ref))
