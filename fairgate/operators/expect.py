@@ -75,10 +75,11 @@ def expectation_summary(results: DataFrame) -> DataFrame:
 
 
 def schema_validation(df: DataFrame, sample_n: int | None = None,
-                      order_by: Sequence[str] = ()) -> DataFrame:
+                      order_by: Sequence[str] = (), nat: DataFrame | None = None) -> DataFrame:
     """Status WARNING when any text column holds only numbers (F9),
-    else PASS; ``issues`` lists '<col>: numeric data stored as string'."""
-    nat = numeric_as_text(df, sample_n=sample_n, order_by=order_by)
+    else PASS; ``issues`` lists '<col>: numeric data stored as string'.
+    ``nat`` may pass a ready F9 table (the audit computes it once)."""
+    nat = nat if nat is not None else numeric_as_text(df, sample_n=sample_n, order_by=order_by)
     issues = nat.where(F.col("numeric_as_text")).select(
         F.format_string("%s: numeric data stored as string", F.col("column")).alias("issue"))
     return issues.agg(F.array_sort(F.collect_list("issue")).alias("issues")).select(

@@ -186,7 +186,8 @@ def numeric_as_text(df: DataFrame, columns: Sequence[str] | None = None,
         .alias("numeric_as_text"))
 
 
-def quality_checks(df: DataFrame, spec: DatasetSpec | None = None) -> DataFrame:
+def quality_checks(df: DataFrame, spec: DatasetSpec | None = None,
+                   nat: DataFrame | None = None) -> DataFrame:
     """A9 detail rows: check, passed (NULL = neither), value, warning.
 
     duplicates: passed iff none; missing: passed iff < 30% (else a warning,
@@ -209,7 +210,7 @@ def quality_checks(df: DataFrame, spec: DatasetSpec | None = None) -> DataFrame:
         F.when(F.col("missing_pct") >= th.missing_warn_pct,
                F.format_string("High missing data: %.2f%%", F.col("missing_pct")))
         .alias("warning"))
-    nat = numeric_as_text(df)
+    nat = nat if nat is not None else numeric_as_text(df)
     types_summary = nat.agg(F.count_if(F.col("numeric_as_text")).alias("_bad")).select(
         F.lit("types").alias("check"), (F.col("_bad") == 0).alias("passed"),
         F.col("_bad").cast("double").alias("value"), F.lit(None).cast("string").alias("warning"))

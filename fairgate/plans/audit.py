@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import association, expect, profile
+from ..operators.ordering import shared
 from ..spec import DatasetSpec
 
 
@@ -42,8 +43,11 @@ def audit_status(schema: DataFrame, rollup: DataFrame) -> DataFrame:
 
 
 def run_audit(df: DataFrame, spec: DatasetSpec, reference: DataFrame | None = None) -> AuditResult:
-    schema = expect.schema_validation(df)
-    quality = profile.quality_checks(df, spec)
+    # the numeric-as-text test feeds both the schema status and the type
+    # check: one scan, a table of one row per text column
+    nat = shared(profile.numeric_as_text(df))
+    schema = expect.schema_validation(df, nat=nat)
+    quality = profile.quality_checks(df, spec, nat=nat)
     rollup = profile.quality_rollup(quality)
     exps = expect.expectations(df, spec, expected_columns=df.columns)
     drift = association.ks_drift(df, reference, spec=spec) if reference is not None else None
