@@ -1069,8 +1069,6 @@ GOV_DISP_PAIRS = _union_sql(
               "FROM (" + GOV_SQL + ") WHERE {c} IS NOT NULL AND is_filled IS NOT NULL")
 GOV_GROUPS = _union_sql(GOV_PROT, "SELECT '{c}' AS \"column\", COUNT(DISTINCT {c}) AS k FROM (" + GOV_SQL + ")")
 GOV_DUPS = f"(SELECT COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM ({GOV_SQL}))) FROM ({GOV_SQL}))"
-GOV_MISSING = (f"(SELECT 100.0 * ({' + '.join(f'(COUNT(*) - COUNT({c}))' for c in GOV_COLS)}) "
-               f"/ (COUNT(*) * {len(GOV_COLS)}) FROM ({GOV_SQL}))")
 GOV_TYPES_BAD = ("(SELECT COUNT(*) FROM (" + _union_sql(
     GOV_TEXT, "SELECT '{c}' AS k, COUNT({c}) AS nv, COUNT(*) FILTER (WHERE {c} IS NOT NULL AND "
               "regexp_matches({c}, '" + NUMERIC_TEXT_SQL + "')) AS nn FROM (" + GOV_SQL + ")")
@@ -1098,8 +1096,8 @@ VERDICT_SQL = f"""
 WITH sig AS (
   SELECT 'excluded_count' AS "check", COUNT(*) AS n FROM ({_class_sql(GOV_COLS, GOV_SPEC)}) WHERE class = 'prohibited'
   UNION ALL SELECT 'prohibited_features_count', COUNT(*) FROM ({_class_sql(GOV_COLS, GOV_SPEC)}) WHERE class = 'prohibited'
-  UNION ALL SELECT 'audit_compliant', CASE WHEN {GOV_DUPS} = 0 AND {GOV_TYPES_BAD} = 0 AND {GOV_MISSING} < 30 THEN 1
-                                          WHEN {GOV_DUPS} = 0 AND {GOV_TYPES_BAD} = 0 THEN 1 ELSE 0 END
+  -- audit: no duplicates and no numeric-as-text column (high missing only warns)
+  UNION ALL SELECT 'audit_compliant', CASE WHEN {GOV_DUPS} = 0 AND {GOV_TYPES_BAD} = 0 THEN 1 ELSE 0 END
   UNION ALL SELECT "check", n FROM ({GOV_EDA_COUNTS_SQL})),
 v AS (SELECT
   CAST(COALESCE(SUM(n) FILTER (WHERE "check" = 'excluded_count'), 0) AS BIGINT) AS excluded_count,
