@@ -147,16 +147,48 @@ def outliers(df: DataFrame, columns: Sequence[str] | None = None,
                           "n_rows", pct.alias("outlier_pct"), warn.alias("warning"))
 
 
+def _hashable(f: T.StructField):
+    """Column as hashed for duplicate search: float -0.0 folded into 0.0 so
+    that values equal under grouping hash equally (NaN hashes canonically)."""
+    c = q(f.name)
+    if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+        return F.when(c == 0, F.lit(0.0).cast(f.dataType)).otherwise(c)
+    return c
+
+
 def duplicate_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Rows equal to an earlier row on all (or the given) columns, NULLs
-    equal.  One groupBy on the row; partial aggregation collapses a hot
-    duplicate before the shuffle.  Columns: n_rows, n_distinct, n_duplicates."""
-    cols = [q(c) for c in (columns or df.columns)]
-    groups = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
-    return groups.agg(
-        F.coalesce(F.sum("_n"), F.lit(0)).alias("n_rows"),
-        F.count(F.lit(1)).alias("n_distinct"),
-        F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("n_duplicates"))
+    equal.  Columns: n_rows, n_distinct, n_duplicates.
+
+    Exact, in two phases so that full rows are shuffled only when they may
+    be copies: (1) count rows per 64-bit row hash — a row whose hash is
+    unique cannot be a duplicate; (2) only rows whose hash repeats (true
+    copies plus rare collisions) are semi-joined back and grouped on their
+    full content.  The candidate hash set is usually small, so AQE
+    broadcasts it; partial aggregation collapses a hot group of copies
+    before any shuffle."""
+    fields = [df.schema[c] for c in (columns or df.columns)]
+    cols = [q(f.name) for f in fields]
+    hashed = df.select(*cols, F.xxhash64(*[_hashable(f) for f in fields]).alias("_h"))
+    per_hash = hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("_n"))
+    stats = per_hash.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n_rows"),
+                         F.count_if(F.col("_n") == 1).alias("_singles"))
+    repeated = per_hash.where(F.col("_n") > 1).select("_h")
+    groups = (hashed.join(repeated, "_h", "left_semi")
+              .groupBy("_h", *cols).agg(F.count(F.lit(1)).alias("_n")))
+    cand = groups.agg(F.count(F.lit(1)).alias("_groups"),
+                      F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("n_duplicates"))
+    # two one-row aggregates side by side: a union + one aggregate, no cross join
+    parts = (stats.select(F.lit("s").alias("_k"), "n_rows", "_singles",
+                          F.lit(None).cast("long").alias("_groups"),
+                          F.lit(None).cast("long").alias("n_duplicates"))
+             .unionByName(cand.select(F.lit("c").alias("_k"), F.lit(None).cast("long").alias("n_rows"),
+                                      F.lit(None).cast("long").alias("_singles"), "_groups",
+                                      "n_duplicates")))
+    row = parts.agg(*[F.max(c).alias(c) for c in ["n_rows", "_singles", "_groups", "n_duplicates"]])
+    return row.select(F.col("n_rows").cast("long").alias("n_rows"),
+                      (F.col("_singles") + F.col("_groups")).cast("long").alias("n_distinct"),
+                      F.col("n_duplicates").cast("long").alias("n_duplicates"))
 
 
 def numeric_as_text(df: DataFrame, columns: Sequence[str] | None = None,

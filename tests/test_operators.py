@@ -403,3 +403,10 @@ def test_hot_value_holding_a_third_of_rows(spark):
     assert (q.q1, q.q3) == (pytest.approx(np.percentile(xs, 25)), pytest.approx(np.percentile(xs, 75)))
     codes = {r.value: r.code for r in encode.label_codes(df, ["g"]).collect()}
     assert len(codes) == 41 and sorted(codes.values()) == list(range(41))
+
+
+def test_duplicates_fold_signed_zero_and_nan(spark):
+    df = spark.createDataFrame([(0.0, "a"), (-0.0, "a"), (float("nan"), None), (float("nan"), None),
+                                (1.0, "b")], "x double, s string")
+    r = profile.duplicate_rows(df).first()
+    assert (r.n_rows, r.n_distinct, r.n_duplicates) == (5, 3, 2)

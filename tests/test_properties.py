@@ -73,3 +73,15 @@ def test_ks_equals_brute_force(spark, a, b):
     want = max(abs(np.searchsorted(sa, v, "right") / len(a) - np.searchsorted(sb, v, "right") / len(b))
                for v in set(a) | set(b))
     assert got == pytest.approx(want, abs=1e-12)
+
+
+@settings(**SETTINGS)
+@given(rows=st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 3)),
+                               st.one_of(st.none(), st.sampled_from(["a", "b"]))),
+                     min_size=0, max_size=60))
+def test_duplicates_equal_brute_force(spark, rows):
+    from fairgate.operators import profile
+    df = spark.createDataFrame(rows, "x int, s string")
+    r = profile.duplicate_rows(df).first()
+    assert (r.n_rows, r.n_distinct, r.n_duplicates) == (len(rows), len(set(rows)),
+                                                        len(rows) - len(set(rows)))
