@@ -22,8 +22,8 @@ def to_long(df: DataFrame, columns: Sequence[str], value_type: str = "string",
             + [T.StructField(name, T.StringType()),
                T.StructField(value, T.DataType.fromDDL(value_type))])
         return df.sparkSession.createDataFrame([], schema)
-    cast = df.select(*ids, *[F.col(f"`{c}`").cast(value_type).alias(c) for c in columns])
-    return cast.unpivot(list(ids), columns, name, value)
+    return df.select(*[q(i) for i in ids],
+                     stack([(F.lit(c), q(c).cast(value_type)) for c in columns], [name, value]))
 
 
 def ratio(num: Column, den: Column) -> Column:
@@ -37,8 +37,16 @@ def ratio_or_zero(num: Column, den: Column) -> Column:
 
 
 def q(name: str) -> Column:
-    """Column reference safe for names with '-', ' ' or '.'."""
-    return F.col(f"`{name}`")
+    """Column reference safe for any name ('-', ' ', '.', backticks)."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def stack(rows, names) -> Column:
+    """``stack`` generator from Column tuples (names are literals, never
+    spliced into SQL text): one output row per tuple, aliased ``names``."""
+    rows = list(rows)
+    flat = [c for row in rows for c in row]
+    return F.stack(F.lit(len(rows)), *flat).alias(*names)
 
 
 def spread(df: DataFrame) -> DataFrame:

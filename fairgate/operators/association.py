@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import ratio, to_long
+from ..functions.columns import q, ratio, stack, to_long
 from ..functions.pvalues import kolmogorov_p_value
 from ..spec import DatasetSpec, is_numeric, is_temporal, is_text, matches_by_attribute
 from .encode import as_number, label_encode
@@ -47,14 +47,14 @@ def correlation_pairs(df: DataFrame, protected: Sequence[str],
     pairs = [(p, o) for p in protected for o in cands if o != p]
     aggs = []
     for i, (p, o) in enumerate(pairs):
-        x, y = F.col(f"`{p}`"), F.col(f"`{o}`")
+        x, y = q(p), q(o)
         xm = F.when(y.isNotNull(), x)
         ym = F.when(x.isNotNull(), y)
         aggs.append(F.try_divide(F.covar_pop(xm, ym),
                                  F.stddev_pop(xm) * F.stddev_pop(ym)).alias(f"_r{i}"))
     wide = nums.agg(*aggs)
-    stack = ", ".join(f"'{p}', '{o}', _r{i}" for i, (p, o) in enumerate(pairs))
-    return wide.selectExpr(f"stack({len(pairs)}, {stack}) as (protected_attribute, proxy_variable, r)")
+    return wide.select(stack([(F.lit(p), F.lit(o), F.col(f"_r{i}")) for i, (p, o) in enumerate(pairs)],
+                             ["protected_attribute", "proxy_variable", "r"]))
 
 
 def proxy_variables(df: DataFrame, spec: DatasetSpec, match_mode: str = "column",

@@ -12,15 +12,11 @@ from typing import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import q
+from ..functions.columns import q, stack
 from ..spec import DatasetSpec, columns_of
 from .profile import numeric_as_text
 
 
-def _s(x: str) -> str:
-    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def expectations(df: DataFrame, spec: DatasetSpec | None = None,
                  target_not_null: bool = True,
                  numeric_not_null: bool = False,
@@ -38,30 +34,33 @@ def expectations(df: DataFrame, spec: DatasetSpec | None = None,
     """
     cols = set(df.columns)
     aggs, rows = [F.count(F.lit(1)).alias("_rows")], []
+    null_str = F.lit(None).cast("string")
     if target_not_null and spec is not None and spec.target in cols:
         aggs.append(F.count_if(q(spec.target).isNull()).alias("_t"))
-        rows.append(("Target not null", spec.target, "_t = 0", "cast(_t as double)"))
+        rows.append(("Target not null", F.lit(spec.target), F.col("_t") == 0, F.col("_t")))
     if numeric_not_null:
         for i, c in enumerate(columns_of(df, "numeric")):
             aggs.append(F.count_if(q(c).isNull()).alias(f"_n{i}"))
-            rows.append(("Column values not null", c, f"_n{i} = 0", f"cast(_n{i} as double)"))
+            rows.append(("Column values not null", F.lit(c), F.col(f"_n{i}") == 0, F.col(f"_n{i}")))
     for i, (c, values) in enumerate((in_set or {}).items()):
         if c not in cols:
             continue
         bad = q(c).isNotNull() & ~q(c).isin(list(values))
         aggs.append(F.count_if(bad).alias(f"_s{i}"))
-        rows.append(("Column values in set", c, f"_s{i} = 0", f"cast(_s{i} as double)"))
+        rows.append(("Column values in set", F.lit(c), F.col(f"_s{i}") == 0, F.col(f"_s{i}")))
     for c in expected_columns or []:
         if c not in cols:
-            rows.append(("Column exists", c, "false", "cast(null as double)"))
+            rows.append(("Column exists", F.lit(c), F.lit(False), F.lit(None)))
     lo, hi = row_count_between
-    cond = " and ".join([f"_rows >= {int(lo)}"] if lo is not None else ["true"]) + \
-        (f" and _rows <= {int(hi)}" if hi is not None else "")
-    rows.append(("Row count valid", None, cond, "cast(_rows as double)"))
-    stack = ", ".join(f"{_s(e)}, {_s(c) if c is not None else 'cast(null as string)'}, {s}, {v}"
-                      for e, c, s, v in rows)
-    return df.agg(*aggs).selectExpr(
-        f"stack({len(rows)}, {stack}) as (expectation, column, success, value)")
+    ok = F.lit(True)
+    if lo is not None:
+        ok = ok & (F.col("_rows") >= int(lo))
+    if hi is not None:
+        ok = ok & (F.col("_rows") <= int(hi))
+    rows.append(("Row count valid", null_str, ok, F.col("_rows")))
+    return df.agg(*aggs).select(stack(
+        [(F.lit(e), c, s, v.cast("double")) for e, c, s, v in rows],
+        ["expectation", "column", "success", "value"]))
 
 
 def expectation_summary(results: DataFrame) -> DataFrame:

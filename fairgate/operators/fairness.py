@@ -14,7 +14,7 @@ from typing import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import q, ratio, ratio_or_zero
+from ..functions.columns import q, ratio, ratio_or_zero, stack
 from ..spec import Thresholds
 from .ordering import shared
 
@@ -69,10 +69,10 @@ def confusion_counts(df: DataFrame, y_true: str, y_pred: str,
                      attributes: Sequence[str], positive=1) -> DataFrame:
     """(attribute, group, n, correct, tp, fp, fn, pred_pos); rows with a NULL
     label, prediction or group are left out."""
-    stack = ", ".join(f"'{a}', cast(`{a}` as string)" for a in attributes)
     long = (df.where(q(y_true).isNotNull() & q(y_pred).isNotNull())
-            .selectExpr(f"stack({len(attributes)}, {stack}) as (attribute, group)",
-                        f"`{y_true}` as _t", f"`{y_pred}` as _p")
+            .select(stack([(F.lit(a), q(a).cast("string")) for a in attributes],
+                          ["attribute", "group"]),
+                    q(y_true).alias("_t"), q(y_pred).alias("_p"))
             .where(F.col("group").isNotNull()))
     t_pos, p_pos = F.col("_t") == positive, F.col("_p") == positive
     return long.groupBy("attribute", "group").agg(

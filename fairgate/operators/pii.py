@@ -16,7 +16,7 @@ from typing import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import q, spread, to_long
+from ..functions.columns import q, spread, stack, to_long
 from ..functions.text import PII_TYPES, pii_matches, redact_step
 from ..spec import columns_of, is_text
 from .ordering import first_n
@@ -55,9 +55,9 @@ def pii_findings(df: DataFrame, columns: Sequence[str] | None = None,
                  F.count_if(F.size(m) > 0).alias(f"_r{i}"),
                  F.min(F.array_min(m)).alias(f"_e{i}")]
     per_col = found.groupBy("column").agg(*aggs)
-    stack = ", ".join(f"'{t}', _n{i}, _r{i}, _e{i}" for i, t in enumerate(names))
-    long_out = per_col.selectExpr(
-        "column", f"stack({len(names)}, {stack}) as (pii_type, n_detections, n_rows, _ex)")
+    long_out = per_col.select("column", stack(
+        [(F.lit(t), F.col(f"_n{i}"), F.col(f"_r{i}"), F.col(f"_e{i}")) for i, t in enumerate(names)],
+        ["pii_type", "n_detections", "n_rows", "_ex"]))
     return (long_out.where(F.col("n_detections") > 0)
             .select("column", "pii_type", F.col("n_detections").cast("long").alias("n_detections"),
                     F.col("n_rows").cast("long").alias("n_rows"),

@@ -14,26 +14,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import q, ratio, to_long
+from ..functions.columns import q, ratio, stack, to_long
 from ..functions.text import NUMERIC_TEXT_PATTERN
 from ..spec import DatasetSpec, Thresholds, columns_of, is_numeric, is_text
 from .ordering import count_values, exact_quantiles, first_n, shared
 
 
-def _sql_str(s: str) -> str:
-    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def overview(df: DataFrame) -> DataFrame:
     """One row per column: column, position, data_type, n_rows,
     n_columns (the row count is one aggregate, fanned out by ``stack``)."""
     fields = df.schema.fields
-    stack = ", ".join(f"{_sql_str(f.name)}, {i}, {_sql_str(f.dataType.simpleString())}"
-                      for i, f in enumerate(fields))
     counted = df.agg(F.count(F.lit(1)).alias("n_rows"))
-    return counted.selectExpr(
-        f"stack({len(fields)}, {stack}) as (column, position, data_type)",
-        "n_rows", f"{len(fields)} as n_columns")
+    return counted.select(
+        stack([(F.lit(f.name), F.lit(i), F.lit(f.dataType.simpleString()))
+               for i, f in enumerate(fields)], ["column", "position", "data_type"]),
+        "n_rows", F.lit(len(fields)).alias("n_columns"))
 
 
 def preview(df: DataFrame, order_by: Sequence[str], n: int = 10) -> DataFrame:
@@ -70,8 +65,8 @@ def missing_by_column(df: DataFrame, only_missing: bool = True) -> DataFrame:
     fields = df.schema.fields
     agg = df.agg(F.count(F.lit(1)).alias("_rows"),
                  *[_null_count(f).alias(f"_m{i}") for i, f in enumerate(fields)])
-    stack = ", ".join(f"{_sql_str(f.name)}, _m{i}" for i, f in enumerate(fields))
-    long = agg.selectExpr(f"stack({len(fields)}, {stack}) as (column, missing_count)", "_rows")
+    long = agg.select(stack([(F.lit(f.name), F.col(f"_m{i}")) for i, f in enumerate(fields)],
+                            ["column", "missing_count"]), "_rows")
     out = long.select(
         "column", "missing_count",
         F.bround(ratio(F.col("missing_count"), F.col("_rows")) * 100.0, 2)

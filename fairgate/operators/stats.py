@@ -21,7 +21,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import q, ratio
+from ..functions.columns import q, ratio, stack
 from ..functions.pvalues import chi2_p_value
 from ..spec import DatasetSpec, is_text, matches_by_attribute
 from .ordering import shared
@@ -35,9 +35,8 @@ def pair_counts(df: DataFrame, pairs: Sequence[tuple[str, str, str]]) -> DataFra
     kept here (callers decide) so that distinct counts stay exact."""
     if not pairs:
         raise ValueError("no pairs to count")
-    stack = ", ".join(f"'{name}', cast(`{a}` as string), cast(`{b}` as string)"
-                      for name, a, b in pairs)
-    long = df.selectExpr(f"stack({len(pairs)}, {stack}) as (column, a, b)")
+    long = df.select(stack([(F.lit(name), q(a).cast("string"), q(b).cast("string"))
+                            for name, a, b in pairs], ["column", "a", "b"]))
     return long.groupBy("column", "a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -109,9 +108,9 @@ def missingness_bias(df: DataFrame, target: str, spec: DatasetSpec | None = None
                                     "p_value double", "mechanism string"])
     cols = [c for c in (columns or df.columns) if c != target]
     target_text = is_text(df.schema[target].dataType)
-    stack = ", ".join(f"'{c}', cast(`{c}` is null as int)" for c in cols)
-    long = df.selectExpr(f"stack({len(cols)}, {stack}) as (column, a)",
-                         f"cast(`{target}` as string) as b")
+    long = df.select(stack([(F.lit(c), q(c).isNull().cast("int")) for c in cols],
+                           ["column", "a"]),
+                     q(target).cast("string").alias("b"))
     counts = shared(long.groupBy("column", "a", "b").agg(F.count(F.lit(1)).alias("n")))
     nulls = counts.groupBy("column").agg(
         F.sum(F.when(F.col("a") == 1, F.col("n")).otherwise(0)).alias("_nulls"))

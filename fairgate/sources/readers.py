@@ -41,7 +41,7 @@ def null_na_words(df: DataFrame, na_values: Sequence[str] = PANDAS_NA_VALUES) ->
     words = list(na_values)
     out = []
     for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
+        c = F.col("`" + f.name.replace("`", "``") + "`")
         if isinstance(f.dataType, T.StringType):
             c = F.when(c.isin(words), F.lit(None).cast("string")).otherwise(c)
         out.append(c.alias(f.name))

@@ -410,3 +410,21 @@ def test_duplicates_fold_signed_zero_and_nan(spark):
                                 (1.0, "b")], "x double, s string")
     r = profile.duplicate_rows(df).first()
     assert (r.n_rows, r.n_distinct, r.n_duplicates) == (5, 3, 2)
+
+
+def test_awkward_column_names(spark):
+    names = ["it's", "a`b", "marital-status", "x y", "p.q"]
+    df = spark.createDataFrame([("x", "mail a@b.org", "m", 1, 0), (None, "z", "s", 0, 1)],
+                               ", ".join(f"`{n.replace('`', '``')}` {t}" for n, t in
+                                         zip(names, ["string", "string", "string", "int", "int"])))
+    assert [r.column for r in profile.overview(df).collect()] == names
+    assert [r.column for r in profile.missing_by_column(df).collect()] == ["it's"]
+    assert pii.pii_findings(df).first().column == "a`b"
+    assert {r.column for r in representation.value_counts(df).collect()} == {"it's", "a`b",
+                                                                           "marital-status"}
+    c = stats.pair_counts(df, [("t", "marital-status", "x y")])
+    assert c.count() == 2
+    exp = expect.expectations(df, DatasetSpec(target="p.q"), numeric_not_null=True,
+                              in_set={"x y": [0, 1]}).collect()
+    assert all(r.success for r in exp)
+    assert fairness.group_metrics(df, "x y", "p.q", ["marital-status"]).count() == 2
