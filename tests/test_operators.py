@@ -428,3 +428,21 @@ def test_awkward_column_names(spark):
                               in_set={"x y": [0, 1]}).collect()
     assert all(r.success for r in exp)
     assert fairness.group_metrics(df, "x y", "p.q", ["marital-status"]).count() == 2
+
+
+def test_batch_job_end_to_end(spark, tmp_path):
+    from fairgate.plans import job
+    src = tmp_path / "in"
+    (spark.read.parquet("/root/testdata/sf0.001/customer.parquet")
+     .withColumn("approved", (F.col("c_acctbal") > 4000).cast("int"))
+     .write.option("header", True).csv(str(src)))
+    out = tmp_path / "out"
+    res = job.run(spark, str(src), "approved", "credit_scoring", str(out),
+                  protected=["c_mktsegment"], importance=False)
+    verdict = res.verdict.first()
+    assert verdict.prohibited_features_count == 1 and verdict.excluded_count == 1
+    cleaned = spark.read.option("header", True).csv(str(out / "cleaned"))
+    assert "c_mktsegment" not in cleaned.columns and cleaned.count() == 150
+    assert spark.read.text(str(out / "report" / "verdict")).count() == 1
+    summary = "\n".join(r.value for r in spark.read.text(str(out / "summary")).collect())
+    assert "GOVERNANCE COMPLIANCE SUMMARY" in summary and "Domain: credit_scoring" in summary
