@@ -27,7 +27,8 @@ def pii_findings(df: DataFrame, columns: Sequence[str] | None = None,
                  extra: Mapping[str, Callable[[Column], Column]] | None = None,
                  sample_n: int | None = None, order_by: Sequence[str] = ()) -> DataFrame:
     """Column, pii_type, n_detections, n_rows, example_hash — one row per
-    (column, type) with at least one detection.  Every value is scanned;
+    (column, type) with at least one detection; ``example_hash`` is the
+    60-bit md5 prefix (hex) of one match, never the raw value.  Every value is scanned;
     ``sample_n`` with an explicit ``order_by`` key reproduces the first-n
     sample per column."""
     cols = list(columns) if columns is not None else columns_of(df, "text")
@@ -51,9 +52,13 @@ def pii_findings(df: DataFrame, columns: Sequence[str] | None = None,
     aggs = []
     for i, _ in enumerate(names):
         m = F.col(f"_m{i}")
+        # the example is identified by a number (the smallest 60-bit md5
+        # prefix among the matches): numeric aggregates keep the whole
+        # aggregation hash-based (a string min would sort every text row)
+        ids = F.transform(m, lambda x: F.conv(F.substring(F.md5(x), 1, 15), 16, 10).cast("long"))
         aggs += [F.sum(F.size(m)).alias(f"_n{i}"),
                  F.count_if(F.size(m) > 0).alias(f"_r{i}"),
-                 F.min(F.array_min(m)).alias(f"_e{i}")]
+                 F.min(F.array_min(ids)).alias(f"_e{i}")]
     per_col = found.groupBy("column").agg(*aggs)
     long_out = per_col.select("column", stack(
         [(F.lit(t), F.col(f"_n{i}"), F.col(f"_r{i}"), F.col(f"_e{i}")) for i, t in enumerate(names)],
@@ -61,7 +66,7 @@ def pii_findings(df: DataFrame, columns: Sequence[str] | None = None,
     return (long_out.where(F.col("n_detections") > 0)
             .select("column", "pii_type", F.col("n_detections").cast("long").alias("n_detections"),
                     F.col("n_rows").cast("long").alias("n_rows"),
-                    F.sha2(F.col("_ex"), 256).alias("example_hash")))
+                    F.lpad(F.lower(F.hex(F.col("_ex"))), 15, "0").alias("example_hash")))
 
 
 def pii_columns(findings: DataFrame) -> DataFrame:

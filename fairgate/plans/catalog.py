@@ -385,10 +385,11 @@ def pii_findings_sql(tbl: str, cols) -> str:
     types = [t for t, _, _ in PII_PATTERNS]
     ms = ",\n  ".join(f"{_duck_matches('v', t)} AS m{i}" for i, t in enumerate(types))
     aggs = ",\n  ".join(f"CAST(SUM(len(m{i})) AS BIGINT) AS n{i}, COUNT(*) FILTER (WHERE len(m{i}) > 0) AS r{i}, "
-                        f"MIN(list_min(m{i})) AS e{i}" for i, _ in enumerate(types))
+                        f"MIN(list_min(list_transform(m{i}, lambda x: ('0x' || substr(md5(x), 1, 15))::BIGINT))) AS e{i}"
+                        for i, _ in enumerate(types))
     outs = "\nUNION ALL ".join(
         f"SELECT \"column\", '{t}' AS pii_type, n{i} AS n_detections, r{i} AS n_rows, "
-        f"sha256(e{i}) AS example_hash FROM agg WHERE n{i} > 0" for i, t in enumerate(types))
+        f"lpad(lower(hex(e{i})), 15, '0') AS example_hash FROM agg WHERE n{i} > 0" for i, t in enumerate(types))
     return f"""
 WITH l AS ({_union_sql(cols, "SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS v FROM " + tbl)}),
 m AS (SELECT "column", {ms} FROM l WHERE v IS NOT NULL),
