@@ -31,6 +31,12 @@ def ratio(num: Column, den: Column) -> Column:
     return F.try_divide(num.cast("double"), den.cast("double"))
 
 
+def round2_like_numpy(x: Column) -> Column:
+    """Round to 2 places as pandas/numpy do: rint(x * 100) / 100 on the
+    binary value (half to even), not on the decimal text."""
+    return F.rint(x * 100.0) / 100.0
+
+
 def ratio_or_zero(num: Column, den: Column) -> Column:
     """Zero-division-as-zero (precision/recall/F1 with zero_division=0)."""
     return F.coalesce(ratio(num, den), F.lit(0.0))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import q, ratio, stack, to_long
+from ..functions.columns import q, ratio, round2_like_numpy, stack, to_long
 from ..functions.text import NUMERIC_TEXT_PATTERN
 from ..spec import DatasetSpec, Thresholds, columns_of, is_numeric, is_text
 from .ordering import count_values, exact_quantiles, first_n, shared
@@ -69,7 +69,7 @@ def missing_by_column(df: DataFrame, only_missing: bool = True) -> DataFrame:
                             ["column", "missing_count"]), "_rows")
     out = long.select(
         "column", "missing_count",
-        F.bround(ratio(F.col("missing_count"), F.col("_rows")) * 100.0, 2)
+        round2_like_numpy(ratio(F.col("missing_count"), F.col("_rows")) * 100.0)
         .alias("missing_percent"))
     if only_missing:
         out = out.where(F.col("missing_count") > 0)

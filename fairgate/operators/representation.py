@@ -15,7 +15,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import q, ratio, to_long
+from ..functions.columns import q, ratio, round2_like_numpy, to_long
 from ..spec import DatasetSpec, columns_of, is_text, match_protected, normalise
 from .ordering import shared
 
@@ -33,13 +33,13 @@ def value_counts(df: DataFrame, columns: Sequence[str] | None = None,
 def underrepresented_groups(df: DataFrame, spec: DatasetSpec | None = None,
                             columns: Sequence[str] | None = None) -> DataFrame:
     """A2: groups whose share of *all* rows (NULLs in the denominator),
-    as a percentage rounded half-even to 2 places, is below the threshold.
+    as a percentage rounded to 2 places the numpy way, is below the threshold.
     Every text column takes part.  Columns: column, group, count, percentage."""
     th = (spec or DatasetSpec(target=None)).thresholds
     # counts feed the groups and the per-column totals: computed once
     counts = shared(value_counts(df, columns))
     totals = counts.groupBy("column").agg(F.sum("count").alias("_total"))
-    pct = F.bround(ratio(F.col("count"), F.col("_total")) * 100.0, 2)
+    pct = round2_like_numpy(ratio(F.col("count"), F.col("_total")) * 100.0)
     return (counts.join(F.broadcast(totals), "column")
             .where(F.col("value").isNotNull())
             .select("column", F.col("value").alias("group"), "count",

@@ -185,7 +185,8 @@ DOC_LABEL_COLS = ["doc_id", "lang", "source", "n_chars", "quality", "toxic"]
 @register("missing_by_column_doc_labels", f"""
 WITH j AS ({DOC_LEFT_LABELS_SQL}),
 m AS ({_union_sql(DOC_LABEL_COLS, "SELECT '{c}' AS \"column\", COUNT(*) - COUNT({c}) AS missing_count, COUNT(*) AS n FROM j")})
-SELECT "column", missing_count, round_even(100.0 * missing_count / n, 2) AS missing_percent
+SELECT "column", missing_count,
+       round_even(CAST(missing_count AS DOUBLE) / n * 100.0 * 100.0, 0) / 100.0 AS missing_percent
 FROM m WHERE missing_count > 0
 """)
 def q_missing_by_column_doc_labels(spark, sf_dir):
@@ -228,7 +229,7 @@ def _underrep_sql(tbl, cols):
 WITH l AS ({_union_sql(cols, "SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS v FROM " + tbl)}),
 c AS (SELECT "column", v, COUNT(*) AS cnt FROM l GROUP BY ALL),
 t AS (SELECT "column", SUM(cnt) AS total FROM c GROUP BY ALL),
-p AS (SELECT c."column", v, cnt, round_even(CAST(cnt AS DOUBLE) / total * 100.0, 2) AS pct
+p AS (SELECT c."column", v, cnt, round_even(CAST(cnt AS DOUBLE) / total * 100.0 * 100.0, 0) / 100.0 AS pct
       FROM c JOIN t ON c."column" = t."column" WHERE v IS NOT NULL)
 SELECT "column", v AS "group", cnt AS "count", pct AS percentage FROM p WHERE pct < 5.0
 """
