@@ -446,3 +446,14 @@ def test_batch_job_end_to_end(spark, tmp_path):
     assert spark.read.text(str(out / "report" / "verdict")).count() == 1
     summary = "\n".join(r.value for r in spark.read.text(str(out / "summary")).collect())
     assert "GOVERNANCE COMPLIANCE SUMMARY" in summary and "Domain: credit_scoring" in summary
+
+
+def test_single_group(spark):
+    df = spark.createDataFrame([("a", 1, 1), ("a", 0, 1), ("a", 1, 0)], "g string, t int, p int")
+    s = {r.metric: r for r in fairness.metric_summary(df, "t", "p", ["g"]).collect()}
+    assert all(r.difference == 0 for r in s.values())
+    assert s["selection_rate"].ratio == 1.0
+    rep = representation.representation(df, ["g"], "t").first()
+    assert rep.share == 1.0 and rep.warning is None
+    chi = stats.chi2_tests(stats.pair_counts(df, [("g", "g", "t")])).first()
+    assert (chi.dof, chi.chi2, chi.p_value) == (0, 0.0, 1.0)
