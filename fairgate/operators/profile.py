@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import q, ratio, round2_like_numpy, stack, to_long
 from ..functions.text import NUMERIC_TEXT_PATTERN
-from ..spec import DatasetSpec, Thresholds, columns_of, is_numeric, is_text
+from ..spec import DatasetSpec, Thresholds, columns_of
 from .ordering import count_values, exact_quantiles, first_n, shared
 
 

@@ -8,7 +8,6 @@ the state store, emitted in update mode.
 
 from __future__ import annotations
 
-import os
 from typing import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
