@@ -19,13 +19,62 @@ PANDAS_NA_VALUES = [
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
              na_values: Sequence[str] = PANDAS_NA_VALUES) -> DataFrame:
-    """CSV with a header row; types inferred unless a schema is given.
-    pandas' NA words become NULL in every text column (Spark's ``nullValue``
-    takes a single string, so this is one projection after the scan)."""
+    """CSV with a header row.  Without a schema the types are inferred
+    the way pandas does it: NA words first become NULL (in every column),
+    then a column whose remaining values are all integers becomes bigint,
+    all numbers double, all True/False boolean, else string.  Inference is
+    one aggregate over the file (a schema-sized result reaches the driver);
+    the casts are lazy."""
     reader = spark.read.option("header", True)
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-    df = reader.csv(path)
-    return null_na_words(df, na_values)
+    if schema is not None:
+        return null_na_words(reader.schema(schema).csv(path), na_values)
+    raw = null_na_words(reader.csv(path), na_values)      # every column is text
+    return infer_types(raw)
+
+
+def infer_types(df: DataFrame) -> DataFrame:
+    """Cast text columns whose non-NULL values all parse as integers /
+    numbers / booleans (pandas' parser rules, see ``NUMERIC_TEXT_PATTERN``)."""
+    from ..functions.text import NUMERIC_TEXT_PATTERN
+    text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    if not text:
+        return df
+    ref = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    aggs = []
+    for i, c in enumerate(text):
+        v = ref(c)
+        aggs += [F.count(v).alias(f"n{i}"),
+                 F.count_if(v.rlike(INTEGER_TEXT_PATTERN)).alias(f"i{i}"),
+                 F.count_if(v.rlike(NUMERIC_TEXT_PATTERN)).alias(f"f{i}"),
+                 F.count_if(v.isin(BOOL_WORDS)).alias(f"b{i}")]
+    row = df.agg(*aggs).first()
+    kinds = {}
+    for i, c in enumerate(text):
+        n = row[f"n{i}"]
+        if n == 0:
+            continue
+        if row[f"i{i}"] == n:
+            kinds[c] = "bigint"
+        elif row[f"f{i}"] == n:
+            kinds[c] = "double"
+        elif row[f"b{i}"] == n:
+            kinds[c] = "boolean"
+    out = []
+    for f in df.schema.fields:
+        c = ref(f.name)
+        kind = kinds.get(f.name)
+        if kind == "boolean":
+            c = c.isin(TRUE_WORDS)
+        elif kind is not None:
+            c = F.trim(c).cast(kind)
+        out.append(c.alias(f.name))
+    return df.select(*out)
+
+
+# pandas' boolean words, and the integer grammar.
+TRUE_WORDS = ["True", "TRUE", "true"]
+BOOL_WORDS = TRUE_WORDS + ["False", "FALSE", "false"]
+INTEGER_TEXT_PATTERN = r"^[ \t]*[+-]?[0-9]+[ \t]*$"
 
 
 def read_headerless_csv(spark: SparkSession, path: str,

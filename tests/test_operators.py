@@ -457,3 +457,15 @@ def test_single_group(spark):
     assert rep.share == 1.0 and rep.warning is None
     chi = stats.chi2_tests(stats.pair_counts(df, [("g", "g", "t")])).first()
     assert (chi.dof, chi.chi2, chi.p_value) == (0, 0.0, 1.0)
+
+
+def test_read_csv_pandas_style_types(spark, tmp_path):
+    from fairgate.sources import readers
+    p = tmp_path / "in.csv"
+    p.write_text("id,score,flag,name,mixed\n1,2.5,True,a,1\n2,NA,False,NA,x\n3,,true,,3\n")
+    df = readers.read_csv(spark, str(p))
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    assert types == {"id": "bigint", "score": "double", "flag": "boolean", "name": "string",
+                     "mixed": "string"}
+    rows = df.orderBy("id").collect()
+    assert rows[1].score is None and rows[1].name is None and rows[2].flag is True
