@@ -63,6 +63,26 @@ def expectations(df: DataFrame, spec: DatasetSpec | None = None,
         ["expectation", "column", "success", "value"]))
 
 
+def expectations_from_counts(counts: DataFrame, spec: DatasetSpec, df_columns: Sequence[str],
+                             expected_columns: Sequence[str] | None = None) -> DataFrame:
+    """F2, F5, F6 (the pipeline's suite) from ``stats.null_flag_counts``
+    (target as ``b``) without another scan: target NULLs are rows with
+    ``b`` NULL, the row count is any column's total."""
+    per = counts.groupBy("column").agg(
+        F.sum("n").alias("_rows"),
+        F.sum(F.when(F.col("b").isNull(), F.col("n")).otherwise(0)).alias("_t"))
+    row = per.agg(F.coalesce(F.max("_rows"), F.lit(0)).alias("_rows"),
+                  F.coalesce(F.max("_t"), F.lit(0)).alias("_t"))
+    rows = [("Target not null", F.lit(spec.target), F.col("_t") == 0, F.col("_t"))]
+    for c in expected_columns or []:
+        if c not in df_columns:
+            rows.append(("Column exists", F.lit(c), F.lit(False), F.lit(None)))
+    rows.append(("Row count valid", F.lit(None).cast("string"), F.col("_rows") >= 1,
+                 F.col("_rows")))
+    return row.select(stack([(F.lit(e), c, s, v.cast("double")) for e, c, s, v in rows],
+                            ["expectation", "column", "success", "value"]))
+
+
 def expectation_summary(results: DataFrame) -> DataFrame:
     """Passed, total, status PASS / FAIL, overall success."""
     return results.agg(F.count_if(F.col("success")).alias("passed"),

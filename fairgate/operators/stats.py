@@ -20,6 +20,7 @@ from typing import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import q, ratio, stack
 from ..functions.pvalues import chi2_p_value
@@ -93,8 +94,29 @@ def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
     return chi2_tests(pair_counts(df, [(a, a, b)]))
 
 
+def _missing(df: DataFrame, name: str) -> F.Column:
+    """pandas ``isnull``: NULL, or NaN in a float column."""
+    c = q(name)
+    if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
+        return c.isNull() | F.isnan(c)
+    return c.isNull()
+
+
+def null_flag_counts(df: DataFrame, target: str) -> DataFrame:
+    """(column, a, b, n) for every column except the target: a = 1 when the
+    value is missing, b = the target as text (NULL when missing).  One scan
+    of the table, computed once; it feeds the missingness tests (T2), the
+    missing-cell total (P3) and the null expectations (F2, F6)."""
+    cols = [c for c in df.columns if c != target]
+    b = F.when(_missing(df, target), F.lit(None)).otherwise(q(target)).cast("string")
+    long = df.select(stack([(F.lit(c), _missing(df, c).cast("int")) for c in cols],
+                           ["column", "a"]), b.alias("b"))
+    return shared(long.groupBy("column", "a", "b").agg(F.count(F.lit(1)).alias("n")))
+
+
 def missingness_bias(df: DataFrame, target: str, spec: DatasetSpec | None = None,
-                     columns: Sequence[str] | None = None) -> DataFrame:
+                     columns: Sequence[str] | None = None,
+                     counts: DataFrame | None = None) -> DataFrame:
     """For each column with NULLs (except the target), chi-square of the
     null flag against the target; recorded when p < threshold with
     mechanism 'MNAR'.  Tested only when the target is text or has fewer than
@@ -107,11 +129,13 @@ def missingness_bias(df: DataFrame, target: str, spec: DatasetSpec | None = None
         return _empty_findings(df, ["column string", "chi2 double",
                                     "p_value double", "mechanism string"])
     cols = [c for c in (columns or df.columns) if c != target]
+    if not cols:
+        return _empty_findings(df, ["column string", "chi2 double",
+                                    "p_value double", "mechanism string"])
     target_text = is_text(df.schema[target].dataType)
-    long = df.select(stack([(F.lit(c), q(c).isNull().cast("int")) for c in cols],
-                           ["column", "a"]),
-                     q(target).cast("string").alias("b"))
-    counts = shared(long.groupBy("column", "a", "b").agg(F.count(F.lit(1)).alias("n")))
+    counts = counts if counts is not None else null_flag_counts(df, target)
+    if columns is not None:
+        counts = counts.where(F.col("column").isin(cols))
     nulls = counts.groupBy("column").agg(
         F.sum(F.when(F.col("a") == 1, F.col("n")).otherwise(0)).alias("_nulls"))
     tests = chi2_tests(counts).join(F.broadcast(nulls), "column")

@@ -42,14 +42,22 @@ def audit_status(schema: DataFrame, rollup: DataFrame) -> DataFrame:
         "failed")
 
 
-def run_audit(df: DataFrame, spec: DatasetSpec, reference: DataFrame | None = None) -> AuditResult:
+def run_audit(df: DataFrame, spec: DatasetSpec, reference: DataFrame | None = None,
+              null_counts: DataFrame | None = None) -> AuditResult:
+    """O7.  ``null_counts`` (``stats.null_flag_counts``, shared with the bias
+    EDA) lets the missing-cell total and the suite skip their own scans."""
     # the numeric-as-text test feeds both the schema status and the type
     # check: one scan, a table of one row per text column
     nat = shared(profile.numeric_as_text(df))
     schema = expect.schema_validation(df, nat=nat)
-    quality = profile.quality_checks(df, spec, nat=nat)
+    if null_counts is not None and spec.target in df.columns:
+        missing = profile.missing_total_from_counts(null_counts, len(df.columns))
+        exps = expect.expectations_from_counts(null_counts, spec, df.columns, df.columns)
+    else:
+        missing = None
+        exps = expect.expectations(df, spec, expected_columns=df.columns)
+    quality = profile.quality_checks(df, spec, nat=nat, missing=missing)
     rollup = profile.quality_rollup(quality)
-    exps = expect.expectations(df, spec, expected_columns=df.columns)
     drift = association.ks_drift(df, reference, spec=spec) if reference is not None else None
     return AuditResult(schema, quality, rollup, exps, expect.expectation_summary(exps),
                        drift, audit_status(schema, rollup), association.drift_status(drift))

@@ -24,12 +24,13 @@ class EdaFindings:
         return out
 
 
-def run_bias_eda(df: DataFrame, spec: DatasetSpec) -> EdaFindings:
+def run_bias_eda(df: DataFrame, spec: DatasetSpec,
+                 null_counts: DataFrame | None = None) -> EdaFindings:
     """O3: missing attributes (X1), rare groups (A2), missingness bias (T2,
     with a target), proxies (T4), disparities (T5, only with a target).
     Everything is lazy; nothing runs until a table is read."""
     has_target = spec.target is not None and spec.target in df.columns
-    miss = (stats.missingness_bias(df, spec.target, spec) if has_target
+    miss = (stats.missingness_bias(df, spec.target, spec, counts=null_counts) if has_target
             else df.sparkSession.createDataFrame(
                 [], "column string, chi2 double, p_value double, mechanism string"))
     return EdaFindings(

@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import minimise, pii, representation
+from ..operators import minimise, pii, representation, stats
 from ..spec import DatasetSpec
 from .audit import AuditResult, run_audit
 from .eda import EdaFindings, finding_counts, run_bias_eda
@@ -70,9 +70,12 @@ def run_governance(df: DataFrame, spec: DatasetSpec, bias_on: str = "raw",
     classes, imps, minimal, log, report = (mini.feature_class, mini.importances, mini.minimal,
                                            mini.exclusion_log, mini.report)
     analysed = minimal if bias_on == "minimised" else df
-    eda = run_bias_eda(analysed, spec)
+    # one scan of null flags x target feeds T2, P3 and the expectation suite
+    null_counts = (stats.null_flag_counts(analysed, spec.target)
+                   if spec.target in analysed.columns and len(analysed.columns) > 1 else None)
+    eda = run_bias_eda(analysed, spec, null_counts)
     counts = finding_counts(eda)
-    audit = run_audit(analysed, spec, reference)
+    audit = run_audit(analysed, spec, reference, null_counts)
     rep = representation.representation_for_spec(analysed, spec)
     signals = (count_signal(log, "excluded_count")
                .unionByName(count_signal(classes, "prohibited_features_count",

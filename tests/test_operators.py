@@ -469,3 +469,20 @@ def test_read_csv_pandas_style_types(spark, tmp_path):
                      "mixed": "string"}
     rows = df.orderBy("id").collect()
     assert rows[1].score is None and rows[1].name is None and rows[2].flag is True
+
+
+def test_fused_null_counts_match_direct_scans(spark):
+    rows = [(1, None, 2.0, "a"), (2, "x", float("nan"), None), (3, "y", None, "b"),
+            (4, None, 1.0, "a"), (5, "z", 3.0, None), (6, "x", 4.0, "b")]
+    df = spark.createDataFrame(rows, "id int, s string, v double, y string")
+    spec = DatasetSpec(target="y", protected_attributes=())
+    counts = stats.null_flag_counts(df, "y")
+    assert profile.missing_total_from_counts(counts, 4).collect() == profile.missing_total(df).collect()
+    fused = sorted(map(tuple, expect.expectations_from_counts(counts, spec, df.columns, df.columns).collect()),
+                   key=str)
+    direct = sorted(map(tuple, expect.expectations(df, spec, expected_columns=df.columns).collect()),
+                    key=str)
+    assert fused == direct
+    a = stats.missingness_bias(df, "y", counts=counts).collect()
+    b = stats.missingness_bias(df, "y").collect()
+    assert a == b
