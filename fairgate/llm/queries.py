@@ -9,6 +9,11 @@ from .exact_dedup import exact_dedup
 from .packing import pack
 from .textutil import scratch_path, table
 from .token_output import read_token_files, write_token_files
+from .toxicity import toxicity
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +30,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, folder, digest=True)
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op8_exact_dedup, op10_token_output)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op8_exact_dedup, op10_token_output)}
 
 ORACLE = {
     "op8_exact_dedup": r"""
