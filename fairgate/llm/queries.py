@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
+from .langid import language_id
 from .packing import pack
 from .textutil import scratch_path, table
 from .token_output import read_token_files, write_token_files
@@ -24,13 +25,17 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "token-files")
     write_token_files(table(spark, sf_dir, "documents"), folder)
     return read_token_files(spark, folder, digest=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op8_exact_dedup, op10_token_output)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op8_exact_dedup, op9_language_id, op10_token_output)}
 
 ORACLE = {
     "op8_exact_dedup": r"""
