@@ -11,6 +11,7 @@ from .packing import pack
 from .textutil import scratch_path, table
 from .token_output import read_token_files, write_token_files
 from .toxicity import toxicity
+from .vptree import nearest
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +22,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op6_vantage_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -35,9 +41,23 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, folder, digest=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op8_exact_dedup, op9_language_id, op10_token_output)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op6_vantage_point, op8_exact_dedup, op9_language_id, op10_token_output)}
 
 ORACLE = {
+    "op6_vantage_point": """
+        WITH v AS (
+          SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+          WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        d AS (
+          SELECT q.vec_id AS query_id, c.vec_id, list_distance(q.e, c.e) AS score
+          FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)),
+        r AS (
+          SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank,
+                 vec_id, score
+          FROM d)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
     "op8_exact_dedup": r"""
         WITH t AS (
           SELECT doc_id, length(coalesce(text, '')) AS n,
