@@ -134,8 +134,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     alone = flagged.where(~F.col("maybe")).select(
         "doc_id", "sha", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
         F.lit(True).alias("kept"))
-    # partial aggregation first: a text held by a third of the rows is one row per task
-    groups = (flagged.where("maybe").groupBy("sha").agg(
+    # Partial aggregation first: a text held by a third of the rows is one row per task.
+    # Written, so that the join below has a plain shuffle on both sides and Spark can split a hot text.
+    groups = materialize(flagged.where("maybe").groupBy("sha").agg(
         F.min(F.struct((-F.col("n_code")).alias("n"), F.col("doc_id").isNull().alias("no_id"), "doc_id")).alias("best"),
         F.count(F.lit(1)).alias("group_size"))
         .select("sha", F.col("best.doc_id").cast(id_type).alias("keep_id"), "group_size"))
