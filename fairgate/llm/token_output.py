@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .textutil import small_batches, texts_of
+from .textutil import small_batches, texts_of, written
 from .tokens import default_path, worker_tokenizer
 
 END_ID = 2
@@ -68,49 +68,72 @@ def decode_ranks(control: list[bytes], data: list[bytes], counts: np.ndarray) ->
     return out
 
 
-def id_counts(docs: DataFrame, path: str, end_id: int = END_ID,
-              id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_table(docs: DataFrame, path: str, end_id: int = END_ID,
+                id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, ids): every text's ids with the end id, as bytes of
+    little-endian unsigned 16-bit numbers (32-bit where an id needs them),
+    written once: the ids are counted, then encoded, from this table."""
+    src = texts_of(docs, id_col, text_col)
+
+    def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tok = worker_tokenizer(path)
+        for batch in small_batches(batches):
+            ids, offsets = tok.encode(batch.column("text"))
+            ids = np.insert(ids, offsets[1:], end_id)
+            offsets = offsets + np.arange(len(offsets))
+            kind = "<u2" if not len(ids) or ids.max() < 1 << 16 else "<u4"
+            raw, width = ids.astype(kind).tobytes(), np.dtype(kind).itemsize
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(np.diff(offsets), pa.int64()),
+                 pa.array([raw[width * i:width * j] for i, j in zip(offsets, offsets[1:])], pa.binary())],
+                ["doc_id", "n_tokens", "ids"])
+
+    id_type = src.schema["doc_id"].dataType.simpleString()
+    return written(src.mapInArrow(tokenise, f"doc_id {id_type}, n_tokens bigint, ids binary"), "token-ids", compression="zstd")
+
+
+def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a batch of the token table, and the documents' offsets."""
+    n = batch.column("n_tokens").to_numpy()
+    values = batch.column("ids").to_pylist()
+    parts = [np.frombuffer(v, "<u2" if len(v) == 2 * k else "<u4") for v, k in zip(values, n)]
+    return np.concatenate(parts).astype(np.int64), np.concatenate([[0], np.cumsum(n)])
+
+
+def id_counts(tokens: DataFrame) -> DataFrame:
     """(id, n): how often each token id occurs in all documents."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, total = worker_tokenizer(path), np.zeros(0, dtype=np.int64)
-        for batch in small_batches(batches):
-            ids, _ = tok.encode(batch.column("text"))
-            found = np.bincount(ids, minlength=max(len(total), end_id + 1))
-            found[end_id] += batch.num_rows
+        total = np.zeros(0, dtype=np.int64)
+        for batch in small_batches(batches, "ids"):
+            found = np.bincount(_ids(batch)[0], minlength=len(total))
             found[:len(total)] += total
             total = found
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], ["id", "n"])
 
-    src = texts_of(docs, id_col, text_col).select("text")
-    return src.mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    return (tokens.select("n_tokens", "ids").mapInArrow(count, "id bigint, n bigint")
+            .groupBy("id").agg(F.sum("n").alias("n")))
 
 
 def write_token_files(docs: DataFrame, out: str, path: str | None = None, end_id: int = END_ID,
                       id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the folder ``out`` (on storage that all executors share)."""
-    path = path or default_path()
     spark = docs.sparkSession
+    tokens = token_table(docs, path or default_path(), end_id, id_col, text_col)
     # the vocabulary bounds this list, whatever the number of documents
-    order = [(r["id"], r["n"]) for r in id_counts(docs, path, end_id, id_col, text_col).collect()]
+    order = [(r["id"], r["n"]) for r in id_counts(tokens).collect()]
     order = np.array([i for i, _ in sorted(order, key=lambda x: (-x[1], x[0]))], dtype=np.int64)
     rank_of = np.zeros(int(order.max()) + 1 if len(order) else 1, dtype=np.uint32)
     rank_of[order] = np.arange(len(order))
     spark.createDataFrame(list(enumerate(order.tolist())), "rank bigint, id bigint").coalesce(1).write.parquet(f"{out}/ranks")
     shared = spark.sparkContext.broadcast(rank_of)
-    src = texts_of(docs, id_col, text_col)
-    id_type = src.schema["doc_id"].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = worker_tokenizer(path)
-        for batch in small_batches(batches):
-            ids, offsets = tok.encode(batch.column("text"))
-            ids = np.insert(ids, offsets[1:], end_id)
-            offsets = offsets + np.arange(len(offsets))
+        for batch in small_batches(batches, "ids", 4 << 20):
+            ids, offsets = _ids(batch)
             control, data = encode_ranks(shared.value[ids], offsets)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.diff(offsets), pa.int64()),
-                 pa.array(control, pa.binary()), pa.array(data, pa.binary())],
+                [batch.column("doc_id"), batch.column("n_tokens"), pa.array(control, pa.binary()), pa.array(data, pa.binary())],
                 ["doc_id", "n_tokens", "control", "data"])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,8 +146,8 @@ def write_token_files(docs: DataFrame, out: str, path: str | None = None, end_id
                 [pa.array(np.full(batch.num_rows, part), pa.int32()), pa.array(start, pa.int64()), *batch.columns],
                 ["part", "start_in_part", *batch.schema.names])
 
-    ddl = f"doc_id {id_type}, n_tokens bigint, control binary, data binary"
-    coded = src.mapInArrow(encode, ddl)
+    ddl = f"doc_id {tokens.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, control binary, data binary"
+    coded = tokens.mapInArrow(encode, ddl)
     keys = ["doc_id", "n_tokens", F.crc32("data")]
     ordered = coded.repartitionByRange(*keys).sortWithinPartitions(*keys)
     (ordered.mapInArrow(place, f"part int, start_in_part bigint, {ddl}")
