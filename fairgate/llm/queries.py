@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
+from .jaccard_join import jaccard_components
 from .langid import language_id
 from .packing import pack
 from .textutil import scratch_path, table
@@ -22,6 +23,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (jaccard_components(table(spark, sf_dir, "documents"), width=4, num=85, den=100)
+            .select("doc_id", "n_shingles", "component_id"))
+
+
 def op6_vantage_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return nearest(vectors, vectors.where("vec_id % 100 = 0"))
@@ -41,7 +47,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, folder, digest=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op6_vantage_point, op8_exact_dedup, op9_language_id, op10_token_output)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op4_jaccard_join, op6_vantage_point, op8_exact_dedup, op9_language_id, op10_token_output)}
 
 ORACLE = {
     "op6_vantage_point": """
