@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_components
 from .langid import language_id
+from .line_dedup import line_dedup
 from .packing import pack
 from .textutil import scratch_path, table
 from .token_output import read_token_files, write_token_files
@@ -28,6 +29,11 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "n_shingles", "component_id"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (line_dedup(table(spark, sf_dir, "documents"))
+            .selectExpr("doc_id", "text", "_lines_removed AS lines_removed"))
+
+
 def op6_vantage_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return nearest(vectors, vectors.where("vec_id % 100 = 0"))
@@ -47,7 +53,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, folder, digest=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op4_jaccard_join, op6_vantage_point, op8_exact_dedup, op9_language_id, op10_token_output)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op4_jaccard_join, op5_line_dedup, op6_vantage_point, op8_exact_dedup, op9_language_id, op10_token_output)}
 
 ORACLE = {
     "op6_vantage_point": """
