@@ -9,12 +9,16 @@ from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_components
 from .langid import language_id
 from .line_dedup import line_dedup
+from .mixing import mixture
 from .packing import pack
 from .textutil import scratch_path, table
 from .token_output import read_token_files, write_token_files
 from .toxicity import toxicity
 from .vptree import nearest
 
+#: target weights by level of the tree; names not listed weigh 1
+MIX_WEIGHTS = {"domain": {"d0": 3, "d1": 2}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 2}}
+
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -39,6 +43,10 @@ def op6_vantage_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(table(spark, sf_dir, "documents"), MIX_WEIGHTS)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -53,7 +61,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, folder, digest=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op4_jaccard_join, op5_line_dedup, op6_vantage_point, op8_exact_dedup, op9_language_id, op10_token_output)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op4_jaccard_join, op5_line_dedup, op6_vantage_point, op7_mixing, op8_exact_dedup, op9_language_id, op10_token_output)}
 
 ORACLE = {
     "op6_vantage_point": """
@@ -70,6 +78,57 @@ ORACLE = {
                  vec_id, score
           FROM d)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op7_mixing": r"""
+        WITH doc AS (
+            SELECT doc_id, CASE WHEN source IS NULL THEN 'none' WHEN substr(md5(source), 1, 1) < '4' THEN 'd0'
+                                WHEN substr(md5(source), 1, 1) < '8' THEN 'd1' WHEN substr(md5(source), 1, 1) < 'c' THEN 'd2' ELSE 'd3' END AS domain,
+                   coalesce(lang, 'none') AS lang, coalesce(source, 'none') AS source,
+                   coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS n_tokens
+            FROM documents),
+          leaf AS (SELECT domain, lang, source, sum(n_tokens)::HUGEINT AS tokens FROM doc GROUP BY ALL),
+          by_domain AS (
+            SELECT *, CASE WHEN is_full THEN cap ELSE left_over * w // nullif(open_weight, 0) END AS budget FROM (
+              SELECT *, greatest(total - coalesce(sum(CASE WHEN is_full THEN cap END) OVER p, 0), 0)::HUGEINT AS left_over,
+                     sum(CASE WHEN is_full THEN 0 ELSE w END) OVER p AS open_weight
+              FROM (
+                SELECT *, cap * onward <= greatest(total - before, 0) * w AS is_full FROM (
+                  SELECT *, coalesce(sum(cap) OVER (q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::HUGEINT AS before,
+                         sum(w) OVER (q ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::HUGEINT AS onward
+                  FROM (SELECT domain, sum(tokens)::HUGEINT * 2 AS cap, (CASE domain WHEN 'd0' THEN 3 WHEN 'd1' THEN 2 ELSE 1 END)::HUGEINT AS w, (SELECT sum(tokens) * 4 // 5 FROM leaf)::HUGEINT AS total FROM leaf GROUP BY domain)
+                  WINDOW q AS (PARTITION BY 1 ORDER BY cap::DOUBLE / w::DOUBLE, domain)))
+              WINDOW p AS (PARTITION BY 1))),
+          by_lang AS (
+            SELECT *, CASE WHEN is_full THEN cap ELSE left_over * w // nullif(open_weight, 0) END AS budget FROM (
+              SELECT *, greatest(total - coalesce(sum(CASE WHEN is_full THEN cap END) OVER p, 0), 0)::HUGEINT AS left_over,
+                     sum(CASE WHEN is_full THEN 0 ELSE w END) OVER p AS open_weight
+              FROM (
+                SELECT *, cap * onward <= greatest(total - before, 0) * w AS is_full FROM (
+                  SELECT *, coalesce(sum(cap) OVER (q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::HUGEINT AS before,
+                         sum(w) OVER (q ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::HUGEINT AS onward
+                  FROM (SELECT l.domain, l.lang, sum(tokens)::HUGEINT * 2 AS cap, (CASE l.lang WHEN 'en' THEN 4 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 WHEN 'es' THEN 2 ELSE 1 END)::HUGEINT AS w, any_value(d.budget)::HUGEINT AS total FROM leaf l JOIN by_domain d USING (domain) GROUP BY l.domain, l.lang)
+                  WINDOW q AS (PARTITION BY domain ORDER BY cap::DOUBLE / w::DOUBLE, lang)))
+              WINDOW p AS (PARTITION BY domain))),
+          by_source AS (
+            SELECT *, CASE WHEN is_full THEN cap ELSE left_over * w // nullif(open_weight, 0) END AS budget FROM (
+              SELECT *, greatest(total - coalesce(sum(CASE WHEN is_full THEN cap END) OVER p, 0), 0)::HUGEINT AS left_over,
+                     sum(CASE WHEN is_full THEN 0 ELSE w END) OVER p AS open_weight
+              FROM (
+                SELECT *, cap * onward <= greatest(total - before, 0) * w AS is_full FROM (
+                  SELECT *, coalesce(sum(cap) OVER (q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::HUGEINT AS before,
+                         sum(w) OVER (q ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::HUGEINT AS onward
+                  FROM (SELECT l.domain, l.lang, l.source, l.tokens, l.tokens * 2 AS cap, 1::HUGEINT AS w, g.budget::HUGEINT AS total FROM leaf l JOIN by_lang g USING (domain, lang))
+                  WINDOW q AS (PARTITION BY domain, lang ORDER BY cap::DOUBLE / w::DOUBLE, source)))
+              WINDOW p AS (PARTITION BY domain, lang))),
+          taken AS (
+            SELECT domain, lang, source, coalesce(budget // nullif(tokens, 0), 0)::BIGINT AS whole,
+                   (budget - coalesce(budget // nullif(tokens, 0), 0) * tokens)::BIGINT AS rest
+            FROM by_source),
+          run AS (
+            SELECT d.*, t.whole, t.rest, sum(n_tokens) OVER (PARTITION BY domain, lang, source
+                     ORDER BY md5('17:' || t.whole::VARCHAR || ':' || coalesce(doc_id::VARCHAR, ''))) AS upto
+            FROM doc d JOIN taken t USING (domain, lang, source)),
+          times AS (SELECT *, whole + (CASE WHEN (rest > 0 OR whole = 0) AND upto <= rest THEN 1 ELSE 0 END) AS n FROM run)
+        SELECT doc_id, domain, lang, source, n_tokens, unnest(range(n))::INTEGER AS epoch FROM times""",
     "op8_exact_dedup": r"""
         WITH t AS (
           SELECT doc_id, length(coalesce(text, '')) AS n,
