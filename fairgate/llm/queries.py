@@ -11,6 +11,7 @@ from .langid import language_id
 from .line_dedup import line_dedup
 from .mixing import mixture
 from .packing import pack
+from .pii_crf import semi_markov_pii
 from .textutil import scratch_path, table
 from .token_output import read_token_files, write_token_files
 from .toxicity import toxicity
@@ -28,6 +29,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op3_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return semi_markov_pii(table(spark, sf_dir, "documents"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (jaccard_components(table(spark, sf_dir, "documents"), width=4, num=85, den=100)
             .select("doc_id", "n_shingles", "component_id"))
@@ -61,7 +66,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, folder, digest=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op4_jaccard_join, op5_line_dedup, op6_vantage_point, op7_mixing, op8_exact_dedup, op9_language_id, op10_token_output)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_semi_markov_pii, op4_jaccard_join, op5_line_dedup, op6_vantage_point, op7_mixing, op8_exact_dedup, op9_language_id, op10_token_output)}
 
 ORACLE = {
     "op6_vantage_point": """
