@@ -14,6 +14,7 @@ packing           cuts token ids into sequences (one row a piece)
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fairgate.llm.jaccard_join import keep_one
 from fairgate.llm.line_dedup import line_dedup
@@ -29,7 +30,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_dedup(docs).select(docs.columns)
+    edited = line_dedup(docs)
+    size = F.when(F.col("_lines_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("bigint")
+    return edited.withColumn("n_chars", size).select(docs.columns)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
