@@ -77,7 +77,7 @@ def token_table(docs: DataFrame, path: str, end_id: int = END_ID,
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = worker_tokenizer(path)
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, limit=4 << 20):
             ids, offsets = tok.encode(batch.column("text"))
             ids = np.insert(ids, offsets[1:], end_id)
             offsets = offsets + np.arange(len(offsets))
