@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from .idfilter import IdFilter
-from .textutil import small_batches, written
+from .textutil import small_batches, unused, written
 
 _ODD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -64,9 +64,9 @@ def _words(lines: list[bytes]) -> int:
 
 
 def line_dedup(docs: DataFrame, window: int = 2, density: float = 0.85, long_words: int = 16, min_words: int = 6,
-               passage_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the repeated blocks gone from the text column, and
-    ``_lines_removed`` beside it."""
+               passage_words: int = 50, id_col: str = "doc_id", text_col: str = "text", removed_col: str = "lines_removed") -> DataFrame:
+    """``docs`` with the repeated blocks gone from the text column, and the
+    number of lines removed beside it (``removed_col``)."""
     src = docs.where(F.col(f"`{text_col}`").isNotNull()).select(
         F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(f"`{text_col}`").alias("dig"), F.col(f"`{text_col}`").alias("text"))
     id_type = src.schema["doc_id"].dataType.simpleString()
@@ -157,12 +157,13 @@ def line_dedup(docs: DataFrame, window: int = 2, density: float = 0.85, long_wor
 
     gone = (bodies.where("not stays").join(kept, "key")
             .mapInArrow(compare, f"doc_id {id_type}, dig bigint, lo int, hi int")
-            .groupBy("doc_id", "dig").agg(F.collect_set(F.struct("lo", "hi")).alias("_gone")))
-    gone = materialize(gone.withColumnsRenamed({"doc_id": "_gone_id", "dig": "_gone_dig"}))
+            .groupBy("doc_id", "dig").agg(F.collect_set(F.struct("lo", "hi")).alias("gone")))
+    own, own_dig, ranges = unused(docs.columns, "own_id", "own_dig", "ranges")
+    gone = materialize(gone.select(F.col("doc_id").alias(own), F.col("dig").alias(own_dig), F.col("gone").alias(ranges)))
     text = F.col(f"`{text_col}`")
     lines = F.split(text, "\n", -1)
-    left = F.filter(lines, lambda x, i: ~F.exists("_gone", lambda g: (g["lo"] <= i) & (i < g["hi"])))
-    joined = docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("_gone_id")) & (F.xxhash64(f"`{text_col}`") == F.col("_gone_dig")), "left")
-    edited = F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(left, "\n"))
-    removed = F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(left)).cast("long")
-    return joined.select(*[edited.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], removed.alias("_lines_removed"))
+    left = F.filter(lines, lambda x, i: ~F.exists(ranges, lambda g: (g["lo"] <= i) & (i < g["hi"])))
+    joined = docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col(own)) & (F.xxhash64(text) == F.col(own_dig)), "left")
+    edited = F.when(F.col(ranges).isNull(), text).otherwise(F.array_join(left, "\n"))
+    removed = F.when(F.col(ranges).isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(left)).cast("long")
+    return joined.select(*[edited.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], removed.alias(removed_col))

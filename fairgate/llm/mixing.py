@@ -17,7 +17,7 @@ token; null language or source counts as the name ``none``; documents without
 tokens are taken in a leaf's first epoch or with its prefix; rows that share a
 doc_id share a place in the order and are taken together; a budget beyond all
 capacities takes everything ``max_epochs`` times; an empty table gives no
-rows; other columns pass unchanged (names starting with ``_mix`` are taken).
+rows; other columns pass unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .textutil import unused
 
 TOKEN = r"[^\x20\x09-\x0D]+"
 LEVELS = ("domain", "lang", "source")
@@ -130,28 +131,29 @@ def plan(docs: DataFrame, weights: Mapping[str, Mapping[str, int]], budget_share
     return rows, materialize(taken.join(cuts, list(LEVELS), "left").select(*LEVELS, "whole", "cut"))
 
 
-def _epochs(rows: DataFrame, leaves: DataFrame, seed: int) -> DataFrame:
-    """A row for every epoch (``_mix_epoch``) in which it is taken; rows carry LEVELS and _mix_id."""
-    leaves = leaves.select(*[F.col(c).alias(f"_mix_{c}") for c in LEVELS], F.col("whole").alias("_mix_whole"), F.col("cut").alias("_mix_cut"))
+def _epochs(rows: DataFrame, keys: dict[str, Column], leaves: DataFrame, seed: int, epoch: str) -> DataFrame:
+    """A row for every epoch in which a row is taken; ``keys``: its doc_id and LEVELS."""
+    names = dict(zip(["doc_id", *LEVELS], unused(rows.columns, "at_id", *[f"at_{c}" for c in LEVELS])))
+    of = dict(zip([*LEVELS, "whole", "cut", "times"], unused(rows.columns, *[f"of_{c}" for c in (*LEVELS, "whole", "cut", "times")])))
+    leaves = leaves.select(*[F.col(c).alias(of[c]) for c in (*LEVELS, "whole", "cut")])
     leaves = F.broadcast(leaves) if leaves.count() <= BROADCAST_LEAVES else leaves
-    on = [F.col(f"_mix_at_{c}") == F.col(f"_mix_{c}") for c in LEVELS]
-    once_more = F.coalesce(_place(seed, F.col("_mix_whole"), F.col("_mix_id")) <= F.col("_mix_cut"), F.lit(False))
-    times = F.col("_mix_whole") + once_more.cast("bigint")
-    return (rows.join(leaves, on).withColumn("_mix_times", times).where("_mix_times > 0")
-            .withColumn("_mix_epoch", F.explode(F.sequence(F.lit(0), F.col("_mix_times").cast("int") - 1))))
+    once_more = F.coalesce(_place(seed, F.col(of["whole"]), F.col(names["doc_id"])) <= F.col(of["cut"]), F.lit(False))
+    return (rows.withColumns({names[k]: v for k, v in keys.items()})
+            .join(leaves, [F.col(names[c]) == F.col(of[c]) for c in LEVELS])
+            .withColumn(of["times"], F.col(of["whole"]) + once_more.cast("bigint")).where(F.col(of["times"]) > 0)
+            .withColumn(epoch, F.explode(F.sequence(F.lit(0), F.col(of["times"]).cast("int") - 1))))
 
 
 def mixture(docs: DataFrame, weights: Mapping[str, Mapping[str, int]], seed: int = 17, **options) -> DataFrame:
     """doc_id, LEVELS, n_tokens, epoch: one row for every time that a document is taken."""
     rows, leaves = plan(docs, weights, seed=seed, **options)
-    rows = rows.withColumns({f"_mix_at_{c}": F.col(c) for c in LEVELS}).withColumn("_mix_id", F.col("doc_id"))
-    return _epochs(rows, leaves, seed).select("doc_id", *LEVELS, "n_tokens", F.col("_mix_epoch").alias("epoch"))
+    keys = {c: F.col(c) for c in ("doc_id", *LEVELS)}
+    return _epochs(rows, keys, leaves, seed, "epoch").select("doc_id", *LEVELS, "n_tokens", "epoch")
 
 
 def mixed_documents(docs: DataFrame, weights: Mapping[str, Mapping[str, int]], seed: int = 17, id_col: str = "doc_id",
                     text_col: str = "text", lang_col: str = "lang", source_col: str = "source", **options) -> DataFrame:
     """The rows of ``docs`` (all columns), as often as each is taken; the texts are not shuffled."""
     _, leaves = plan(docs, weights, seed=seed, id_col=id_col, text_col=text_col, lang_col=lang_col, source_col=source_col, **options)
-    keys = _keyed(docs, id_col, text_col, lang_col, source_col)
-    rows = docs.withColumns({"_mix_id": keys[0], **{f"_mix_at_{c}": k for c, k in zip(LEVELS, keys[1:4])}})
-    return _epochs(rows, leaves, seed).select(*[F.col(f"`{c}`") for c in docs.columns])
+    keys = dict(zip(("doc_id", *LEVELS), _keyed(docs, id_col, text_col, lang_col, source_col)))
+    return _epochs(docs, keys, leaves, seed, unused(docs.columns, "epoch")[0]).select(*[F.col(f"`{c}`") for c in docs.columns])

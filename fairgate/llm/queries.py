@@ -40,7 +40,7 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (line_dedup(table(spark, sf_dir, "documents"))
-            .selectExpr("doc_id", "text", "_lines_removed AS lines_removed"))
+            .select("doc_id", "text", "lines_removed"))
 
 
 def op6_vantage_point(spark: SparkSession, sf_dir: str) -> DataFrame:

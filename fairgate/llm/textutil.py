@@ -26,6 +26,16 @@ def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                        F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each with underscores before it until no column has it."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text",
                   limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that ``column`` holds about ``limit`` bytes in each (one

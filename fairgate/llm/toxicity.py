@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .textutil import small_batches, texts_of, words_of
+from .textutil import small_batches, texts_of, unused, words_of
 
 # Identity terms; a term is swapped for the others of its line (fixed values).
 IDENTITY_TERMS = (
@@ -214,23 +214,22 @@ def score_texts(texts: pa.Array, model: ToxicityModel) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(total, -500, 500)))
 
 
-def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7, keep_columns: bool = False) -> DataFrame:
-    """score and predicted (score >= threshold) of every row: beside doc_id, or
-    beside all columns of ``docs`` with ``keep_columns`` (as _score, _predicted)."""
+def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7, beside: list[str] | None = None,
+          names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """The score and whether it reaches the threshold (1 or 0) of every row,
+    beside the columns ``beside`` (doc_id unless given)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = ("_score", "_predicted") if keep_columns else ("score", "predicted")
-    src = docs if keep_columns else texts_of(docs)
+    beside = beside or ["doc_id"]
+    src = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*beside, "text"])])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             s = score_texts(pc.fill_null(batch.column("text"), ""), shared.value)
-            kept = batch.columns if keep_columns else [batch.column("doc_id")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(s), pa.array((s >= threshold).astype(np.int32))],
-                                             [*(batch.schema.names if keep_columns else ["doc_id"]), *names])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in beside], pa.array(s), pa.array((s >= threshold).astype(np.int32))],
+                                             [*beside, *names])
 
-    fields = src.schema.fields if keep_columns else [src.schema["doc_id"]]
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return src.mapInArrow(apply, f"{ddl}, {names[0]} double, {names[1]} int")
+    ddl = ", ".join(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in beside)
+    return src.mapInArrow(apply, f"{ddl}, `{names[0]}` double, `{names[1]}` int")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, threshold: float = 0.7, **options) -> DataFrame:
@@ -242,5 +241,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1,
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
     """The rows of ``docs`` (all columns) that the classifier does not reject."""
-    scored = score(docs, fit(docs, labels, **options), threshold, keep_columns=True)
-    return scored.where("_predicted = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = unused(docs.columns, "score", "predicted")
+    scored = score(docs, fit(docs, labels, **options), threshold, docs.columns, tuple(names))
+    return scored.where(F.col(f"`{names[1]}`") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
