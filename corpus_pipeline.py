@@ -30,8 +30,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    edited = line_dedup(docs)
-    size = F.when(F.col("_lines_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("bigint")
+    edited = line_dedup(docs, removed_col="lines_removed")
+    size = F.when(F.col("lines_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("bigint")
     return edited.withColumn("n_chars", size).select(docs.columns)
 
 
