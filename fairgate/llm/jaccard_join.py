@@ -23,8 +23,10 @@ Rare tokens give candidate pairs directly (a group has ``rare`` classes at
 most).  A pair is dropped when the lengths or the number of shared rare tokens
 rule the similarity out.  Combinations may be shared by any number of classes:
 first every class is tried against one centre of its group, then only classes
-still in different components meet.  Every candidate is verified on the whole
-64-bit sets.
+still in different components meet.  Every class is first tried with its
+smallest partner, and pairs within one component are not tried again, so a
+group of near copies costs as many trials as it has members.  A link counts
+only after verification on the whole 64-bit sets.
 
 Defined cases: null or empty texts have size 0 and link with nothing; a text
 of fewer words than a shingle is one token; rows are told apart by position,
@@ -128,7 +130,7 @@ def signatures(docs: DataFrame, width: int, rule: _Rule, id_col: str = "doc_id",
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rid = TaskContext.get().partitionId() << 33
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, limit=4 << 20):
             sets = shingle_sets(batch.column("text"), width)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(rid, rid + len(sets))), batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
@@ -154,7 +156,7 @@ def token_candidates(windows: DataFrame, rule: _Rule, rare: int = RARE) -> DataF
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "window"):
+        for batch in small_batches(batches, "window", 4 << 20):
             windows_ = [_unpack(w) for w in batch.column("window").to_pylist()]
             count = np.array([len(w) for w in windows_])
             token = np.concatenate(windows_)
@@ -267,40 +269,51 @@ def _near(a: Column, b: Column, rule: _Rule) -> Column:
     return F.least(a, b) * rule.den >= F.greatest(a, b) * rule.num
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, rule: _Rule,
-              id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) of classes that link, by their whole sets.  The sets
-    are made anew, only for documents that a fixed-size id filter lets through."""
-    pairs = materialize(pairs)
-    named = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes, "cls")
-    named = materialize(named.select("cls", "doc_id", "sig"))
-    wanted = IdFilter.of(named, "doc_id")
-    src = texts_of(docs, id_col, text_col)
+def _sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(cls, tokens) of the wanted classes: the whole sets, made anew from the
+    documents that a fixed-size id filter lets through."""
+    named = materialize(wanted.join(classes, "cls").select("cls", "doc_id", "sig"))
+    among = IdFilter.of(named, "doc_id")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(wanted.select(batches, "doc_id")):
+        for batch in small_batches(among.select(batches, "doc_id"), limit=2 << 20):
             sets = shingle_sets(batch.column("text"), width)
-            yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()),
-                                              pa.array([s.tobytes() for s in sets], pa.binary())], ["sig", "tokens"])
-
-    sets = src.mapInArrow(make, "sig binary, tokens binary").join(named.select("cls", "sig"), "sig")
-    sets = written(sets.select("cls", "tokens").dropDuplicates(["cls"]), "sets", compression="lz4")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                ok.append(rule.den * shared >= rule.num * (len(x) + len(y) - shared))
-            keep = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["u", "v"])
+            tokens = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([_digest(s) for s in sets], pa.binary()),
+                 pa.ListArray.from_arrays(np.cumsum([0] + [len(s) for s in sets]).astype(np.int32), pa.array(tokens))], ["sig", "tokens"])
+
+    found = texts_of(docs, id_col, text_col).mapInArrow(make, "sig binary, tokens array<bigint>")
+    return written(found.join(named.select("cls", "sig"), "sig").dropDuplicates(["sig"]).select("cls", "tokens"), "sets", compression="lz4")
 
+
+def _verified(pairs: DataFrame, sets: DataFrame, rule: _Rule) -> DataFrame:
+    """The pairs (a, b) that link, as (u, v)."""
     both = (pairs.join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("y")), "b")
             .join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("x")), "a"))
-    return materialize(both.select("a", "b", "x", "y").mapInArrow(check, "u bigint, v bigint"))
+    shared = F.size(F.array_intersect("x", "y")).cast("bigint")
+    union = F.size("x") + F.size("y") - shared
+    return materialize(both.where(shared * rule.den >= union * rule.num).select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+
+def _resolve(pairs: DataFrame, links: DataFrame | None, sets: DataFrame, rule: _Rule, stars: int) -> DataFrame:
+    """``links`` and what the pairs add to its components.  In each of the
+    first rounds every class is tried with its smallest partner only; the
+    pairs still between two components are all tried at the end."""
+    rest = pairs
+    for star in [True] * stars + [False]:
+        picked = materialize(rest.groupBy("b").agg(F.min("a").alias("a")).select("a", "b") if star else rest)
+        good = _verified(picked, sets, rule)
+        links = good if links is None else materialize(links.unionByName(good))
+        if star:
+            label = components(links)
+            side = lambda c: label.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+            rest = (rest.join(picked, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
+                    .where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b"))
+            rest = materialize(rest)
+            if rest.isEmpty():
+                break
+    return links
 
 
 def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, rare: int = RARE, stars: int = 2,
@@ -316,34 +329,27 @@ def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int
     candidates = token_candidates(windows, rule, rare)
     modes, combos = _combinations(candidates, rule)
 
-    verify = lambda pairs: _verified(pairs, classes, docs, width, rule, id_col, text_col)
-    centre = combos.groupBy("t1", "t2").agg(F.min(F.struct(F.lit(0), "cls", "size")).alias("c"))
+    centre = combos.groupBy("t1", "t2").agg(F.min(F.struct("cls", "size")).alias("c"))
     star = (combos.join(centre, ["t1", "t2"]).where("cls <> c.cls").where(_near(F.col("size"), F.col("c.size"), rule))
             .select(F.least("cls", "c.cls").alias("a"), F.greatest("cls", "c.cls").alias("b")))
     tried = materialize(_pairs(candidates, modes, rule).unionByName(star).distinct())
-    links = verify(tried)
-    for last in [False] * (stars - 1) + [True]:
-        label = components(links)
-        open_ = (combos.join(label, combos["cls"] == label["node"], "left")
-                 .select("t1", "t2", "cls", "size", "extended", F.coalesce("component", "cls").alias("comp")))
-        split = (open_.groupBy("t1", "t2").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-                                              F.min(F.struct("comp", "cls", "size")).alias("c")).where("lo < hi"))
-        open_ = materialize(open_.join(split.select("t1", "t2", "c"), ["t1", "t2"]))
-        if not last:
-            pairs = open_.where("comp <> c.comp").where(_near(F.col("size"), F.col("c.size"), rule)).select(
-                F.least("cls", "c.cls").alias("a"), F.greatest("cls", "c.cls").alias("b"))
-        else:
-            # whatever is still apart meets member by member
-            x, y = open_.alias("x"), open_.alias("y")
-            pairs = (x.join(y, (F.col("x.t1") == F.col("y.t1")) & (F.col("x.t2") == F.col("y.t2"))
-                            & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.comp") != F.col("y.comp"))
-                            & (F.col("x.extended") | F.col("y.extended"))
-                            & _near(F.col("x.size"), F.col("y.size"), rule))
-                     .select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")))
-        fresh = materialize(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
-        if not fresh.isEmpty():
-            links = materialize(links.unionByName(verify(fresh)))
-            tried = materialize(tried.unionByName(fresh))
+    wanted = tried.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(combos.select("cls")).distinct()
+    sets = _sets(wanted, classes, docs, width, id_col, text_col)
+    links = _resolve(tried, None, sets, rule, stars)
+    # classes of a combination that are still apart meet member by member
+    label = components(links)
+    open_ = (combos.join(label, combos["cls"] == label["node"], "left")
+             .select("t1", "t2", "cls", "size", "extended", F.coalesce("component", "cls").alias("comp")))
+    split = open_.groupBy("t1", "t2").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("t1", "t2")
+    open_ = materialize(open_.join(split, ["t1", "t2"]))
+    x, y = open_.alias("x"), open_.alias("y")
+    fresh = (x.join(y, (F.col("x.t1") == F.col("y.t1")) & (F.col("x.t2") == F.col("y.t2"))
+                    & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.comp") != F.col("y.comp"))
+                    & (F.col("x.extended") | F.col("y.extended")) & _near(F.col("x.size"), F.col("y.size"), rule))
+             .select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct())
+    fresh = materialize(fresh.join(tried, ["a", "b"], "left_anti"))
+    if not fresh.isEmpty():
+        links = _resolve(fresh, links, sets, rule, stars)
     label = components(links)
     member = (rows.select("rid", "doc_id", "n_shingles", "sig").join(classes.select("sig", "cls"), "sig", "left")
               .join(label.withColumnRenamed("node", "cls"), "cls", "left")
