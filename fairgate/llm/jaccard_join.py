@@ -50,7 +50,7 @@ from .graph import components
 from .idfilter import IdFilter
 from .textutil import hash_strings, mix64, small_batches, texts_of, words_of, written
 
-RARE = 32
+RARE = 8
 SPARE = 16                 # tokens of a window beyond the extended prefix
 TOKEN = np.uint64((1 << 48) - 1)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5,
@@ -333,7 +333,8 @@ def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int
     star = (combos.join(centre, ["t1", "t2"]).where("cls <> c.cls").where(_near(F.col("size"), F.col("c.size"), rule))
             .select(F.least("cls", "c.cls").alias("a"), F.greatest("cls", "c.cls").alias("b")))
     tried = materialize(_pairs(candidates, modes, rule).unionByName(star).distinct())
-    wanted = tried.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(combos.select("cls")).distinct()
+    wanted = (tried.select(F.col("a").alias("cls")).distinct().unionByName(tried.select(F.col("b").alias("cls")).distinct())
+              .unionByName(combos.select("cls").distinct()).distinct())
     sets = _sets(wanted, classes, docs, width, id_col, text_col)
     links = _resolve(tried, None, sets, rule, stars)
     # classes of a combination that are still apart meet member by member

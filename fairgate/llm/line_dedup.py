@@ -63,7 +63,7 @@ def _words(lines: list[bytes]) -> int:
     return sum(len(x.split()) for x in lines)
 
 
-def line_dedup(docs: DataFrame, window: int = 2, density: float = 0.85, long_words: int = 16, min_words: int = 6,
+def line_dedup(docs: DataFrame, window: int = 2, density: float = 0.85, long_words: int = 16, min_words: int = 3,
                passage_words: int = 50, id_col: str = "doc_id", text_col: str = "text", removed_col: str = "lines_removed") -> DataFrame:
     """``docs`` with the repeated blocks gone from the text column, and the
     number of lines removed beside it (``removed_col``)."""
