@@ -33,7 +33,7 @@ from .textutil import unused
 TOKEN = r"[^\x20\x09-\x0D]+"
 LEVELS = ("domain", "lang", "source")
 NONE = "none"
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 BROADCAST_LEAVES = 100_000      # checked before the leaf table is broadcast
 
 
