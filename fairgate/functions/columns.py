@@ -22,6 +22,7 @@ def to_long(df: DataFrame, columns: Sequence[str], value_type: str = "string",
             + [T.StructField(name, T.StringType()),
                T.StructField(value, T.DataType.fromDDL(value_type))])
         return df.sparkSession.createDataFrame([], schema)
+    df = nan_as_null(df)
     return df.select(*[q(i) for i in ids],
                      stack([(F.lit(c), q(c).cast(value_type)) for c in columns], [name, value]))
 
@@ -55,15 +56,10 @@ def stack(rows, names) -> Column:
     return F.stack(F.lit(len(rows)), *flat).alias(*names)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """For CPU-heavy row work (regex over long texts): when the input comes
-    from fewer files than the cluster has cores (a small table whose scan
-    yields one or two splits), round-robin the rows over all cores first.
-    Decided from file metadata only (nothing is executed), and a no-op for
-    lake-sized inputs, which come from many files and already have many
-    splits; the extra shuffle is bounded by a few files' worth of data."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    n_files = len(df.inputFiles())
-    if 0 < n_files < cores:
-        return df.repartition(cores)
-    return df
+def nan_as_null(df: DataFrame) -> DataFrame:
+    """The one NaN rule on entry: NaN in a float column is a missing value
+    (NULL), for every check alike.  One projection, merged into the scan."""
+    floats = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+    if not floats:
+        return df
+    return df.select(*[F.when(~F.isnan(q(c)), q(c)).alias(c) if c in floats else q(c) for c in df.columns])

@@ -38,35 +38,66 @@ def chi2_sf(x: float, dof: int) -> float:
     return min(1.0, total)
 
 
+LARGE = 50_000.0           # shape beyond which the uniform expansion takes over
+MOST_STEPS = 2_500         # of the series or the continued fraction
+
+
+def _log_gamma(s: Column) -> Column:
+    """ln Gamma(s) for s > 0: Stirling's series at s + 10 or more, brought
+    back by the recurrence for small s."""
+    low = s < 10
+    x = F.when(low, s + 10).otherwise(s)
+    i = 1.0 / x
+    stirling = (x - 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + i / 12 - i ** 3 / 360 + i ** 5 / 1260 - i ** 7 / 1680
+    back = F.aggregate(F.array(*[F.lit(float(k)) for k in range(10)]), F.lit(0.0), lambda acc, k: acc + F.log(s + k))
+    return F.when(low, stirling - back).otherwise(stirling)
+
+
+def _upper_gamma(s: Column, y: Column) -> Column:
+    """Q(s, y) for 0 < s <= LARGE, y > 0: 1 minus the lower series below
+    s + 1, the continued fraction (modified Lentz) above, where no digits are
+    lost however small the tail.  The steps are bounded."""
+    front = F.exp(s * F.log(y) - y - _log_gamma(s))
+    steps = F.least(F.lit(MOST_STEPS), F.ceil(F.lit(60.0) + 10.0 * F.sqrt(s)).cast("int"))
+    one = F.lit(1.0)
+    series = F.aggregate(
+        F.sequence(F.lit(1), steps), F.struct((one / s).alias("t"), (one / s).alias("sum")),
+        lambda a, n: F.struct((a["t"] * y / (s + n)).alias("t"), (a["sum"] + a["t"] * y / (s + n)).alias("sum")), lambda a: a["sum"])
+    b0 = y + 1.0 - s
+    start = F.struct(b0.alias("b"), F.lit(1e300).alias("c"), (one / b0).alias("d"), (one / b0).alias("h"))
+
+    def lentz(a: Column, n: Column) -> Column:
+        an, b = -n * (n - s), a["b"] + 2.0
+        d, c = one / (an * a["d"] + b), b + an / a["c"]
+        return F.struct(b.alias("b"), c.alias("c"), d.alias("d"), (a["h"] * d * c).alias("h"))
+
+    fraction = F.aggregate(F.sequence(F.lit(1), steps), start, lentz, lambda a: a["h"])
+    return F.when(y < s + 1.0, 1.0 - front * series).otherwise(front * fraction)
+
+
+def _upper_gamma_large(s: Column, y: Column) -> Column:
+    """Q(s, y) for large s: the uniform expansion about the normal tail."""
+    m = y / s - 1.0
+    half = F.greatest(m - F.log1p(m), F.lit(0.0))            # eta^2 / 2
+    eta = F.signum(m) * F.sqrt(2.0 * half)
+    near = F.abs(eta) < 0.01
+    c0 = F.when(near, -1 / 3 + eta / 12 - eta ** 2 * (2 / 135) + eta ** 3 / 864).otherwise(F.try_divide(F.lit(1.0), m) - F.try_divide(F.lit(1.0), eta))
+    c1 = F.when(near, F.lit(-1 / 540) - eta / 288).otherwise(
+        F.try_divide(F.lit(1.0), eta ** 3) - F.try_divide(F.lit(1.0), m ** 3) - F.try_divide(F.lit(1.0), m ** 2) - F.try_divide(F.lit(1 / 12), m))
+    z = s * half                                              # erfc(sqrt z) = Q(1/2, z)
+    tail = F.when(z > 0, _upper_gamma(F.lit(0.5), z)).otherwise(F.lit(1.0))
+    normal = F.when(eta >= 0, 0.5 * tail).otherwise(1.0 - 0.5 * tail)
+    return normal + F.exp(-z) / F.sqrt(2 * math.pi * s) * (c0 + c1 / s)
+
+
 def chi2_p_value(chi2: Column, dof: Column) -> Column:
-    """Upper chi-square tail Q(dof/2, x/2) as a JVM-side expression (no
-    Python worker): 1 - P with the series
-    P(s, y) = sum_n exp(-y + (s+n) ln y - lnGamma(s+n+1)), summed in log
-    space with lnGamma built up incrementally from lnGamma(s+1) (s is an
-    integer or a half-integer).  Enough terms are taken to pass the mode;
-    far in the tail (y > s + 40 sqrt(s+1) + 40) Q is 0 to double precision.
-    """
-    s = dof.cast("double") / 2.0
-    y = chi2.cast("double") / 2.0
-    fl = F.floor(s)
-    # lnGamma(s + 1) = sum_{j=1..floor(s)} ln(s - j + 1) [+ ln Gamma(3/2) for half-integers]
-    lg_s1 = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(fl, F.lit(1)).cast("int")), F.lit(0.0),
-        lambda a, j: a + F.when(j <= fl, F.log(s - j + 1)).otherwise(F.lit(0.0))
-    ) + F.when(s - fl > 0, F.lit(math.log(math.sqrt(math.pi) / 2.0))).otherwise(F.lit(0.0))
-    n_terms = (F.lit(200) + F.lit(2) * F.ceil(y)).cast("int")
-    start = F.struct(lg_s1.alias("lg"), F.lit(0.0).alias("acc"))
-
-    def step(state, n):
-        lg = F.when(n == 0, state["lg"]).otherwise(state["lg"] + F.log(s + n))
-        term = F.exp(-y + (s + n) * F.log(y) - lg)
-        return F.struct(lg.alias("lg"), (state["acc"] + term).alias("acc"))
-
-    lower = F.aggregate(F.sequence(F.lit(0), n_terms), start, step, lambda st: st["acc"])
+    """Upper chi-square tail Q(dof/2, chi2/2) as a JVM-side expression (no
+    Python worker), in a bounded number of steps for any size."""
+    s, y = dof.cast("double") / 2.0, chi2.cast("double") / 2.0
+    p = F.when(s > LARGE, _upper_gamma_large(s, y)).otherwise(_upper_gamma(F.least(s, F.lit(LARGE)), y))
     return (F.when(chi2.isNull() | dof.isNull(), F.lit(None).cast("double"))
             .when((dof <= 0) | (chi2 <= 0), F.lit(1.0))
-            .when(y > s + F.lit(40.0) * F.sqrt(s + 1) + F.lit(40.0), F.lit(0.0))
-            .otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.lit(1.0) - lower))))
+            .otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), p))))
 
 
 def kolmogorov_p_value(d: Column, n1: Column, n2: Column, terms: int = 100) -> Column:

@@ -12,7 +12,7 @@ from typing import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import q, stack
+from ..functions.columns import nan_as_null, q, stack
 from ..spec import DatasetSpec, columns_of
 from .profile import numeric_as_text
 
@@ -32,6 +32,7 @@ def expectations(df: DataFrame, spec: DatasetSpec | None = None,
     * F6 'Row count valid' between the bounds (upper bound None = no bound;
       the reference's 2 x rows bound can only fail on an empty table)
     """
+    df = nan_as_null(df)
     cols = set(df.columns)
     aggs, rows = [F.count(F.lit(1)).alias("_rows")], []
     null_str = F.lit(None).cast("string")
@@ -93,12 +94,11 @@ def expectation_summary(results: DataFrame) -> DataFrame:
         (F.col("passed") == F.col("total")).alias("success"))
 
 
-def schema_validation(df: DataFrame, sample_n: int | None = None,
-                      order_by: Sequence[str] = (), nat: DataFrame | None = None) -> DataFrame:
+def schema_validation(df: DataFrame, nat: DataFrame | None = None) -> DataFrame:
     """Status WARNING when any text column holds only numbers (F9),
     else PASS; ``issues`` lists '<col>: numeric data stored as string'.
     ``nat`` may pass a ready F9 table (the audit computes it once)."""
-    nat = nat if nat is not None else numeric_as_text(df, sample_n=sample_n, order_by=order_by)
+    nat = nat if nat is not None else numeric_as_text(df)
     issues = nat.where(F.col("numeric_as_text")).select(
         F.format_string("%s: numeric data stored as string", F.col("column")).alias("issue"))
     return issues.agg(F.array_sort(F.collect_list("issue")).alias("issues")).select(

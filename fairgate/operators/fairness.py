@@ -13,8 +13,9 @@ from typing import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.columns import q, ratio, ratio_or_zero, stack
+from ..functions.columns import nan_as_null, q, ratio, ratio_or_zero, stack
 from ..spec import Thresholds
 from .ordering import shared
 
@@ -69,10 +70,12 @@ def confusion_counts(df: DataFrame, y_true: str, y_pred: str,
                      attributes: Sequence[str], positive=1) -> DataFrame:
     """(attribute, group, n, correct, tp, fp, fn, pred_pos); rows with a NULL
     label, prediction or group are left out."""
+    df = nan_as_null(df)
+    as_label = lambda c: q(c).cast("int") if isinstance(df.schema[c].dataType, T.BooleanType) else q(c)
     long = (df.where(q(y_true).isNotNull() & q(y_pred).isNotNull())
             .select(stack([(F.lit(a), q(a).cast("string")) for a in attributes],
                           ["attribute", "group"]),
-                    q(y_true).alias("_t"), q(y_pred).alias("_p"))
+                    as_label(y_true).alias("_t"), as_label(y_pred).alias("_p"))
             .where(F.col("group").isNotNull()))
     t_pos, p_pos = F.col("_t") == positive, F.col("_p") == positive
     return long.groupBy("attribute", "group").agg(

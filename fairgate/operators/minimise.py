@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import q
+from ..functions.columns import nan_as_null, q
 from ..spec import DatasetSpec, is_numeric, is_temporal, is_text, normalise
 from .encode import as_label_text, as_number, label_codes
 from .ordering import shared
@@ -61,9 +61,8 @@ class ForestParams:
     """The reference's forest: 100 trees, depth 10, seed 42.  The rest are
     execution settings: node-id caching and a larger per-pass node budget
     cut the number of passes over the data for deep trees; training rows
-    are spread over ceil(rows / rows_per_partition) partitions, at most the
-    shuffle-partition count (few partitions for small tables, where each
-    pass's histogram shuffle dominates; many for large ones)."""
+    are spread over ceil(rows / rows_per_partition) partitions, however many
+    that makes.  ``max_classes`` is what Spark ML can learn."""
     num_trees: int = 100
     max_depth: int = 10
     seed: int = 42
@@ -71,6 +70,7 @@ class ForestParams:
     cache_node_ids: bool = True
     max_memory_mb: int = 1024
     rows_per_partition: int = 20000
+    max_classes: int = 100
 
 
 def _forest_features(df: DataFrame, target: str) -> list[str]:
@@ -94,6 +94,7 @@ def feature_importance(df: DataFrame, target: str, params: ForestParams | None =
     from pyspark.ml.feature import VectorAssembler
 
     p = params or ForestParams()
+    df = nan_as_null(df)
     feats = _forest_features(df, target)
     texts = [c for c in feats if is_text(df.schema[c].dataType)]
     base = df.where(q(target).isNotNull())
@@ -116,8 +117,7 @@ def feature_importance(df: DataFrame, target: str, params: ForestParams | None =
                                        if stats[c] is not None else F.col(c) for c in cols])
     assembled = VectorAssembler(inputCols=cols, outputCol="_features",
                                 handleInvalid="keep").transform(filled)
-    max_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n_parts = max(1, min(max_parts, math.ceil(n_rows / p.rows_per_partition)))
+    n_parts = max(1, math.ceil(n_rows / p.rows_per_partition))
     train = (assembled.select("_label", "_features").repartition(n_parts)
              .persist(StorageLevel.MEMORY_AND_DISK))
     try:
@@ -133,6 +133,22 @@ def feature_importance(df: DataFrame, target: str, params: ForestParams | None =
             .orderBy(F.desc("importance"), "feature"))
 
 
+def importance_status(df: DataFrame, target: str, params: ForestParams | None = None) -> str | None:
+    """Why T6 cannot be computed (None: it can): looked up before training,
+    so a table that no forest can learn from does not end the run."""
+    p = params or ForestParams()
+    if target not in df.columns:
+        return "the target is no column"
+    if not _forest_features(df, target):
+        return "there is no feature column"
+    classes = nan_as_null(df).select(q(target).alias("t")).where(F.col("t").isNotNull()).distinct().limit(p.max_classes + 1).count()
+    if classes == 0:
+        return "the target has no value"
+    if classes > p.max_classes:
+        return f"the target has more than {p.max_classes} values"
+    return None
+
+
 def low_importance(importances: DataFrame, spec: DatasetSpec | None = None) -> DataFrame:
     """Features with importance below the threshold (recommended
     exclusions), most important first."""

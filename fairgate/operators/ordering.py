@@ -134,22 +134,3 @@ def rank_cut(keys: DataFrame, order: Sequence[str], n: int, by: Sequence[str] =
                           ["_one"], by, buckets)
     return (ranked.where(F.col("cum__one") <= n)
             .groupBy(*by).agg(F.max(F.struct(*order)).alias("_cut")))
-
-
-def first_n(long: DataFrame, order: Sequence[str], n: int, by: str = "column",
-            buckets: int | None = None) -> DataFrame:
-    """The first ``n`` rows of each ``by`` group in the order of
-    ``order`` (which must identify a row): the keys are ranked with the
-    bucketed global order, the per-group cut-off key (one row per group, a
-    bounded broadcast) filters the rows — no window holding a whole group in
-    one task, and the payload is never materialised."""
-    order = list(order)
-    cut = rank_cut(long, order, n, [by], buckets)
-    return (long.join(F.broadcast(cut), by)
-            .where(F.struct(*order) <= F.col("_cut")).drop("_cut"))
-
-
-def nan_to_null(c: Column | str, is_float: bool) -> Column:
-    """Double NaN is treated as NULL on entry (pandas semantics)."""
-    col = F.col(c) if isinstance(c, str) else c
-    return F.when(F.isnan(col), F.lit(None)).otherwise(col) if is_float else col

@@ -16,21 +16,18 @@ from typing import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import q, spread, stack, to_long
+from ..functions.columns import q, stack, to_long
 from ..functions.text import PII_TYPES, pii_matches, redact_step
 from ..spec import columns_of, is_text
-from .ordering import first_n
 
 
 def pii_findings(df: DataFrame, columns: Sequence[str] | None = None,
                  types: Sequence[str] | None = None,
-                 extra: Mapping[str, Callable[[Column], Column]] | None = None,
-                 sample_n: int | None = None, order_by: Sequence[str] = ()) -> DataFrame:
+                 extra: Mapping[str, Callable[[Column], Column]] | None = None) -> DataFrame:
     """Column, pii_type, n_detections, n_rows, example_hash — one row per
     (column, type) with at least one detection; ``example_hash`` is the
-    60-bit md5 prefix (hex) of one match, never the raw value.  Every value is scanned;
-    ``sample_n`` with an explicit ``order_by`` key reproduces the first-n
-    sample per column."""
+    60-bit md5 prefix (hex) of one match, never the raw value.  Every value
+    is scanned; a caller with few large files may ``repartition`` first."""
     cols = list(columns) if columns is not None else columns_of(df, "text")
     detectors: dict[str, Callable[[Column], Column]] = {
         t: (lambda c, t=t: pii_matches(c, t)) for t in (types or PII_TYPES)}
@@ -40,13 +37,7 @@ def pii_findings(df: DataFrame, columns: Sequence[str] | None = None,
         return df.sparkSession.createDataFrame(
             [], "column string, pii_type string, n_detections bigint, "
                 "n_rows bigint, example_hash string")
-    if sample_n is not None and not order_by:
-        raise ValueError("sample_n needs an explicit order_by")
-    keys = list(order_by) if sample_n is not None else []
-    long = to_long(spread(df.select(*[q(c) for c in keys + cols])), cols, ids=keys)
-    long = long.where(F.col("value").isNotNull())
-    if sample_n is not None:
-        long = first_n(long, keys, sample_n)
+    long = to_long(df, cols).where(F.col("value").isNotNull())
     found = long.select("column", *[detectors[t](F.col("value")).alias(f"_m{i}")
                                     for i, t in enumerate(names)])
     aggs = []
@@ -83,8 +74,6 @@ def anonymize(df: DataFrame, columns: Sequence[str] | None = None,
     is needed to choose them).  Columns that are absent or not text are
     skipped; NULLs stay NULL.  Works on streaming DataFrames too."""
     wanted = set(columns) if columns is not None else None
-    if not df.isStreaming:
-        df = spread(df)
     targets = [f.name for f in df.schema.fields
                if is_text(f.dataType) and (wanted is None or f.name in wanted)]
     out = df

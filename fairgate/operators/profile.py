@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from ..functions.columns import q, ratio, round2_like_numpy, stack, to_long
 from ..functions.text import NUMERIC_TEXT_PATTERN
 from ..spec import DatasetSpec, Thresholds, columns_of
-from .ordering import count_values, exact_quantiles, first_n, shared
+from .ordering import count_values, exact_quantiles, shared
 
 
 def overview(df: DataFrame) -> DataFrame:
@@ -176,19 +176,22 @@ def duplicate_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     Exact, in two phases so that full rows are shuffled only when they may
     be copies: (1) count rows per 64-bit row hash — a row whose hash is
     unique cannot be a duplicate; (2) only rows whose hash repeats (true
-    copies plus rare collisions) are semi-joined back and grouped on their
-    full content.  The candidate hash set is usually small, so AQE
-    broadcasts it; partial aggregation collapses a hot group of copies
-    before any shuffle."""
+    copies plus rare collisions) are grouped on their full content.  The
+    repeated hashes are written first, so the semi-join has a plain shuffle
+    on both sides and Spark splits a hot hash; the grouping by content takes
+    its own partial aggregate, so copies collapse in every task before they
+    meet."""
     fields = [df.schema[c] for c in (columns or df.columns)]
     cols = [q(f.name) for f in fields]
     hashed = df.select(*cols, F.xxhash64(*[_hashable(f) for f in fields]).alias("_h"))
     per_hash = hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("_n"))
     stats = per_hash.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n_rows"),
                          F.count_if(F.col("_n") == 1).alias("_singles"))
-    repeated = per_hash.where(F.col("_n") > 1).select("_h")
+    repeated = shared(per_hash.where(F.col("_n") > 1).select("_h"))
+    # not keyed by _h: the join's partitioning does not serve this grouping,
+    # so partial counts come before its own exchange
     groups = (hashed.join(repeated, "_h", "left_semi")
-              .groupBy("_h", *cols).agg(F.count(F.lit(1)).alias("_n")))
+              .groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")))
     cand = groups.agg(F.count(F.lit(1)).alias("_groups"),
                       F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("n_duplicates"))
     # two one-row aggregates side by side: a union + one aggregate, no cross join
@@ -204,23 +207,16 @@ def duplicate_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
                       F.col("n_duplicates").cast("long").alias("n_duplicates"))
 
 
-def numeric_as_text(df: DataFrame, columns: Sequence[str] | None = None,
-                    sample_n: int | None = None, order_by: Sequence[str] = ()) -> DataFrame:
+def numeric_as_text(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """text columns whose non-NULL values all parse as numbers (pandas
-    ``to_numeric`` grammar).  Full scan by default; ``sample_n`` reproduces
-    the first-n behaviour over an explicit order.  Columns: column,
-    n_values, n_numeric, numeric_share, numeric_as_text."""
+    ``to_numeric`` grammar), by a full scan.  Columns: column, n_values,
+    n_numeric, numeric_share, numeric_as_text."""
     cols = list(columns) if columns is not None else columns_of(df, "text")
-    if sample_n is not None:
-        if not order_by:
-            raise ValueError("sample_n needs an explicit order_by")
     if not cols:
         return df.sparkSession.createDataFrame(
             [], "column string, n_values bigint, n_numeric bigint, "
                 "numeric_share double, numeric_as_text boolean")
-    long = to_long(df, cols, ids=list(order_by)).where(F.col("value").isNotNull())
-    if sample_n is not None:
-        long = first_n(long, order_by, sample_n)
+    long = to_long(df, cols).where(F.col("value").isNotNull())
     agg = long.groupBy("column").agg(
         F.count(F.lit(1)).alias("n_values"),
         F.count_if(F.col("value").rlike(NUMERIC_TEXT_PATTERN)).alias("n_numeric"))

@@ -36,12 +36,9 @@ def underrepresented_groups(df: DataFrame, spec: DatasetSpec | None = None,
     as a percentage rounded to 2 places the numpy way, is below the threshold.
     Every text column takes part.  Columns: column, group, count, percentage."""
     th = (spec or DatasetSpec(target=None)).thresholds
-    # counts feed the groups and the per-column totals: computed once
-    counts = shared(value_counts(df, columns))
-    totals = counts.groupBy("column").agg(F.sum("count").alias("_total"))
-    pct = round2_like_numpy(ratio(F.col("count"), F.col("_total")) * 100.0)
-    return (counts.join(F.broadcast(totals), "column")
-            .where(F.col("value").isNotNull())
+    total = df.count()                    # every column has the table's rows
+    pct = round2_like_numpy(ratio(F.col("count"), F.lit(total)) * 100.0)
+    return (value_counts(df, columns).where(F.col("value").isNotNull())
             .select("column", F.col("value").alias("group"), "count",
                     pct.alias("percentage"))
             .where(F.col("percentage") < th.rare_group_pct))
@@ -55,7 +52,8 @@ def _binary_target(df: DataFrame, target: str, positive_label: str | None):
         return (q(target).cast("string") == F.lit(positive_label)).cast("double")
     if is_text(dt):
         raise TypeError(f"target {target!r} is text: pass positive_label")
-    return q(target).cast("double")
+    y = q(target).cast("double")
+    return F.when(~F.isnan(y), y)
 
 
 def representation(df: DataFrame, columns: Sequence[str], target: str | None = None,
@@ -87,7 +85,11 @@ def representation_for_spec(df: DataFrame, spec: DatasetSpec) -> DataFrame:
     """A3 as the pipeline calls it: protected columns matched by name
     ('-' normalised on both sides), outcome only when the target exists."""
     cols = match_protected(df.columns, spec.protected_attributes, mode="dash")
-    return representation(df, cols, spec.target, spec, spec.positive_label)
+    # a text target without a positive label has no outcome rate
+    target = spec.target
+    if target in df.columns and is_text(df.schema[target].dataType) and spec.positive_label is None:
+        target = None
+    return representation(df, cols, target, spec, spec.positive_label)
 
 
 def outcome_rate_by_group(df: DataFrame, target: str, columns: Sequence[str],

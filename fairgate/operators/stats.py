@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import q, ratio, stack
+from ..functions.columns import nan_as_null, q, ratio, stack
 from ..functions.pvalues import chi2_p_value
 from ..spec import DatasetSpec, is_text, matches_by_attribute
 from .ordering import shared
@@ -36,6 +36,7 @@ def pair_counts(df: DataFrame, pairs: Sequence[tuple[str, str, str]]) -> DataFra
     kept here (callers decide) so that distinct counts stay exact."""
     if not pairs:
         raise ValueError("no pairs to count")
+    df = nan_as_null(df)
     long = df.select(stack([(F.lit(name), q(a).cast("string"), q(b).cast("string"))
                             for name, a, b in pairs], ["column", "a", "b"]))
     return long.groupBy("column", "a", "b").agg(F.count(F.lit(1)).alias("n"))
@@ -69,7 +70,8 @@ def chi2_tests(counts: DataFrame, keys: Sequence[str] = ("column",)) -> DataFram
     # rs/cs hold one row per test: bounded by the number of tests.
     cells = (c.join(R, keys + ["a"]).join(C, keys + ["b"])
              .join(F.broadcast(rs.select(*keys, "_N")), keys))
-    e = F.col("_R") * F.col("_C") / F.col("_N")
+    # doubles: the product of two margins leaves 64 bits at a few billion rows
+    e = F.col("_R").cast("double") * F.col("_C").cast("double") / F.col("_N")
     dev = F.abs(F.col("n") - e)
     per_test = cells.groupBy(*keys).agg(
         F.sum(dev * dev / e).alias("_nz"),
@@ -80,7 +82,7 @@ def chi2_tests(counts: DataFrame, keys: Sequence[str] = ("column",)) -> DataFram
     n_dec = F.col("_N").cast(DEC)
     empty_mass = (n_dec * n_dec - F.col("_rc")).cast("double") / F.col("_N")
     yates = (F.pow(F.greatest(F.col("_dev") - 0.5, F.lit(0.0)), 2)
-             * F.col("_N") * F.col("_inv_r") * F.col("_inv_c"))
+             * F.col("_N").cast("double") * F.col("_inv_r") * F.col("_inv_c"))
     chi2 = (F.when(dof == 0, F.lit(0.0))
             .when(dof == 1, yates)
             .otherwise(F.col("_nz") + empty_mass))
@@ -102,13 +104,24 @@ def _missing(df: DataFrame, name: str) -> F.Column:
     return c.isNull()
 
 
-def null_flag_counts(df: DataFrame, target: str) -> DataFrame:
+def missingness_testable(df: DataFrame, target: str, spec: DatasetSpec | None = None) -> bool:
+    """T2's gate, before anything is counted per target value: a text target,
+    or one of fewer than ``missingness_max_target_values`` values."""
+    limit = (spec or DatasetSpec(target=target)).thresholds.missingness_max_target_values
+    if is_text(df.schema[target].dataType):
+        return True
+    return df.where(~_missing(df, target)).select(q(target)).distinct().limit(limit).count() < limit
+
+
+def null_flag_counts(df: DataFrame, target: str, by_value: bool = True) -> DataFrame:
     """(column, a, b, n) for every column except the target: a = 1 when the
-    value is missing, b = the target as text (NULL when missing).  One scan
-    of the table, computed once; it feeds the missingness tests (T2), the
-    missing-cell total (P3) and the null expectations (F2, F6)."""
+    value is missing, b = the target as text (NULL when missing; one constant
+    unless ``by_value``).  One scan of the table, computed once; it feeds the
+    missingness tests (T2), the missing-cell total (P3) and the null
+    expectations (F2, F6)."""
     cols = [c for c in df.columns if c != target]
-    b = F.when(_missing(df, target), F.lit(None)).otherwise(q(target)).cast("string")
+    value = q(target).cast("string") if by_value else F.lit("any")
+    b = F.when(~_missing(df, target), value)
     long = df.select(stack([(F.lit(c), _missing(df, c).cast("int")) for c in cols],
                            ["column", "a"]), b.alias("b"))
     return shared(long.groupBy("column", "a", "b").agg(F.count(F.lit(1)).alias("n")))
@@ -132,16 +145,17 @@ def missingness_bias(df: DataFrame, target: str, spec: DatasetSpec | None = None
     if not cols:
         return _empty_findings(df, ["column string", "chi2 double",
                                     "p_value double", "mechanism string"])
-    target_text = is_text(df.schema[target].dataType)
+    # a ready table was counted by the target's values only behind this gate
+    if counts is None and not missingness_testable(df, target, spec):
+        return _empty_findings(df, ["column string", "chi2 double",
+                                    "p_value double", "mechanism string"])
     counts = counts if counts is not None else null_flag_counts(df, target)
     if columns is not None:
         counts = counts.where(F.col("column").isin(cols))
     nulls = counts.groupBy("column").agg(
         F.sum(F.when(F.col("a") == 1, F.col("n")).otherwise(0)).alias("_nulls"))
     tests = chi2_tests(counts).join(F.broadcast(nulls), "column")
-    gate = F.lit(True) if target_text else (
-        F.col("n_cols") < th.missingness_max_target_values)
-    return (tests.where((F.col("_nulls") > 0) & gate & (F.col("p_value") < th.p_value))
+    return (tests.where((F.col("_nulls") > 0) & (F.col("p_value") < th.p_value))
             .select("column", "chi2", "p_value", F.lit("MNAR").alias("mechanism")))
 
 
@@ -160,10 +174,11 @@ def disparity_tests(df: DataFrame, target: str, spec: DatasetSpec,
     counts = shared(pair_counts(df, pairs))
     groups = (counts.where(F.col("a").isNotNull()).select("column", "a").distinct()
               .groupBy("column").agg(F.count(F.lit(1)).alias("_groups")))
-    tests = chi2_tests(counts).join(F.broadcast(groups), "column")
-    return (tests.where(F.col("_groups") <= th.disparity_max_groups)
-            .select("column", "chi2", "dof", "p_value",
-                    (F.col("p_value") < th.p_value).alias("significant")))
+    few = shared(groups.where(F.col("_groups") <= th.disparity_max_groups).select("column"))
+    # columns over the limit leave before the test (``not_tested`` names them)
+    tests = chi2_tests(counts.join(F.broadcast(few), "column"))
+    return tests.select("column", "chi2", "dof", "p_value",
+                        (F.col("p_value") < th.p_value).alias("significant"))
 
 
 def statistical_disparities(df: DataFrame, target: str, spec: DatasetSpec,

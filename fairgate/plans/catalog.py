@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import representation as rep
 from ..operators import stats
+from ..operators import untested
 from ..sources import fixtures as fx
 from ..sources.readers import table
 from ..spec import DatasetSpec
@@ -907,11 +908,6 @@ def _class_sql(cols, spec):
             + ", ".join(rows) + ")")
 
 
-@register("feature_class_orders", _class_sql(GOV_COLS, GOV_SPEC))
-def q_feature_class_orders(spark, sf_dir):
-    return mini.classify_features(governed_orders(spark, sf_dir), GOV_SPEC)
-
-
 @register("minimal_orders_protected_only", f"""
 WITH j AS ({ORDERS_SEGMENT_SQL})
 SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority, is_filled FROM j
@@ -923,19 +919,6 @@ def q_minimal_orders_protected_only(spark, sf_dir):
     return minimal
 
 
-@register("exclusion_log_orders_protected_only", """
-SELECT * FROM (VALUES ('c_mktsegment', 'Protected attribute', 'Art. 9 (Special categories), Art. 5(1)(c)'),
-                      ('c_nationkey', 'Protected attribute', 'Art. 9 (Special categories), Art. 5(1)(c)'))
-  AS t(feature, reason, regulation)
-WHERE EXISTS (SELECT 1 FROM orders)
-""")
-def q_exclusion_log_orders_protected_only(spark, sf_dir):
-    df = governed_orders(spark, sf_dir)
-    _, log = mini.create_minimal_dataset(df, mini.classify_features(df, GOV_SPEC), GOV_SPEC,
-                                         importances=None)
-    return log
-
-
 LINE_SPEC = DatasetSpec(target="l_returnflag", protected_attributes=("l_linestatus",))
 
 
@@ -951,23 +934,6 @@ def q_feature_importance_lineitem(spark, sf_dir):
     return _lineitem_forest(spark, sf_dir)
 
 
-@register("low_importance_lineitem")
-def q_low_importance_lineitem(spark, sf_dir):
-    return mini.low_importance(_lineitem_forest(spark, sf_dir), LINE_SPEC)
-
-
-@register("minimisation_report_orders", f"""
-SELECT COUNT(*) FILTER (WHERE class = 'essential') AS essential_features_count,
-       COUNT(*) FILTER (WHERE class = 'prohibited') AS prohibited_features_count,
-       COUNT(*) FILTER (WHERE class = 'optional') AS optional_features_count,
-       CAST(0 AS BIGINT) AS recommended_exclusions_count
-FROM ({_class_sql(GOV_COLS, GOV_SPEC)})
-""")
-def q_minimisation_report_orders(spark, sf_dir):
-    df = governed_orders(spark, sf_dir)
-    return mini.minimisation_report(mini.classify_features(df, GOV_SPEC), None)
-
-
 @register("selected_features_customer", """
 SELECT c_custkey, c_acctbal FROM customer
 """)
@@ -1224,7 +1190,7 @@ def q_streaming_redaction_documents(spark, sf_dir):
     return spark.read.parquet(out)
 
 
-# -- A12, L5: means and first-n samples ------------------------------------------------------
+# -- A12: means -----------------------------------------------------------------------------
 
 @register("column_means_lineitem", _union_sql(LINE_NUM, """
 SELECT '{c}' AS "column", ROUND(AVG({c}), 6) AS mean FROM lineitem"""))
@@ -1233,36 +1199,6 @@ def q_column_means_lineitem(spark, sf_dir):
     return out.select("column", r6("mean").alias("mean"))
 
 
-@register("numeric_as_text_events_first100", f"""
-WITH e AS ({EVENTS_K_SQL}),
-l AS ({_union_sql(["event_type", "props", "k_text"], "SELECT '{c}' AS \"column\", event_id, {c} AS v FROM e WHERE {c} IS NOT NULL")}),
-f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY event_id) AS rn FROM l) WHERE rn <= 100)
-SELECT "column", COUNT(v) AS n_values,
-       COUNT(*) FILTER (WHERE regexp_matches(v, '{NUMERIC_TEXT_SQL}')) AS n_numeric,
-       ROUND(COUNT(*) FILTER (WHERE regexp_matches(v, '{NUMERIC_TEXT_SQL}')) / COUNT(v), 6) AS numeric_share,
-       COUNT(v) > 0 AND COUNT(*) FILTER (WHERE regexp_matches(v, '{NUMERIC_TEXT_SQL}')) = COUNT(v) AS numeric_as_text
-FROM f GROUP BY "column"
-""")
-def q_numeric_as_text_events_first100(spark, sf_dir):
-    """F9 with the reference's first-100 sample (explicit order: event_id)."""
-    out = prof.numeric_as_text(events_with_k(spark, sf_dir), sample_n=100, order_by=["event_id"])
-    return out.select("column", "n_values", "n_numeric",
-                      r6("numeric_share").alias("numeric_share"), "numeric_as_text")
-
-
-def _pii_first_n_sql(n: int) -> str:
-    full = pii_findings_sql("(SELECT * FROM (SELECT *, row_number() OVER (ORDER BY doc_id) AS rn "
-                            f"FROM documents) WHERE rn <= {n})", ["text"])
-    return full
-
-
-@register("pii_findings_documents_first50", _pii_first_n_sql(50))
-def q_pii_findings_documents_first50(spark, sf_dir):
-    """X3's walk-through sample: first 50 non-NULL texts by doc_id."""
-    return pii.pii_findings(table(spark, sf_dir, "documents"), ["text"], sample_n=50,
-                            order_by=["doc_id"])
-
-
 @register("low_importance_orders")
 def q_low_importance_orders(spark, sf_dir):
     """T7 where the forest finds something: ``o_orderstatus`` decides
@@ -1281,3 +1217,67 @@ def q_drift_status_lineitem_returnflag(spark, sf_dir):
     cur = li.where(F.col("l_returnflag") == "A").select(*LINE_NUM)
     ref = li.where(F.col("l_returnflag") == "R").select(*LINE_NUM)
     return assoc.drift_status(assoc.ks_drift(cur, ref))
+
+
+# -- checks of the second round ------------------------------------------------------------
+
+@register("csv_roundtrip_documents", """
+SELECT doc_id, md5(text) AS text_md5, lang, source, n_chars FROM documents
+""")
+def q_csv_roundtrip_documents(spark, sf_dir):
+    """S4 then S1 on texts with quotes, commas, line ends and backslashes."""
+    path = stream_redact.scratch_dir(spark, "documents-csv")
+    sinks.write_csv(table(spark, sf_dir, "documents"), path)
+    out = readers.read_csv(spark, path)
+    return out.select("doc_id", F.md5("text").alias("text_md5"), "lang", "source", "n_chars")
+
+
+NOT_TESTED_SPEC = DatasetSpec(target="n_chars", protected_attributes=("text", "source", "kind"))
+
+
+@register("not_tested_documents", """
+WITH d AS (SELECT COUNT(DISTINCT n_chars) AS n, COUNT(DISTINCT text) AS t, COUNT(DISTINCT source) AS s, COUNT(*) AS r FROM documents)
+SELECT * FROM (
+  SELECT 'missingness' AS "check", 'n_chars' AS "column", 'not_tested' AS status, 'the target has 10 values or more' AS reason FROM d WHERE n >= 10
+  UNION ALL SELECT 'disparity', 'text', 'not_tested', 'more than 20 groups' FROM d WHERE t > 20
+  UNION ALL SELECT 'disparity', 'source', 'not_tested', 'more than 20 groups' FROM d WHERE s > 20
+  UNION ALL SELECT 'proxies', 'kind', 'not_tested', 'fewer than two values' FROM d)
+""")
+def q_not_tested_documents(spark, sf_dir):
+    """Skipped T2, T4 and T5 tests leave a row with the reason."""
+    df = table(spark, sf_dir, "documents").withColumn("kind", F.lit("one"))
+    return untested.not_tested(df, NOT_TESTED_SPEC)
+
+
+NAN_SQL = "SELECT *, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE (o_orderkey % 5)::DOUBLE END AS x FROM orders"
+
+
+@register("nan_rule_orders", f"""
+WITH j AS ({NAN_SQL}),
+g AS (SELECT x, COUNT(*) AS n FROM j WHERE x IS NOT NULL GROUP BY x)
+SELECT 'distinct' AS "check", 'x' AS "column", COUNT(DISTINCT x)::DOUBLE AS value FROM j
+UNION ALL SELECT 'expectation', 'x', (COUNT(*) - COUNT(x))::DOUBLE FROM j
+UNION ALL SELECT 'groups', 'x', COUNT(*)::DOUBLE FROM g
+UNION ALL SELECT 'largest_group', 'x', MAX(n)::DOUBLE FROM g
+UNION ALL SELECT 'cells', 'x', COUNT(*)::DOUBLE FROM (SELECT DISTINCT x, o_orderstatus FROM j WHERE x IS NOT NULL AND o_orderstatus IS NOT NULL)
+UNION ALL SELECT 'outcome_groups', 'o_orderstatus', COUNT(*)::DOUBLE FROM (SELECT o_orderstatus FROM j GROUP BY o_orderstatus HAVING AVG(x) IS NOT NULL)
+""")
+def q_nan_rule_orders(spark, sf_dir):
+    """NaN is a missing value in every family of checks (planted in x)."""
+    df = table(spark, sf_dir, "orders").withColumn(
+        "x", F.when(F.col("o_orderkey") % 7 == 0, F.lit(float("nan"))).otherwise((F.col("o_orderkey") % 5).cast("double")))
+    row = lambda check, column, tbl, value: tbl.agg(value.cast("double").alias("value")).select(
+        F.lit(check).alias("check"), F.lit(column).alias("column"), "value")
+    groups = rep.representation(df, ["x"])
+    parts = [
+        row("distinct", "x", prof.distinct_counts(df, ["x"]), F.max("n_distinct")),
+        row("expectation", "x", expect.expectations(df, DatasetSpec(target="x")).where(F.col("column") == "x"), F.max("value")),
+        row("groups", "x", groups, F.count(F.lit(1))),
+        row("largest_group", "x", groups, F.max("count")),
+        row("cells", "x", stats.pair_counts(df, [("t", "x", "o_orderstatus")]).where(F.col("a").isNotNull() & F.col("b").isNotNull()), F.count(F.lit(1))),
+        row("outcome_groups", "o_orderstatus", rep.outcome_rate_by_group(df, "x", ["o_orderstatus"]).where(~F.isnan("outcome_rate")), F.count("outcome_rate")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

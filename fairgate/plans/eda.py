@@ -25,12 +25,15 @@ class EdaFindings:
 
 
 def run_bias_eda(df: DataFrame, spec: DatasetSpec,
-                 null_counts: DataFrame | None = None) -> EdaFindings:
+                 null_counts: DataFrame | None = None,
+                 testable: bool | None = None) -> EdaFindings:
     """O3: missing attributes (X1), rare groups (A2), missingness bias (T2,
     with a target), proxies (T4), disparities (T5, only with a target).
-    Everything is lazy; nothing runs until a table is read."""
+    Shared count tables are written when this is called; the tests on them
+    run when a table is read.  ``testable``: the result of T2's gate, if known."""
     has_target = spec.target is not None and spec.target in df.columns
-    miss = (stats.missingness_bias(df, spec.target, spec, counts=null_counts) if has_target
+    has_test = has_target and (testable if testable is not None else stats.missingness_testable(df, spec.target, spec))
+    miss = (stats.missingness_bias(df, spec.target, spec, counts=null_counts) if has_test
             else df.sparkSession.createDataFrame(
                 [], "column string, chi2 double, p_value double, mechanism string"))
     return EdaFindings(

@@ -27,14 +27,17 @@ from fairgate.spec import DatasetSpec  # noqa: E402
 
 def run(spark: SparkSession, input_path: str, target: str, domain: str, out: str,
         protected: list[str] | None = None, input_format: str = "csv",
-        bias_on: str = "raw", importance: bool = True):
-    df = (readers.read_csv(spark, input_path) if input_format == "csv"
-          else spark.read.format(input_format).load(input_path))
-    spec = DatasetSpec.for_domain(domain, target, protected)
-    result = run_governance(df, spec, bias_on=bias_on, importance=importance)
+        bias_on: str = "raw", importance: bool = True, positive_label: str | None = None,
+        reference_path: str | None = None):
+    load = lambda path: (readers.read_csv(spark, path) if input_format == "csv"
+                         else spark.read.format(input_format).load(path))
+    spec = DatasetSpec.for_domain(domain, target, protected, positive_label=positive_label)
+    result = run_governance(load(input_path), spec, bias_on=bias_on, importance=importance,
+                            reference=load(reference_path) if reference_path else None)
     base = out.rstrip("/")
     sinks.write_csv(result.minimal, f"{base}/cleaned")
-    sinks.write_json_report(result.findings(), f"{base}/report")
+    tables = {name: df for name, df in result.findings().items() if name != "verdict"}
+    sinks.write_json_report(tables, f"{base}/report")
     sinks.verdict_json(result.verdict, domain).write.mode("overwrite").text(f"{base}/report/verdict")
     sinks.write_summary(result.verdict, domain, f"{base}/summary")
     return result
@@ -47,13 +50,15 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--target", required=True)
     p.add_argument("--domain", default="other")
     p.add_argument("--protected", nargs="*", default=None)
+    p.add_argument("--positive-label", default=None, help="the text target's favourable value")
+    p.add_argument("--reference", default=None, help="earlier table of the same columns, for drift")
     p.add_argument("--bias-on", default="raw", choices=["raw", "minimised"])
     p.add_argument("--no-importance", action="store_true")
     p.add_argument("--out", required=True)
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("fairgate-governance").getOrCreate()
     run(spark, a.input, a.target, a.domain, a.out, a.protected, a.format, a.bias_on,
-        not a.no_importance)
+        not a.no_importance, a.positive_label, a.reference)
 
 
 if __name__ == "__main__":

@@ -19,19 +19,21 @@ class MinimisationResult:
     importances: DataFrame | None
     feature_class: DataFrame
     report: DataFrame
+    importance_reason: str | None = None
 
 
 def run_minimisation(df: DataFrame, spec: DatasetSpec,
                      forest: minimise.ForestParams | None = None,
                      importance: bool = True, exclude_protected: bool = True,
                      exclude_low_importance: bool = True) -> MinimisationResult:
-    """O1.  Without a target column (or with ``importance=False``) no forest
+    """O1.  Without a target column (or with ``importance=False``), or when no
+    forest can learn the target (``importance_reason`` says why), no forest
     is trained and only protected columns are excluded."""
     classes = minimise.classify_features(df, spec)
-    imps = (minimise.feature_importance(df, spec.target, forest)
-            if importance and spec.target in df.columns else None)
+    reason = minimise.importance_status(df, spec.target, forest) if importance else "not asked for"
+    imps = minimise.feature_importance(df, spec.target, forest) if reason is None else None
     minimal, log = minimise.create_minimal_dataset(
         df, classes, spec, imps, exclude_protected=exclude_protected,
         exclude_low_importance=exclude_low_importance)
     report = minimise.minimisation_report(classes, imps, spec)
-    return MinimisationResult(minimal, log, imps, classes, report)
+    return MinimisationResult(minimal, log, imps, classes, report, reason)

@@ -17,6 +17,13 @@ PANDAS_NA_VALUES = [
 ]
 
 
+def _quoted(spark: SparkSession):
+    """A quote inside a quoted field is doubled, and a field may hold line
+    ends.  Such files are not split between tasks: one file is one task, so
+    large tables belong in many files, or in Parquet."""
+    return spark.read.options(quote='"', escape='"', multiLine=True)
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
              na_values: Sequence[str] = PANDAS_NA_VALUES) -> DataFrame:
     """CSV with a header row.  Without a schema the types are inferred
@@ -25,7 +32,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     all numbers double, all True/False boolean, else string.  Inference is
     one aggregate over the file (a schema-sized result reaches the driver);
     the casts are lazy."""
-    reader = spark.read.option("header", True)
+    reader = _quoted(spark).option("header", True)
     if schema is not None:
         return null_na_words(reader.schema(schema).csv(path), na_values)
     raw = null_na_words(reader.csv(path), na_values)      # every column is text
@@ -45,6 +52,7 @@ def infer_types(df: DataFrame) -> DataFrame:
         v = ref(c)
         aggs += [F.count(v).alias(f"n{i}"),
                  F.count_if(v.rlike(INTEGER_TEXT_PATTERN)).alias(f"i{i}"),
+                 F.count(F.when(v.rlike(INTEGER_TEXT_PATTERN), F.trim(v).try_cast("bigint"))).alias(f"r{i}"),
                  F.count_if(v.rlike(NUMERIC_TEXT_PATTERN)).alias(f"f{i}"),
                  F.count_if(v.isin(BOOL_WORDS)).alias(f"b{i}")]
     row = df.agg(*aggs).first()
@@ -54,7 +62,8 @@ def infer_types(df: DataFrame) -> DataFrame:
         if n == 0:
             continue
         if row[f"i{i}"] == n:
-            kinds[c] = "bigint"
+            if row[f"r{i}"] == n:
+                kinds[c] = "bigint"              # digits beyond 64 bits stay text, whole
         elif row[f"f{i}"] == n:
             kinds[c] = "double"
         elif row[f"b{i}"] == n:
@@ -80,10 +89,10 @@ INTEGER_TEXT_PATTERN = r"^[ \t]*[+-]?[0-9]+[ \t]*$"
 def read_headerless_csv(spark: SparkSession, path: str,
                         schema: T.StructType | str) -> DataFrame:
     """Headerless CSV with caller-given names and types; blanks after the
-    delimiter are skipped.  No NA words: a placeholder such as '?' stays a
-    category, as in the walk-through."""
-    return (spark.read.schema(schema).option("header", False)
-            .option("ignoreLeadingWhiteSpace", True).csv(path))
+    delimiter are skipped.  NA words become NULL; a placeholder such as '?'
+    is none of them and stays a category."""
+    raw = _quoted(spark).schema(schema).option("header", False).option("ignoreLeadingWhiteSpace", True).csv(path)
+    return null_na_words(raw)
 
 
 def null_na_words(df: DataFrame, na_values: Sequence[str] = PANDAS_NA_VALUES) -> DataFrame:

@@ -35,8 +35,10 @@ RECOMMENDATIONS: %d
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Header CSV, one file per partition."""
-    df.write.mode(mode).option("header", True).csv(path)
+    """Header CSV, one file per partition; quotes are doubled, blanks and
+    line ends kept.  An empty text is written like NULL, as pandas does."""
+    (df.write.mode(mode).options(header=True, quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace=False,
+                                 ignoreTrailingWhiteSpace=False).csv(path))
 
 
 def verdict_json(verdict: DataFrame, domain: str) -> DataFrame:

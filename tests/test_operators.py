@@ -357,13 +357,6 @@ def test_low_importance_preview(spark):
     assert [r.feature for r in minimise.top_importances(imps, 2).collect()] == ["big", "f7"]
 
 
-def test_first_n_per_group(spark):
-    rows = [(c, i, f"v{i}") for c in ("a", "b") for i in range(50)]
-    df = spark.createDataFrame(rows, "column string, k int, value string")
-    got = ordering.first_n(df, ["k"], 7).collect()
-    assert sorted((r.column, r.k) for r in got) == [(c, i) for c in ("a", "b") for i in range(7)]
-
-
 def test_streaming_pii_counts_match_batch(spark, tmp_path):
     from fairgate.streaming import redact as sr
     sf = "/root/testdata/sf0.001"
@@ -388,8 +381,6 @@ def test_empty_inputs_for_ranked_operators(spark):
     assert association.ks_drift(empty, empty, ["x"]).count() == 0
     assert encode.label_codes(empty, ["s"]).count() == 0
     assert reweight.flip_labels(empty.withColumn("y", F.lit(0)), "y", ["k"]).count() == 0
-    long = spark.createDataFrame([], "column string, k int, value string")
-    assert ordering.first_n(long, ["k"], 5).count() == 0
 
 
 def test_hot_value_holding_a_third_of_rows(spark):
@@ -486,3 +477,116 @@ def test_fused_null_counts_match_direct_scans(spark):
     a = stats.missingness_bias(df, "y", counts=counts).collect()
     b = stats.missingness_bias(df, "y").collect()
     assert a == b
+
+
+# -- second round ------------------------------------------------------------
+
+def test_chi_square_beyond_64_bits(spark):
+    n = 4_000_000_000
+    counts = spark.createDataFrame([("t", "a", "x", 2 * n), ("t", "a", "y", n), ("t", "b", "x", n), ("t", "b", "y", 2 * n)],
+                                   "column string, a string, b string, n bigint")
+    r = stats.chi2_tests(counts).first()
+    assert r.n_obs == 6 * n and r.dof == 1
+    assert r.chi2 == pytest.approx(6 * n / 9, rel=1e-6) and r.p_value == 0.0
+
+
+def test_chi2_p_value_in_the_far_tail(spark):
+    from fairgate.functions.pvalues import chi2_p_value, chi2_sf
+    cases = [(60.0, 1), (100.0, 1), (1300.0, 1), (0.3, 1), (3.84, 1), (0.001, 2), (1370.0, 2), (10.0, 7), (250.0, 200), (150.0, 200), (201.0, 200),
+             (1500.0, 400), (900.0, 999), (1100.0, 999), (2400.0, 1000), (5.0, 40), (5100.0, 5001)]
+    df = spark.createDataFrame(cases, "x double, dof bigint").withColumn("p", chi2_p_value(F.col("x"), F.col("dof")))
+    for r in df.collect():
+        assert r.p == pytest.approx(chi2_sf(r.x, r.dof), rel=1e-9), (r.x, r.dof)
+
+
+def test_chi2_p_value_with_very_many_degrees_of_freedom(spark):
+    from fairgate.functions.pvalues import chi2_p_value
+    dof = 150_000_000
+    sd = math.sqrt(2 * dof)
+    df = spark.createDataFrame([(dof + k * sd, dof) for k in (-3.0, 0.0, 2.0, 5.0)], "x double, dof bigint")
+    got = [r.p for r in df.select(chi2_p_value(F.col("x"), F.col("dof")).alias("p")).collect()]
+    # the normal tail with its first corrections for skewness
+    for p, k in zip(got, (-3.0, 0.0, 2.0, 5.0)):
+        normal = 0.5 * math.erfc(k / math.sqrt(2))
+        skew = math.sqrt(8 / dof) / 6 * (k * k - 1) * math.exp(-k * k / 2) / math.sqrt(2 * math.pi)
+        assert p == pytest.approx(normal + skew, rel=1e-5)
+    # both sides of the switch between the two forms agree
+    pair = spark.createDataFrame([(99_999.0 * 1.004, 99_999), (100_003.0 * 1.004, 100_003)], "x double, dof bigint")
+    a, b = [r.p for r in pair.select(chi2_p_value(F.col("x"), F.col("dof")).alias("p")).collect()]
+    assert a == pytest.approx(b, rel=1e-4)
+
+
+def test_csv_quotes_long_ids_and_na_words(spark, tmp_path):
+    from fairgate.sources import readers, sinks
+    path = str(tmp_path / "in.csv")
+    with open(path, "w") as f:
+        f.write('name,id,n\n"he said ""x, y"" ok",12345678901234567890123,1\n"two\nlines",2,NA\n"back\\slash",3,3\n')
+    rows = {r.n: r for r in readers.read_csv(spark, path).collect()}
+    assert rows[1].name == 'he said "x, y" ok' and rows[1].id == "12345678901234567890123"
+    assert rows[None].name == "two\nlines" and rows[3].name == "back\\slash"
+    df = spark.createDataFrame([(1, '"'), (2, ' a "b", c\n\\" '), (3, "\\"), (4, None), (5, 'x\ny,"')], "k int, t string")
+    out = str(tmp_path / "out")
+    sinks.write_csv(df, out)
+    back = readers.read_csv(spark, out, "k int, t string")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+    plain = str(tmp_path / "plain.csv")
+    with open(plain, "w") as f:
+        f.write("39, NA\n50, ?\n7, nan\n")
+    got = {r.age: r.work for r in readers.read_headerless_csv(spark, plain, "age int, work string").collect()}
+    assert got == {39: None, 50: "?", 7: None}
+
+
+def test_nan_is_missing_everywhere(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(1.0, "a"), (nan, "a"), (nan, "b"), (None, "b")], "x double, g string")
+    assert profile.distinct_counts(df, ["x"]).first().n_distinct == 1
+    assert [r.group for r in representation.representation(df, ["x"]).collect()] == ["1.0"]
+    assert {r.group: r.outcome_rate for r in representation.outcome_rate_by_group(df, "x", ["g"]).collect()} == {"a": 1.0, "b": None}
+    spec = DatasetSpec(target="x")
+    direct = {r.expectation: r.success for r in expect.expectations(df, spec).collect()}
+    fused = {r.expectation: r.success for r in expect.expectations_from_counts(stats.null_flag_counts(df, "x"), spec, df.columns).collect()}
+    assert direct == fused == {"Target not null": False, "Row count valid": True}
+
+
+def test_boolean_labels(spark):
+    from fairgate.operators import fairness
+    rows = [(True, True, "a"), (False, True, "a"), (True, False, "b"), (None, True, "b")]
+    as_bool = spark.createDataFrame(rows, "t boolean, p boolean, g string")
+    as_int = as_bool.select(F.col("t").cast("int").alias("t"), F.col("p").cast("int").alias("p"), "g")
+    got, want = ([tuple(r) for r in fairness.confusion_counts(d, "t", "p", ["g"]).orderBy("group").collect()] for d in (as_bool, as_int))
+    assert got == want
+
+
+def test_one_row_copied_very_often(spark):
+    df = spark.range(200_000).select(F.lit("same").alias("a"), F.lit(1).alias("b")).unionByName(
+        spark.range(500).select(F.col("id").cast("string").alias("a"), F.lit(2).alias("b")))
+    r = profile.duplicate_rows(df).first()
+    assert (r.n_rows, r.n_distinct, r.n_duplicates) == (200_500, 501, 199_999)
+
+
+@pytest.mark.parametrize("case", ["continuous", "empty", "text", "map"])
+def test_full_run_survives_its_input(spark, case):
+    from fairgate.plans.pipeline import run_governance
+    df = spark.range(300).select((F.col("id") * 1.5).alias("y"), (F.col("id") % 3).cast("string").alias("sex"), (F.col("id") % 11).alias("n"))
+    spec = DatasetSpec(target="y", protected_attributes=("sex",))
+    if case == "empty":
+        df = df.limit(0)
+    elif case == "text":
+        df = df.withColumn("y", F.when(F.col("n") > 3, "yes").otherwise("no"))
+    elif case == "map":
+        with pytest.raises(ValueError, match="map columns"):
+            run_governance(df.withColumn("m", F.create_map(F.lit("a"), F.lit(1))), spec)
+        return
+    result = run_governance(df, spec, importance=case != "text")
+    assert result.verdict.count() == 1
+    reasons = {(r.check, r.column) for r in result.not_tested.collect()}
+    if case != "text":
+        assert ("importance", "y") in reasons and result.feature_importance is None
+    assert (("missingness", "y") in reasons) == (case == "continuous")
+    assert all(t.count() >= 0 for t in result.findings().values())
+
+
+def test_importances_sum_to_one_and_find_the_target(spark):
+    df = spark.range(400).select((F.col("id") % 2).alias("y"), (F.col("id") % 2 * 5 + F.col("id") % 3).alias("x"), (F.col("id") % 7).alias("z"))
+    imps = minimise.feature_importance(df, "y", minimise.ForestParams(num_trees=10, max_depth=4)).collect()
+    assert sum(r.importance for r in imps) == pytest.approx(1.0) and imps[0].feature == "x"
