@@ -18,7 +18,8 @@ _SECOND = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _cells(ids: pa.Array, n_cells: int) -> tuple[np.ndarray, np.ndarray]:
-    h = hash_strings(ids.cast(pa.string()).fill_null("\0"))
+    ids = ids if pa.types.is_binary(ids.type) else ids.cast(pa.string()).cast(pa.binary())
+    h = hash_strings(ids.fill_null(b"\0"))
     return mix64(h) & np.uint64(n_cells - 1), mix64(h ^ _SECOND) & np.uint64(n_cells - 1)
 
 
@@ -57,17 +58,16 @@ class IdFilter:
             bits[at:at + SEGMENT // 8] = np.frombuffer(row["bits"], np.uint8)
         return cls(rows.sparkSession, bits)
 
-    def __getstate__(self) -> dict:
-        return self.__dict__
+    def test(self, ids: pa.Array) -> np.ndarray:
+        """Whether each id may be in the filter."""
+        bits, hit = self.bits.value, np.ones(len(ids), dtype=bool)
+        for c in _cells(ids, self.n_cells) if len(ids) else ():
+            c = c.astype(np.int64)
+            hit &= (bits[c >> 3] >> (7 - (c & 7)).astype(np.uint8) & 1).astype(bool)
+        return hit
 
     def select(self, batches: Iterator[pa.RecordBatch], id_col: str) -> Iterator[pa.RecordBatch]:
-        bits = self.bits.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            hit = np.ones(batch.num_rows, dtype=bool)
-            for c in _cells(batch.column(id_col), self.n_cells):
-                c = c.astype(np.int64)
-                hit &= (bits[c >> 3] >> (7 - (c & 7)).astype(np.uint8) & 1).astype(bool)
+            hit = self.test(batch.column(id_col))
             if hit.any():
                 yield batch.filter(pa.array(hit))

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -63,6 +64,11 @@ def _words(lines: list[bytes]) -> int:
     return sum(len(x.split()) for x in lines)
 
 
+def _alike(a: list[bytes], b: list[bytes]) -> int:
+    """Equal lines from the start."""
+    return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
 def line_dedup(docs: DataFrame, window: int = 2, density: float = 0.85, long_words: int = 16, min_words: int = 3,
                passage_words: int = 50, id_col: str = "doc_id", text_col: str = "text", removed_col: str = "lines_removed") -> DataFrame:
     """``docs`` with the repeated blocks gone from the text column, and the
@@ -92,42 +98,39 @@ def line_dedup(docs: DataFrame, window: int = 2, density: float = 0.85, long_wor
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "dig", "start")
     first = materialize(chunks.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
                         .where("n > 1").select("key", "first"))
-    # (doc, start) of every repeated chunk; of one document a bounded list
-    again = written(chunks.join(first, "key").select("doc_id", "dig", "start", "key", (place == F.col("first")).alias("stays")), "repeated")
-    lists = materialize(again.groupBy("doc_id", "dig").agg(F.collect_set("start").alias("starts")))
-    wanted = IdFilter.of(lists, "doc_id")
+    repeated = IdFilter.of(first, "key")
 
-    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return wanted.select(batches, "doc_id")
+    def bodies_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The chunks that may be repeated, with the lines before and behind."""
+        import xxhash
 
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
-            row, out = [], {k: [] for k in ("start", "end", "before", "body", "behind")}
-            for r, (text, starts) in enumerate(zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("starts").to_pylist())):
-                lines, starts = text.split(b"\n"), set(starts)
+        for batch in small_batches(batches, limit=2 << 20):
+            row, out = [], {k: [] for k in ("start", "end", "key", "before", "body", "behind")}
+            texts, found = batch.column("text").cast(pa.binary()).to_pylist(), []
+            for r, text in enumerate(texts):
+                lines = text.split(b"\n")
                 ranges = cut(lines)
-                for k, (i, j) in enumerate(ranges):
-                    if i in starts:
-                        row.append(r)
-                        out["start"].append(i)
-                        out["end"].append(j)
-                        out["before"].append(lines[ranges[k - 1][0]:i] if k else [])
-                        out["body"].append(b"\n".join(lines[i:j]))
-                        out["behind"].append(lines[j:ranges[k + 1][1]] if k + 1 < len(ranges) else [])
+                found += [(r, lines, ranges, k, xxhash.xxh3_128_digest(b"\n".join(lines[i:j]))) for k, (i, j) in enumerate(ranges)
+                          if _words(lines[i:j]) >= min_words]
+            hit = repeated.test(pa.array([f[4] for f in found], pa.binary()))
+            for (r, lines, ranges, k, key), ok in zip(found, hit):
+                if ok:
+                    i, j = ranges[k]
+                    row.append(r)
+                    for name, value in (("start", i), ("end", j), ("key", key), ("before", b"\n".join(lines[ranges[k - 1][0]:i]) if k else None),
+                                        ("body", b"\n".join(lines[i:j])),
+                                        ("behind", b"\n".join(lines[j:ranges[k + 1][1]]) if k + 1 < len(ranges) else None)):
+                        out[name].append(value)
             at = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(at), batch.column("dig").take(at), pa.array(out["start"], pa.int32()), pa.array(out["end"], pa.int32()),
-                 pa.array(out["before"], pa.list_(pa.binary())), pa.array(out["body"], pa.binary()), pa.array(out["behind"], pa.list_(pa.binary()))],
-                ["doc_id", "dig", "start", "end", "before", "body", "behind"])
-
-    some = src.mapInArrow(narrow, f"doc_id {id_type}, dig bigint, text string").dropDuplicates(["doc_id", "dig"])
-    held = some.join(lists.withColumnsRenamed({"doc_id": "_id", "dig": "_dig"}),
-                     F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("dig") == F.col("_dig"))).select("doc_id", "dig", "text", "starts")
-    bodies = held.mapInArrow(texts, f"doc_id {id_type}, dig bigint, start int, end int, before array<binary>, body binary, behind array<binary>")
-    bodies = written(bodies.join(again.withColumnsRenamed({"doc_id": "_id", "dig": "_dig", "start": "_start"}),
-                                 F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("dig") == F.col("_dig")) & (F.col("start") == F.col("_start")))
-                     .select("doc_id", "dig", "start", "end", "before", "body", "behind", "key", "stays").distinct(), "bodies")
-    kept = bodies.where("stays").select("key", F.col("before").alias("before0"), F.col("body").alias("body0"), F.col("behind").alias("behind0"))
+                [batch.column("doc_id").take(at), batch.column("dig").take(at),
+                 *[pa.array(out[k], pa.int32() if k in ("start", "end") else pa.binary()) for k in out]], ["doc_id", "dig", *out])
+
+    # only repeated chunks leave their documents; the texts themselves are not shuffled
+    bodies = written(src.mapInArrow(bodies_of, f"doc_id {id_type}, dig bigint, start int, end int, key binary, before binary, body binary, behind binary")
+                     .join(first, "key").withColumn("stays", place == F.col("first")).drop("first"), "bodies", compression="zstd")
+    kept = materialize(bodies.where("stays").dropDuplicates(["key"]).select(
+        "key", F.col("before").alias("before0"), F.col("body").alias("body0"), F.col("behind").alias("behind0")))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,16 +139,10 @@ def line_dedup(docs: DataFrame, window: int = 2, density: float = 0.85, long_wor
             for r in range(batch.num_rows):
                 if get["body"][r] != get["body0"][r]:         # only the hashes are equal
                     continue
-                up = down = 0
-                for a, b in zip(reversed(get["before"][r]), reversed(get["before0"][r])):
-                    if a != b:
-                        break
-                    up += 1
-                for a, b in zip(get["behind"][r], get["behind0"][r]):
-                    if a != b:
-                        break
-                    down += 1
-                block = get["body"][r].split(b"\n") + get["behind"][r][:down] + get["before"][r][len(get["before"][r]) - up:]
+                before, before0, behind, behind0 = ([] if get[k][r] is None else get[k][r].split(b"\n") for k in ("before", "before0", "behind", "behind0"))
+                up = _alike(before[::-1], before0[::-1])
+                down = _alike(behind, behind0)
+                block = get["body"][r].split(b"\n") + behind[:down] + before[len(before) - up:]
                 if sum(bool(x.strip()) for x in block) < 2 and _words(block) < passage_words:
                     continue
                 row.append(r)
@@ -158,12 +155,22 @@ def line_dedup(docs: DataFrame, window: int = 2, density: float = 0.85, long_wor
     gone = (bodies.where("not stays").join(kept, "key")
             .mapInArrow(compare, f"doc_id {id_type}, dig bigint, lo int, hi int")
             .groupBy("doc_id", "dig").agg(F.collect_set(F.struct("lo", "hi")).alias("gone")))
-    own, own_dig, ranges = unused(docs.columns, "own_id", "own_dig", "ranges")
+    own, own_dig, ranges, maybe = unused(docs.columns, "own_id", "own_dig", "ranges", "maybe")
     gone = materialize(gone.select(F.col("doc_id").alias(own), F.col("dig").alias(own_dig), F.col("gone").alias(ranges)))
+    changed = IdFilter.of(gone, own)
+
+    @F.pandas_udf("boolean")
+    def may_change(ids: pd.Series) -> pd.Series:
+        return pd.Series(changed.test(pa.array(list(ids), pa.string(), from_pandas=True)))
+
     text = F.col(f"`{text_col}`")
     lines = F.split(text, "\n", -1)
     left = F.filter(lines, lambda x, i: ~F.exists(ranges, lambda g: (g["lo"] <= i) & (i < g["hi"])))
-    joined = docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col(own)) & (F.xxhash64(text) == F.col(own_dig)), "left")
+    flagged = docs.withColumn(maybe, may_change(F.col(f"`{id_col}`").cast("string")))
+    some = flagged.where(F.col(maybe)).join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col(own)) & (F.xxhash64(text) == F.col(own_dig)), "left")
     edited = F.when(F.col(ranges).isNull(), text).otherwise(F.array_join(left, "\n"))
     removed = F.when(F.col(ranges).isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(left)).cast("long")
-    return joined.select(*[edited.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], removed.alias(removed_col))
+    out = some.select(*[edited.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], removed.alias(removed_col))
+    # what the filter rules out passes straight through, without a shuffle
+    same = flagged.where(~F.col(maybe)).select(*[F.col(f"`{c}`") for c in docs.columns], F.lit(0).cast("long").alias(removed_col))
+    return same.union(out)
