@@ -8,8 +8,6 @@ RE2's is ASCII, so matches next to accented letters would differ).
 
 from __future__ import annotations
 
-from typing import Sequence
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,22 +18,22 @@ NUMERIC_TEXT_PATTERN = (
     r"|[+-]?inf(inity)?)[ \t\n\r\f]*)$")
 
 # The PII catalogue, in redaction priority order.  Each entry:
-# (type, pattern, checksum).  CREDIT_CARD candidates must pass Luhn.
-PII_PATTERNS: list[tuple[str, str, str | None]] = [
-    ("IBAN_CODE", r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", None),
-    ("CREDIT_CARD", r"[0-9]([ -]?[0-9]){12,18}", "luhn"),
-    ("US_SSN", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", None),
-    ("EMAIL_ADDRESS", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", None),
-    ("URL", r"https?://[^ \t\n\r<>\"']+", None),
-    ("IP_ADDRESS", r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-                   r"(\.(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3}", None),
-    ("PHONE_NUMBER", r"(\+[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}", None),
+# type, candidate pattern, pattern of a valid candidate (None: all are),
+# checksum.  A candidate takes in the whole run of digits (or letters and
+# digits) that it stands in, so nothing is cut out of a longer number.
+_OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_PHONE = r"(\+[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}"
+PII_PATTERNS: list[tuple[str, str, str | None, str | None]] = [
+    ("IBAN_CODE", r"[A-Z]{2}[0-9]{2}( [A-Z0-9]{4}){2,7}( [A-Z0-9]{1,3})?|[A-Za-z0-9]+",
+     r"^[A-Z]{2}[0-9]{2}[A-Z0-9 ]{11,38}$", "mod97"),
+    ("CREDIT_CARD", r"[0-9]([ -]?[0-9])*", r"^[0-9]([ -]?[0-9]){12,18}$", "luhn"),
+    ("US_SSN", r"[0-9]+(-[0-9]+)*", r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$", None),
+    ("EMAIL_ADDRESS", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", None, None),
+    ("URL", r"https?://[^ \t\n\r<>\"']+", None, None),
+    ("IP_ADDRESS", r"[0-9]+(\.[0-9]+)*", rf"^{_OCTET}(\.{_OCTET}){{3}}$", None),
+    ("PHONE_NUMBER", rf"[0-9]*{_PHONE}[0-9]*", rf"^{_PHONE}$", None),
 ]
-PII_TYPES = [t for t, _, _ in PII_PATTERNS]
-
-
-def _lit(s: str) -> Column:
-    return F.lit(s)
+PII_TYPES = [t for t, *_ in PII_PATTERNS]
 
 
 # Cheap necessary conditions checked before the full pattern (a row that
@@ -44,62 +42,56 @@ def _lit(s: str) -> Column:
 PII_GUARDS = {
     "IBAN_CODE": lambda t: t.rlike("[A-Z]{2}[0-9]{2}"),
     "CREDIT_CARD": lambda t: t.rlike("[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9]"),
-    "US_SSN": lambda t: F.instr(t, "-") > 0,
+    "US_SSN": lambda t: t.rlike("[0-9]-[0-9]{2}-[0-9]"),
     "EMAIL_ADDRESS": lambda t: F.instr(t, "@") > 0,
     "URL": lambda t: F.instr(t, "://") > 0,
     "IP_ADDRESS": lambda t: t.rlike("[0-9][.][0-9]"),
-    "PHONE_NUMBER": lambda t: t.rlike("[0-9]{3}[ .-][0-9]{3}"),
+    "PHONE_NUMBER": lambda t: t.rlike("[0-9]{3}[)]?[ .-][0-9]{3}"),
 }
 
 
-def pii_matches(text: Column, pii_type: str) -> Column:
-    """array<string> of the (checksum-valid) matches of one PII type."""
-    _, pattern, check = next(p for p in PII_PATTERNS if p[0] == pii_type)
-    found = F.regexp_extract_all(text, _lit(pattern), 0)
-    if check == "luhn":
-        found = F.filter(found, lambda m: F.call_function("luhn_check", F.regexp_replace(m, "[ -]", "")))
-    guard = PII_GUARDS.get(pii_type)
-    if guard is None:
-        return found
-    return F.when(guard(text), found).otherwise(F.array().cast("array<string>"))
-
-
-def _replace_with(tag: str):
-    return lambda acc, m: F.replace(acc, m, F.lit(tag))
+def _mod97(value: Column) -> Column:
+    """The account number's check: first four characters moved to the end,
+    letters read as 10 to 35, the remainder by 97 is 1."""
+    s = F.regexp_replace(value, " ", "")
+    moved = F.concat(F.substring(s, 5, 100), F.substring(s, 1, 4))
+    code = lambda i: F.ascii(moved.substr(i, F.lit(1)))
+    step = lambda acc, i: F.when(code(i) >= 65, acc * 100 + code(i) - 55).otherwise(acc * 10 + code(i) - 48) % 97
+    return (F.length(s).between(15, 34)
+            & (F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(moved), F.lit(1))), F.lit(0), step) == 1))
 
 
-def redact_step(text: Column, pii_type: str) -> Column:
-    """Replace the spans of one PII type by ``<TYPE>``; the guard skips
-    rows that cannot match.  ``text`` should be a column reference (the
-    previous step's output), not a nested expression."""
-    _, pattern, check = next(p for p in PII_PATTERNS if p[0] == pii_type)
-    tag = f"<{pii_type}>"
+def _valid(candidate: Column, shape: str | None, check: str | None) -> Column:
+    ok = candidate.rlike(shape) if shape else F.lit(True)
     if check == "luhn":
-        replaced = F.aggregate(pii_matches(text, pii_type), text, _replace_with(tag))
-    else:
-        replaced = F.regexp_replace(text, _lit(pattern), _lit(tag))
-    guard = PII_GUARDS.get(pii_type)
-    return F.when(guard(text), replaced).otherwise(text) if guard else replaced
+        return F.when(ok, F.call_function("luhn_check", F.regexp_replace(candidate, "[ -]", ""))).otherwise(False)
+    if check == "mod97":
+        return F.when(ok, _mod97(candidate)).otherwise(False)
+    return ok
 
 
-def redact(text: Column, types: Sequence[str] | None = None) -> Column:
-    """Replace each PII span by ``<TYPE>``, types in priority order, as
-    one expression (each level references the previous one once).
-    Row-stateless, so it also applies to a streaming DataFrame."""
-    out = text
-    for pii_type, pattern, check in PII_PATTERNS:
-        if types is not None and pii_type not in types:
-            continue
-        tag = f"<{pii_type}>"
-        if check == "luhn":
-            out = F.aggregate(F.regexp_extract_all(out, _lit(pattern), 0), out,
-                              _replace_if_luhn(tag))
-        else:
-            out = F.regexp_replace(out, _lit(pattern), _lit(tag))
-    return out
+def pii_matches(text: Column, pii_type: str) -> Column:
+    """array<string> of the valid matches of one PII type."""
+    _, pattern, shape, check = next(p for p in PII_PATTERNS if p[0] == pii_type)
+    found = F.regexp_extract_all(text, F.lit(pattern), 0)
+    if shape or check:
+        found = F.filter(found, lambda m: _valid(m, shape, check))
+    return F.when(PII_GUARDS[pii_type](text), found).otherwise(F.array().cast("array<string>"))
 
 
-def _replace_if_luhn(tag: str):
-    return lambda acc, m: F.when(
-        F.call_function("luhn_check", F.regexp_replace(m, "[ -]", "")),
-        F.replace(acc, m, F.lit(tag))).otherwise(acc)
+def redact_step(text: Column, pii_type: str) -> Column:
+    """The valid spans of one PII type replaced by ``<TYPE>``, each at its
+    place; the guard skips rows that cannot match.  ``text`` should be a
+    column reference (the previous step's output), not a nested expression.
+    Row-stateless, so it also applies to a streaming DataFrame."""
+    _, pattern, shape, check = next(p for p in PII_PATTERNS if p[0] == pii_type)
+    tag = F.lit(f"<{pii_type}>")
+    if shape or check:
+        between = F.split(text, pattern, -1)
+        found = F.regexp_extract_all(text, F.lit(pattern), 0)
+        # one piece of text more than candidates: the last has no partner
+        glue = lambda piece, m: F.concat(piece, F.coalesce(F.when(_valid(m, shape, check), tag).otherwise(m), F.lit("")))
+        replaced = F.array_join(F.zip_with(between, found, glue), "")
+    else:
+        replaced = F.regexp_replace(text, F.lit(pattern), tag)
+    return F.when(PII_GUARDS[pii_type](text), replaced).otherwise(text)

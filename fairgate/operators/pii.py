@@ -79,7 +79,7 @@ def anonymize(df: DataFrame, columns: Sequence[str] | None = None,
     out = df
     # One projection per PII type: each step reads the previous step's
     # column, so no step's work is repeated inside a later expression.
-    for pii_type in (types or PII_TYPES):
+    for pii_type in (t for t in PII_TYPES if types is None or t in types):
         out = out.select(*[redact_step(q(f), pii_type).alias(f) if f in targets else q(f)
                            for f in df.columns])
     return out

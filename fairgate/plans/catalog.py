@@ -156,7 +156,7 @@ def q_chi2_segment_status(spark, sf_dir):
 
 # -- P1-P6, A1, A2, A5, A7, A8, F9, A9: profile ---------------------------------
 
-from ..functions.text import NUMERIC_TEXT_PATTERN, PII_PATTERNS  # noqa: E402
+from ..functions.text import NUMERIC_TEXT_PATTERN  # noqa: E402
 from ..operators import fairness as fair  # noqa: E402
 from ..operators import pii  # noqa: E402
 from ..operators import profile as prof  # noqa: E402
@@ -374,17 +374,45 @@ def _duck_luhn(x: str) -> str:
             f"CASE WHEN i % 2 = 1 THEN ({d} * 2) % 10 + ({d} * 2) // 10 ELSE {d} END)) % 10 = 0)")
 
 
+# What the oracle expects, written apart from the operator: runs of digits
+# (or of letters and digits) as a whole, then what makes such a run valid.
+_BYTE = "(?:[0-9]|[1-9][0-9]|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
+_CALL = r"(?:\+[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}"
+EXPECTED_PII = {
+    "IBAN_CODE": (r"[A-Z]{2}[0-9]{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?|[0-9A-Za-z]+", "[A-Z]{2}[0-9]{2}[A-Z0-9 ]{11,38}"),
+    "CREDIT_CARD": (r"[0-9](?:[ -]?[0-9])*", "[0-9](?:[ -]?[0-9]){12,18}"),
+    "US_SSN": (r"[0-9]+(?:-[0-9]+)*", "[0-9]{3}-[0-9]{2}-[0-9]{4}"),
+    "EMAIL_ADDRESS": (r"[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}", None),
+    "URL": (r"https?://[^ \t\n\r<>\"']+", None),
+    "IP_ADDRESS": (r"[0-9]+(?:\.[0-9]+)*", rf"(?:{_BYTE}\.){{3}}{_BYTE}"),
+    "PHONE_NUMBER": (rf"[0-9]*{_CALL}[0-9]*", _CALL),
+}
+
+
+def _duck_mod97(x: str) -> str:
+    s = f"replace({x}, ' ', '')"
+    moved = f"(substr({s}, 5) || substr({s}, 1, 4))"
+    codes = f"list_prepend(0, list_transform(range(length({moved})), lambda i: ascii(substr({moved}, i + 1, 1))))"
+    return (f"(length({s}) BETWEEN 15 AND 34 AND list_reduce({codes}, lambda a, c: "
+            f"CASE WHEN c >= 65 THEN (a * 100 + c - 55) % 97 ELSE (a * 10 + c - 48) % 97 END) = 1)")
+
+
+def _duck_valid(x: str, pii_type: str) -> str:
+    _, shape = EXPECTED_PII[pii_type]
+    ok = f"regexp_full_match({x}, {_sql_lit(shape)})" if shape else "TRUE"
+    if pii_type == "CREDIT_CARD":
+        digits = f"regexp_replace({x}, '[ -]', '', 'g')"
+        return f"CASE WHEN {ok} THEN {_duck_luhn(digits)} ELSE FALSE END"
+    return f"CASE WHEN {ok} THEN {_duck_mod97(x)} ELSE FALSE END" if pii_type == "IBAN_CODE" else ok
+
+
 def _duck_matches(v: str, pii_type: str) -> str:
-    _, pattern, check = next(p for p in PII_PATTERNS if p[0] == pii_type)
-    found = f"regexp_extract_all({v}, {_sql_lit(pattern)})"
-    if check == "luhn":
-        digits = "regexp_replace(x, '[ -]', '', 'g')"
-        found = f"list_filter({found}, lambda x: {_duck_luhn(digits)})"
-    return found
+    found = f"regexp_extract_all({v}, {_sql_lit(EXPECTED_PII[pii_type][0])})"
+    return f"list_filter({found}, lambda x: {_duck_valid('x', pii_type)})" if EXPECTED_PII[pii_type][1] else found
 
 
 def pii_findings_sql(tbl: str, cols) -> str:
-    types = [t for t, _, _ in PII_PATTERNS]
+    types = list(EXPECTED_PII)
     ms = ",\n  ".join(f"{_duck_matches('v', t)} AS m{i}" for i, t in enumerate(types))
     aggs = ",\n  ".join(f"CAST(SUM(len(m{i})) AS BIGINT) AS n{i}, COUNT(*) FILTER (WHERE len(m{i}) > 0) AS r{i}, "
                         f"MIN(list_min(list_transform(m{i}, lambda x: ('0x' || substr(md5(x), 1, 15))::BIGINT))) AS e{i}"
@@ -400,13 +428,20 @@ agg AS (SELECT "column", {aggs} FROM m GROUP BY "column")
 """
 
 
-def redact_sql(v: str) -> str:
-    out = v
-    for t, pattern, check in PII_PATTERNS:
-        if check == "luhn":
-            out = (f"list_reduce({_duck_matches(out, t)}, lambda acc, m: replace(acc, m, '<{t}>'), {out})")
+def redact_sql(source: str, keep: str) -> str:
+    """``source`` (a table with a text column) with one step per type; ``keep``: the other columns."""
+    out = source
+    for i, (t, (pattern, shape)) in enumerate(EXPECTED_PII.items()):
+        if shape is None:
+            new = f"regexp_replace(text, {_sql_lit(pattern)}, '<{t}>', 'g')"
+            out = f"(SELECT {new} AS text, {keep} FROM {out})"
         else:
-            out = f"regexp_replace({out}, {_sql_lit(pattern)}, '<{t}>', 'g')"
+            parts = (f"(SELECT text, {keep}, string_split_regex(text, {_sql_lit(pattern)}) AS p{i}, "
+                     f"regexp_extract_all(text, {_sql_lit(pattern)}) AS c{i} FROM {out})")
+            item = f"list_extract(c{i}, k + 1)"
+            new = (f"array_to_string(list_transform(range(len(p{i})), lambda k: p{i}[k + 1] || coalesce("
+                   f"CASE WHEN {_duck_valid(item, t)} THEN '<{t}>' ELSE {item} END, '')), '')")
+            out = f"(SELECT {new} AS text, {keep} FROM {parts})"
     return out
 
 
@@ -431,7 +466,7 @@ def q_pii_columns_documents(spark, sf_dir):
 
 
 @register("redacted_documents", f"""
-SELECT doc_id, {redact_sql("text")} AS text, lang, source FROM documents
+SELECT doc_id, text, lang, source FROM {redact_sql("documents", "doc_id, lang, source")}
 """)
 def q_redacted_documents(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
@@ -1180,7 +1215,7 @@ def q_summary_text_orders(spark, sf_dir):
 
 
 @register("streaming_redaction_documents", f"""
-SELECT doc_id, {redact_sql("text")} AS text, lang, source, n_chars FROM documents
+SELECT doc_id, text, lang, source, n_chars FROM {redact_sql("documents", "doc_id, lang, source, n_chars")}
 """)
 def q_streaming_redaction_documents(spark, sf_dir):
     """X4 as a Structured Streaming job (file source -> redaction -> parquet

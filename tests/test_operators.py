@@ -590,3 +590,24 @@ def test_importances_sum_to_one_and_find_the_target(spark):
     df = spark.range(400).select((F.col("id") % 2).alias("y"), (F.col("id") % 2 * 5 + F.col("id") % 3).alias("x"), (F.col("id") % 7).alias("z"))
     imps = minimise.feature_importance(df, "y", minimise.ForestParams(num_trees=10, max_depth=4)).collect()
     assert sum(r.importance for r in imps) == pytest.approx(1.0) and imps[0].feature == "x"
+
+
+PII_CASES = [
+    ("ip 1.2.3.45678", "ip 1.2.3.45678"), ("ip 1.2.3.4.", "ip <IP_ADDRESS>."), ("v 1.2.3.4.5", "v 1.2.3.4.5"), ("ip 256.1.1.1", "ip 256.1.1.1"),
+    ("ip 10.0.0.1,192.168.1.254", "ip <IP_ADDRESS>,<IP_ADDRESS>"), ("1234-56-78901", "1234-56-78901"), ("123-45-6789", "<US_SSN>"),
+    ("id 123-45-6789-0", "id 123-45-6789-0"), ("a123-45-6789b", "a<US_SSN>b"), ("SKU AB12CDEFGHIJKLMNOP", "SKU AB12CDEFGHIJKLMNOP"),
+    ("GB82WEST12345698765432", "<IBAN_CODE>"), ("GB82WEST12345698765433", "GB82WEST12345698765433"), ("GB82 WEST 1234 5698 7654 32", "<IBAN_CODE>"),
+    ("DE89 3704 0044 0532 0130 00 paid", "<IBAN_CODE> paid"), ("xGB82WEST12345698765432", "xGB82WEST12345698765432"),
+    ("FR1420041010050500013M02606", "<IBAN_CODE>"), ("4111111111111111", "<CREDIT_CARD>"), ("4111-1111-1111-1111", "<CREDIT_CARD>"),
+    ("4111111111111112", "4111111111111112"), ("994111111111111111199999", "994111111111111111199999"), ("card 4012 8888 8888 1881.", "card <CREDIT_CARD>."),
+    ("378282246310005", "<CREDIT_CARD>"), ("1234567890123", "1234567890123"), ("(555) 123-4567", "<PHONE_NUMBER>"), ("+1 (555) 123-4567", "<PHONE_NUMBER>"),
+    ("555.123.4567", "<PHONE_NUMBER>"), ("1234-555-12345", "1234-555-12345"), ("call 212-555-0100 or 646 555 0199", "call <PHONE_NUMBER> or <PHONE_NUMBER>"),
+    ("a.b+c@d-e.co.uk", "<EMAIL_ADDRESS>"), ("a@b", "a@b"), ("see http://x.y/z?q=1 now", "see <URL> now"), ("year 2024-05-06", "year 2024-05-06"),
+    ("4111111111111111 and 994111111111111111199999", "<CREDIT_CARD> and 994111111111111111199999"), ("", ""), ("no data", "no data"),
+]
+
+
+def test_pii_precision(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(PII_CASES)], "i int, t string")
+    got = [r.t for r in pii.anonymize(df).orderBy("i").collect()]
+    assert {t: g for (t, _), g in zip(PII_CASES, got)} == dict(PII_CASES)
