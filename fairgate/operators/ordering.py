@@ -91,46 +91,66 @@ def count_values(long: DataFrame, by: str = "column", value: str = "value") -> D
     return long.groupBy(by, value).agg(F.count(F.lit(1)).alias("n"))
 
 
+ACCURACY = 10_000          # of the approximate bounds
+_MARGIN = 4.0 / ACCURACY   # in ranks: four times the error of the bounds
+
+
 def exact_quantiles(long: DataFrame, probs: Sequence[float], by: str = "column",
-                    value: str = "value", buckets: int | None = None,
-                    counted: DataFrame | None = None) -> DataFrame:
+                    value: str = "value", buckets: int | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation (pandas ``quantile``,
     DuckDB ``quantile_cont``) for each ``by`` group of a long table.
 
-    Nulls are skipped.  Returns (by, q, quantile).  Nothing is held per group
-    in one task: values are counted, ranked by ``running_sums`` and every
-    row checks whether it holds one of the two neighbours of a position (it
-    carries its group's size), so the pick is a filter plus a small
-    aggregate.  ``counted`` may pass a ready (by, value, n) table.
+    By selection, without ordering the values: approximate quantiles a little
+    below and above each position bound it (one aggregate), a second
+    aggregate counts what lies below the bounds and keeps the distinct values
+    between them, and only that slice (less than a thousandth of the rows,
+    ties counted once) is ranked.  Nulls are skipped.  Returns (by, q,
+    quantile).
     """
-    counted = counted if counted is not None else count_values(long, by, value)
-    counted = counted.where(F.col(value).isNotNull())
-    cum = running_sums(counted, value, ["n"], [by], buckets)
-    # Each row knows its group size, so it can tell by itself whether it
+    probs = [float(p) for p in probs]
+    vals = long.select(by, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
+    edges = [min(max(p + side, 0.0), 1.0) for p in probs for side in (-_MARGIN, _MARGIN)]
+    found = vals.groupBy(by).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
+        F.percentile_approx("_v", F.array(*[F.lit(e) for e in edges]), F.lit(ACCURACY)).alias("_e"))
+    edge = lambda i: F.col("_min") if edges[i] == 0.0 else F.col("_max") if edges[i] == 1.0 else F.col("_e")[i]
+    # one row per group and probability
+    bounds = shared(found.select(by, "_n", F.explode(F.array(*[
+        F.struct(F.lit(p).alias("q"), edge(2 * i).alias("lo"), edge(2 * i + 1).alias("hi")) for i, p in enumerate(probs)])).alias("_b"))
+        .select(by, "_n", "_b.q", "_b.lo", "_b.hi"))
+    # what lies below the bounds is one row (NULL) of each group and probability
+    inside = F.when(F.col("_v") >= F.col("lo"), F.col("_v"))
+    slice_ = (vals.join(F.broadcast(bounds), by).where(F.col("_v") <= F.col("hi"))
+              .groupBy(by, "q", "_n", inside.alias("_v")).agg(F.count(F.lit(1)).alias("n")))
+    cum = running_sums(slice_, "_v", ["n"], [by, "q", "_n"], buckets)
+    # Each row knows its group's size, so it can tell by itself whether it
     # holds the value at rank floor(h) or ceil(h), h = (N-1) q: no join.
-    h = (F.col("tot_n") - 1) * F.col("q")
+    h = (F.col("_n") - 1) * F.col("q")
     first = F.col("cum_n") - F.col("n")          # rank of the first copy
-    covers = lambda r: (first <= r) & (r < F.col("cum_n"))
-    hits = (cum.select(by, value, "n", "cum_n", "tot_n",
-                       F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("q"))
-            .where(covers(F.floor(h)) | covers(F.ceil(h))))
-    picked = hits.groupBy(by, "q").agg(
-        F.max(F.when(covers(F.floor(h)), F.col(value))).alias("_vlo"),
-        F.max(F.when(covers(F.ceil(h)), F.col(value))).alias("_vhi"),
+    covers = lambda r: (first <= r) & (r < F.col("cum_n"))
+    picked = cum.where(covers(F.floor(h)) | covers(F.ceil(h))).groupBy(by, "q").agg(
+        F.max(F.when(covers(F.floor(h)), F.col("_v"))).alias("_vlo"),
+        F.max(F.when(covers(F.ceil(h)), F.col("_v"))).alias("_vhi"),
         F.max(h - F.floor(h)).alias("_frac"))
     return picked.select(
         by, "q",
         (F.col("_vlo") + F.col("_frac") * (F.col("_vhi") - F.col("_vlo"))).alias("quantile"))
 
 
-def rank_cut(keys: DataFrame, order: Sequence[str], n: int, by: Sequence[str] = (),
+def rank_cut(keys: DataFrame, order: Sequence[str], n: int, total: int, score: Column,
              buckets: int | None = None) -> DataFrame:
-    """The ``n``-th smallest ``order`` key (as a struct ``_cut``) per ``by``
-    group — or the largest when a group has fewer rows.  Only the keys are
-    ranked (no payload is shuffled or checkpointed); the result has one row
-    per group."""
-    order, by = list(order), list(by)
-    ranked = running_sums(keys.select(*by, *order).withColumn("_one", F.lit(1)), order,
-                          ["_one"], by, buckets)
-    return (ranked.where(F.col("cum__one") <= n)
-            .groupBy(*by).agg(F.max(F.struct(*order)).alias("_cut")))
+    """The ``n``-th smallest ``order`` key of ``total`` rows (as a struct
+    ``_cut``).  ``score`` is a number that never falls along the order: its
+    approximate quantiles bound the key, and only the rows between the bounds
+    are ranked."""
+    order = list(order)
+    scored = keys.select(*order, score.alias("_s"))
+    edges = [min(max(n / total + side, 0.0), 1.0) for side in (-_MARGIN, _MARGIN)]
+    lo, hi = scored.agg(F.percentile_approx("_s", F.array(*[F.lit(e) for e in edges]), F.lit(ACCURACY))).first()[0]
+    lo = None if edges[0] == 0.0 else lo
+    hi = None if edges[1] == 1.0 else hi
+    below = 0 if lo is None else scored.where(F.col("_s") < lo).count()
+    part = scored if lo is None else scored.where(F.col("_s") >= lo)
+    part = part if hi is None else part.where(F.col("_s") <= hi)
+    ranked = running_sums(part.select(*order).withColumn("_one", F.lit(1)), order, ["_one"], (), buckets)
+    return ranked.where(F.col("cum__one") <= n - below).agg(F.max(F.struct(*order)).alias("_cut"))

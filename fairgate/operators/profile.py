@@ -135,13 +135,12 @@ def outliers(df: DataFrame, columns: Sequence[str] | None = None,
     """Values outside [Q1 - k*IQR, Q3 + k*IQR] per numeric column; the
     share is over *all* rows and a warning is set above the threshold.
     Columns: column, q1, q3, lower, upper, n_outliers, n_rows,
-    outlier_pct, warning.  The value counts are computed once and feed
-    both the quantiles and the outlier count."""
+    outlier_pct, warning.  The fences come from the quantiles; one more
+    aggregate over the table counts what lies outside."""
     th = thresholds or Thresholds()
     cols = list(columns) if columns is not None else columns_of(df, "numeric")
-    # value counts feed the quantiles and the outlier count: computed once
-    counted = shared(count_values(numeric_long(df, cols)))
-    qs = exact_quantiles(None, [0.25, 0.75], counted=counted)
+    values = numeric_long(df, cols)
+    qs = exact_quantiles(values, [0.25, 0.75])
     fences = (qs.groupBy("column").agg(
         F.max(F.when(F.col("q") == 0.25, F.col("quantile"))).alias("q1"),
         F.max(F.when(F.col("q") == 0.75, F.col("quantile"))).alias("q3"))
@@ -149,10 +148,9 @@ def outliers(df: DataFrame, columns: Sequence[str] | None = None,
         .withColumn("upper", F.col("q3") + th.outlier_iqr_k * (F.col("q3") - F.col("q1"))))
     outside = (F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper"))
     # Fences: one row per column, a bounded broadcast side.
-    per_col = counted.join(F.broadcast(fences), "column", "left").groupBy(
+    per_col = values.join(F.broadcast(fences), "column", "left").groupBy(
         "column", "q1", "q3", "lower", "upper").agg(
-        F.sum(F.when(outside, F.col("n")).otherwise(0)).alias("n_outliers"),
-        F.sum("n").alias("n_rows"))
+        F.count_if(outside).alias("n_outliers"), F.count(F.lit(1)).alias("n_rows"))
     pct = ratio(F.col("n_outliers"), F.col("n_rows")) * 100.0
     warn = F.when(F.col("n_outliers") > F.col("n_rows") * th.outlier_warn_share,
                   F.format_string("%s: %.1f%% outliers", F.col("column"), pct))
