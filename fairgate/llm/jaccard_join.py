@@ -287,23 +287,43 @@ def _sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, width: int, id
     return written(found.join(named.select("cls", "sig"), "sig").dropDuplicates(["sig"]).select("cls", "tokens"), "sets", compression="lz4")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, rule: _Rule) -> DataFrame:
-    """The pairs (a, b) that link, as (u, v)."""
-    both = (pairs.join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("y")), "b")
-            .join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("x")), "a"))
-    shared = F.size(F.array_intersect("x", "y")).cast("bigint")
-    union = F.size("x") + F.size("y") - shared
-    return materialize(both.where(shared * rule.den >= union * rule.num).select(F.col("a").alias("u"), F.col("b").alias("v")))
+def _verified(pairs: DataFrame, sets: DataFrame, rule: _Rule, n_sets: int, block: int = 1024) -> DataFrame:
+    """The pairs (a, b) that link, as (u, v).  Classes are dealt to blocks of
+    about ``block``; the pairs of two blocks are verified together, so a set
+    travels once for every block that it is tried with, not once a pair."""
+    blocks = F.lit(max(1, n_sets // block))
+    of = lambda c: F.pmod(F.xxhash64(c), blocks).cast("int")
+    dealt = pairs.select(of("a").alias("i"), of("b").alias("j"), "a", "b")
+    side = lambda c: dealt.select(F.col("i").alias("si"), F.col("j").alias("sj"), F.col(c).alias("cls"))
+    held = side("a").unionByName(side("b")).distinct().join(sets, "cls").select("si", "sj", "cls", "tokens")
+
+    def check(key: tuple, tried: pa.Table, held: pa.Table) -> pa.Table:
+        tokens = held.column("tokens").combine_chunks()
+        offsets, flat = tokens.offsets.to_numpy(), tokens.values.to_numpy()
+        cls = held.column("cls").to_numpy()
+        order = np.argsort(cls)
+        at = lambda name: order[np.searchsorted(cls, tried.column(name).to_numpy(), sorter=order)]
+        ok = []
+        for x, y in zip(at("a"), at("b")):
+            p, q = flat[offsets[x]:offsets[x + 1]], flat[offsets[y]:offsets[y + 1]]
+            both = np.concatenate([p, q])
+            both.sort(kind="stable")
+            shared = int((both[1:] == both[:-1]).sum())
+            ok.append(rule.den * shared >= rule.num * (len(both) - shared))
+        keep = pa.array(ok, pa.bool_())
+        return pa.table({"u": tried.column("a").filter(keep), "v": tried.column("b").filter(keep)})
+
+    return materialize(dealt.groupBy("i", "j").cogroup(held.groupBy("si", "sj")).applyInArrow(check, "u bigint, v bigint"))
 
 
 def _resolve(pairs: DataFrame, links: DataFrame | None, sets: DataFrame, rule: _Rule, stars: int) -> DataFrame:
     """``links`` and what the pairs add to its components.  In each of the
     first rounds every class is tried with its smallest partner only; the
     pairs still between two components are all tried at the end."""
-    rest = pairs
+    rest, n_sets = pairs, sets.count()
     for star in [True] * stars + [False]:
         picked = materialize(rest.groupBy("b").agg(F.min("a").alias("a")).select("a", "b") if star else rest)
-        good = _verified(picked, sets, rule)
+        good = _verified(picked, sets, rule, n_sets)
         links = good if links is None else materialize(links.unionByName(good))
         if star:
             label = components(links)
@@ -332,6 +352,8 @@ def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int
     centre = combos.groupBy("t1", "t2").agg(F.min(F.struct("cls", "size")).alias("c"))
     star = (combos.join(centre, ["t1", "t2"]).where("cls <> c.cls").where(_near(F.col("size"), F.col("c.size"), rule))
             .select(F.least("cls", "c.cls").alias("a"), F.greatest("cls", "c.cls").alias("b")))
+    # one trial for each class here; what it leaves apart meets below
+    star = star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     tried = materialize(_pairs(candidates, modes, rule).unionByName(star).distinct())
     wanted = (tried.select(F.col("a").alias("cls")).distinct().unionByName(tried.select(F.col("b").alias("cls")).distinct())
               .unionByName(combos.select("cls").distinct()).distinct())
