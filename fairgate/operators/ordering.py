@@ -102,7 +102,7 @@ def exact_quantiles(long: DataFrame, probs: Sequence[float], by: str = "column",
 
     By selection, without ordering the values: approximate quantiles a little
     below and above each position bound it (one aggregate), a second
-    aggregate counts what lies below the bounds and keeps the distinct values
+    aggregate counts what lies outside the bounds and keeps the distinct values
     between them, and only that slice (less than a thousandth of the rows,
     ties counted once) is ranked.  Nulls are skipped.  Returns (by, q,
     quantile).
@@ -118,10 +118,14 @@ def exact_quantiles(long: DataFrame, probs: Sequence[float], by: str = "column",
     bounds = shared(found.select(by, "_n", F.explode(F.array(*[
         F.struct(F.lit(p).alias("q"), edge(2 * i).alias("lo"), edge(2 * i + 1).alias("hi")) for i, p in enumerate(probs)])).alias("_b"))
         .select(by, "_n", "_b.q", "_b.lo", "_b.hi"))
-    # what lies below the bounds is one row (NULL) of each group and probability
-    inside = F.when(F.col("_v") >= F.col("lo"), F.col("_v"))
-    slice_ = (vals.join(F.broadcast(bounds), by).where(F.col("_v") <= F.col("hi"))
-              .groupBy(by, "q", "_n", inside.alias("_v")).agg(F.count(F.lit(1)).alias("n")))
+    # What lies below the bounds is one row with its largest value, what lies
+    # above one with its smallest: a position may be off by one rank there
+    # when the rows are few.
+    side = F.when(F.col("_v") < F.col("lo"), -1).when(F.col("_v") > F.col("hi"), 1).otherwise(0)
+    slice_ = (vals.join(F.broadcast(bounds), by).withColumn("_side", side)
+              .groupBy(by, "q", "_n", "_side", F.when(F.col("_side") == 0, F.col("_v")).alias("_in"))
+              .agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+              .select(by, "q", "_n", "n", F.when(F.col("_side") < 0, F.col("_hi")).otherwise(F.col("_lo")).alias("_v")))
     cum = running_sums(slice_, "_v", ["n"], [by, "q", "_n"], buckets)
     # Each row knows its group's size, so it can tell by itself whether it
     # holds the value at rank floor(h) or ceil(h), h = (N-1) q: no join.
