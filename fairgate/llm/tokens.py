@@ -36,7 +36,7 @@ class WordTokenizer:
     texts' offsets in it.  The table of known words is bounded by
     ``max_words`` and ``max_bytes`` and starts anew beyond them."""
 
-    def __init__(self, path: str, max_words: int = 1_000_000, max_bytes: int = 64 << 20):
+    def __init__(self, path: str, max_words: int = 500_000, max_bytes: int = 64 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
