@@ -611,3 +611,16 @@ def test_pii_precision(spark):
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(PII_CASES)], "i int, t string")
     got = [r.t for r in pii.anonymize(df).orderBy("i").collect()]
     assert {t: g for (t, _), g in zip(PII_CASES, got)} == dict(PII_CASES)
+
+
+def test_minimal_table_log_and_counts(spark):
+    df = spark.createDataFrame([(1, "f", 2.0, 0.0)], "y int, sex string, a double, b double")
+    spec = DatasetSpec(target="y", protected_attributes=("sex",))
+    classes = minimise.classify_features(df, spec)
+    imps = spark.createDataFrame([("a", 0.9), ("b", 0.001), ("y", 0.0)], "feature string, importance double")
+    minimal, log = minimise.create_minimal_dataset(df, classes, spec, imps)
+    assert minimal.columns == ["y", "a"]
+    assert [(r.feature, r.reason) for r in log.collect()] == [("sex", "Protected attribute"), ("b", "Low importance (<0.01)")]
+    report = minimise.minimisation_report(classes, imps, spec).first()
+    assert (report.essential_features_count, report.prohibited_features_count, report.optional_features_count,
+            report.recommended_exclusions_count) == (1, 1, 2, 2)
