@@ -1,16 +1,17 @@
 """Removal of globally repeated blocks of lines by content-defined chunks.
 
-A text is cut into chunks of lines: a rolling hash over the hashes of the last
-``window`` lines ends a chunk where it lies below ``density``, so the cuts
-inside a repeated block fall alike wherever the block stands.  A line of
-``long_words`` words or more is a chunk of its own.  Chunks of ``min_words``
-words are counted over all documents by a 128-bit hash; of the repeated ones
-the first (smallest doc_id, then place) stays.  Every other is compared byte
-for byte with the one that stays, and so are the lines of the chunks before
-and behind it, up to the first that differs.  The equal lines are removed when
-they are several, or ``passage_words`` words or more: a short line that many
-documents happen to share is left alone.  (A block of over 50 words holds a line
-of ``long_words``, or at least four lines; two chunk ends among these suffice.)
+A text is cut into chunks of one line that is not blank and the blank lines
+behind it.  A block is several such lines of ``min_words`` words together, or
+one line of ``passage_words`` words or more.  Every smallest block is counted
+over all documents by a 128-bit hash: from each line on, and back from each
+line, as few lines as make a block.  Any longer repeated passage is covered by
+the smallest blocks inside it, line by line, whatever stands around it and
+whichever documents hold it, so no passage has to be found by a lucky cut.
+
+Of a repeated block the first (smallest doc_id, then place) stays.  Every other
+is compared byte for byte with the one that stays, and so are the blank lines
+before and behind it, up to the first that differs; the equal lines are
+removed.  A single line of fewer words that many documents share is left alone.
 
 Defined cases: null texts stay null, empty ones empty; a text may end empty
 but its row stays; blank lines do not count as lines of a block; rows without a doc_id
@@ -31,37 +32,13 @@ from ..session import materialize
 from .idfilter import IdFilter
 from .textutil import small_batches, unused, written
 
-_ODD = 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
-
-
-def chunk_lines(lines: list[bytes], window: int = 2, density: float = 0.85, long_words: int = 16) -> list[tuple[int, int]]:
-    """The chunks as ranges of line numbers."""
-    import xxhash
-
-    digest = xxhash.xxh3_64_intdigest
-    hashed = [digest(x) for x in lines]
-    out, start = [], 0
-    for i, line in enumerate(lines):
-        if len(line) >= 2 * long_words - 1 and len(line.split()) >= long_words:
-            if start < i:
-                out.append((start, i))
-            out.append((i, i + 1))
-            start = i + 1
-            continue
-        roll = 0
-        for h in hashed[max(0, i - window + 1):i + 1]:
-            roll = (roll * _ODD + h) & _MASK
-        if roll * _ODD & _MASK < density * (_MASK + 1):
-            out.append((start, i + 1))
-            start = i + 1
-    if start < len(lines):
-        out.append((start, len(lines)))
-    return out
-
-
-def _words(lines: list[bytes]) -> int:
-    return sum(len(x.split()) for x in lines)
+def chunk_lines(lines: list[bytes]) -> list[tuple[int, int]]:
+    """The chunks as ranges of line numbers; blank lines before the first line
+    that is not blank are a chunk of their own."""
+    starts = [i for i, line in enumerate(lines) if line.strip()]
+    if lines and (not starts or starts[0]):
+        starts.insert(0, 0)
+    return list(zip(starts, [*starts[1:], len(lines)]))
 
 
 def _alike(a: list[bytes], b: list[bytes]) -> int:
@@ -69,14 +46,31 @@ def _alike(a: list[bytes], b: list[bytes]) -> int:
     return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
 
-def line_dedup(docs: DataFrame, window: int = 2, density: float = 0.85, long_words: int = 16, min_words: int = 3,
-               passage_words: int = 50, id_col: str = "doc_id", text_col: str = "text", removed_col: str = "lines_removed") -> DataFrame:
+def smallest_blocks(lines: list[bytes], min_words: int, passage_words: int) -> list[tuple[int, int, int, int]]:
+    """(start, end, floor, top): the lines from start to end are a smallest
+    block, those from floor to start and from end to top are blank."""
+    chunks = chunk_lines(lines)
+    head = [(i, j) for i, j in chunks if lines[i].strip()]
+    words = [len(lines[i].split()) for i, _ in head]
+    found = {(k, k) for k, n in enumerate(words) if n >= passage_words}
+    for k in range(len(head)):
+        for step, end in ((1, len(head) - 1), (-1, 0)):
+            at, n = k, words[k]
+            while at != end and (at == k or n < min_words):
+                at += step
+                n += words[at]
+            if at != k and n >= min_words:
+                found.add((min(k, at), max(k, at)))
+    return [(head[a][0], head[b][0] + 1, head[a - 1][0] + 1 if a else 0, head[b][1]) for a, b in sorted(found)]
+
+
+def line_dedup(docs: DataFrame, min_words: int = 3, passage_words: int = 50, id_col: str = "doc_id", text_col: str = "text", removed_col: str = "lines_removed") -> DataFrame:
     """``docs`` with the repeated blocks gone from the text column, and the
     number of lines removed beside it (``removed_col``)."""
     src = docs.where(F.col(f"`{text_col}`").isNotNull()).select(
         F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(f"`{text_col}`").alias("dig"), F.col(f"`{text_col}`").alias("text"))
     id_type = src.schema["doc_id"].dataType.simpleString()
-    cut = lambda lines: chunk_lines(lines, window, density, long_words)
+    cut = lambda lines: smallest_blocks(lines, min_words, passage_words)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -85,23 +79,22 @@ def line_dedup(docs: DataFrame, window: int = 2, density: float = 0.85, long_wor
             row, start, key = [], [], []
             for r, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
                 lines = text.split(b"\n")
-                for i, j in cut(lines):
-                    if _words(lines[i:j]) >= min_words:
-                        row.append(r)
-                        start.append(i)
-                        key.append(xxhash.xxh3_128_digest(b"\n".join(lines[i:j])))
+                for i, j, _, _ in cut(lines):
+                    row.append(r)
+                    start.append(i)
+                    key.append(xxhash.xxh3_128_digest(b"\n".join(lines[i:j])))
             at = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("dig").take(at), pa.array(start, pa.int32()),
                                               pa.array(key, pa.binary())], ["doc_id", "dig", "start", "key"])
 
-    chunks = written(src.mapInArrow(index, f"doc_id {id_type}, dig bigint, start int, key binary"), "chunks")
+    blocks = written(src.mapInArrow(index, f"doc_id {id_type}, dig bigint, start int, key binary"), "blocks")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "dig", "start")
-    first = materialize(chunks.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
+    first = materialize(blocks.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
                         .where("n > 1").select("key", "first"))
     repeated = IdFilter.of(first, "key")
 
     def bodies_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The chunks that may be repeated, with the lines before and behind."""
+        """The blocks that may be repeated, with the blank lines before and behind."""
         import xxhash
 
         for batch in small_batches(batches, limit=2 << 20):
@@ -109,24 +102,20 @@ def line_dedup(docs: DataFrame, window: int = 2, density: float = 0.85, long_wor
             texts, found = batch.column("text").cast(pa.binary()).to_pylist(), []
             for r, text in enumerate(texts):
                 lines = text.split(b"\n")
-                ranges = cut(lines)
-                found += [(r, lines, ranges, k, xxhash.xxh3_128_digest(b"\n".join(lines[i:j]))) for k, (i, j) in enumerate(ranges)
-                          if _words(lines[i:j]) >= min_words]
-            hit = repeated.test(pa.array([f[4] for f in found], pa.binary()))
-            for (r, lines, ranges, k, key), ok in zip(found, hit):
+                found += [(r, lines, block, xxhash.xxh3_128_digest(b"\n".join(lines[block[0]:block[1]]))) for block in cut(lines)]
+            hit = repeated.test(pa.array([f[3] for f in found], pa.binary()))
+            for (r, lines, (i, j, floor, top), key), ok in zip(found, hit):
                 if ok:
-                    i, j = ranges[k]
                     row.append(r)
-                    for name, value in (("start", i), ("end", j), ("key", key), ("before", b"\n".join(lines[ranges[k - 1][0]:i]) if k else None),
-                                        ("body", b"\n".join(lines[i:j])),
-                                        ("behind", b"\n".join(lines[j:ranges[k + 1][1]]) if k + 1 < len(ranges) else None)):
+                    for name, value in (("start", i), ("end", j), ("key", key), ("before", b"\n".join(lines[floor:i]) if floor < i else None),
+                                        ("body", b"\n".join(lines[i:j])), ("behind", b"\n".join(lines[j:top]) if j < top else None)):
                         out[name].append(value)
             at = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(at), batch.column("dig").take(at),
                  *[pa.array(out[k], pa.int32() if k in ("start", "end") else pa.binary()) for k in out]], ["doc_id", "dig", *out])
 
-    # only repeated chunks leave their documents; the texts themselves are not shuffled
+    # only repeated blocks leave their documents; the texts themselves are not shuffled
     bodies = written(src.mapInArrow(bodies_of, f"doc_id {id_type}, dig bigint, start int, end int, key binary, before binary, body binary, behind binary")
                      .join(first, "key").withColumn("stays", place == F.col("first")).drop("first"), "bodies", compression="zstd")
     kept = materialize(bodies.where("stays").dropDuplicates(["key"]).select(
@@ -142,9 +131,6 @@ def line_dedup(docs: DataFrame, window: int = 2, density: float = 0.85, long_wor
                 before, before0, behind, behind0 = ([] if get[k][r] is None else get[k][r].split(b"\n") for k in ("before", "before0", "behind", "behind0"))
                 up = _alike(before[::-1], before0[::-1])
                 down = _alike(behind, behind0)
-                block = get["body"][r].split(b"\n") + behind[:down] + before[len(before) - up:]
-                if sum(bool(x.strip()) for x in block) < 2 and _words(block) < passage_words:
-                    continue
                 row.append(r)
                 lo.append(get["start"][r] - up)
                 hi.append(get["end"][r] + down)

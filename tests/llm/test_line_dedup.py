@@ -97,3 +97,43 @@ def test_edges(spark):
     expected = brute(rows)
     assert got == sorted(((i, None if t is None else expected[i, t]) for i, t, *_ in rows), key=str)
     assert line_dedup(empty(spark)).count() == 0
+
+
+def holders_with_lines(got, holders, passage):
+    """The holders that keep any of the passage's lines that are not blank."""
+    lines = {x for x in passage if x.strip()}
+    return [i for i in holders if lines & set(got[i].split("\n"))]
+
+
+def surrounded(rnd, passages, n):
+    """n documents of own lines, with a passage in every second one at an odd place."""
+    own = lambda i: [f"own {i} {k} " + " ".join(f"x{rnd.random()}" for _ in range(rnd.randrange(1, 30))) for k in range(rnd.randrange(1, 8))]
+    rows = []
+    for i in range(n):
+        lines = own(i)
+        if i % 2:
+            at = rnd.randrange(len(lines) + 1)
+            lines[at:at] = passages[i // 2 % len(passages)]
+        rows.append((i, "\n".join(lines), "en", "a"))
+    return rows
+
+
+def check_all_gone(spark, rows, passages):
+    """The first holder of each passage keeps it whole, no other keeps a line of it, own lines all stay."""
+    got = {r.doc_id: r.text for r in line_dedup(docs(spark, rows)).collect()}
+    for k, passage in enumerate(passages):
+        holders = [i for i in got if i % 2 and i // 2 % len(passages) == k]
+        first = min(holders)
+        assert got[first] == rows[first][1]
+        assert holders_with_lines(got, [i for i in holders if i != first], passage) == []
+    planted_lines = {x for p in passages for x in p}
+    for i, text, *_ in rows:
+        own = [x for x in text.split("\n") if x not in planted_lines]
+        assert [x for x in got[i].split("\n") if x.strip() and x not in planted_lines] == [x for x in own if x.strip()]
+
+
+def test_passages_with_blank_lines_between_go_whole(spark):
+    rnd = random.Random(7)
+    line = lambda k: " ".join(f"v{rnd.randrange(9000)}" for _ in range(k))
+    passages = [[line(40), "", line(40), "", line(40)], [line(12), "", line(9), "", "", line(14), "", line(15), " ", line(8)]]
+    check_all_gone(spark, surrounded(rnd, passages, 60), passages)
