@@ -137,3 +137,14 @@ def test_passages_with_blank_lines_between_go_whole(spark):
     line = lambda k: " ".join(f"v{rnd.randrange(9000)}" for _ in range(k))
     passages = [[line(40), "", line(40), "", line(40)], [line(12), "", line(9), "", "", line(14), "", line(15), " ", line(8)]]
     check_all_gone(spark, surrounded(rnd, passages, 60), passages)
+
+
+def test_an_odd_first_holder_saves_no_passage(spark):
+    rnd = random.Random(8)
+    line = lambda k: " ".join(f"v{rnd.randrange(9000)}" for _ in range(k))
+    a, b = line(30), line(30)
+    rows = [(0, f"{a}\nown line of the first one\n{b}", "en", "a")]
+    rows += [(i, f"own line {i} before it\n{a}\n{b}\nown line {i} behind it", "en", "a") for i in range(1, 20)]
+    got = {r.doc_id: r.text for r in line_dedup(docs(spark, rows)).collect()}
+    assert got[0] == rows[0][1] and got[1] == rows[1][1]
+    assert all(got[i] == f"own line {i} before it\nown line {i} behind it" for i in range(2, 20))
