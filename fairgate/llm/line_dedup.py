@@ -32,6 +32,7 @@ from ..session import materialize
 from .idfilter import IdFilter
 from .textutil import small_batches, unused, written
 
+
 def chunk_lines(lines: list[bytes]) -> list[tuple[int, int]]:
     """The chunks as ranges of line numbers; blank lines before the first line
     that is not blank are a chunk of their own."""
@@ -64,7 +65,8 @@ def smallest_blocks(lines: list[bytes], min_words: int, passage_words: int) -> l
     return [(head[a][0], head[b][0] + 1, head[a - 1][0] + 1 if a else 0, head[b][1]) for a, b in sorted(found)]
 
 
-def line_dedup(docs: DataFrame, min_words: int = 3, passage_words: int = 50, id_col: str = "doc_id", text_col: str = "text", removed_col: str = "lines_removed") -> DataFrame:
+def line_dedup(docs: DataFrame, min_words: int = 3, passage_words: int = 50, id_col: str = "doc_id",
+               text_col: str = "text", removed_col: str = "lines_removed") -> DataFrame:
     """``docs`` with the repeated blocks gone from the text column, and the
     number of lines removed beside it (``removed_col``)."""
     src = docs.where(F.col(f"`{text_col}`").isNotNull()).select(

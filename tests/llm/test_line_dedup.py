@@ -148,3 +148,12 @@ def test_an_odd_first_holder_saves_no_passage(spark):
     got = {r.doc_id: r.text for r in line_dedup(docs(spark, rows)).collect()}
     assert got[0] == rows[0][1] and got[1] == rows[1][1]
     assert all(got[i] == f"own line {i} before it\nown line {i} behind it" for i in range(2, 20))
+
+
+def test_passages_of_any_line_length_go_whole(spark):
+    rnd = random.Random(9)
+    line = lambda k: " ".join(f"v{rnd.randrange(9000)}" for _ in range(k))
+    verse = [[line(rnd.randrange(1, 3)) for _ in range(40)] for _ in range(4)]
+    short = [[line(rnd.randrange(13, 16)) for _ in range(4)] for _ in range(60)]
+    ends = [[line(20), line(1), line(1)], [line(1), line(1), line(1)]]
+    check_all_gone(spark, surrounded(rnd, verse + short + ends, 1000), verse + short + ends)
