@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .graph import components
 from .idfilter import IdFilter
-from .textutil import hash_strings, mix64, small_batches, texts_of, words_of, written
+from .textutil import hash_strings, mix64, small_batches, texts_of, unused, words_of, written
 
 RARE = 8
 SPARE = 16                 # tokens of a window beyond the extended prefix
@@ -123,10 +123,18 @@ def _sql(rule: _Rule) -> dict[str, str]:
             "overlap": f"(({rule.num} * ({{a}} + {{b}}) + {rule.num + rule.den - 1}) div {rule.num + rule.den})"}
 
 
-def signatures(docs: DataFrame, width: int, rule: _Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _whole(text: Column) -> Column:
+    """Digest of the whole text."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
+def signatures(docs: DataFrame, width: int, rule: _Rule, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
     """rid (unique row), doc_id, n_shingles, sig (digest of the set) and the
-    window's tokens; written once."""
+    window's tokens; written once.  ``whole`` adds the digest of the text."""
     src = texts_of(docs, id_col, text_col)
+    if whole:
+        src = src.withColumn("whole", _whole(F.col("text")))
+    more = ["whole"] if whole else []
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rid = TaskContext.get().partitionId() << 33
@@ -135,12 +143,12 @@ def signatures(docs: DataFrame, width: int, rule: _Rule, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(rid, rid + len(sets))), batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([_digest(s) for s in sets], pa.binary()),
-                 pa.array([_pack(s[:rule.window(len(s))] >> np.uint64(16)) for s in sets], pa.binary())],
-                ["rid", "doc_id", "n_shingles", "sig", "window"])
+                 pa.array([_pack(s[:rule.window(len(s))] >> np.uint64(16)) for s in sets], pa.binary()),
+                 *[batch.column(c) for c in more]], ["rid", "doc_id", "n_shingles", "sig", "window", *more])
             rid += len(sets)
 
     id_type = src.schema["doc_id"].dataType.simpleString()
-    rows = src.mapInArrow(apply, f"rid bigint, doc_id {id_type}, n_shingles bigint, sig binary, window binary")
+    rows = src.mapInArrow(apply, f"rid bigint, doc_id {id_type}, n_shingles bigint, sig binary, window binary" + ", whole binary" * whole)
     return written(rows, "shingles", compression="lz4")
 
 
@@ -337,10 +345,12 @@ def _resolve(pairs: DataFrame, links: DataFrame | None, sets: DataFrame, rule: _
 
 
 def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, rare: int = RARE, stars: int = 2,
-                       id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """rid, doc_id, n_shingles, component (unique), component_id (its smallest doc_id) of every row."""
+                       id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+    """rid, doc_id, n_shingles, component (unique), component_id (its smallest doc_id) of every row;
+    ``whole`` adds the digest of its text."""
     rule = _Rule(num, den)
-    rows = signatures(docs, width, rule, id_col, text_col)
+    rows = signatures(docs, width, rule, id_col, text_col, whole)
+    more = ["whole"] if whole else []
     # a set held by very many documents is one row per task before the shuffle
     best = (rows.where("n_shingles > 0").groupBy("sig")
             .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "rid", "doc_id")).alias("m")))
@@ -374,21 +384,29 @@ def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int
     if not fresh.isEmpty():
         links = _resolve(fresh, links, sets, rule, stars)
     label = components(links)
-    member = (rows.select("rid", "doc_id", "n_shingles", "sig").join(classes.select("sig", "cls"), "sig", "left")
+    member = (rows.select("rid", "doc_id", "n_shingles", "sig", *more).join(classes.select("sig", "cls"), "sig", "left")
               .join(label.withColumnRenamed("node", "cls"), "cls", "left")
-              .select("rid", "doc_id", "n_shingles", F.coalesce("component", "cls", "rid").alias("component")))
+              .select("rid", "doc_id", "n_shingles", F.coalesce("component", "cls", "rid").alias("component"), *more))
     member = materialize(member)
     least = materialize(member.groupBy("component").agg(F.min("doc_id").alias("component_id")))
-    return member.join(least, "component").select("rid", "doc_id", "n_shingles", "component", "component_id")
+    return member.join(least, "component").select("rid", "doc_id", "n_shingles", "component", "component_id", *more)
 
 
 def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of ``docs`` (all columns) without near copies: of each
-    component the smallest doc_id stays; texts without words all stay."""
-    found = jaccard_components(docs, width, num, den)
-    # of rows that share the smallest id, and of those without one, the first
-    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("f"))
-    drop = (found.join(materialize(first), "component").where("rid <> f.rid")
-            .select(F.col("doc_id").alias("_id"), F.col("f.doc_id").alias("_first")))
-    gone = drop.where("not (_id <=> _first)").select("_id").distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]), "left_anti")
+    component one row stays, of the smallest doc_id (of those without one if
+    none has); texts without words all stay.  A row is known by its doc_id and
+    the digest of its whole text; rows equal in both are one component."""
+    found = jaccard_components(docs, width, num, den, whole=True).where("n_shingles > 0")
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "whole")).alias("f"))
+    own, of_id, of_whole = unused(docs.columns, "own_whole", "of_id", "of_whole")
+    stays = F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("whole") == F.col("f.whole"))
+    marks = materialize(found.join(materialize(first), "component").groupBy(F.col("doc_id").alias(of_id), F.col("whole").alias(of_whole))
+                        .agg(F.max(stays).alias("stays"), F.count(F.lit(1)).alias("n")).where("not stays or n > 1"))
+    same = F.col("doc_id").eqNullSafe(F.col(of_id)) & (F.col(own) == F.col(of_whole))
+    left = docs.withColumn(own, _whole(F.col("text"))).join(marks.where("not stays").select(of_id, of_whole), same, "left_anti")
+    # rows that share the first one's doc_id and text: any one of them
+    again = marks.where("stays").select(of_id, of_whole)
+    if not again.isEmpty():
+        left = left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["doc_id", own]))
+    return left.drop(own)

@@ -96,3 +96,36 @@ def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)]
     label = {r.node: r.component for r in components(spark.createDataFrame(links, "u bigint, v bigint")).collect()}
     assert label == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 160)}}
+
+
+def survivors(rows):
+    """(doc_id, text) that stay: one row of each component, one of the smallest id."""
+    found = sets([t for _, t, *_ in rows], 5)
+    group = list(range(len(rows)))
+    for i, s in enumerate(found):
+        for j in range(i):
+            both = len(s & found[j])
+            if s and found[j] and 100 * both >= 80 * len(s | found[j]) and group[i] != group[j]:
+                group = [group[j] if g == group[i] else g for g in group]
+    out = Counter()
+    for g in set(group):
+        members = [rows[i][:2] for i in range(len(rows)) if group[i] == g]
+        least = min((m[0] for m in members if m[0] is not None), default=None)
+        texts = sorted({m[1] or "" for m in members if m[0] == least})
+        out[least, tuple(texts)] += 1
+    return out
+
+
+def test_exactly_the_copies_go(spark):
+    text = lambda k: " ".join(f"t{k}w{i}" for i in range(40))
+    rows = [(1, text(1)), (None, text(1)), (None, text(2)), (None, text(2) + " more"), (None, text(3)), (None, text(3)), (None, text(4)), (None, ""),
+            (None, ""), (None, None), (7, text(5)), (7, text(5)), (7, text(5)), (9, text(5)), (8, text(6)), (8, text(1)), (8, ""),
+            (10, text(7)), (10, text(7) + " more"), (11, text(7))]
+    for extra, given in ((True, [(*r, "en", "a") for r in rows]), (True, edge_rows())):
+        df = docs(spark, given, extra=extra)
+        left = [(r.doc_id, r.text) for r in keep_one(df).collect()]
+        assert not Counter(left) - Counter(r[:2] for r in given)
+        expected = survivors(given)
+        assert len(left) == sum(expected.values())
+        for (doc_id, texts), n in expected.items():
+            assert sum(d == doc_id and (t or "") in texts for d, t in left) == n, (doc_id, texts)
