@@ -20,7 +20,8 @@ NUMERIC_TEXT_PATTERN = (
 # The PII catalogue, in redaction priority order.  Each entry:
 # type, candidate pattern, pattern of a valid candidate (None: all are),
 # checksum.  A candidate takes in the whole run of digits (or letters and
-# digits) that it stands in, so nothing is cut out of a longer number.
+# digits) that it stands in, so nothing is cut out of a longer number; a run of
+# several numbers with blanks between is also searched for card numbers.
 _OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _PHONE = r"(\+[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}"
 PII_PATTERNS: list[tuple[str, str, str | None, str | None]] = [
@@ -33,6 +34,8 @@ PII_PATTERNS: list[tuple[str, str, str | None, str | None]] = [
     ("IP_ADDRESS", r"[0-9]+(\.[0-9]+)*", rf"^{_OCTET}(\.{_OCTET}){{3}}$", None),
     ("PHONE_NUMBER", rf"[0-9]*{_PHONE}[0-9]*", rf"^{_PHONE}$", None),
 ]
+# A card number inside a longer run, between blanks or the run's ends.
+_CARD = r"([0-9]{4}([ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|[0-9]{13,19})"
 PII_TYPES = [t for t, *_ in PII_PATTERNS]
 
 
@@ -64,17 +67,48 @@ def _mod97(value: Column) -> Column:
 def _valid(candidate: Column, shape: str | None, check: str | None) -> Column:
     ok = candidate.rlike(shape) if shape else F.lit(True)
     if check == "luhn":
-        return F.when(ok, F.call_function("luhn_check", F.regexp_replace(candidate, "[ -]", ""))).otherwise(False)
+        return F.when(ok, _luhn(candidate)).otherwise(False)
     if check == "mod97":
         return F.when(ok, _mod97(candidate)).otherwise(False)
     return ok
 
 
+def _luhn(candidate: Column) -> Column:
+    return F.call_function("luhn_check", F.regexp_replace(candidate, "[ -]", ""))
+
+
+def _cards(run: Column) -> Column:
+    """struct(cards, text): the card numbers between blanks in a run that is
+    none as a whole, from the left, and the run with them replaced."""
+    def step(acc: Column, group: Column) -> Column:
+        # pos: where the group begins; at: what is not yet part of the text
+        card = F.regexp_extract(run.substr(acc["pos"], F.length(run)), f"^{_CARD}( |$)", 1)
+        starts = (acc["pos"] >= acc["at"]) & ((acc["pos"] == 1) | (run.substr(acc["pos"] - 1, F.lit(1)) == " "))
+        hit = F.when(starts & (card != ""), _luhn(card)).otherwise(False)
+        return F.struct(
+            (acc["pos"] + F.length(group) + 1).alias("pos"),
+            F.when(hit, acc["pos"] + F.length(card)).otherwise(acc["at"]).alias("at"),
+            F.when(hit, F.concat(acc["cards"], F.array(card))).otherwise(acc["cards"]).alias("cards"),
+            F.when(hit, F.concat(acc["text"], run.substr(acc["at"], acc["pos"] - acc["at"]), F.lit("<CREDIT_CARD>"))).otherwise(acc["text"]).alias("text"))
+
+    start = F.struct(F.lit(1).alias("pos"), F.lit(1).alias("at"), F.array().cast("array<string>").alias("cards"), F.lit("").alias("text"))
+    return F.aggregate(F.split(run, "[ -]", -1), start, step, lambda acc: F.struct(
+        acc["cards"].alias("cards"), F.concat(acc["text"], run.substr(acc["at"], F.length(run))).alias("text")))
+
+
+def _may_hold_cards(run: Column) -> Column:
+    return run.rlike(f"(^| ){_CARD}( |$)")
+
+
 def pii_matches(text: Column, pii_type: str) -> Column:
     """array<string> of the valid matches of one PII type."""
     _, pattern, shape, check = next(p for p in PII_PATTERNS if p[0] == pii_type)
     found = F.regexp_extract_all(text, F.lit(pattern), 0)
-    if shape or check:
+    if check == "luhn":
+        none = F.array().cast("array<string>")
+        found = F.flatten(F.transform(found, lambda m: F.when(_valid(m, shape, check), F.array(m))
+                                      .when(_may_hold_cards(m), _cards(m)["cards"]).otherwise(none)))
+    elif shape or check:
         found = F.filter(found, lambda m: _valid(m, shape, check))
     return F.when(PII_GUARDS[pii_type](text), found).otherwise(F.array().cast("array<string>"))
 
@@ -90,7 +124,8 @@ def redact_step(text: Column, pii_type: str) -> Column:
         between = F.split(text, pattern, -1)
         found = F.regexp_extract_all(text, F.lit(pattern), 0)
         # one piece of text more than candidates: the last has no partner
-        glue = lambda piece, m: F.concat(piece, F.coalesce(F.when(_valid(m, shape, check), tag).otherwise(m), F.lit("")))
+        rest = lambda m: F.when(_may_hold_cards(m), _cards(m)["text"]).otherwise(m) if check == "luhn" else m
+        glue = lambda piece, m: F.concat(piece, F.coalesce(F.when(_valid(m, shape, check), tag).otherwise(rest(m)), F.lit("")))
         replaced = F.array_join(F.zip_with(between, found, glue), "")
     else:
         replaced = F.regexp_replace(text, F.lit(pattern), tag)

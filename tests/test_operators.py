@@ -624,3 +624,20 @@ def test_minimal_table_log_and_counts(spark):
     report = minimise.minimisation_report(classes, imps, spec).first()
     assert (report.essential_features_count, report.prohibited_features_count, report.optional_features_count,
             report.recommended_exclusions_count) == (1, 1, 2, 2)
+
+
+CARDS_IN_RUNS = [
+    ("4111 1111 1111 1111 12/25", "<CREDIT_CARD> 12/25", 1), ("7536784127813050 4845168114407329", "<CREDIT_CARD> <CREDIT_CARD>", 2),
+    ("4111111111111111 4012888888881881", "<CREDIT_CARD> <CREDIT_CARD>", 2), ("no 1234 4111 1111 1111 1111 123 ok", "no 1234 <CREDIT_CARD> 123 ok", 1),
+    ("3782 822463 10005 1234", "<CREDIT_CARD> 1234", 1), ("4111-1111-1111-1111 1225", "<CREDIT_CARD> 1225", 1),
+    ("4111 1111 1111 11112 7", "4111 1111 1111 11112 7", 0), ("12-4111111111111111-9 8", "12-4111111111111111-9 8", 0),
+    ("4111111111111112 4111111111111113", "4111111111111112 4111111111111113", 0), ("5 41111111111111110000 5", "5 41111111111111110000 5", 0),
+]
+
+
+def test_cards_beside_other_numbers(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(CARDS_IN_RUNS)], "i int, t string")
+    got = [r.t for r in pii.anonymize(df, types=["CREDIT_CARD"]).orderBy("i").collect()]
+    assert got == [want for _, want, _ in CARDS_IN_RUNS]
+    found = {r.pii_type: (r.n_detections, r.n_rows) for r in pii.pii_findings(df, ["t"], types=["CREDIT_CARD"]).collect()}
+    assert found == {"CREDIT_CARD": (sum(n for *_, n in CARDS_IN_RUNS), sum(n > 0 for *_, n in CARDS_IN_RUNS))}
