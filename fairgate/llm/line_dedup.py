@@ -1,8 +1,9 @@
 """Removal of globally repeated blocks of lines by content-defined chunks.
 
 A text is cut into chunks of one line that is not blank and the blank lines
-behind it.  A block is several such lines of ``min_words`` words together, or
-one line of ``passage_words`` words or more.  Every smallest block is counted
+behind it.  A block is several such lines, one of ``min_words`` words or more
+among them, or any lines (one may do) of ``passage_words`` words together; so
+short lines of a list or verse need that many.  Every smallest block is counted
 over all documents by a 128-bit hash: from each line on, and back from each
 line, as few lines as make a block.  Any longer repeated passage is covered by
 the smallest blocks inside it, line by line, whatever stands around it and
@@ -53,14 +54,14 @@ def smallest_blocks(lines: list[bytes], min_words: int, passage_words: int) -> l
     chunks = chunk_lines(lines)
     head = [(i, j) for i, j in chunks if lines[i].strip()]
     words = [len(lines[i].split()) for i, _ in head]
-    found = {(k, k) for k, n in enumerate(words) if n >= passage_words}
+    found = set()
     for k in range(len(head)):
         for step, end in ((1, len(head) - 1), (-1, 0)):
-            at, n = k, words[k]
-            while at != end and (at == k or n < min_words):
+            at, n, longest = k, words[k], words[k]
+            while not (enough := n >= passage_words or at != k and longest >= min_words) and at != end:
                 at += step
-                n += words[at]
-            if at != k and n >= min_words:
+                n, longest = n + words[at], max(longest, words[at])
+            if enough:
                 found.add((min(k, at), max(k, at)))
     return [(head[a][0], head[b][0] + 1, head[a - 1][0] + 1 if a else 0, head[b][1]) for a, b in sorted(found)]
 

@@ -155,5 +155,6 @@ def test_passages_of_any_line_length_go_whole(spark):
     line = lambda k: " ".join(f"v{rnd.randrange(9000)}" for _ in range(k))
     verse = [[line(rnd.randrange(1, 3)) for _ in range(40)] for _ in range(4)]
     short = [[line(rnd.randrange(13, 16)) for _ in range(4)] for _ in range(60)]
-    ends = [[line(20), line(1), line(1)], [line(1), line(1), line(1)]]
+    ends = [[line(20), line(1), line(1), line(2), line(1)], [line(1), line(2), line(1), line(3)]]
+    assert all(sum(len(x.split()) for x in p) >= 50 for p in verse)
     check_all_gone(spark, surrounded(rnd, verse + short + ends, 1000), verse + short + ends)
