@@ -15,6 +15,7 @@ from .pii_crf import semi_markov_pii
 from .textutil import scratch_path, table
 from .token_output import read_token_files, write_token_files
 from .toxicity import toxicity
+from .vector_codes import vector_codes
 from .vptree import nearest
 
 #: target weights by level of the tree; names not listed weigh 1
@@ -66,7 +67,52 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, folder, digest=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_semi_markov_pii, op4_jaccard_join, op5_line_dedup, op6_vantage_point, op7_mixing, op8_exact_dedup, op9_language_id, op10_token_output)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_toxicity, op2_packing, op3_semi_markov_pii, op4_jaccard_join, op5_line_dedup, op6_vantage_point, op7_mixing,
+    op8_exact_dedup, op9_language_id, op10_token_output, op11_vector_codes)}
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    """Every part against every entry of its codebook, round after round."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+          a{r} AS MATERIALIZED (
+            SELECT p.vec_id, p.part, p.s, min({{'d': list_sum(list_transform(list_zip(p.s, c.s), lambda t: (t[1] - t[2]) * (t[1] - t[2])))::BIGINT,
+                                               'e': c.entry}}) AS best
+            FROM p JOIN c{r} c USING (part) GROUP BY ALL)""")
+        if r < rounds:
+            steps.append(f"""
+          m{r} AS (
+            SELECT part, entry, list(mean ORDER BY pos) AS s FROM (
+              SELECT part, entry, pos, floor(sum(x)::DOUBLE / count(*))::BIGINT AS mean
+              FROM (SELECT part, best.e AS entry, unnest(s) AS x, unnest(range(len(s))) AS pos FROM a{r}) GROUP BY ALL)
+            GROUP BY ALL),
+          c{r + 1} AS MATERIALIZED (
+            SELECT c.part, c.entry, coalesce(m.s, c.s) AS s FROM c{r} c LEFT JOIN m{r} m USING (part, entry))""")
+    return f"""
+        WITH z AS MATERIALIZED (
+            SELECT vec_id, label, list_transform(embedding::DOUBLE[], lambda x: floor(1024 * x)::BIGINT) AS z
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+          p AS MATERIALIZED (
+            SELECT vec_id, part, z[part * len(z) // 4 + 1 : (part + 1) * len(z) // 4] AS s
+            FROM z CROSS JOIN range(4) t(part)),
+          c0 AS MATERIALIZED (
+            SELECT part, s, (row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1) AS entry
+            FROM p QUALIFY entry < 256),
+          {",".join(steps)},
+          f AS (
+            SELECT vec_id, string_agg(printf('%02x', best.e), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error
+            FROM a{rounds} GROUP BY vec_id)
+        SELECT f.vec_id, f.code, f.error, sum(f.error) OVER (PARTITION BY z.label)::BIGINT AS label_error,
+               (SELECT sha256(string_agg(array_to_string(s, ','), ',' ORDER BY part, entry)) FROM c{rounds}) AS codebooks_sha256
+        FROM f JOIN z USING (vec_id)"""
+
 
 ORACLE = {
     "op6_vantage_point": """
@@ -147,4 +193,5 @@ ORACLE = {
         FROM t
         WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id
                      ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""",
+    "op11_vector_codes": _codes_sql(),
 }
