@@ -3,7 +3,8 @@ DataFrame over whole tables, and the DuckDB SQL where it can express them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_components
@@ -11,6 +12,7 @@ from .langid import language_id
 from .line_dedup import line_dedup
 from .mixing import mixture
 from .packing import pack
+from .periodic_runs import periodic_runs
 from .pii_crf import semi_markov_pii
 from .textutil import scratch_path, table
 from .token_output import read_token_files, write_token_files
@@ -71,9 +73,36 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes(table(spark, sf_dir, "embeddings"))
 
 
+def with_echoes(doc_id: Column, text: Column) -> Column:
+    """The text; if crc32 of its decimal id is a multiple of ten, its words
+    from a place on repeat with a period, both taken from that number."""
+    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10).cast("bigint")
+
+    def repeat(words: Column) -> Column:
+        n = F.size(words).cast("bigint")
+        a = F.pmod(g, n)
+        p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8)))).cast("bigint")
+        return F.array_join(F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, (a + (i - a) % p).cast("int")))), " ")
+
+    # the words are bound once, so that they are not cut again for each of them
+    return F.when((F.pmod(h, F.lit(10)) == 0) & (F.size(words) > 0), F.transform(F.array(words), repeat)[0]).otherwise(text)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", with_echoes(F.col("doc_id"), F.col("text")).alias("text"))
+    line = lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    return (periodic_runs(docs).withColumn("best", best)
+            .select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", (-F.col("best.less")).alias("length"), "best.period",
+                    F.floor(-F.col("best.less") * 1000 / F.col("best.period")).alias("exponent_milli"),
+                    F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_packing, op3_semi_markov_pii, op4_jaccard_join, op5_line_dedup, op6_vantage_point, op7_mixing,
-    op8_exact_dedup, op9_language_id, op10_token_output, op11_vector_codes)}
+    op8_exact_dedup, op9_language_id, op10_token_output, op11_vector_codes, op12_periodic_runs)}
 
 
 def _codes_sql(rounds: int = 4) -> str:
@@ -194,4 +223,40 @@ ORACLE = {
         WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id
                      ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""",
     "op11_vector_codes": _codes_sql(),
+    "op12_periodic_runs": r"""
+        WITH crc AS (
+            SELECT doc_id, text, xor(4294967295, list_reduce(
+                     list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+                     lambda r, b: list_reduce(list_prepend(xor(r, b), range(8)), lambda v, k: xor(v >> 1, 3988292384 * (v & 1))))) AS h
+            FROM documents),
+          cut AS (SELECT doc_id, h, h // 10 AS g, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS l FROM crc),
+          tail AS (
+            SELECT *, len(l) AS n, g % nullif(len(l), 0) AS a, 1 + (len(l) - g % nullif(len(l), 0)) // (3 + g % 8) AS p FROM cut),
+          t AS MATERIALIZED (
+            SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+                     THEN list_transform(range(n), lambda i: l[1 + (CASE WHEN i < a THEN i ELSE a + (i - a) % p END)]) ELSE l END AS l
+            FROM tail),
+          gram AS (
+            SELECT doc_id, n, i, array_to_string(l[i + 1 : i + 5], ' ') AS gram, CASE WHEN i > 0 THEN l[i] END AS before
+            FROM (SELECT *, unnest(range(n - 4)) AS i FROM t)),
+          pair AS (
+            SELECT x.doc_id, x.i, y.i AS j FROM gram x JOIN gram y USING (doc_id, gram)
+            WHERE y.i > x.i AND 4 * (y.i - x.i) <= x.n AND (x.before IS NULL OR x.before <> y.before)),
+          longest AS (
+            SELECT doc_id, i, j, coalesce(list_position(list_transform(range(n - j), lambda k: l[i + k + 1] = l[j + k + 1]), false) - 1, n - j) AS same
+            FROM pair JOIN t USING (doc_id)),
+          run AS MATERIALIZED (
+            SELECT doc_id, i AS start, j - i + same AS length, min(j - i) AS period FROM longest
+            WHERE 3 * (j - i) <= same AND j - i + same >= 6 GROUP BY ALL),
+          told AS (
+            SELECT doc_id, count(*) AS n_runs, min({'less': -length, 'start': start, 'period': period}) AS best,
+                   string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines
+            FROM run GROUP BY doc_id),
+          gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM run),
+          kept AS (
+            SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS words
+            FROM (SELECT doc_id, unnest(l) AS w, unnest(range(n)) AS i FROM t) ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+        SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.start::BIGINT AS start, (-best.less)::BIGINT AS length, best.period::BIGINT AS period,
+               (-best.less * 1000 // best.period)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(words, '')) AS collapsed_sha256
+        FROM t LEFT JOIN told USING (doc_id) LEFT JOIN kept USING (doc_id)""",
 }
