@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_components
 from .langid import language_id
+from .license_scan import BASE, NOTICES, license_scan
 from .line_dedup import line_dedup
 from .mixing import mixture
 from .packing import pack
@@ -100,9 +101,19 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")))
 
 
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    places = license_scan(table(spark, sf_dir, "documents"))
+    base = places.withColumn("base", F.filter("places", lambda p: p["base"]))
+    names = lambda c: F.array_join(F.array_sort(F.array_distinct(F.col(c)["label"])), ",")
+    return base.select(
+        "doc_id", "n_words", F.size("base").cast("bigint").alias("n_base"), F.array_min(F.col("base")["start"]).alias("first_word"),
+        F.array_max(F.col("base")["start"]).alias("last_word"), names("base").alias("base_labels"), names("places").alias("labels"),
+        F.coalesce(F.array_max(F.col("places")["share"]), F.lit(0.0)).alias("score"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_packing, op3_semi_markov_pii, op4_jaccard_join, op5_line_dedup, op6_vantage_point, op7_mixing,
-    op8_exact_dedup, op9_language_id, op10_token_output, op11_vector_codes, op12_periodic_runs)}
+    op8_exact_dedup, op9_language_id, op10_token_output, op11_vector_codes, op12_periodic_runs, op13_license_scan)}
 
 
 def _codes_sql(rounds: int = 4) -> str:
@@ -143,6 +154,32 @@ def _codes_sql(rounds: int = 4) -> str:
         FROM f JOIN z USING (vec_id)"""
 
 
+def _license_sql() -> str:
+    """Every template at every place of every text."""
+    row = lambda t: "({}, {}, {}, {})".format(
+        repr(t.label), t in BASE, t.words, [{"at": at, "words": words} for at, words in t.phrases])
+    return r"""
+        WITH template(label, base, words, phrases) AS (VALUES """ + ", ".join(row(t) for t in BASE + NOTICES) + r"""),
+          doc AS MATERIALIZED (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS l
+            FROM documents),
+          place AS (
+            SELECT d.doc_id, t.label, t.base, d.i AS start,
+                   list_sum(list_transform(range(len(t.words)), lambda j:
+                     CASE WHEN d.i - t.phrases[1]['at'] + j >= 0 AND d.l[d.i - t.phrases[1]['at'] + j + 1] = t.words[j + 1] THEN 1 ELSE 0 END))
+                     / len(t.words)::DOUBLE AS share
+            FROM (SELECT doc_id, l, unnest(l) AS w, unnest(range(len(l))) AS i FROM doc) d
+            JOIN template t ON d.w = t.phrases[1]['words'][1]
+            WHERE len(list_filter(t.phrases, lambda p: d.l[d.i - t.phrases[1]['at'] + p['at'] + 1 : d.i - t.phrases[1]['at'] + p['at'] + len(p['words'])]
+                                                       IS DISTINCT FROM p['words'])) = 0)
+        SELECT d.doc_id, any_value(len(d.l))::BIGINT AS n_words, count(*) FILTER (base) AS n_base,
+               min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+               coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels,
+               coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, coalesce(max(share), 0)::DOUBLE AS score
+        FROM doc d LEFT JOIN place USING (doc_id) GROUP BY d.doc_id"""
+
+
 ORACLE = {
     "op6_vantage_point": """
         WITH v AS (
@@ -259,4 +296,5 @@ ORACLE = {
         SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.start::BIGINT AS start, (-best.less)::BIGINT AS length, best.period::BIGINT AS period,
                (-best.less * 1000 // best.period)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(words, '')) AS collapsed_sha256
         FROM t LEFT JOIN told USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op13_license_scan": _license_sql(),
 }
