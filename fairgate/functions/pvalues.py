@@ -117,12 +117,36 @@ def kolmogorov_p_value(d: Column, n1: Column, n2: Column, terms: int = 100) -> C
             .otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), series))))
 
 
-def kolmogorov_sf(d: float, n1: int, n2: int, terms: int = 100) -> float:
-    """Python twin of ``kolmogorov_p_value`` for unit tests."""
-    en = n1 * n2 / (n1 + n2)
-    lam = (math.sqrt(en) + 0.12 + 0.11 / math.sqrt(en)) * d
-    if lam < 0.2:
-        return 1.0
-    s = sum(2.0 * (-1.0) ** (k - 1) * math.exp(-2.0 * k * k * lam * lam)
-            for k in range(1, terms + 1))
-    return min(1.0, max(0.0, s))
+#: both samples at most this large: the p-value is counted, not approximated
+KS_EXACT_MOST = 10_000
+
+
+def _ks_exact(d: Column, n1: Column, n2: Column) -> Column:
+    """P(D >= d) over all orders of two samples without ties, by counting
+    lattice paths: a path takes m steps right and n up, all equally likely,
+    and (i, s - i) after s steps lies outside when |i (m + n) - s m| reaches
+    d m n.  A fold over s keeps the probabilities of the places inside and
+    sums up what leaves at either edge, so small p-values stay accurate."""
+    m, n = F.least(n1, n2).cast("bigint"), F.greatest(n1, n2).cast("bigint")
+    total, most = m + n, F.round(d * m * n).cast("bigint")
+    steps = F.transform(F.sequence(F.lit(1).cast("bigint"), total), lambda s: F.struct(
+        s.alias("s"),
+        F.greatest(F.lit(0).cast("bigint"), s - n, F.floor((s * m - most) / total) + 1).alias("lo"),
+        F.least(m, s, F.ceil((s * m + most) / total) - 1).alias("hi")))
+
+    def fold(a: Column, x: Column) -> Column:
+        before = lambda i: F.coalesce(F.get(a["b"], (i - a["lo"]).cast("int")), F.lit(0.0))
+        left = (total - x["s"] + 1).cast("double")
+        here = lambda i: (before(i) * (n - (x["s"] - 1 - i)) + before(i - 1) * (m - i + 1)) / left
+        inside = F.when(x["lo"] <= x["hi"], F.transform(F.sequence(x["lo"], F.greatest(x["lo"], x["hi"])), here)).otherwise(F.array().cast("array<double>"))
+        return F.struct(x["lo"].alias("lo"), inside.alias("b"), (a["out"] + here(x["lo"] - 1) + here(x["hi"] + 1)).alias("out"))
+
+    start = F.struct(F.lit(0).cast("bigint").alias("lo"), F.array(F.lit(1.0)).alias("b"), F.lit(0.0).alias("out"))
+    return F.when(most <= 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.aggregate(steps, start, fold, lambda a: a["out"])))
+
+
+def ks_p_value(d: Column, n1: Column, n2: Column) -> Column:
+    """Two-sided p-value of the two-sample KS statistic: exact while both
+    samples hold at most ``KS_EXACT_MOST`` values, asymptotic beyond."""
+    exact = (n1 > 0) & (n2 > 0) & (F.greatest(n1, n2) <= KS_EXACT_MOST)
+    return F.when(exact & d.isNotNull(), _ks_exact(d, n1, n2)).otherwise(kolmogorov_p_value(d, n1, n2))

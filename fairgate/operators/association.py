@@ -6,24 +6,25 @@ ordinal encoding of text columns — one global aggregate holds all
 pairwise-complete ``corr``).  r = covar_pop / (sd_x * sd_y) with
 ``try_divide`` so a constant column gives NULL instead of an ANSI error.
 
-T3: two-sample Kolmogorov-Smirnov per common numeric column: both samples
-are counted per distinct value, both ECDFs come from one bucketed running
-sum (no single-partition window), D = max |F1 - F2|.
+T3: two-sample Kolmogorov-Smirnov per common numeric column, D = max |F1 - F2|,
+by branch and bound over histograms of the values' 64-bit keys: the gap is
+exact at the ends of bins, counts bound it inside, and only bins whose bound
+exceeds the best gap are counted again by finer bins.
 """
 
 from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import q, ratio, stack, to_long
-from ..functions.pvalues import kolmogorov_p_value
+from ..functions.pvalues import ks_p_value
 from ..spec import DatasetSpec, is_numeric, is_temporal, is_text, matches_by_attribute
 from .encode import as_number, label_encode
-from .ordering import running_sums
+from .ordering import LEVELS, histogram, ordered_bits, shared
 
 
 def _correlatable(dt: T.DataType) -> bool:
@@ -77,6 +78,36 @@ def _numeric_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return long.where(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
+def ecdf_gap(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """by, statistic (largest gap of the two distribution functions), n1, n2
+    of rows with 0/1 columns _a and _b and the order key _k."""
+    order = Window.partitionBy(by, "_bin").orderBy("_next").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # counts before the bins of a level, and the groups' totals: one row per open bin and group
+    before = totals = best = open_bins = None
+    for level in range(len(LEVELS)):
+        cells = histogram(rows, [by], level, open_bins, F.sum("_a").alias("_a"), F.sum("_b").alias("_b"),
+                          F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+        if level == 0:
+            cells = shared(cells)
+            totals = shared(cells.groupBy(by).agg(F.sum("_a").alias("n1"), F.sum("_b").alias("n2")))
+            before = totals.select(by, F.lit(0).cast("bigint").alias("_bin"), F.lit(0).cast("bigint").alias("_a0"), F.lit(0).cast("bigint").alias("_b0"))
+        upto = (cells.join(before, [by, "_bin"]).join(F.broadcast(totals), by)
+                .withColumn("_a1", F.col("_a0") + F.sum("_a").over(order)).withColumn("_b1", F.col("_b0") + F.sum("_b").over(order)))
+        share = lambda n, total: ratio(F.col(n), F.col(total))
+        least = lambda n, own, total: ratio(F.col(n) - F.col(own), F.col(total))
+        upto = shared(upto.select(
+            by, F.col("_next").alias("_bin"), (F.col("_a1") - F.col("_a")).alias("_a0"), (F.col("_b1") - F.col("_b")).alias("_b0"),
+            F.abs(share("_a1", "n1") - share("_b1", "n2")).alias("gap"),
+            F.when(F.col("_lo") < F.col("_hi"), F.greatest(share("_a1", "n1") - least("_b1", "_b", "n2"),
+                                                           share("_b1", "n2") - least("_a1", "_a", "n1"))).alias("bound")))
+        gaps = upto.groupBy(by).agg(F.max("gap").alias("statistic"))
+        best = shared(gaps if best is None else best.unionByName(gaps).groupBy(by).agg(F.max("statistic").alias("statistic")))
+        open_bins = before = shared(upto.join(F.broadcast(best), by).where(F.col("bound") > F.col("statistic")).select(by, "_bin", "_a0", "_b0"))
+        if open_bins.isEmpty():
+            break
+    return totals.join(best, by).select(by, "statistic", "n1", "n2")
+
+
 def ks_drift(current: DataFrame, reference: DataFrame,
              columns: Sequence[str] | None = None,
              spec: DatasetSpec | None = None) -> DataFrame:
@@ -95,14 +126,9 @@ def ks_drift(current: DataFrame, reference: DataFrame,
                                             F.lit(0).alias("_b"))
     b = _numeric_long(reference, cols).select("column", "value", F.lit(0).alias("_a"),
                                               F.lit(1).alias("_b"))
-    counted = a.unionByName(b).groupBy("column", "value").agg(
-        F.sum("_a").alias("n1"), F.sum("_b").alias("n2"))
-    cum = running_sums(counted, "value", ["n1", "n2"], ["column"])
-    gap = F.abs(ratio(F.col("cum_n1"), F.col("tot_n1")) - ratio(F.col("cum_n2"), F.col("tot_n2")))
-    d = cum.groupBy("column").agg(F.max(gap).alias("statistic"),
-                                  F.max("tot_n1").alias("n_current"),
-                                  F.max("tot_n2").alias("n_reference"))
-    p = kolmogorov_p_value(F.col("statistic"), F.col("n_current"), F.col("n_reference"))
+    d = ecdf_gap(a.unionByName(b).withColumn("_k", ordered_bits(F.col("value"))), "column", "value").select(
+        "column", "statistic", F.col("n1").alias("n_current"), F.col("n2").alias("n_reference"))
+    p = ks_p_value(F.col("statistic"), F.col("n_current"), F.col("n_reference"))
     return d.select("column", "statistic", "n_current", "n_reference", p.alias("p_value"),
                     (p < th.p_value).alias("drift"))
 

@@ -1,11 +1,13 @@
 """Global order without a single-partition window.
 
-``running_sums`` is the one primitive behind exact quantiles (A5, A6, A7),
-the two-sample KS statistic (T3), ordinal codes (J7) and hash-ranked label
-flips (J11).  A plain ``Window.orderBy(v)`` sends every row to one task;
-here the rows are range-partitioned into buckets, per-bucket totals are
-prefix-summed over a table of at most ``buckets x groups`` rows, and the
-running sum is finished inside each bucket.
+Two primitives.  ``running_sums`` (ordinal codes, J7): a plain
+``Window.orderBy(v)`` sends every row to one task; here the rows are
+range-partitioned into buckets, per-bucket totals are prefix-summed over a
+table of at most ``buckets x groups`` rows, and the running sum is finished
+inside each bucket.  ``histogram`` (exact quantiles A5, A6, A7, hash-ranked
+label flips J11, the two-sample KS statistic T3): rows are counted by the high
+bits of an order-preserving 64-bit integer, and only the bins that matter are
+counted again by finer bins, so that no value is ordered or shuffled.
 
 The range-partitioned table is checkpointed so that the bucket id (a
 partition id) is fixed once, whatever retries or re-plans follow.
@@ -17,6 +19,7 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import materialize
 
@@ -91,70 +94,115 @@ def count_values(long: DataFrame, by: str = "column", value: str = "value") -> D
     return long.groupBy(by, value).agg(F.count(F.lit(1)).alias("n"))
 
 
-ACCURACY = 10_000          # of the approximate bounds
-_MARGIN = 4.0 / ACCURACY   # in ranks: four times the error of the bounds
+#: right shifts of the 64-bit keys, one per pass: a bin of one pass is cut
+#: into at most 2^16 bins by the next (the first has sign, exponent and 8 bits)
+LEVELS = (44, 28, 12, 0)
+MOST_BROADCAST = 100_000   # rows of open bins
+
+
+def ordered_bits(v: Column) -> Column:
+    """64-bit integer that orders doubles like their values, one for each
+    value: the bits of the number, negated for negative ones (both zeros are
+    0).  Built from exact steps only: powers of two and integers below 2^53."""
+    a = F.abs(v)
+    guess = F.greatest(F.floor(F.least(F.log2(a), F.lit(1023.0))).cast("int"), F.lit(-1022))
+    over = a / F.pow(F.lit(2.0), guess)
+    e = F.when(over < 1, guess - 1).when(over >= 2, guess + 1).otherwise(guess)
+    small = a < F.lit(2.0 ** -1022)
+    fraction = (a / F.pow(F.lit(2.0), F.greatest(e, F.lit(-1022))) - 1.0) * F.lit(2.0 ** 52)
+    bits = (F.when(small, (a / F.lit(2.0 ** -1074)).cast("bigint"))
+            .when(a == float("inf"), F.lit(2047 << 52))
+            .otherwise((e + 1023).cast("bigint") * F.lit(1 << 52) + fraction.cast("bigint")))
+    return F.when(v < 0, -bits).otherwise(bits)
+
+
+def _order_key(rows: DataFrame, value: str) -> Column:
+    """Integer key of a numeric column: integers as they are, others by their bits."""
+    if isinstance(rows.schema[value].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return F.col(value).cast("bigint")
+    return ordered_bits(F.col(value).cast("double"))
+
+
+def histogram(rows: DataFrame, by: Sequence[str], level: int, open_bins: DataFrame | None, *aggs: Column) -> DataFrame:
+    """One row per group, ``_bin`` of the level before and bin of this level
+    (``_next``), of the rows (with key ``_k``) in the open bins; the row
+    filter is a broadcast where the open bins are few, by their count."""
+    if open_bins is None:
+        rows = rows.withColumn("_bin", F.lit(0).cast("bigint"))
+    else:
+        keys = open_bins.select(*by, "_bin").distinct()
+        keys = F.broadcast(keys) if keys.count() <= MOST_BROADCAST else keys
+        rows = rows.withColumn("_bin", F.shiftright("_k", LEVELS[level - 1])).join(keys, [*by, "_bin"], "left_semi")
+    return rows.groupBy(*by, "_bin", F.shiftright("_k", LEVELS[level]).alias("_next")).agg(*aggs)
+
+
+def _descend(rows: DataFrame, by: Sequence[str], cells: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(by, rank, _v): the value at each 0-based rank of its group, by
+    histogram refinement: the bin that holds the rank is found by counts, then
+    only its rows are counted by finer bins, until a bin is one value.
+    ``cells`` is the first histogram, with n, _lo, _hi."""
+    wanted = ranks.count()
+    at = ranks.select(*by, "rank", F.col("rank").alias("_r"), F.lit(0).cast("bigint").alias("_bin"))
+    order = Window.partitionBy(*by, "_bin").orderBy("_next").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for level in range(len(LEVELS)):
+        if level:
+            cells = histogram(rows, by, level, at, *_value_aggs())
+        upto = cells.withColumn("_upto", F.sum("n").over(order))
+        # one row per group and rank on the left
+        at = shared(F.broadcast(at.select(*by, "rank", "_r", "_bin")).join(upto, [*by, "_bin"])
+                    .where((F.col("_r") >= F.col("_upto") - F.col("n")) & (F.col("_r") < F.col("_upto")))
+                    .select(*by, "rank", (F.col("_r") - (F.col("_upto") - F.col("n"))).alias("_r"), F.col("_next").alias("_bin"), "_lo", "_hi"))
+        found, unsettled = at.agg(F.count(F.lit(1)), F.count_if(F.col("_lo") < F.col("_hi"))).first()
+        if found != wanted:
+            raise RuntimeError(f"{wanted - found} of {wanted} ranks lie outside the rows counted: the input changed between passes")
+        if not unsettled:
+            break
+    return at.select(*by, "rank", F.col("_lo").alias("_v"))
+
+
+def _value_aggs() -> tuple[Column, ...]:
+    return F.count(F.lit(1)).alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
 
 
 def exact_quantiles(long: DataFrame, probs: Sequence[float], by: str = "column",
-                    value: str = "value", buckets: int | None = None) -> DataFrame:
+                    value: str = "value") -> DataFrame:
     """Exact quantiles with linear interpolation (pandas ``quantile``,
     DuckDB ``quantile_cont``) for each ``by`` group of a long table.
 
-    By selection, without ordering the values: approximate quantiles a little
-    below and above each position bound it (one aggregate), a second
-    aggregate counts what lies outside the bounds and keeps the distinct values
-    between them, and only that slice (less than a thousandth of the rows,
-    ties counted once) is ranked.  Nulls are skipped.  Returns (by, q,
-    quantile).
+    By selection, without ordering or shuffling the values: a histogram of the
+    values' 64-bit keys gives the group sizes and the bin of every rank; at
+    most three more count finer bins of those bins alone.  Nulls and NaN are
+    skipped.  Returns (by, q, quantile).
     """
-    probs = [float(p) for p in probs]
     vals = long.select(by, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
-    edges = [min(max(p + side, 0.0), 1.0) for p in probs for side in (-_MARGIN, _MARGIN)]
-    found = vals.groupBy(by).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
-        F.percentile_approx("_v", F.array(*[F.lit(e) for e in edges]), F.lit(ACCURACY)).alias("_e"))
-    edge = lambda i: F.col("_min") if edges[i] == 0.0 else F.col("_max") if edges[i] == 1.0 else F.col("_e")[i]
-    # one row per group and probability
-    bounds = shared(found.select(by, "_n", F.explode(F.array(*[
-        F.struct(F.lit(p).alias("q"), edge(2 * i).alias("lo"), edge(2 * i + 1).alias("hi")) for i, p in enumerate(probs)])).alias("_b"))
-        .select(by, "_n", "_b.q", "_b.lo", "_b.hi"))
-    # What lies below the bounds is one row with its largest value, what lies
-    # above one with its smallest: a position may be off by one rank there
-    # when the rows are few.
-    side = F.when(F.col("_v") < F.col("lo"), -1).when(F.col("_v") > F.col("hi"), 1).otherwise(0)
-    slice_ = (vals.join(F.broadcast(bounds), by).withColumn("_side", side)
-              .groupBy(by, "q", "_n", "_side", F.when(F.col("_side") == 0, F.col("_v")).alias("_in"))
-              .agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-              .select(by, "q", "_n", "n", F.when(F.col("_side") < 0, F.col("_hi")).otherwise(F.col("_lo")).alias("_v")))
-    cum = running_sums(slice_, "_v", ["n"], [by, "q", "_n"], buckets)
-    # Each row knows its group's size, so it can tell by itself whether it
-    # holds the value at rank floor(h) or ceil(h), h = (N-1) q: no join.
-    h = (F.col("_n") - 1) * F.col("q")
-    first = F.col("cum_n") - F.col("n")          # rank of the first copy
-    covers = lambda r: (first <= r) & (r < F.col("cum_n"))
-    picked = cum.where(covers(F.floor(h)) | covers(F.ceil(h))).groupBy(by, "q").agg(
-        F.max(F.when(covers(F.floor(h)), F.col("_v"))).alias("_vlo"),
-        F.max(F.when(covers(F.ceil(h)), F.col("_v"))).alias("_vhi"),
-        F.max(h - F.floor(h)).alias("_frac"))
+    if isinstance(vals.schema["_v"].dataType, (T.DoubleType, T.FloatType)):
+        vals = vals.where(~F.isnan("_v"))
+    rows = vals.withColumn("_k", _order_key(vals, "_v"))
+    cells = shared(histogram(rows, [by], 0, None, *_value_aggs()))
+    positions = (cells.groupBy(by).agg(F.sum("n").alias("_n"))
+                 .select(by, F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("q"), "_n")
+                 .withColumn("_h", (F.col("_n") - 1) * F.col("q")))
+    ends = F.explode(F.array_distinct(F.array(F.floor("_h"), F.ceil("_h"))))
+    found = _descend(rows, [by], cells, shared(positions.select(by, ends.alias("rank")).distinct()))
+    # one row per group, probability and end
+    picked = (positions.select(by, "q", "_h", ends.alias("rank")).join(F.broadcast(found), [by, "rank"])
+              .groupBy(by, "q", "_h").agg(F.min("_v").alias("_vlo"), F.max("_v").alias("_vhi")))
     return picked.select(
         by, "q",
-        (F.col("_vlo") + F.col("_frac") * (F.col("_vhi") - F.col("_vlo"))).alias("quantile"))
+        (F.col("_vlo") + (F.col("_h") - F.floor("_h")) * (F.col("_vhi") - F.col("_vlo"))).alias("quantile"))
 
 
-def rank_cut(keys: DataFrame, order: Sequence[str], n: int, total: int, score: Column,
-             buckets: int | None = None) -> DataFrame:
-    """The ``n``-th smallest ``order`` key of ``total`` rows (as a struct
-    ``_cut``).  ``score`` is a number that never falls along the order: its
-    approximate quantiles bound the key, and only the rows between the bounds
-    are ranked."""
+def rank_cut(keys: DataFrame, order: Sequence[str], n: int, score: Column) -> DataFrame:
+    """The ``n``-th smallest ``order`` key (as a struct ``_cut``).  ``score``
+    is a long that never falls along the order: its value at that rank is
+    selected by histogram refinement, and only the rows with this very score
+    are ranked by the whole key."""
     order = list(order)
-    scored = keys.select(*order, score.alias("_s"))
-    edges = [min(max(n / total + side, 0.0), 1.0) for side in (-_MARGIN, _MARGIN)]
-    lo, hi = scored.agg(F.percentile_approx("_s", F.array(*[F.lit(e) for e in edges]), F.lit(ACCURACY))).first()[0]
-    lo = None if edges[0] == 0.0 else lo
-    hi = None if edges[1] == 1.0 else hi
-    below = 0 if lo is None else scored.where(F.col("_s") < lo).count()
-    part = scored if lo is None else scored.where(F.col("_s") >= lo)
-    part = part if hi is None else part.where(F.col("_s") <= hi)
-    ranked = running_sums(part.select(*order).withColumn("_one", F.lit(1)), order, ["_one"], (), buckets)
-    return ranked.where(F.col("cum__one") <= n - below).agg(F.max(F.struct(*order)).alias("_cut"))
+    scored = keys.select(*order, score.cast("bigint").alias("_v")).withColumn("_k", F.col("_v"))
+    cells = shared(histogram(scored, [], 0, None, *_value_aggs()))
+    rank = keys.sparkSession.range(1).select(F.lit(n - 1).cast("bigint").alias("rank"))
+    cut = _descend(scored, [], cells, rank).first()["_v"]
+    below = scored.where(F.col("_v") < cut).count()
+    same = scored.where(F.col("_v") == cut).groupBy(*order).agg(F.count(F.lit(1)).alias("_c"))
+    ranked = running_sums(same, order, ["_c"])
+    return ranked.where((F.col("cum__c") >= n - below)).agg(F.min(F.struct(*order)).alias("_cut"))

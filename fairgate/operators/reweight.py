@@ -102,15 +102,15 @@ def hash_rank_key(key: Sequence[str], seed: int) -> Column:
 def flip_flags(df: DataFrame, key: Sequence[str], share: float = 0.05,
                seed: int = 42, out: str = "_flip") -> DataFrame:
     """J11 selection: ``out`` is true for exactly floor(share * n) rows — the
-    first in md5(key, seed) order (``key`` must identify a row).  Only the
-    (hash, key) pairs around the cut-off are ranked; it is one value fetched once."""
+    first in md5(key, seed) order (``key`` must identify a row).  The cut-off
+    key is selected by counts and is one value fetched once."""
     n = df.count()
     k = int(share * n)
     hashed = df.withColumn("_h", hash_rank_key(key, seed))
     if k <= 0:
         return hashed.withColumn(out, F.lit(False)).drop("_h")
     number = F.conv(F.substring("_h", 1, 15), 16, 10).cast("long")
-    cut = rank_cut(hashed, ["_h", *key], k, n, number).first()["_cut"]
+    cut = rank_cut(hashed, ["_h", *key], k, number).first()["_cut"]
     bound = F.struct(*[F.lit(v).cast(hashed.schema[c].dataType).alias(c)
                        for c, v in zip(["_h", *key], cut)])
     return hashed.withColumn(out, F.struct("_h", *key) <= bound).drop("_h")

@@ -698,6 +698,17 @@ def q_proxies_documents(spark, sf_dir):
 
 # -- T3: drift -------------------------------------------------------------------------
 
+#: probabilities of the lattice paths of m + n steps that never reach the gap d
+KS_PATHS_SQL = """list_reduce(
+  list_prepend({'s': 0::BIGINT, 'lo': 0::BIGINT, 'hi': 0::BIGINT, 'b': [1.0::DOUBLE]},
+    list_transform(range(1, m + n + 1), lambda s: {
+      's': s, 'lo': greatest(0, s - n, CAST(floor((s * m - round(d * m * n)) / (m + n)) AS BIGINT) + 1),
+      'hi': least(m, s, CAST(ceil((s * m + round(d * m * n)) / (m + n)) AS BIGINT) - 1), 'b': []::DOUBLE[]})),
+  lambda a, x: {'s': x.s, 'lo': x.lo, 'hi': x.hi, 'b': list_transform(range(x.lo, x.hi + 1), lambda i: (
+      coalesce(CASE WHEN i >= a.lo THEN a.b[i - a.lo + 1] END, 0.0) * (n - x.s + 1 + i)
+      + coalesce(CASE WHEN i > a.lo THEN a.b[i - a.lo] END, 0.0) * (m - i + 1)) / (m + n - x.s + 1)::DOUBLE)}).b"""
+
+
 def _ks_sql(cur_sql: str, ref_sql: str, cols) -> str:
     a = "\n  UNION ALL ".join(
         f"SELECT '{c}' AS \"column\", CAST({c} AS DOUBLE) AS v, 1 AS s FROM ({cur_sql}) WHERE {c} IS NOT NULL"
@@ -717,9 +728,10 @@ dd AS (SELECT "column", MAX(ABS(c1 / t1 - c2 / t2)) AS d, CAST(MAX(t1) AS BIGINT
        FROM w GROUP BY "column"),
 pp AS (SELECT *, CASE WHEN {lam} < 0.2 THEN 1.0 ELSE LEAST(1.0, GREATEST(0.0,
          list_sum(list_transform(range(1, 101), lambda k: 2.0 * power(-1.0, k - 1) * exp(-2.0 * k * k * {lam} * {lam})))))
-         END AS p FROM dd)
+         END AS p_large, CAST(least(n1, n2) AS BIGINT) AS m, CAST(greatest(n1, n2) AS BIGINT) AS n FROM dd),
+pe AS (SELECT *, CASE WHEN n > 10000 THEN p_large WHEN round(d * m * n) = 0 THEN 1.0 ELSE greatest(0.0, 1.0 - list_sum({KS_PATHS_SQL})) END AS p FROM pp)
 SELECT "column", ROUND(d, 6) AS statistic, n1 AS n_current, n2 AS n_reference,
-       ROUND(p, 6) AS p_value, p < 0.05 AS drift FROM pp
+       ROUND(p, 6) AS p_value, p < 0.05 AS drift FROM pe
 """
 
 
@@ -749,6 +761,17 @@ def q_drift_events_halves(spark, sf_dir):
     return _drift_out(assoc.ks_drift(cur, ref))
 
 
+# small samples: the p-values are counted exactly
+@register("drift_small_segments", _ks_sql(
+    "SELECT * FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey < 8",
+    "SELECT * FROM customer WHERE c_mktsegment <> 'BUILDING' AND c_nationkey = 3", ["c_acctbal", "c_nationkey"]))
+def q_drift_small_segments(spark, sf_dir):
+    cu = table(spark, sf_dir, "customer")
+    building = F.col("c_mktsegment") == "BUILDING"
+    cols = ["c_acctbal", "c_nationkey"]
+    return _drift_out(assoc.ks_drift(cu.where(building & (F.col("c_nationkey") < 8)).select(cols), cu.where(~building & (F.col("c_nationkey") == 3)).select(cols)))
+
+
 # -- T2 / T5 with p-values ---------------------------------------------------------------
 
 def duck_chi2_sf(x: str, dof: str) -> str:
