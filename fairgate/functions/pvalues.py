@@ -147,6 +147,8 @@ def _ks_exact(d: Column, n1: Column, n2: Column) -> Column:
 
 def ks_p_value(d: Column, n1: Column, n2: Column) -> Column:
     """Two-sided p-value of the two-sample KS statistic: exact while both
-    samples hold at most ``KS_EXACT_MOST`` values, asymptotic beyond."""
-    exact = (n1 > 0) & (n2 > 0) & (F.greatest(n1, n2) <= KS_EXACT_MOST)
-    return F.when(exact & d.isNotNull(), _ks_exact(d, n1, n2)).otherwise(kolmogorov_p_value(d, n1, n2))
+    samples hold at most ``KS_EXACT_MOST`` values, asymptotic beyond and
+    where the asymptotic value is below 1e-30."""
+    large = kolmogorov_p_value(d, n1, n2)
+    exact = (F.greatest(n1, n2) <= KS_EXACT_MOST) & (large > 1e-30)
+    return F.when(exact, _ks_exact(d, n1, n2)).otherwise(large)

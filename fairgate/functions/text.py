@@ -8,6 +8,8 @@ RE2's is ASCII, so matches next to accented letters would differ).
 
 from __future__ import annotations
 
+from typing import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ NUMERIC_TEXT_PATTERN = (
     r"(?i)^(|[ \t\n\r\f]*([+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?"
     r"|[+-]?inf(inity)?)[ \t\n\r\f]*)$")
 
-# The PII catalogue, in redaction priority order.  Each entry:
+# The PII catalogue.  Each entry:
 # type, candidate pattern, pattern of a valid candidate (None: all are),
 # checksum.  A candidate takes in the whole run of digits (or letters and
 # digits) that it stands in, so nothing is cut out of a longer number; a run of
@@ -40,17 +42,22 @@ PII_TYPES = [t for t, *_ in PII_PATTERNS]
 
 
 # Cheap necessary conditions checked before the full pattern (a row that
-# fails its guard cannot hold a match), so the costly patterns only run on
-# candidate rows.
+# fails its guard cannot hold a valid candidate), so the costly patterns only
+# run on the few rows that may hold one.
 PII_GUARDS = {
-    "IBAN_CODE": lambda t: t.rlike("[A-Z]{2}[0-9]{2}"),
-    "CREDIT_CARD": lambda t: t.rlike("[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9]"),
-    "US_SSN": lambda t: t.rlike("[0-9]-[0-9]{2}-[0-9]"),
+    "IBAN_CODE": lambda t: t.rlike("[A-Z]{2}[0-9]{2}( ?[A-Z0-9]){11}"),
+    "CREDIT_CARD": lambda t: t.rlike("[0-9]([ -]?[0-9]){12}"),
+    "US_SSN": lambda t: t.rlike("[0-9]{3}-[0-9]{2}-[0-9]{4}"),
     "EMAIL_ADDRESS": lambda t: F.instr(t, "@") > 0,
     "URL": lambda t: F.instr(t, "://") > 0,
-    "IP_ADDRESS": lambda t: t.rlike("[0-9][.][0-9]"),
-    "PHONE_NUMBER": lambda t: t.rlike("[0-9]{3}[)]?[ .-][0-9]{3}"),
+    "IP_ADDRESS": lambda t: t.rlike("[0-9][.][0-9]+[.][0-9]+[.][0-9]"),
+    "PHONE_NUMBER": lambda t: t.rlike("[0-9]{3}[)]?[ .-][0-9]{3}[ .-][0-9]{4}"),
 }
+# How sure a valid candidate of each type is.  Where candidates
+# overlap the higher score wins, at equal scores the earlier type.
+PII_SCORES = {"IBAN_CODE": 1.0, "CREDIT_CARD": 1.0, "US_SSN": 0.85, "EMAIL_ADDRESS": 1.0,
+              "URL": 0.6, "IP_ADDRESS": 0.6, "PHONE_NUMBER": 0.4}
+_SPANS = "array<struct<start:int,stop:int,type:string>>"
 
 
 def _mod97(value: Column) -> Column:
@@ -78,55 +85,75 @@ def _luhn(candidate: Column) -> Column:
 
 
 def _cards(run: Column) -> Column:
-    """struct(cards, text): the card numbers between blanks in a run that is
-    none as a whole, from the left, and the run with them replaced."""
+    """The card numbers between blanks in a run that is none as a whole, from
+    the left: array of struct(start, stop) in the run, from 0."""
     def step(acc: Column, group: Column) -> Column:
-        # pos: where the group begins; at: what is not yet part of the text
+        # pos: where the group begins; at: what is not yet part of a card
         card = F.regexp_extract(run.substr(acc["pos"], F.length(run)), f"^{_CARD}( |$)", 1)
         starts = (acc["pos"] >= acc["at"]) & ((acc["pos"] == 1) | (run.substr(acc["pos"] - 1, F.lit(1)) == " "))
         hit = F.when(starts & (card != ""), _luhn(card)).otherwise(False)
+        span = F.struct((acc["pos"] - 1).alias("start"), (acc["pos"] - 1 + F.length(card)).alias("stop"))
         return F.struct(
             (acc["pos"] + F.length(group) + 1).alias("pos"),
             F.when(hit, acc["pos"] + F.length(card)).otherwise(acc["at"]).alias("at"),
-            F.when(hit, F.concat(acc["cards"], F.array(card))).otherwise(acc["cards"]).alias("cards"),
-            F.when(hit, F.concat(acc["text"], run.substr(acc["at"], acc["pos"] - acc["at"]), F.lit("<CREDIT_CARD>"))).otherwise(acc["text"]).alias("text"))
+            F.when(hit, F.concat(acc["cards"], F.array(span))).otherwise(acc["cards"]).alias("cards"))
 
-    start = F.struct(F.lit(1).alias("pos"), F.lit(1).alias("at"), F.array().cast("array<string>").alias("cards"), F.lit("").alias("text"))
-    return F.aggregate(F.split(run, "[ -]", -1), start, step, lambda acc: F.struct(
-        acc["cards"].alias("cards"), F.concat(acc["text"], run.substr(acc["at"], F.length(run))).alias("text")))
+    start = F.struct(F.lit(1).alias("pos"), F.lit(1).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("cards"))
+    return F.aggregate(F.split(run, "[ -]", -1), start, step, lambda acc: acc["cards"])
 
 
 def _may_hold_cards(run: Column) -> Column:
     return run.rlike(f"(^| ){_CARD}( |$)")
 
 
-def pii_matches(text: Column, pii_type: str) -> Column:
-    """array<string> of the valid matches of one PII type."""
+def _candidates(text: Column, pii_type: str) -> Column:
+    """Spans of the valid candidates of one type, in order: the pieces of text
+    between the candidates say where each of them stands."""
     _, pattern, shape, check = next(p for p in PII_PATTERNS if p[0] == pii_type)
+    none = F.array().cast(_SPANS)
     found = F.regexp_extract_all(text, F.lit(pattern), 0)
-    if check == "luhn":
-        none = F.array().cast("array<string>")
-        found = F.flatten(F.transform(found, lambda m: F.when(_valid(m, shape, check), F.array(m))
-                                      .when(_may_hold_cards(m), _cards(m)["cards"]).otherwise(none)))
-    elif shape or check:
-        found = F.filter(found, lambda m: _valid(m, shape, check))
-    return F.when(PII_GUARDS[pii_type](text), found).otherwise(F.array().cast("array<string>"))
-
-
-def redact_step(text: Column, pii_type: str) -> Column:
-    """The valid spans of one PII type replaced by ``<TYPE>``, each at its
-    place; the guard skips rows that cannot match.  ``text`` should be a
-    column reference (the previous step's output), not a nested expression.
-    Row-stateless, so it also applies to a streaming DataFrame."""
-    _, pattern, shape, check = next(p for p in PII_PATTERNS if p[0] == pii_type)
-    tag = F.lit(f"<{pii_type}>")
-    if shape or check:
-        between = F.split(text, pattern, -1)
-        found = F.regexp_extract_all(text, F.lit(pattern), 0)
+    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("piece"), found.alias("run"))
+
+    def step(acc: Column, pair: Column) -> Column:
+        at, run = acc["at"] + F.length(pair["piece"]), pair["run"]
+        span = lambda a, b: F.struct(a.alias("start"), b.alias("stop"), F.lit(pii_type).alias("type"))
+        hits = F.when(_valid(run, shape, check), F.array(span(at, at + F.length(run))))
+        if check == "luhn":
+            hits = hits.when(_may_hold_cards(run), F.transform(_cards(run), lambda c: span(at + c["start"], at + c["stop"])))
         # one piece of text more than candidates: the last has no partner
-        rest = lambda m: F.when(_may_hold_cards(m), _cards(m)["text"]).otherwise(m) if check == "luhn" else m
-        glue = lambda piece, m: F.concat(piece, F.coalesce(F.when(_valid(m, shape, check), tag).otherwise(rest(m)), F.lit("")))
-        replaced = F.array_join(F.zip_with(between, found, glue), "")
-    else:
-        replaced = F.regexp_replace(text, F.lit(pattern), tag)
-    return F.when(PII_GUARDS[pii_type](text), replaced).otherwise(text)
+        return F.struct((at + F.coalesce(F.length(run), F.lit(0))).alias("at"),
+                        F.when(run.isNotNull() & (F.size(hits) > 0), F.concat(acc["spans"], hits)).otherwise(acc["spans"]).alias("spans"))
+
+    start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
+    return F.when(PII_GUARDS[pii_type](text), F.aggregate(pairs, start, step, lambda acc: acc["spans"])).otherwise(none)
+
+
+def pii_spans(text: Column, types: Sequence[str] | None = None) -> Column:
+    """Array of struct(start, stop, type), code points from 0, by
+    start: the valid candidates of all types, those that overlap a surer one
+    left out (``PII_SCORES``).  Findings and redaction both read these spans.
+    ``text`` should be a column reference, not a nested expression; null has
+    none.  Row-stateless, so it also applies to a streaming DataFrame."""
+    wanted = [t for t in PII_TYPES if types is None or t in types]
+    none = F.array().cast(_SPANS)
+    if not wanted:
+        return none
+    by_score = sorted(wanted, key=lambda t: -PII_SCORES[t])        # stable: at equal scores the earlier type
+    overlaps = lambda s: lambda k: (k["start"] < s["stop"]) & (s["start"] < k["stop"])
+    chosen = F.aggregate(F.array(*[_candidates(text, t) for t in by_score]), none,
+                         lambda kept, spans: F.concat(kept, F.filter(spans, lambda s: ~F.exists(kept, overlaps(s)))))
+    return F.coalesce(F.array_sort(chosen), none)
+
+
+def span_texts(text: Column, spans: Column, pii_type: str) -> Column:
+    """The matches of one type."""
+    own = F.filter(spans, lambda s: s["type"] == pii_type)
+    return F.transform(own, lambda s: text.substr(s["start"] + 1, s["stop"] - s["start"]))
+
+
+def redacted(text: Column, spans: Column) -> Column:
+    """The text with each span replaced by ``<TYPE>`` at its place."""
+    before = lambda i: F.when(i > 0, F.get(spans, i - 1)["stop"]).otherwise(0)
+    parts = F.transform(spans, lambda s, i: F.concat(text.substr(before(i) + 1, s["start"] - before(i)), F.lit("<"), s["type"], F.lit(">")))
+    rest = text.substr(F.element_at(spans, -1)["stop"] + 1, F.length(text))
+    return F.when(F.size(spans) > 0, F.concat(F.array_join(parts, ""), rest)).otherwise(text)

@@ -24,7 +24,7 @@ from ..functions.columns import q, ratio, stack, to_long
 from ..functions.pvalues import ks_p_value
 from ..spec import DatasetSpec, is_numeric, is_temporal, is_text, matches_by_attribute
 from .encode import as_number, label_encode
-from .ordering import LEVELS, histogram, ordered_bits, shared
+from .ordering import LEVELS, histogram, ordered, shared
 
 
 def _correlatable(dt: T.DataType) -> bool:
@@ -126,7 +126,7 @@ def ks_drift(current: DataFrame, reference: DataFrame,
                                             F.lit(0).alias("_b"))
     b = _numeric_long(reference, cols).select("column", "value", F.lit(0).alias("_a"),
                                               F.lit(1).alias("_b"))
-    d = ecdf_gap(a.unionByName(b).withColumn("_k", ordered_bits(F.col("value"))), "column", "value").select(
+    d = ecdf_gap(ordered(a.unionByName(b), "value"), "column", "value").select(
         "column", "statistic", F.col("n1").alias("n_current"), F.col("n2").alias("n_reference"))
     p = ks_p_value(F.col("statistic"), F.col("n_current"), F.col("n_reference"))
     return d.select("column", "statistic", "n_current", "n_reference", p.alias("p_value"),

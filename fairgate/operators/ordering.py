@@ -100,27 +100,28 @@ LEVELS = (44, 28, 12, 0)
 MOST_BROADCAST = 100_000   # rows of open bins
 
 
-def ordered_bits(v: Column) -> Column:
-    """64-bit integer that orders doubles like their values, one for each
-    value: the bits of the number, negated for negative ones (both zeros are
-    0).  Built from exact steps only: powers of two and integers below 2^53."""
-    a = F.abs(v)
-    guess = F.greatest(F.floor(F.least(F.log2(a), F.lit(1023.0))).cast("int"), F.lit(-1022))
-    over = a / F.pow(F.lit(2.0), guess)
-    e = F.when(over < 1, guess - 1).when(over >= 2, guess + 1).otherwise(guess)
-    small = a < F.lit(2.0 ** -1022)
-    fraction = (a / F.pow(F.lit(2.0), F.greatest(e, F.lit(-1022))) - 1.0) * F.lit(2.0 ** 52)
-    bits = (F.when(small, (a / F.lit(2.0 ** -1074)).cast("bigint"))
-            .when(a == float("inf"), F.lit(2047 << 52))
-            .otherwise((e + 1023).cast("bigint") * F.lit(1 << 52) + fraction.cast("bigint")))
-    return F.when(v < 0, -bits).otherwise(bits)
-
-
-def _order_key(rows: DataFrame, value: str) -> Column:
-    """Integer key of a numeric column: integers as they are, others by their bits."""
+def ordered(rows: DataFrame, value: str, key: str = "_k") -> DataFrame:
+    """Adds a 64-bit integer that orders a numeric column, one for each value.
+    Integers are their own key.  Other numbers are taken as doubles; the key
+    is their bits, negated for negative ones (both zeros are 0), built from
+    exact steps only: powers of two and integers below 2^53.  Each step is a
+    column, so that Spark computes it once."""
     if isinstance(rows.schema[value].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        return F.col(value).cast("bigint")
-    return ordered_bits(F.col(value).cast("double"))
+        return rows.withColumn(key, F.coalesce(F.col(value).cast("bigint"), F.lit(0)))
+    size, fraction = F.col("_size"), F.col("_fraction")
+    steps = rows.withColumn("_size", F.abs(F.col(value).cast("double")))
+    # one too many or too few at most: the fraction of the power of two tells
+    steps = steps.withColumn("_power", F.greatest(F.floor(F.least(F.log2(size), F.lit(1023.0))), F.lit(-1022).cast("bigint")))
+    steps = steps.withColumn("_fraction", size / F.pow(F.lit(2.0), F.col("_power").cast("double")))
+    one = F.lit(1 << 52)
+    bits = (F.when(size < 2.0 ** -1022, (size / F.lit(2.0 ** -1074)).cast("bigint"))
+            .when(size == float("inf"), F.lit(2047) * one)
+            .when(fraction < 1, (F.col("_power") + 1022) * one + ((fraction * 2 - 1) * 2.0 ** 52).cast("bigint"))
+            .when(fraction >= 2, (F.col("_power") + 1024) * one + ((fraction / 2 - 1) * 2.0 ** 52).cast("bigint"))
+            .otherwise((F.col("_power") + 1023) * one + ((fraction - 1) * 2.0 ** 52).cast("bigint")))
+    # never null: a join on the key would else filter by the whole expression once more
+    signed = F.coalesce(F.when(F.col(value) < 0, -size).otherwise(size), F.lit(0))
+    return steps.withColumn("_size", bits).withColumn(key, signed).drop("_size", "_power", "_fraction")
 
 
 def histogram(rows: DataFrame, by: Sequence[str], level: int, open_bins: DataFrame | None, *aggs: Column) -> DataFrame:
@@ -177,7 +178,7 @@ def exact_quantiles(long: DataFrame, probs: Sequence[float], by: str = "column",
     vals = long.select(by, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
     if isinstance(vals.schema["_v"].dataType, (T.DoubleType, T.FloatType)):
         vals = vals.where(~F.isnan("_v"))
-    rows = vals.withColumn("_k", _order_key(vals, "_v"))
+    rows = ordered(vals, "_v")
     cells = shared(histogram(rows, [by], 0, None, *_value_aggs()))
     positions = (cells.groupBy(by).agg(F.sum("n").alias("_n"))
                  .select(by, F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("q"), "_n")

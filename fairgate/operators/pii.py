@@ -1,9 +1,10 @@
 """PII detection and redaction over whole text columns.
 
 Every text column is scanned in full (no first-n sample): the columns are
-unpivoted, each PII type is matched with a built-in regex expression
-(checksums as built-in predicates), and one ``groupBy(column)`` sums the
-detections.  Findings carry a hash of one example, never the raw value.
+unpivoted, one expression of built-in functions gives the spans of all types
+(patterns, checksums, overlaps resolved by score), and one ``groupBy(column)``
+sums the detections.  Redaction replaces exactly these spans.  Findings carry
+a hash of one example, never the raw value.
 
 A caller may plug in a detector for types that need a model (e.g. PERSON):
 a pandas UDF ``text -> array<string>`` passed as ``extra={"PERSON": udf}``.
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import q, stack, to_long
-from ..functions.text import PII_TYPES, pii_matches, redact_step
+from ..functions.text import PII_TYPES, pii_spans, redacted, span_texts
 from ..spec import columns_of, is_text
 
 
@@ -29,17 +30,17 @@ def pii_findings(df: DataFrame, columns: Sequence[str] | None = None,
     60-bit md5 prefix (hex) of one match, never the raw value.  Every value
     is scanned; a caller with few large files may ``repartition`` first."""
     cols = list(columns) if columns is not None else columns_of(df, "text")
-    detectors: dict[str, Callable[[Column], Column]] = {
-        t: (lambda c, t=t: pii_matches(c, t)) for t in (types or PII_TYPES)}
-    detectors.update(extra or {})
-    names = list(detectors)
+    own = [t for t in PII_TYPES if types is None or t in types]
+    names = [*own, *(extra or {})]
     if not cols:
         return df.sparkSession.createDataFrame(
             [], "column string, pii_type string, n_detections bigint, "
                 "n_rows bigint, example_hash string")
     long = to_long(df, cols).where(F.col("value").isNotNull())
-    found = long.select("column", *[detectors[t](F.col("value")).alias(f"_m{i}")
-                                    for i, t in enumerate(names)])
+    # the spans are a column of their own, so that every type reads the same ones
+    spans = long.select("column", "value", pii_spans(F.col("value"), own).alias("_spans"))
+    match = lambda t: (extra or {})[t](F.col("value")) if t in (extra or {}) else span_texts(F.col("value"), F.col("_spans"), t)
+    found = spans.select("column", *[match(t).alias(f"_m{i}") for i, t in enumerate(names)])
     aggs = []
     for i, _ in enumerate(names):
         m = F.col(f"_m{i}")
@@ -76,10 +77,7 @@ def anonymize(df: DataFrame, columns: Sequence[str] | None = None,
     wanted = set(columns) if columns is not None else None
     targets = [f.name for f in df.schema.fields
                if is_text(f.dataType) and (wanted is None or f.name in wanted)]
-    out = df
-    # One projection per PII type: each step reads the previous step's
-    # column, so no step's work is repeated inside a later expression.
-    for pii_type in (t for t in PII_TYPES if types is None or t in types):
-        out = out.select(*[redact_step(q(f), pii_type).alias(f) if f in targets else q(f)
-                           for f in df.columns])
-    return out
+    # the spans of all columns in one projection, the replacements in the next
+    spans = [pii_spans(q(f), types).alias(f"_spans_{i}") for i, f in enumerate(targets)]
+    out = df.select(*[q(f) for f in df.columns], *spans)
+    return out.select(*[redacted(q(f), F.col(f"_spans_{targets.index(f)}")).alias(f) if f in targets else q(f) for f in df.columns])

@@ -374,18 +374,20 @@ def _duck_luhn(x: str) -> str:
             f"CASE WHEN i % 2 = 1 THEN ({d} * 2) % 10 + ({d} * 2) // 10 ELSE {d} END)) % 10 = 0)")
 
 
-# What the oracle expects, written apart from the operator: runs of digits
-# (or of letters and digits) as a whole, then what makes such a run valid.
+# What the oracle expects, as rules over rows: every run of a type's symbols,
+# what makes a run valid, the windows between blanks that make a card, and the
+# surer of two overlapping spans.
 _BYTE = "(?:[0-9]|[1-9][0-9]|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 _CALL = r"(?:\+[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}"
+#: type: (run, valid run, rank among overlapping spans)
 EXPECTED_PII = {
-    "IBAN_CODE": (r"[A-Z]{2}[0-9]{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?|[0-9A-Za-z]+", "[A-Z]{2}[0-9]{2}[A-Z0-9 ]{11,38}"),
-    "CREDIT_CARD": (r"[0-9](?:[ -]?[0-9])*", "[0-9](?:[ -]?[0-9]){12,18}"),
-    "US_SSN": (r"[0-9]+(?:-[0-9]+)*", "[0-9]{3}-[0-9]{2}-[0-9]{4}"),
-    "EMAIL_ADDRESS": (r"[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}", None),
-    "URL": (r"https?://[^ \t\n\r<>\"']+", None),
-    "IP_ADDRESS": (r"[0-9]+(?:\.[0-9]+)*", rf"(?:{_BYTE}\.){{3}}{_BYTE}"),
-    "PHONE_NUMBER": (rf"[0-9]*{_CALL}[0-9]*", _CALL),
+    "IBAN_CODE": (r"[A-Z]{2}[0-9]{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?|[0-9A-Za-z]+", "[A-Z]{2}[0-9]{2}[A-Z0-9 ]{11,38}", 1),
+    "CREDIT_CARD": (r"[0-9](?:[ -]?[0-9])*", "[0-9](?:[ -]?[0-9]){12,18}", 2),
+    "EMAIL_ADDRESS": (r"[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}", None, 3),
+    "US_SSN": (r"[0-9]+(?:-[0-9]+)*", "[0-9]{3}-[0-9]{2}-[0-9]{4}", 4),
+    "URL": (r"https?://[^ \t\n\r<>\"']+", None, 5),
+    "IP_ADDRESS": (r"[0-9]+(?:\.[0-9]+)*", rf"(?:{_BYTE}\.){{3}}{_BYTE}", 6),
+    "PHONE_NUMBER": (rf"[0-9]*{_CALL}[0-9]*", _CALL, 7),
 }
 
 
@@ -398,7 +400,7 @@ def _duck_mod97(x: str) -> str:
 
 
 def _duck_valid(x: str, pii_type: str) -> str:
-    _, shape = EXPECTED_PII[pii_type]
+    _, shape, _ = EXPECTED_PII[pii_type]
     ok = f"regexp_full_match({x}, {_sql_lit(shape)})" if shape else "TRUE"
     if pii_type == "CREDIT_CARD":
         digits = f"regexp_replace({x}, '[ -]', '', 'g')"
@@ -406,43 +408,71 @@ def _duck_valid(x: str, pii_type: str) -> str:
     return f"CASE WHEN {ok} THEN {_duck_mod97(x)} ELSE FALSE END" if pii_type == "IBAN_CODE" else ok
 
 
-def _duck_matches(v: str, pii_type: str) -> str:
-    found = f"regexp_extract_all({v}, {_sql_lit(EXPECTED_PII[pii_type][0])})"
-    return f"list_filter({found}, lambda x: {_duck_valid('x', pii_type)})" if EXPECTED_PII[pii_type][1] else found
+def pii_spans_sql(source: str) -> str:
+    """CTEs over ``source`` (rid, v): kept (rid, type, a, b, x) are the spans
+    [a, b) of v with their text x."""
+    runs = "\nUNION ALL ".join(
+        f"SELECT rid, '{t}' AS type, {rank} AS rank, unnest(regexp_extract_all(v, {_sql_lit(run)})) AS x, "
+        f"unnest(string_split_regex(v, {_sql_lit(run)})[:-2]) AS piece, unnest(range(len(regexp_extract_all(v, {_sql_lit(run)})))) AS k FROM src"
+        for t, (run, _, rank) in EXPECTED_PII.items())
+    valid = " ".join(f"WHEN '{t}' THEN {_duck_valid('x', t)}" for t in EXPECTED_PII)
+    card = "[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|[0-9]{13,19}"
+    chain, kept = "", []
+    for t, (_, _, rank) in sorted(EXPECTED_PII.items(), key=lambda e: e[1][2]):
+        surer = "\nUNION ALL ".join(f"SELECT * FROM kept{r}" for r in kept)
+        free = f"WHERE NOT EXISTS (SELECT 1 FROM ({surer}) o WHERE o.rid = s.rid AND o.a < s.b AND s.a < o.b)" if kept else ""
+        chain += f",\nkept{rank} AS MATERIALIZED (SELECT * FROM (SELECT rid, type, a, b, x FROM span WHERE rank = {rank}) s {free})"
+        kept.append(rank)
+    return f"""
+src AS MATERIALIZED ({source}),
+run AS (
+  SELECT rid, type, rank, x, sum(length(piece) + length(x)) OVER (PARTITION BY rid, type ORDER BY k) - length(x) AS a
+  FROM ({runs})),
+judged AS MATERIALIZED (
+  SELECT *, CASE type {valid} END AS ok FROM run WHERE type <> 'CREDIT_CARD' OR length(x) >= 13),
+-- a run of several numbers: every window of one to four pieces between blanks that is a card by itself
+piece AS (
+  SELECT rid, a, x, string_split(x, ' ') AS p, unnest(range(len(string_split(x, ' ')))) AS k
+  FROM judged WHERE type = 'CREDIT_CARD' AND NOT ok AND contains(x, ' ')),
+window_ AS (
+  SELECT rid, a, x, k, array_to_string(p[k + 1 : k + 1 + j], ' ') AS w,
+         coalesce(length(array_to_string(p[: k], ' ')) + CASE WHEN k > 0 THEN 1 ELSE 0 END, 0) AS o
+  FROM piece CROSS JOIN range(4) t(j) WHERE k + j < len(p)),
+card AS (
+  SELECT rid, a, list({{'s': a + o, 'e': a + o + length(w), 'w': w, 't': []::STRUCT(s HUGEINT, e HUGEINT, w VARCHAR)[]}} ORDER BY o) AS l
+  FROM (SELECT * FROM window_ WHERE regexp_full_match(w, '{card}'))
+  WHERE {_duck_luhn("regexp_replace(w, '[ -]', '', 'g')")} GROUP BY rid, a),
+inner_ AS (
+  SELECT rid, unnest(list_reduce(list_prepend({{'s': (-1)::HUGEINT, 'e': 0::HUGEINT, 'w': '', 't': []::STRUCT(s HUGEINT, e HUGEINT, w VARCHAR)[]}}, l),
+    lambda c, n: CASE WHEN n.s >= c.e THEN {{'s': n.s, 'e': n.e, 'w': n.w, 't': list_append(c.t, {{'s': n.s, 'e': n.e, 'w': n.w}})}} ELSE c END).t) AS c
+  FROM card),
+span AS MATERIALIZED (
+  SELECT rid, type, rank, a, a + length(x) AS b, x FROM judged WHERE ok
+  UNION ALL SELECT rid, 'CREDIT_CARD', 2, c.s, c.e, c.w FROM inner_){chain},
+kept AS MATERIALIZED ({" UNION ALL ".join(f"SELECT * FROM kept{r}" for r in kept)})"""
 
 
 def pii_findings_sql(tbl: str, cols) -> str:
-    types = list(EXPECTED_PII)
-    ms = ",\n  ".join(f"{_duck_matches('v', t)} AS m{i}" for i, t in enumerate(types))
-    aggs = ",\n  ".join(f"CAST(SUM(len(m{i})) AS BIGINT) AS n{i}, COUNT(*) FILTER (WHERE len(m{i}) > 0) AS r{i}, "
-                        f"MIN(list_min(list_transform(m{i}, lambda x: ('0x' || substr(md5(x), 1, 15))::BIGINT))) AS e{i}"
-                        for i, _ in enumerate(types))
-    outs = "\nUNION ALL ".join(
-        f"SELECT \"column\", '{t}' AS pii_type, n{i} AS n_detections, r{i} AS n_rows, "
-        f"lpad(lower(hex(e{i})), 15, '0') AS example_hash FROM agg WHERE n{i} > 0" for i, t in enumerate(types))
+    rows = _union_sql(cols, "SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS v FROM " + tbl)
     return f"""
-WITH l AS ({_union_sql(cols, "SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS v FROM " + tbl)}),
-m AS (SELECT "column", {ms} FROM l WHERE v IS NOT NULL),
-agg AS (SELECT "column", {aggs} FROM m GROUP BY "column")
-{outs}
+WITH l AS MATERIALIZED (SELECT row_number() OVER () AS rid, * FROM ({rows}) WHERE v IS NOT NULL),
+{pii_spans_sql("SELECT rid, v FROM l")}
+SELECT "column", type AS pii_type, count(*) AS n_detections, count(DISTINCT rid) AS n_rows,
+       lpad(lower(hex(min(('0x' || substr(md5(x), 1, 15))::BIGINT))), 15, '0') AS example_hash
+FROM kept JOIN l USING (rid) GROUP BY ALL
 """
 
 
 def redact_sql(source: str, keep: str) -> str:
-    """``source`` (a table with a text column) with one step per type; ``keep``: the other columns."""
-    out = source
-    for i, (t, (pattern, shape)) in enumerate(EXPECTED_PII.items()):
-        if shape is None:
-            new = f"regexp_replace(text, {_sql_lit(pattern)}, '<{t}>', 'g')"
-            out = f"(SELECT {new} AS text, {keep} FROM {out})"
-        else:
-            parts = (f"(SELECT text, {keep}, string_split_regex(text, {_sql_lit(pattern)}) AS p{i}, "
-                     f"regexp_extract_all(text, {_sql_lit(pattern)}) AS c{i} FROM {out})")
-            item = f"list_extract(c{i}, k + 1)"
-            new = (f"array_to_string(list_transform(range(len(p{i})), lambda k: p{i}[k + 1] || coalesce("
-                   f"CASE WHEN {_duck_valid(item, t)} THEN '<{t}>' ELSE {item} END, '')), '')")
-            out = f"(SELECT {new} AS text, {keep} FROM {parts})"
-    return out
+    """``source`` (a table with a text column), redacted; ``keep``: the other columns."""
+    return f"""(
+WITH l AS MATERIALIZED (SELECT row_number() OVER () AS rid, text AS v, {keep} FROM {source}),
+{pii_spans_sql("SELECT rid, v FROM l WHERE v IS NOT NULL")},
+told AS (
+  SELECT rid, string_agg(substr(v, before + 1, a - before) || '<' || type || '>', '' ORDER BY a) AS head, max(b) AS upto
+  FROM (SELECT rid, v, type, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS before
+        FROM (SELECT rid, type, a::BIGINT AS a, b::BIGINT AS b FROM kept) JOIN src USING (rid)) GROUP BY rid)
+SELECT coalesce(head || substr(v, upto + 1), v) AS text, {keep} FROM l LEFT JOIN told USING (rid))"""
 
 
 @register("pii_findings_documents", pii_findings_sql("documents", ["text", "lang", "source"]))
@@ -729,7 +759,7 @@ dd AS (SELECT "column", MAX(ABS(c1 / t1 - c2 / t2)) AS d, CAST(MAX(t1) AS BIGINT
 pp AS (SELECT *, CASE WHEN {lam} < 0.2 THEN 1.0 ELSE LEAST(1.0, GREATEST(0.0,
          list_sum(list_transform(range(1, 101), lambda k: 2.0 * power(-1.0, k - 1) * exp(-2.0 * k * k * {lam} * {lam})))))
          END AS p_large, CAST(least(n1, n2) AS BIGINT) AS m, CAST(greatest(n1, n2) AS BIGINT) AS n FROM dd),
-pe AS (SELECT *, CASE WHEN n > 10000 THEN p_large WHEN round(d * m * n) = 0 THEN 1.0 ELSE greatest(0.0, 1.0 - list_sum({KS_PATHS_SQL})) END AS p FROM pp)
+pe AS (SELECT *, CASE WHEN n > 10000 OR p_large < 1e-12 THEN p_large WHEN round(d * m * n) = 0 THEN 1.0 ELSE greatest(0.0, 1.0 - list_sum({KS_PATHS_SQL})) END AS p FROM pp)
 SELECT "column", ROUND(d, 6) AS statistic, n1 AS n_current, n2 AS n_reference,
        ROUND(p, 6) AS p_value, p < 0.05 AS drift FROM pe
 """

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import stack, to_long
-from ..functions.text import PII_TYPES, pii_matches
+from ..functions.text import PII_TYPES, pii_spans
 from ..operators.pii import anonymize
 from ..session import ensure_checkpoint_dir
 
@@ -28,8 +28,9 @@ def redact_stream(stream: DataFrame, columns: Sequence[str] | None = None) -> Da
 def pii_counts_stream(stream: DataFrame, columns: Sequence[str]) -> DataFrame:
     """X2 as a running aggregation: column, pii_type, n_detections, n_rows."""
     long = to_long(stream, columns).where(F.col("value").isNotNull())
-    found = long.select("column", *[F.size(pii_matches(F.col("value"), t)).alias(f"_m{i}")
-                                    for i, t in enumerate(PII_TYPES)])
+    spans = long.select("column", pii_spans(F.col("value")).alias("_spans"))
+    found = spans.select("column", *[F.size(F.filter("_spans", lambda s: s["type"] == t)).alias(f"_m{i}")  # noqa: B023
+                                     for i, t in enumerate(PII_TYPES)])
     per_type = found.select("column", stack(
         [(F.lit(t), F.col(f"_m{i}")) for i, t in enumerate(PII_TYPES)], ["pii_type", "n"]))
     return (per_type.groupBy("column", "pii_type")

@@ -642,3 +642,29 @@ def test_cards_beside_other_numbers(spark):
     assert got == [want for _, want, _ in CARDS_IN_RUNS]
     found = {r.pii_type: (r.n_detections, r.n_rows) for r in pii.pii_findings(df, ["t"], types=["CREDIT_CARD"]).collect()}
     assert found == {"CREDIT_CARD": (sum(n for *_, n in CARDS_IN_RUNS), sum(n > 0 for *_, n in CARDS_IN_RUNS))}
+
+
+def test_overlapping_spans_the_surer_one_stays(spark):
+    cases = [("https://jane@site.org/x?c=4111111111111111", "https://<EMAIL_ADDRESS>/x?c=<CREDIT_CARD>"), ("http://10.0.0.1/a 10.0.0.2", "<URL> <IP_ADDRESS>"),
+             ("212-555-0100@mail.org", "<EMAIL_ADDRESS>"), ("ä 123-45-6789 ö jane@site.org ü", "ä <US_SSN> ö <EMAIL_ADDRESS> ü"),
+             ("é" * 50 + " 4111 1111 1111 1111 12 https://x.y", "é" * 50 + " <CREDIT_CARD> 12 <URL>"), (None, None), ("", "")]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string")
+    assert [r.t for r in pii.anonymize(df).orderBy("i").collect()] == [want for _, want in cases]
+    assert [r.t for r in pii.anonymize(df, types=[]).orderBy("i").collect()] == [t for t, _ in cases]
+
+
+def test_findings_count_what_redaction_replaces(spark):
+    rnd = random.Random(12)
+    pieces = ["4111111111111111", "4012 8888 8888 1881", "jane@site.org", "https://a.b/c", "10.1.2.3", "212-555-0100", "123-45-6789", "GB82WEST12345698765432", "17", "ab", "12/25"]
+    texts = [rnd.choice(["", " ", "-"]).join(rnd.choice([" ", " ", "", "/", "@"]) + rnd.choice(pieces) for _ in range(rnd.randrange(9))) for _ in range(300)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    out = [r.t for r in pii.anonymize(df).collect()]
+    tags = {t: (sum(x.count(f"<{t}>") for x in out), sum(f"<{t}>" in x for x in out)) for t in ("CREDIT_CARD", "EMAIL_ADDRESS", "URL", "IP_ADDRESS", "PHONE_NUMBER", "US_SSN", "IBAN_CODE")}
+    found = {r.pii_type: (r.n_detections, r.n_rows) for r in pii.pii_findings(df, ["t"]).collect()}
+    assert found == {t: n for t, n in tags.items() if n[0]} and len(found) == 7
+
+
+def test_a_plugged_in_detector_is_counted(spark):
+    df = spark.createDataFrame([("Ada met Bob",), ("nobody",), (None,)], "t string")
+    names = {"PERSON": lambda c: F.regexp_extract_all(c, F.lit("[A-Z][a-z]+"), 0)}
+    assert [(r.pii_type, r.n_detections, r.n_rows) for r in pii.pii_findings(df, extra=names).collect()] == [("PERSON", 2, 1)]

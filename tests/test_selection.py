@@ -19,7 +19,7 @@ def test_ordered_bits_are_the_bits(spark):
     powers = 2.0 ** np.arange(-1074, 1024)
     v = np.concatenate([raw[np.isfinite(raw)], HARD, powers, np.nextafter(powers[4:], 0), -np.nextafter(powers, np.inf)[:-1]])
     df = spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)], "i int, v double")
-    got = [r[0] for r in df.orderBy("i").select(ordering.ordered_bits(F.col("v"))).collect()]
+    got = [r[0] for r in ordering.ordered(df, "v").orderBy("i").select("_k").collect()]
     bits = np.abs(v).view(np.int64)
     assert got == np.where(v < 0, -bits, bits).tolist()
 
@@ -94,7 +94,7 @@ def test_gap_by_bounds_equals_every_value(spark):
              "ties": (rng.integers(-3, 3, 300).astype(float), rng.integers(-3, 4, 500).astype(float)),
              "apart": (rng.normal(size=30), rng.normal(100, size=20)), "one": (np.array([1.0]), np.array([1.0]))}
     rows = [(c, float(x), 1 - side, side) for c, pair in cases.items() for side, v in enumerate(pair) for x in v]
-    df = spark.createDataFrame(rows, "column string, value double, _a int, _b int").withColumn("_k", ordering.ordered_bits(F.col("value")))
+    df = ordering.ordered(spark.createDataFrame(rows, "column string, value double, _a int, _b int"), "value")
     got = {r.column: r for r in association.ecdf_gap(df, "column", "value").collect()}
     for c, (a, b) in cases.items():
         assert got[c].statistic == gap(a, b) and (got[c].n1, got[c].n2) == (len(a), len(b)), c
@@ -102,7 +102,7 @@ def test_gap_by_bounds_equals_every_value(spark):
 
 def test_no_range_shuffle_in_the_drift_plan(spark):
     df = spark.range(100).select(F.col("id").cast("double").alias("x"))
-    rows = df.select(F.lit("x").alias("column"), F.col("x").alias("value"), F.lit(1).alias("_a"), F.lit(0).alias("_b")).withColumn("_k", ordering.ordered_bits(F.col("value")))
+    rows = ordering.ordered(df.select(F.lit("x").alias("column"), F.col("x").alias("value"), F.lit(1).alias("_a"), F.lit(0).alias("_b")), "value")
     plan = ordering.histogram(rows, ["column"], 0, None, F.sum("_a").alias("_a"))._jdf.queryExecution().toString().lower()
     assert "rangepartitioning" not in plan and "sort " not in plan
 
