@@ -36,6 +36,6 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-    label = edges.groupBy("u").agg(F.min("v").alias("component"))
-    roots = label.select(F.col("component").alias("u"), "component").distinct()
-    return label.unionByName(roots).select(F.col("u").alias("node"), "component").distinct()
+    # every node hangs on its root alone now
+    roots = edges.select(F.col("v").alias("u"), "v").distinct()
+    return edges.unionByName(roots).select(F.col("u").alias("node"), F.col("v").alias("component"))

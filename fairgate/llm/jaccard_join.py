@@ -22,11 +22,15 @@ other frequent; the counts cover all documents.
 Rare tokens give candidate pairs directly (a group has ``rare`` classes at
 most).  A pair is dropped when the lengths or the number of shared rare tokens
 rule the similarity out.  Combinations may be shared by any number of classes:
-first every class is tried against one centre of its group, then only classes
-still in different components meet.  Every class is first tried with its
-smallest partner, and pairs within one component are not tried again, so a
-group of near copies costs as many trials as it has members.  A link counts
-only after verification on the whole 64-bit sets.
+first every class is tried against one centre of its group and with its
+smallest partner, so that a group of near copies costs as many trials as it
+has members.  Only classes still in different components meet, in blocks
+inside tasks, and only by parity sketches: a sketch has one bit for each
+residue of the tokens, set when an odd number of tokens fall on it, so two
+sketches differ in no more bits than the sets differ in tokens.  A pair whose
+sketches differ in more bits than a link allows is refuted for certain and
+never becomes a row.  A link counts only after verification on the whole
+64-bit sets.
 
 Defined cases: null or empty texts have size 0 and link with nothing; a text
 of fewer words than a shingle is one token; rows are told apart by position,
@@ -48,7 +52,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .graph import components
 from .idfilter import IdFilter
-from .textutil import hash_strings, mix64, small_batches, texts_of, unused, words_of, written
+from .textutil import hash_strings, mix64, remove, small_batches, texts_of, unused, words_of, written
 
 RARE = 8
 SPARE = 16                 # tokens of a window beyond the extended prefix
@@ -86,6 +90,12 @@ def _digest(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
+def _parity(s: np.ndarray) -> bytes:
+    """The set's parity sketch, of about as many bits as it has tokens (256 to 2048)."""
+    bits = 1 << min(max(len(s) - 1, 255).bit_length(), 11)
+    return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
 def _pack(x: np.ndarray) -> bytes:
     """Byte planes of 64-bit numbers: equal high bytes lie side by side and compress."""
     return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
@@ -129,8 +139,8 @@ def _whole(text: Column) -> Column:
 
 
 def signatures(docs: DataFrame, width: int, rule: _Rule, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
-    """rid (unique row), doc_id, n_shingles, sig (digest of the set) and the
-    window's tokens; written once.  ``whole`` adds the digest of the text."""
+    """rid (unique row), doc_id, n_shingles, sig (digest of the set), its
+    parity sketch and the window's tokens; written once.  ``whole`` adds the digest of the text."""
     src = texts_of(docs, id_col, text_col)
     if whole:
         src = src.withColumn("whole", _whole(F.col("text")))
@@ -142,13 +152,13 @@ def signatures(docs: DataFrame, width: int, rule: _Rule, id_col: str = "doc_id",
             sets = shingle_sets(batch.column("text"), width)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(rid, rid + len(sets))), batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([_digest(s) for s in sets], pa.binary()),
+                 pa.array([_digest(s) for s in sets], pa.binary()), pa.array([_parity(s) for s in sets], pa.binary()),
                  pa.array([_pack(s[:rule.window(len(s))] >> np.uint64(16)) for s in sets], pa.binary()),
-                 *[batch.column(c) for c in more]], ["rid", "doc_id", "n_shingles", "sig", "window", *more])
+                 *[batch.column(c) for c in more]], ["rid", "doc_id", "n_shingles", "sig", "parity", "window", *more])
             rid += len(sets)
 
     id_type = src.schema["doc_id"].dataType.simpleString()
-    rows = src.mapInArrow(apply, f"rid bigint, doc_id {id_type}, n_shingles bigint, sig binary, window binary" + ", whole binary" * whole)
+    rows = src.mapInArrow(apply, f"rid bigint, doc_id {id_type}, n_shingles bigint, sig binary, parity binary, window binary" + ", whole binary" * whole)
     return written(rows, "shingles", compression="lz4")
 
 
@@ -238,19 +248,20 @@ def token_candidates(windows: DataFrame, rule: _Rule, rare: int = RARE) -> DataF
                    "candidates")
 
 
-def _pairs(candidates: DataFrame, modes: DataFrame, rule: _Rule) -> DataFrame:
-    """Candidate pairs of rare tokens that the number of shared ones allows;
-    pairs with a class of the second kind need one only."""
+def _pairs(candidates: DataFrame, modes: DataFrame, rule: _Rule) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs of rare tokens that the number of shared ones allows
+    (pairs with a class of the second kind need one only), and the written
+    table they are read from."""
     sql = _sql(rule)
     total = (candidates.where("kind = 0").groupBy("a", "b", "sa", "sb").agg(F.sum("n").alias("n")))
     need = F.expr("least({o} - sa + {ea} + 1, {o} - sb + {eb} + 1)".format(
         o=sql["overlap"].format(a="sa", b="sb"), ea=sql["spare"].format(n="sa"), eb=sql["spare"].format(n="sb")))
-    total = materialize(total.withColumn("enough", F.col("n") >= need))
+    total = written(total.withColumn("enough", F.col("n") >= need), "rare-pairs", compression="lz4")
     extended = modes.where("extended").select("cls")
     short = total.where("not enough")
     rest = (short.join(extended.withColumnRenamed("cls", "a"), "a", "left_semi")
             .unionByName(short.join(extended.withColumnRenamed("cls", "b"), "b", "left_semi").select(short.columns)))
-    return total.where("enough").unionByName(rest).select("a", "b").distinct()
+    return total.where("enough").unionByName(rest).select("a", "b").distinct(), total
 
 
 def _combinations(candidates: DataFrame, rule: _Rule) -> tuple[DataFrame, DataFrame]:
@@ -277,6 +288,90 @@ def _near(a: Column, b: Column, rule: _Rule) -> Column:
     return F.least(a, b) * rule.den >= F.greatest(a, b) * rule.num
 
 
+_LEVELS = (256, 512, 1024, 2048)
+_AT_ONCE = 1 << 17          # pairs of sketches compared at once
+
+
+class _Sketches:
+    """Parity sketches folded to every length up to their own."""
+
+    def __init__(self, parity: list[bytes]):
+        self.level = np.array([_LEVELS.index(8 * len(p)) for p in parity])
+        self.bits = []
+        for k, bits in enumerate(_LEVELS):
+            rows = np.zeros((len(parity), bits // 8), dtype=np.uint8)
+            for top in range(k, len(_LEVELS)):
+                at = np.flatnonzero(self.level == top)
+                if len(at):
+                    whole = np.frombuffer(b"".join(parity[i] for i in at), np.uint8).reshape(len(at), -1, bits // 8)
+                    rows[at] = np.bitwise_xor.reduce(whole, axis=1)
+            self.bits.append(rows.view(np.uint64))
+
+    def differ(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """A lower bound of the number of tokens in one of two sets only."""
+        level, out = np.minimum(self.level[a], self.level[b]), np.zeros(len(a), dtype=np.int64)
+        for k, rows in enumerate(self.bits):
+            at = np.flatnonzero(level == k)
+            if len(at):
+                out[at] = np.bitwise_count(rows[a[at]] ^ rows[b[at]]).sum(axis=1)
+        return out
+
+
+def _meetings(first: np.ndarray, own: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs to compare, in bounded portions: all pairs of rows in each
+    group (groups begin where ``first``), across its two blocks if it has two."""
+    starts = np.flatnonzero(first)
+    n = np.diff(np.append(starts, len(first)))
+    for k in np.unique(n[(n > 1) & (n <= 32)]):
+        i, j = np.triu_indices(int(k), 1)
+        at = starts[n == k]
+        step = max(1, _AT_ONCE // len(i))
+        for s in range(0, len(at), step):
+            a, b = (at[s:s + step, None] + i).ravel(), (at[s:s + step, None] + j).ravel()
+            cross = (low[a] == high[a]) | (own[a] != own[b])
+            yield a[cross], b[cross]
+    for s, m in zip(starts[n > 32], n[n > 32]):
+        step = max(1, _AT_ONCE // int(m))
+        for i in range(int(s), int(s + m), step):
+            rows = np.arange(i, min(i + step, int(s + m)))
+            a, b = np.repeat(rows, s + m - rows - 1), np.concatenate([np.arange(r + 1, s + m) for r in rows])
+            cross = (low[a] == high[a]) | (own[a] != own[b])
+            yield a[cross], b[cross]
+
+
+def _unrefuted(members: DataFrame, rule: _Rule, block: int = 4096, bucket_rows: int = 20_000) -> DataFrame:
+    """Pairs a < b of classes of one combination (rows t1, t2, cls, size,
+    extended, comp, parity) in different components that neither lengths nor
+    sketches refute.  A combination of very many classes is cut into blocks,
+    and every two blocks meet in a group of their own."""
+    sizes = members.groupBy("t1", "t2").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    dealt = (members.join(sizes, ["t1", "t2"]).withColumn("own", F.pmod(F.xxhash64("cls"), "blocks").cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")))
+    buckets = max(1, members.count() // bucket_rows)
+    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("t1", "t2", "low", "high"), F.lit(buckets)).cast("int"))
+
+    def meet(key: tuple, table: pa.Table) -> pa.Table:
+        names = ["t1", "t2", "low", "high", "own", "cls", "size", "comp", "extended"]
+        column = {c: table.column(c).to_numpy() for c in names}
+        order = np.lexsort([column[c] for c in ("cls", "high", "low", "t2", "t1")])
+        t1, t2, low, high, own, cls, size, comp, extended = (column[c][order] for c in names)
+        sketch = _Sketches(table.column("parity").take(pa.array(order)).to_pylist())
+        first = np.concatenate([[True], (t1[1:] != t1[:-1]) | (t2[1:] != t2[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
+        found = [np.zeros((0, 2), dtype=np.int64)]
+        for a, b in _meetings(first, own, low, high):
+            near = ((comp[a] != comp[b]) & (extended[a] | extended[b])
+                    & (rule.den * np.minimum(size[a], size[b]) >= rule.num * np.maximum(size[a], size[b])))
+            a, b = a[near], b[near]
+            allowed = size[a] + size[b] - 2 * rule.overlap(size[a], size[b])
+            near = sketch.differ(a, b) <= allowed
+            found.append(np.unique(np.stack([np.minimum(cls[a], cls[b])[near], np.maximum(cls[a], cls[b])[near]], axis=1), axis=0))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return dealt.drop("other", "blocks").groupBy("bucket").applyInArrow(meet, "a bigint, b bigint").distinct()
+
+
 def _sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
     """(cls, tokens) of the wanted classes: the whole sets, made anew from the
     documents that a fixed-size id filter lets through."""
@@ -324,27 +419,29 @@ def _verified(pairs: DataFrame, sets: DataFrame, rule: _Rule, n_sets: int, block
     return materialize(dealt.groupBy("i", "j").cogroup(held.groupBy("si", "sj")).applyInArrow(check, "u bigint, v bigint"))
 
 
-def _resolve(pairs: DataFrame, links: DataFrame | None, sets: DataFrame, rule: _Rule, stars: int) -> DataFrame:
-    """``links`` and what the pairs add to its components.  In each of the
-    first rounds every class is tried with its smallest partner only; the
-    pairs still between two components are all tried at the end."""
-    rest, n_sets = pairs, sets.count()
+def _resolve(pairs: DataFrame, links: DataFrame | None, sets: DataFrame, rule: _Rule, stars: int) -> tuple[DataFrame, DataFrame]:
+    """``links`` and what the pairs add to its components, and the components.
+    In each of the first rounds every class is tried with its smallest partner
+    only; the pairs still between two components are all tried at the end."""
+    rest, n_sets, label = pairs, sets.count(), None
     for star in [True] * stars + [False]:
         picked = materialize(rest.groupBy("b").agg(F.min("a").alias("a")).select("a", "b") if star else rest)
         good = _verified(picked, sets, rule, n_sets)
-        links = good if links is None else materialize(links.unionByName(good))
+        links = good if links is None else links.unionByName(good)
+        label = components(links)
         if star:
-            label = components(links)
-            side = lambda c: label.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+            side = lambda c: label.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))  # noqa: E731, B023
             rest = (rest.join(picked, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
                     .where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b"))
             rest = materialize(rest)
             if rest.isEmpty():
                 break
-    return links
+        # one link a class says as much as all of them
+        links = label.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+    return links, label
 
 
-def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, rare: int = RARE, stars: int = 2,
+def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, rare: int = RARE, stars: int = 1,
                        id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
     """rid, doc_id, n_shingles, component (unique), component_id (its smallest doc_id) of every row;
     ``whole`` adds the digest of its text."""
@@ -357,6 +454,9 @@ def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int
     classes = materialize(best.select("sig", F.col("m.rid").alias("cls"), F.col("m.doc_id").alias("doc_id")))
     windows = rows.join(classes.select(F.col("cls").alias("rid")), "rid", "left_semi").withColumnRenamed("rid", "cls")
     candidates = token_candidates(windows, rule, rare)
+    # the windows, by far the largest part of the rows, have served
+    wide, rows = rows, written(rows.drop("window"), "rows")
+    remove(docs.sparkSession, wide)
     modes, combos = _combinations(candidates, rule)
 
     centre = combos.groupBy("t1", "t2").agg(F.min(F.struct("cls", "size")).alias("c"))
@@ -364,26 +464,24 @@ def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int
             .select(F.least("cls", "c.cls").alias("a"), F.greatest("cls", "c.cls").alias("b")))
     # one trial for each class here; what it leaves apart meets below
     star = star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    tried = materialize(_pairs(candidates, modes, rule).unionByName(star).distinct())
+    of_rare, total = _pairs(candidates, modes, rule)
+    tried = materialize(of_rare.unionByName(star).distinct())
+    remove(docs.sparkSession, candidates, total)
     wanted = (tried.select(F.col("a").alias("cls")).distinct().unionByName(tried.select(F.col("b").alias("cls")).distinct())
               .unionByName(combos.select("cls").distinct()).distinct())
     sets = _sets(wanted, classes, docs, width, id_col, text_col)
-    links = _resolve(tried, None, sets, rule, stars)
+    links, label = _resolve(tried, None, sets, rule, stars)
     # classes of a combination that are still apart meet member by member
-    label = components(links)
     open_ = (combos.join(label, combos["cls"] == label["node"], "left")
              .select("t1", "t2", "cls", "size", "extended", F.coalesce("component", "cls").alias("comp")))
     split = open_.groupBy("t1", "t2").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("t1", "t2")
-    open_ = materialize(open_.join(split, ["t1", "t2"]))
-    x, y = open_.alias("x"), open_.alias("y")
-    fresh = (x.join(y, (F.col("x.t1") == F.col("y.t1")) & (F.col("x.t2") == F.col("y.t2"))
-                    & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.comp") != F.col("y.comp"))
-                    & (F.col("x.extended") | F.col("y.extended")) & _near(F.col("x.size"), F.col("y.size"), rule))
-             .select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct())
-    fresh = materialize(fresh.join(tried, ["a", "b"], "left_anti"))
+    parity = rows.select(F.col("rid").alias("cls"), "parity")
+    open_ = written(open_.join(split, ["t1", "t2"]).join(parity, "cls"), "open", compression="lz4")
+    fresh = materialize(_unrefuted(open_, rule).join(tried, ["a", "b"], "left_anti"))
+    remove(docs.sparkSession, open_)
     if not fresh.isEmpty():
-        links = _resolve(fresh, links, sets, rule, stars)
-    label = components(links)
+        links, label = _resolve(fresh, links, sets, rule, 0)
+    remove(docs.sparkSession, sets)
     member = (rows.select("rid", "doc_id", "n_shingles", "sig", *more).join(classes.select("sig", "cls"), "sig", "left")
               .join(label.withColumnRenamed("node", "cls"), "cls", "left")
               .select("rid", "doc_id", "n_shingles", F.coalesce("component", "cls", "rid").alias("component"), *more))

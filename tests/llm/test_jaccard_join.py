@@ -129,3 +129,44 @@ def test_exactly_the_copies_go(spark):
         assert len(left) == sum(expected.values())
         for (doc_id, texts), n in expected.items():
             assert sum(d == doc_id and (t or "") in texts for d, t in left) == n, (doc_id, texts)
+
+
+def test_sketches_never_differ_more_than_sets():
+    import numpy as np
+
+    from fairgate.llm.jaccard_join import _parity, _Sketches
+    rng = np.random.default_rng(7)
+    whole = rng.integers(0, 2 ** 63, 6000, dtype=np.uint64)
+    some = [np.sort(rng.choice(whole[:k], m, replace=False)) for k, m in ((300, 200), (300, 250), (300, 1), (1500, 900), (1500, 1400), (6000, 5000), (6000, 5900), (6000, 300))]
+    some.append(np.zeros(0, np.uint64))
+    sketch = _Sketches([_parity(s) for s in some])
+    a, b = np.triu_indices(len(some))
+    true = np.array([len(np.setxor1d(some[i], some[j])) for i, j in zip(a, b)])
+    assert (sketch.differ(a, b) <= true).all() and (sketch.differ(a, b)[true < 60] > 0.7 * true[true < 60]).all()
+
+
+def test_blocks_meet_every_pair_once_or_more(spark):
+    from fairgate.llm.jaccard_join import _parity, _Rule, _unrefuted, shingle_sets
+    import pyarrow as pa
+    rnd = random.Random(8)
+    base = [f"w{i}" for i in range(40)]
+    texts = [" ".join(w if rnd.random() < 0.9 else f"x{rnd.randrange(99)}" for w in base) for _ in range(120)]
+    found = shingle_sets(pa.array(texts), 1)
+    rows = [(7, 9, i, len(s), i % 2 == 0, i % 5, _parity(s)) for i, s in enumerate(found)] + [(8, 9, 1, len(found[1]), True, 1, _parity(found[1]))]
+    df = spark.createDataFrame(rows, "t1 bigint, t2 bigint, cls bigint, size bigint, extended boolean, comp bigint, parity binary")
+    rule = _Rule(80, 100)
+    for block, bucket_rows in ((4096, 20_000), (17, 10)):
+        out = {tuple(r) for r in _unrefuted(df, rule, block, bucket_rows).collect()}
+        for i in range(120):
+            for j in range(i + 1, 120):
+                both = len(set(found[i].tolist()) & set(found[j].tolist()))
+                if i % 5 != j % 5 and (i % 2 == 0 or j % 2 == 0) and 100 * both >= 80 * (len(found[i]) + len(found[j]) - both):
+                    assert (i, j) in out
+        assert all(i < j and i % 5 != j % 5 for i, j in out)
+
+
+def test_one_text_in_many_degrees_of_likeness(spark):
+    rnd = random.Random(9)
+    base = [f"w{i}" for i in range(50)]
+    rows = [(i, " ".join(w if rnd.random() < 0.85 + 0.15 * (i % 4) / 4 else f"v{rnd.randrange(30)}" for w in base), "en", "a") for i in range(400)]
+    assert got(jaccard_components(docs(spark, rows), 1, 85, 100)) == brute(rows, 1, 85, 100)
