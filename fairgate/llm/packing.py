@@ -139,14 +139,15 @@ def _pack_bucket(pdf: pd.DataFrame, window: int) -> pd.DataFrame:
 
 
 def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, max_piece: int = WINDOW // 4,
-         windows_per_bucket: int = 160, end_id: int = END_ID,
+         windows_per_bucket: int = 160, pieces_per_bucket: int = 8_000, end_id: int = END_ID,
          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset, sequence_tokens, padded_tokens (a window, or the
     sequence's own length where that is a power of two)."""
     cut = materialize(pieces(docs, path or default_path(), window, max_piece, end_id, id_col, text_col))
-    total = cut.agg(F.sum("length")).first()[0] or 0
-    buckets = max(1, round(total / (windows_per_bucket * window)))
+    total, count = cut.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count(F.lit(1))).first()
+    # bounded in pieces too: very many short documents fill few windows
+    buckets = max(1, round(total / (windows_per_bucket * window)), -(-count // pieces_per_bucket))
     # the row's place in the checkpoint is a key that repeats for no row
     keyed = cut.withColumn("key", F.monotonically_increasing_id())
     keyed = keyed.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
