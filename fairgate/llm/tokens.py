@@ -31,12 +31,44 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class _Words:
+    """Known words: the row of each, and each row's ids in one pool."""
+
+    def __init__(self) -> None:
+        self.index: dict[str, int] = {}
+        self.start = np.zeros(1 << 16, dtype=np.int64)
+        self.length = np.zeros(1 << 16, dtype=np.int32)
+        self.pool = np.zeros(1 << 18, dtype=np.uint32)
+        self.used = self.bytes = 0
+
+    def add(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        at, n = len(self.index), len(words)
+        while at + n > len(self.start):
+            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used:self.used + len(ids)] = ids
+        self.start[at:at + n] = self.used + np.cumsum(lengths) - lengths
+        self.length[at:at + n] = lengths
+        self.index.update(zip(words, range(at, at + n)))
+        self.used += len(ids)
+        self.bytes += sum(map(len, words))
+
+    def ids(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the rows in turn, and how many each has."""
+        n = self.length[rows].astype(np.int64)
+        ends = np.cumsum(n)
+        return self.pool[np.repeat(self.start[rows] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)], n
+
+
 class WordTokenizer:
     """``encode(texts)`` gives the ids of all texts in one array and the
-    texts' offsets in it.  The table of known words is bounded by
-    ``max_words`` and ``max_bytes`` and starts anew beyond them."""
+    texts' offsets in it.  Known words are kept in two generations of at most
+    ``max_words`` (or ``max_bytes``): a full one becomes the older one, the
+    older one goes, and a word found there moves to the new one, so that
+    words in use stay known."""
 
-    def __init__(self, path: str, max_words: int = 500_000, max_bytes: int = 64 << 20):
+    def __init__(self, path: str, max_words: int = 300_000, max_bytes: int = 32 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -44,14 +76,7 @@ class WordTokenizer:
         self.max_words, self.max_bytes = max_words, max_bytes
         self.mark = self._whole(_SENTINEL)
         assert len(self.mark) == 1
-        self._clear()
-
-    def _clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.start = np.zeros(1 << 16, dtype=np.int64)
-        self.length = np.zeros(1 << 16, dtype=np.int32)
-        self.pool = np.zeros(1 << 18, dtype=np.uint32)
-        self.used = self.bytes = 0
+        self.words, self.older = _Words(), _Words()
 
     def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -66,35 +91,27 @@ class WordTokenizer:
             marks = np.flatnonzero(ids == self.mark[0])
             bounds = np.concatenate([[-1], marks, [len(ids)]])
             assert len(bounds) == len(group) + 1
-            self._add(group, np.delete(ids, marks), np.diff(bounds) - 1)
+            self.words.add(group, np.delete(ids, marks), np.diff(bounds) - 1)
         for w in odd:
             ids = np.array(self._whole(w), dtype=np.uint32)
-            self._add([w], ids, np.array([len(ids)]))
-
-    def _add(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
-        at, n = len(self.index), len(words)
-        while at + n > len(self.start):
-            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
-        while self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        self.pool[self.used:self.used + len(ids)] = ids
-        self.start[at:at + n] = self.used + np.cumsum(lengths) - lengths
-        self.length[at:at + n] = lengths
-        self.index.update(zip(words, range(at, at + n)))
-        self.used += len(ids)
-        self.bytes += sum(map(len, words))
+            self.words.add([w], ids, np.array([len(ids)]))
 
     def table(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Start in ``pool`` and number of ids of each distinct word."""
+        """Start in the pool and number of ids of each distinct word."""
         words = words.to_pylist()
-        if len(self.index) + len(words) > self.max_words or self.bytes > self.max_bytes:
-            self._clear()
-        found = list(map(self.index.get, words))
+        if len(self.words.index) + len(words) > self.max_words or self.words.bytes > self.max_bytes:
+            self.words, self.older = _Words(), self.words
+        found = list(map(self.words.index.get, words))
         if None in found:
-            self._learn([w for w, row in zip(words, found) if row is None])
-            found = list(map(self.index.get, words))
+            missing = [w for w, row in zip(words, found) if row is None]
+            before = list(map(self.older.index.get, missing))
+            again = [(w, row) for w, row in zip(missing, before) if row is not None]
+            if again:
+                self.words.add([w for w, _ in again], *self.older.ids(np.array([row for _, row in again])))
+            self._learn([w for w, row in zip(missing, before) if row is None])
+            found = list(map(self.words.index.get, words))
         rows = np.array(found, dtype=np.int64)
-        return self.start[rows], self.length[rows].astype(np.int64)
+        return self.words.start[rows], self.words.length[rows].astype(np.int64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = pc.fill_null(texts, "")
@@ -112,7 +129,7 @@ class WordTokenizer:
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(ends) else 0
         at = np.repeat(starts[codes] - (ends - n), n) + np.arange(total)
-        ids = self.pool[at]
+        ids = self.words.pool[at]
         offsets = np.concatenate([[0], ends])[word_offsets]
         if len(special):
             parts = [ids[offsets[i]:offsets[i + 1]] for i in range(len(texts))]

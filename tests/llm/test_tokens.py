@@ -43,6 +43,24 @@ def test_same_ids_on_random_texts(tokenizer, texts):
         assert ids[offsets[i]:offsets[i + 1]].tolist() == ids_of(tokenizer, text)
 
 
+def test_words_in_use_are_encoded_once():
+    tok, learned = WordTokenizer(default_path(), max_words=40), []
+    learn = tok._learn
+    tok._learn = lambda words: (learned.extend(words), learn(words))[1]
+    for i in range(60):
+        texts = [f"the words in use and new{i}x here"]
+        ids, _ = tok.encode(pa.array(texts))
+        assert ids.tolist() == ids_of(tok, texts[0])
+    assert all(learned.count(w) == 1 for w in ("the", "words", "in", "use", "and", "here")) and len(learned) == 66
+    assert len(tok.words.index) <= 40 and len(tok.older.index) <= 40
+
+
+def test_buckets_are_bounded_in_pieces(spark):
+    rows = [(i, "", "en", "a") for i in range(3000)]
+    out = pack(docs(spark, rows), pieces_per_bucket=100).collect()
+    assert len({r.sequence_id >> 32 for r in out}) > 15 and sum(r.length for r in out) == 3000
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), max_size=9), max_size=6))
 def test_variable_length_code_round_trip(blocks):
