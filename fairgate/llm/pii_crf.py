@@ -96,9 +96,10 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 
 # ---- the semi-Markov model ------------------------------------------------
 
-MAX_UNITS = 24             # units of a segment
+MAX_UNITS = 32             # units of a segment of any kind
 MAX_DIGITS = 19            # digits of a segment, the most that any kind has
-REACH = 24                 # code points of context around a candidate
+REACH = 48                 # code points of context around a candidate, then up to white space
+_SPACE = re.compile(r"\s")
 _UNIT = re.compile(r"[0-9]+|[^\W\d_]+|.", re.DOTALL)
 _CORE = re.compile(r"[0-9]{2,}|@")
 _AT = re.compile(r"[(\[{]at[)\]}]", re.IGNORECASE)
@@ -114,16 +115,21 @@ _MAYBE = r"[0-9]{2}|[0-9]\.[0-9]|[0-9][ -][0-9]|\+[0-9]|@|[(\[{][aA][tT]"
 
 
 def stretches(text: str) -> list[tuple[int, int]]:
-    """Parts of the text around digits and at-signs, with some context."""
-    out: list[tuple[int, int]] = []
-    for pattern in (_CORE, _AT):
-        for m in pattern.finditer(text):
-            out.append((max(0, m.start() - REACH), min(len(text), m.end() + REACH)))
-    out.sort()
+    """Parts of the text around digits and at-signs, with some context, up to
+    the next white space on both sides."""
+    cores = sorted(m.span() for pattern in (_CORE, _AT) for m in pattern.finditer(text))
     merged: list[tuple[int, int]] = []
-    for a, b in out:
-        if merged and a <= merged[-1][1]:
-            merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+    for a, b in cores:
+        last = merged[-1][1] if merged else -1
+        a, b = max(0, a - REACH), min(len(text), b + REACH)
+        if b > last:
+            space = _SPACE.search(text, b)
+            b = space.start() if space else len(text)
+        # whatever lies before the last stretch's end belongs to it already
+        while a > max(last, 0) and not text[a - 1].isspace():
+            a -= 1
+        if a <= last:
+            merged[-1] = (merged[-1][0], max(b, last))
         else:
             merged.append((a, b))
     return merged
@@ -198,7 +204,7 @@ def segments_of(text: str, ends: list[int]) -> Iterator[tuple[int, int, list[str
             digits |= "0" <= first <= "9" and size > 1
             letters |= first.isalpha()
             signs |= first == "@" or (bool(marks) and any(s <= m < ends[j + 1] for m in marks))
-            if (digits or signs) and first.isalnum() and (signs and j - i <= 14 or not signs and not letters):
+            if (digits or signs) and first.isalnum() and (signs or not letters):
                 yield i, j + 1, span_features(text, s, ends[j + 1], announced)
 
 

@@ -59,6 +59,32 @@ def test_model_adds_what_the_patterns_miss(spark):
         assert [s for s in all_spans(text, model) if s[0] in KINDS] == base
 
 
+def test_long_addresses_come_out_whole():
+    rnd = random.Random(10)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(3, 8)))
+    addresses = [f"{word()}.{word()}{rnd.choice(['(at)', ' (at) ', '[at]'])}{word()}-{word()}.{word()}.org" for _ in range(120)]
+    model = fit_crf([(f"write to {a} or {word()}", [("email", 9, 9 + len(a))]) for a in addresses], steps=30)
+    for address in ("jane.doe(at)department-of-physics.university-example.org", "averyveryverylongnameofsomebody.else (at) example.org",
+                    "a" * 90 + "(at)" + "b" * 90 + ".org"):
+        found = [(k, t[a:b]) for t in (f"write to {address} or not",) for k, a, b in all_spans(t, model)]
+        assert found == [("email_like", address)], address
+
+
+def test_stretches_end_at_white_space():
+    from fairgate.llm.pii_crf import REACH, stretches
+    text = "x" * 200 + "@" + "y" * 200 + " " + "z" * 300 + " 12 " + "w" * 300
+    assert stretches(text) == [(0, 401), (402, 1006)]
+    rnd = random.Random(3)
+    for _ in range(300):
+        t = "".join(rnd.choice("ab  12@\n") if rnd.random() < 0.1 else rnd.choice("abc ") for _ in range(400))
+        got = stretches(t)
+        assert all(b <= c for (_, b), (c, _) in zip(got, got[1:]))
+        for m in re.finditer("[0-9]{2,}|@", t):
+            a, b = next((a, b) for a, b in got if a <= m.start() and m.end() <= b)
+            assert a <= max(0, m.start() - REACH) and b >= min(len(t), m.end() + REACH)
+            assert (a == 0 or t[a - 1].isspace() or any(a == d for _, d in got)) and (b == len(t) or t[b].isspace())
+
+
 def test_decoder_finds_the_best_segmentation():
     data = [("aa 1234567 bb", [("phone", 3, 10)]), ("cc 12 dd", []), ("ee 1234-567 f", [("phone", 3, 11)]), ("12 34 g", [])] * 5
     model = fit_crf(data, steps=30)
