@@ -1,6 +1,12 @@
-"""Removal of globally repeated blocks of lines by content-defined chunks.
+"""Removal of globally repeated blocks of lines.
 
-A text is cut into chunks of one line that is not blank and the blank lines
+Not by the method first meant for it, a rolling hash over line hashes that
+chooses the boundaries of chunks: a chunk is found only between two boundaries
+inside the passage, and a passage of one line, or of four lines of 13 words,
+has no two of them unless every line is a boundary.  So every line is one, and
+all smallest blocks of lines are counted, which no surroundings can shift.
+
+A text is cut into units of one line that is not blank and the blank lines
 behind it.  A block is several such lines, one of ``min_words`` words or more
 among them, or any lines (one may do) of ``passage_words`` words together; so
 short lines of a list or verse need that many.  Every smallest block is counted

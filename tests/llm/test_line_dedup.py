@@ -1,42 +1,49 @@
 import random
 
-from fairgate.llm.line_dedup import chunk_lines, line_dedup
+from fairgate.llm.line_dedup import line_dedup, smallest_blocks
 
 from .fixtures import docs, edge_rows, empty
 
 
-def brute(rows, **options):
-    """The same rule on plain lists: count chunks by their bytes, keep the first, compare neighbours."""
-    cut = {}
-    seen = {}
-    for doc_id, text, *_ in rows:
-        if text is None:
-            continue
-        lines = text.encode().split(b"\n")
-        ranges = chunk_lines(lines)
-        cut[doc_id, text] = (lines, ranges)
-        for k, (i, j) in enumerate(ranges):
-            if sum(len(x.split()) for x in lines[i:j]) >= 3:
-                seen.setdefault(b"\n".join(lines[i:j]), set()).add((doc_id is None, doc_id if doc_id is not None else 0, text, k))
-    gone = {key: set() for key in cut}
-    for body, places in seen.items():
-        none, first, text0, k0 = min(places)
-        lines0, ranges0 = cut[None if none else first, text0]
-        for place in places - {(none, first, text0, k0)}:
-            key, k = (None if place[0] else place[1], place[2]), place[3]
-            lines, ranges = cut[key]
-            lo, hi = ranges[k]
-            lo0, hi0 = ranges0[k0]
-            floor, floor0 = (ranges[k - 1][0] if k else lo), (ranges0[k0 - 1][0] if k0 else lo0)
-            top, top0 = (ranges[k + 1][1] if k + 1 < len(ranges) else hi), (ranges0[k0 + 1][1] if k0 + 1 < len(ranges0) else hi0)
-            while lo > floor and lo0 > floor0 and lines[lo - 1] == lines0[lo0 - 1]:
-                lo, lo0 = lo - 1, lo0 - 1
-            while hi < top and hi0 < top0 and lines[hi] == lines0[hi0]:
-                hi, hi0 = hi + 1, hi0 + 1
-            block = lines[lo:hi]
-            if sum(bool(x.strip()) for x in block) >= 2 or sum(len(x.split()) for x in block) >= 50:
-                gone[key] |= set(range(lo, hi))
-    return {key: b"\n".join(x for i, x in enumerate(lines) if i not in gone[key]).decode() for key, (lines, _) in cut.items()}
+def blocks_of(lines, min_words=3, passage_words=50):
+    """All (first line, last line) of blocks with no smaller block at the same start or the same end."""
+    full = [i for i, x in enumerate(lines) if x.strip()]
+    enough = lambda some: (sum(len(lines[i].split()) for i in some) >= passage_words
+                           or len(some) > 1 and any(len(lines[i].split()) >= min_words for i in some))
+    out = set()
+    for p in range(len(full)):
+        out |= {next(((full[p], full[k]) for k in range(p, len(full)) if enough(full[p:k + 1])), None),
+                next(((full[k], full[p]) for k in range(p, -1, -1) if enough(full[k:p + 1])), None)}
+    return out - {None}
+
+
+def brute(rows):
+    """Every block of every text by its bytes: the first stays, the others go with the blank lines that it has too."""
+    texts = {(doc_id, text): text.encode().split(b"\n") for doc_id, text, *_ in rows if text is not None}
+    places = {}
+    for (doc_id, text), lines in texts.items():
+        for i, j in blocks_of(lines):
+            places.setdefault(b"\n".join(lines[i:j + 1]), []).append(((doc_id is None, 0 if doc_id is None else doc_id, text, i), (doc_id, text), i, j))
+
+    def blank_run(lines, at, step):
+        out = []
+        while 0 <= at + step < len(lines) and not lines[at + step].strip():
+            at += step
+            out.append(lines[at])
+        return out
+
+    def equal(x, y):
+        return next((k for k, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
+
+    gone = {key: set() for key in texts}
+    for held in places.values():
+        _, key0, i0, j0 = min(held)
+        for _, key, i, j in held:
+            if (key, i) != (key0, i0):
+                up = equal(blank_run(texts[key], i, -1), blank_run(texts[key0], i0, -1))
+                down = equal(blank_run(texts[key], j, 1), blank_run(texts[key0], j0, 1))
+                gone[key] |= set(range(i - up, j + down + 1))
+    return {key: b"\n".join(x for i, x in enumerate(lines) if i not in gone[key]).decode() for key, lines in texts.items()}
 
 
 def planted(n=200):
@@ -64,6 +71,18 @@ def test_equals_the_rule_on_lists(spark):
         assert r.text == expected[r.doc_id, rows[r.doc_id][1]]
 
 
+def test_short_odd_and_blank_lines_equal_the_rule(spark):
+    rnd = random.Random(11)
+    pool = [["a", "b"], ["one two three"], ["x y", "", "z"], [" "], ["", ""], ["c d e f"], ["g"], [" ".join(f"m{i}" for i in range(52))]]
+    rows = []
+    for i in range(150):
+        lines = [x for _ in range(rnd.randrange(7)) for x in (rnd.choice(pool) if rnd.random() < 0.8 else [f"own {i} {rnd.random()}"])]
+        rows.append((i if i % 10 else None, "\n".join(lines), "en", "a"))
+    expected = brute(rows)
+    got = sorted(((r.doc_id, r.text) for r in line_dedup(docs(spark, rows)).collect()), key=str)
+    assert got == sorted(((i, expected[i, t]) for i, t, *_ in rows), key=str)
+
+
 def test_planted_passages_go_and_clean_texts_stay(spark):
     rows, passages = planted()
     got = {r.doc_id: r for r in line_dedup(docs(spark, rows)).collect()}
@@ -73,12 +92,11 @@ def test_planted_passages_go_and_clean_texts_stay(spark):
         assert sum(all(x in got[i].text.split("\n") for x in passage) for i in holders) <= 1 + len(holders) // 10
 
 
-def test_shift_resistant_chunks():
+def test_blocks_do_not_depend_on_what_stands_before():
     rnd = random.Random(3)
     block = [f"line {rnd.random()} of the block".encode() for _ in range(12)]
-    ends = lambda lead: {b for _, b in chunk_lines(lead + block)}
-    a, b = ends([b"x"]), ends([b"some", b"other", b"lead"])
-    assert {e - 1 for e in a if e > 3} == {e - 3 for e in b if e > 5}
+    found = lambda lead: {(i - len(lead), j - len(lead)) for i, j, *_ in smallest_blocks(lead + block, 3, 50) if i >= len(lead)}
+    assert found([b"x"]) == found([b"some", b"", b"other", b"lead"]) == found([]) and len(found([])) == 11
 
 
 def test_exact_copies_with_one_in_a_third_of_rows(spark):
