@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .split_csv import read_quoted_lines
+
 # The strings pandas' CSV reader treats as missing by default.
 PANDAS_NA_VALUES = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
@@ -17,11 +19,16 @@ PANDAS_NA_VALUES = [
 ]
 
 
-def _quoted(spark: SparkSession):
-    """A quote inside a quoted field is doubled, and a field may hold line
-    ends.  Such files are not split between tasks: one file is one task, so
-    large tables belong in many files, or in Parquet."""
-    return spark.read.options(quote='"', escape='"', multiLine=True)
+# a quote inside a quoted field is doubled
+_QUOTING = {"quote": '"', "escape": '"'}
+
+
+def _read(spark: SparkSession, path: str, schema: T.StructType, header: bool, **options: object) -> DataFrame:
+    """The file or folder in parallel, whether records span lines or not."""
+    spanned = read_quoted_lines(spark, path, schema, header, {**_QUOTING, **options})
+    if spanned is not None:
+        return spanned
+    return spark.read.options(**_QUOTING, header=header, **options).schema(schema).csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
@@ -31,12 +38,17 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     then a column whose remaining values are all integers becomes bigint,
     all numbers double, all True/False boolean, else string.  Inference is
     one aggregate over the file (a schema-sized result reaches the driver);
-    the casts are lazy."""
-    reader = _quoted(spark).option("header", True)
+    the casts are lazy.  A quoted field may hold line ends; the file is read in
+    splits all the same (``split_csv``)."""
     if schema is not None:
-        return null_na_words(reader.schema(schema).csv(path), na_values)
-    raw = null_na_words(reader.csv(path), na_values)      # every column is text
-    return infer_types(raw)
+        return null_na_words(_read(spark, path, _parsed(schema), True), na_values)
+    # the names alone, from the first record; every column is text
+    named = spark.read.options(**_QUOTING, header=True, multiLine=True).csv(path).schema
+    return infer_types(null_na_words(_read(spark, path, named, True), na_values))
+
+
+def _parsed(schema: T.StructType | str) -> T.StructType:
+    return T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
 
 def infer_types(df: DataFrame) -> DataFrame:
@@ -91,8 +103,7 @@ def read_headerless_csv(spark: SparkSession, path: str,
     """Headerless CSV with caller-given names and types; blanks after the
     delimiter are skipped.  NA words become NULL; a placeholder such as '?'
     is none of them and stays a category."""
-    raw = _quoted(spark).schema(schema).option("header", False).option("ignoreLeadingWhiteSpace", True).csv(path)
-    return null_na_words(raw)
+    return null_na_words(_read(spark, path, _parsed(schema), False, ignoreLeadingWhiteSpace=True))
 
 
 def null_na_words(df: DataFrame, na_values: Sequence[str] = PANDAS_NA_VALUES) -> DataFrame:
