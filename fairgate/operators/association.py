@@ -1,10 +1,10 @@
 """Proxy variables (T4) and distribution drift.
 
 T4: every protected column is correlated with every other column after
-ordinal encoding of text columns — one global aggregate holds all
-(protected x other) pairs, each masked to its complete rows (pandas'
-pairwise-complete ``corr``).  r = covar_pop / (sd_x * sd_y) with
-``try_divide`` so a constant column gives NULL instead of an ANSI error.
+ordinal encoding of text columns, each pair over its complete rows (pandas'
+pairwise-complete ``corr``); a constant column gives NULL.  Pairs of numbers
+are one global aggregate; text columns are aggregated by value before their
+codes are known.
 
 T3: two-sample Kolmogorov-Smirnov per common numeric column, D = max |F1 - F2|,
 by branch and bound over histograms of the values' 64-bit keys: the gap is
@@ -14,6 +14,7 @@ exceeds the best gap are counted again by finer bins.
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -23,8 +24,8 @@ from pyspark.sql import types as T
 from ..functions.columns import q, ratio, stack, to_long
 from ..functions.pvalues import ks_p_value
 from ..spec import DatasetSpec, is_numeric, is_temporal, is_text, matches_by_attribute
-from .encode import as_number, label_encode
-from .ordering import LEVELS, histogram, ordered, shared
+from .encode import as_label_text, as_number
+from .ordering import LEVELS, histogram, ordered, running_sums, shared
 
 
 def _correlatable(dt: T.DataType) -> bool:
@@ -38,24 +39,65 @@ def correlation_pairs(df: DataFrame, protected: Sequence[str],
     fields = {f.name: f.dataType for f in df.schema.fields}
     cands = [c for c in (candidates or df.columns) if _correlatable(fields[c])]
     protected = [p for p in protected if p in fields and _correlatable(fields[p])]
-    if not protected:
+    pairs = [(p, o) for p in protected for o in cands if o != p]
+    if not pairs:
         return df.sparkSession.createDataFrame(
             [], "protected_attribute string, proxy_variable string, r double")
-    texts = [c for c in set(cands) | set(protected) if is_text(fields[c])]
-    enc = label_encode(df, texts)
-    needed = sorted(set(cands) | set(protected))
-    nums = enc.select(*[as_number(enc, c).alias(c) for c in needed])
-    pairs = [(p, o) for p in protected for o in cands if o != p]
-    aggs = []
-    for i, (p, o) in enumerate(pairs):
-        x, y = q(p), q(o)
-        xm = F.when(y.isNotNull(), x)
-        ym = F.when(x.isNotNull(), y)
-        aggs.append(F.try_divide(F.covar_pop(xm, ym),
-                                 F.stddev_pop(xm) * F.stddev_pop(ym)).alias(f"_r{i}"))
-    wide = nums.agg(*aggs)
-    return wide.select(stack([(F.lit(p), F.lit(o), F.col(f"_r{i}")) for i, (p, o) in enumerate(pairs)],
-                             ["protected_attribute", "proxy_variable", "r"]))
+    used = {c for pair in pairs for c in pair}
+    texts = sorted(c for c in used if is_text(fields[c]))
+    numbers = sorted(used - set(texts))
+    base = df.select(*[as_label_text(c).alias(f"_t{i}") for i, c in enumerate(texts)],
+                     *[as_number(df, c).alias(f"_y{i}") for i, c in enumerate(numbers)])
+    direct = [(p, o) for p, o in pairs if p in numbers and o in numbers]
+    coded = [(p, o, *((p, o) if p in texts else (o, p))) for p, o in pairs if (p, o) not in set(direct)]
+    found = []
+    if direct:
+        y = lambda c: F.col(f"_y{numbers.index(c)}")
+        both = lambda c, other: F.when(y(other).isNotNull(), y(c))
+        wide = base.agg(*[F.try_divide(F.covar_pop(both(p, o), both(o, p)), F.stddev_pop(both(p, o)) * F.stddev_pop(both(o, p))).alias(f"_r{i}")
+                          for i, (p, o) in enumerate(direct)])
+        found.append(wide.select(stack([(F.lit(p), F.lit(o), F.col(f"_r{i}")) for i, (p, o) in enumerate(direct)],
+                                       ["protected_attribute", "proxy_variable", "r"])))
+    if coded:
+        wanted = df.sparkSession.createDataFrame(coded, "protected_attribute string, proxy_variable string, x string, y string")
+        r = _coded_correlations(base, texts, numbers, {(x, y) for *_, x, y in coded})
+        found.append(wanted.join(r, ["x", "y"], "left").select("protected_attribute", "proxy_variable", "r"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _coded_correlations(base: DataFrame, texts: Sequence[str], numbers: Sequence[str], pairs: set[tuple[str, str]]) -> DataFrame:
+    """x, y, r of text columns x (by their label codes) with other columns y.
+    The rows are aggregated by value first: count, mean and squared deviation
+    of every number per value, and counts per pair of values.  Codes are
+    ranks of these aggregated rows, so no code is ever joined to a base row."""
+    moments = [m for i in range(len(numbers)) for m in (
+        F.count(f"_y{i}").alias(f"n{i}"), F.avg(f"_y{i}").alias(f"m{i}"), (F.var_pop(f"_y{i}") * F.count(f"_y{i}")).alias(f"s{i}"),
+        F.min(f"_y{i}").alias(f"lo{i}"), F.max(f"_y{i}").alias(f"hi{i}"))]
+    long = base.select(*[f"_y{i}" for i in range(len(numbers))],
+                       stack([(F.lit(t), F.col(f"_t{i}")) for i, t in enumerate(texts)], ["x", "value"]))
+    per_value = long.groupBy("x", "value").agg(F.lit(1).alias("_one"), *moments)
+    ranked = shared(running_sums(per_value, "value", ["_one"], ["x"]).withColumn("code", (F.col("cum__one") - 1).cast("double")))
+    rows = []
+    if numbers:
+        rows.append(ranked.select("x", "code", stack([(F.lit(c), F.col(f"n{i}"), *[F.col(f"{k}{i}") for k in ("m", "s", "lo", "hi")])
+                                                      for i, c in enumerate(numbers)], ["y", "n", "m", "s", "lo", "hi"])).where("n > 0"))
+    of_texts = [(x, y) for x, y in sorted(pairs) if y in texts]
+    if of_texts:
+        t = lambda c: F.col(f"_t{texts.index(c)}")
+        counts = base.select(stack([(F.lit(x), t(x), F.lit(y), t(y)) for x, y in of_texts], ["x", "a", "y", "b"])).groupBy("x", "a", "y", "b").agg(F.count(F.lit(1)).alias("n"))
+        code = lambda c, v, out: ranked.select(F.col("x").alias(c), F.col("value").alias(v), F.col("code").alias(out))
+        both = counts.join(code("x", "a", "code"), ["x", "a"]).join(code("y", "b", "m"), ["y", "b"])
+        rows.append(both.select("x", "code", "y", "n", "m", F.lit(0.0).alias("s"), F.col("m").alias("lo"), F.col("m").alias("hi")))
+    cells = reduce(DataFrame.unionByName, rows)
+    n = F.col("n")
+    means = cells.groupBy("x", "y").agg((F.sum(n * F.col("code")) / F.sum(n)).alias("mx"), (F.sum(n * F.col("m")) / F.sum(n)).alias("my"),
+                                        ((F.min("code") == F.max("code")) | (F.min("lo") == F.max("hi"))).alias("constant"))
+    dx, dy = F.col("code") - F.col("mx"), F.col("m") - F.col("my")
+    # the means are one row per pair of columns
+    sums = cells.join(F.broadcast(means), ["x", "y"]).groupBy("x", "y", "constant").agg(
+        F.sum(n * dx * dy).alias("xy"), F.sum(n * dx * dx).alias("xx"), F.sum(F.col("s") + n * dy * dy).alias("yy"))
+    r = F.try_divide(F.col("xy"), F.sqrt("xx") * F.sqrt("yy"))
+    return sums.select("x", "y", F.when(~F.col("constant"), r).alias("r"))
 
 
 def proxy_variables(df: DataFrame, spec: DatasetSpec, match_mode: str = "column",

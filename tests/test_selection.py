@@ -130,3 +130,36 @@ def test_exact_and_asymptotic_ks_meet(spark):
     df = spark.createDataFrame([(n, n - 1000, 0.02), (n + 1, n - 1000, 0.02), (0, 5, 0.5), (5, 0, None)], "n1 bigint, n2 bigint, d double")
     exact, large, none, null = (r.p for r in df.select(ks_p_value(F.col("d"), F.col("n1"), F.col("n2")).alias("p")).collect())
     assert exact == pytest.approx(large, rel=0.03) and none is None and null is None
+
+
+def test_correlations_equal_encoded_columns(spark):
+    """Against label codes put into the rows one by one, as pandas would."""
+    import pandas as pd
+    rng = np.random.default_rng(5)
+    n = 700
+    pdf = pd.DataFrame({"g": rng.choice(["b", "a", "ü", None, "nan"], n), "h": [f"v{x}" for x in rng.integers(0, 200, n)], "one": ["k"] * n,
+                        "x": rng.normal(size=n) + 1e6, "c": [0.1] * n, "k": rng.integers(0, 9, n)})
+    pdf.loc[rng.random(n) < 0.2, "x"] = None
+    coded = pdf.copy()
+    for c in ("g", "h", "one"):
+        text = pdf[c].map(lambda v: "nan" if v is None else v)
+        coded[c] = text.map({v: i for i, v in enumerate(sorted(set(text)))}).astype(float)
+    coded["h"] += 0.0
+    df = spark.createDataFrame([tuple(None if pd.isna(v) else v for v in r) for r in pdf.itertuples(index=False)], "g string, h string, one string, x double, c double, k bigint").repartition(4)
+    out = association.correlation_pairs(df, ["g", "x", "one"])
+    got = {(r.protected_attribute, r.proxy_variable): r.r for r in out.collect()}
+    assert len(got) == 15
+    for (p, o), r in got.items():
+        a, b = coded[p], coded[o]
+        both = a.notna() & b.notna()
+        if "one" in (p, o) or "c" in (p, o):
+            assert r is None or p != "one" and o != "one" and r is None
+        else:
+            assert r == pytest.approx(np.corrcoef(a[both], b[both])[0, 1], abs=1e-9)
+    assert association.correlation_pairs(df.limit(0), ["g"]).where("r is not null").count() == 0
+
+
+def test_no_code_is_joined_to_base_rows(spark):
+    df = spark.range(100).select(F.concat(F.lit("v"), F.col("id") % 7).alias("t"), F.col("id").alias("x"))
+    plan = association.correlation_pairs(df, ["t"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Range (0, 100" not in plan             # all that is left to run reads aggregated rows
