@@ -116,13 +116,14 @@ def _long(wide: DataFrame, keys: Sequence[str], names: Sequence[str], value: str
 
 
 def metric_summary(df: DataFrame, y_true: str, y_pred: str, attributes: Sequence[str],
-                   metric_names: Sequence[str] | None = None, extra=None) -> DataFrame:
+                   metric_names: Sequence[str] | None = None, extra=None,
+                   counts: DataFrame | None = None) -> DataFrame:
     """A14 + A15: attribute, metric, overall, group_min, group_max,
     difference (max - min), ratio (min / max, NULL when max is 0)."""
     metrics = _chosen(metric_names, extra)
     names = list(metrics)
     # group rows and overall sums both come from one count table
-    counts = shared(confusion_counts(df, y_true, y_pred, attributes))
+    counts = counts if counts is not None else shared(confusion_counts(df, y_true, y_pred, attributes))
     by_group = _long(_apply(counts, ["attribute", "group"], metrics).drop("n"),
                      ["attribute", "group"], names, "value")
     spread = by_group.groupBy("attribute", "metric").agg(
@@ -183,9 +184,9 @@ def fairness_summary(viol: DataFrame) -> DataFrame:
 def quick_fairness_check(df: DataFrame, y_true: str, y_pred: str,
                          attributes: Sequence[str],
                          thresholds: Thresholds | None = None) -> dict[str, DataFrame]:
-    """The whole bundle as lazy DataFrames (share one count table)."""
-    counts = confusion_counts(df, y_true, y_pred, attributes)
-    summary = metric_summary(df, y_true, y_pred, attributes)
+    """The whole bundle; every table reads one count table, written once."""
+    counts = shared(confusion_counts(df, y_true, y_pred, attributes))
+    summary = metric_summary(df, y_true, y_pred, attributes, counts=counts)
     viol = violations(summary, thresholds)
     return {
         "counts": counts,

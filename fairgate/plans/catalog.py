@@ -7,6 +7,7 @@ from them); floats are rounded to 6 places on both sides.
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -607,6 +608,28 @@ def q_fairness_report(spark, sf_dir):
     return fair.fairness_report(s).select("protected_attribute", "metric", r6("value").alias("value"))
 
 
+@register("fairness_bundle", f"""
+SELECT 'summary' AS part, attribute || ' ' || metric AS item, ROUND(difference, 6) AS value FROM ({FAIR_SUMMARY_SQL})
+UNION ALL SELECT 'demographic_parity', attribute, ROUND(ratio, 6) FROM ({FAIR_SUMMARY_SQL}) WHERE metric = 'selection_rate'
+UNION ALL SELECT 'counts', attribute || ' ' || grp, n::DOUBLE FROM ({FAIR_COUNTS_SQL})
+UNION ALL SELECT 'by_group', attribute || ' ' || grp, ROUND(correct / n, 6) FROM ({FAIR_COUNTS_SQL})
+UNION ALL SELECT 'violations', attribute || ' ' || violation, NULL FROM ({FAIR_VIOLATIONS_SQL})
+UNION ALL SELECT 'report', attribute || ' demographic_parity_difference', ROUND(difference, 6) FROM ({FAIR_SUMMARY_SQL}) WHERE metric = 'selection_rate'
+UNION ALL SELECT 'report', attribute || ' demographic_parity_ratio', ROUND(ratio, 6) FROM ({FAIR_SUMMARY_SQL}) WHERE metric = 'selection_rate'
+UNION ALL SELECT 'status', CASE WHEN COUNT(*) = 0 THEN 'FAIR' ELSE 'CONCERNS' END, COUNT(*)::DOUBLE FROM ({FAIR_VIOLATIONS_SQL})
+""")
+def q_fairness_bundle(spark, sf_dir):
+    """Every table of the one-call bundle, stacked."""
+    b = fair.quick_fairness_check(_fair_input(spark, sf_dir), "y_true", "y_pred", FAIR_ATTRS)
+    part = lambda name, item, value: b[name].select(F.lit(name).alias("part"), item.alias("item"), value.cast("double").alias("value"))
+    pair = lambda x, y: F.concat_ws(" ", x, y)
+    return reduce(DataFrame.unionByName, [
+        part("summary", pair("attribute", "metric"), r6("difference")), part("demographic_parity", F.col("attribute"), r6("dp_ratio")),
+        part("counts", pair("attribute", "group"), F.col("n")), part("by_group", pair("attribute", "group"), r6("accuracy")),
+        part("violations", pair("attribute", "violation"), F.lit(None)), part("report", pair("protected_attribute", "metric"), r6("value")),
+        part("status", F.col("status"), F.col("total_violations"))])
+
+
 @register("fairness_status", f"""
 SELECT COUNT(*) AS total_violations,
        CASE WHEN COUNT(*) = 0 THEN 'FAIR' ELSE 'CONCERNS' END AS status
@@ -841,6 +864,24 @@ def q_missingness_bias_doc_labels(spark, sf_dir):
     return out.select("column", r6("chi2").alias("chi2"), r6("p_value").alias("p_value"), "mechanism")
 
 
+MISSING_ORDERS_SQL = """
+SELECT *, CASE WHEN o_orderkey % 11 = 0 OR (o_orderstatus = 'F' AND o_orderkey % 3 = 0) THEN NULL ELSE o_totalprice END AS paid,
+       CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_custkey END AS by_chance FROM orders"""
+
+
+@register("missingness_bias_orders", f"""
+WITH t AS ({chi2_p_oracle(_union_sql(["paid", "by_chance"], "SELECT '{c}' AS \"column\", CAST(CAST({c} IS NULL AS INTEGER) AS VARCHAR) AS a, o_orderstatus AS b FROM (" + MISSING_ORDERS_SQL + ")"))})
+SELECT "column", chi2, p_value, 'MNAR' AS mechanism FROM t WHERE p_value < 0.05
+""")
+def q_missingness_bias_orders(spark, sf_dir):
+    """T2 on a price that is missing more often for one status."""
+    o = table(spark, sf_dir, "orders")
+    key, status = F.col("o_orderkey"), F.col("o_orderstatus")
+    df = o.select("o_orderstatus", F.when(~((key % 11 == 0) | ((status == "F") & (key % 3 == 0))), F.col("o_totalprice")).alias("paid"),
+                  F.when(key % 7 != 0, F.col("o_custkey")).alias("by_chance"))
+    return stats.missingness_bias(df, "o_orderstatus").select("column", r6("chi2").alias("chi2"), r6("p_value").alias("p_value"), "mechanism")
+
+
 @register("missingness_tests_doc_labels", chi2_p_oracle(DOC_NULL_FLAGS_SQL))
 def q_missingness_tests_doc_labels(spark, sf_dir):
     df = fx.documents_with_labels(spark, sf_dir)
@@ -1059,11 +1100,12 @@ def _customer_patterns():
             "age_bias": rw.bias_rules("age", young=young)}
 
 
-PLANTED_SQL = f"""
+def _planted_sql(patterns) -> str:
+    return f"""
 WITH c AS (SELECT c_custkey, c_mktsegment, c_nationkey,
                   (0.0 + 0.5 * (c_acctbal / (SELECT MAX(c_acctbal) FROM customer)))
                   + 0.3 * (c_nationkey / 24.0) AS base FROM customer),
-p AS ({" UNION ALL ".join(f"SELECT '{k}' AS pattern, c.*, base * {v} AS score FROM c" for k, v in PATTERN_SQL.items())}),
+p AS ({" UNION ALL ".join(f"SELECT '{k}' AS pattern, c.*, base * {v} AS score FROM c" for k, v in patterns.items())}),
 t AS (SELECT pattern, quantile_cont(score, 0.5) AS thr FROM p GROUP BY pattern),
 l AS (SELECT p.pattern, c_custkey, c_mktsegment, CAST(score > thr AS INTEGER) AS y FROM p JOIN t USING (pattern)),
 r AS (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY md5(CAST(c_custkey AS VARCHAR) || ':42'), c_custkey) - 1 AS rk,
@@ -1072,6 +1114,9 @@ SELECT pattern, c_custkey, c_mktsegment, CASE WHEN rk < floor(0.05 * cnt) THEN 1
 """
 
 
+PLANTED_SQL = _planted_sql(PATTERN_SQL)
+
+
 @register("bias_comparison_customers", f"""
 SELECT pattern, c_mktsegment AS "group", COUNT(*) AS n, ROUND(AVG(approved), 6) AS outcome_rate
 FROM ({PLANTED_SQL}) WHERE c_mktsegment IS NOT NULL GROUP BY ALL
@@ -1085,6 +1130,21 @@ def q_bias_comparison_customers(spark, sf_dir):
     return out.select("pattern", "group", "n", r6("outcome_rate").alias("outcome_rate"))
 
 
+@register("bias_intersectional_customers", f"""
+SELECT pattern, c_mktsegment || CASE WHEN c_nationkey < 10 THEN ' young' ELSE ' other' END AS "group", COUNT(*) AS n, ROUND(AVG(approved), 6) AS outcome_rate
+FROM ({_planted_sql({"intersectional": "CASE WHEN c_mktsegment <> 'BUILDING' AND c_nationkey < 10 THEN 0.7 WHEN c_mktsegment <> 'BUILDING' THEN 0.85 WHEN c_nationkey < 10 THEN 0.85 ELSE 1.0 END"})})
+     JOIN (SELECT c_custkey, c_nationkey FROM customer) USING (c_custkey) GROUP BY ALL
+""")
+def q_bias_intersectional_customers(spark, sf_dir):
+    """J9's fourth pattern: the rates of the groups that it crosses."""
+    young = F.col("c_nationkey") < 10
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey", "c_acctbal").withColumn(
+        "crossed", F.concat("c_mktsegment", F.when(young, " young").otherwise(" other")))
+    rules = rw.bias_rules("intersectional", favoured=F.col("c_mktsegment") == "BUILDING", young=young)
+    out = rw.bias_comparison(c, rw.weighted_score(c, SCORE_TERMS), {"intersectional": rules}, "crossed", ["c_custkey"], threshold_q=0.5, flip_share=0.05, seed=42)
+    return out.select("pattern", "group", "n", r6("outcome_rate").alias("outcome_rate"))
+
+
 @register("planted_labels_customers", f"""
 SELECT c_custkey, approved FROM ({PLANTED_SQL}) WHERE pattern = 'gender_bias'
 """)
@@ -1139,6 +1199,16 @@ UNION ALL SELECT 'statistical_disparities_count', COUNT(*) FROM ({chi2_p_oracle(
 """
 
 
+@register("missing_attributes_customer", """
+SELECT unnest(['age', 'c_mktsegment', 'marital_status', 'sex']) AS attribute
+EXCEPT SELECT lower(replace(replace(column_name, '-', '_'), ' ', '_')) FROM (DESCRIBE customer)
+""")
+def q_missing_attributes_customer(spark, sf_dir):
+    """X1 where three of four expected attributes are no columns."""
+    spec = DatasetSpec(target=None, protected_attributes=("Age", "c_mktsegment", "marital-status", "sex"))
+    return rep.missing_sensitive_attributes(table(spark, sf_dir, "customer"), spec)
+
+
 def _gov_eda(spark, sf_dir):
     return eda_plan.run_bias_eda(governed_orders(spark, sf_dir), GOV_SPEC)
 
@@ -1148,13 +1218,14 @@ def q_eda_counts_orders(spark, sf_dir):
     return eda_plan.finding_counts(_gov_eda(spark, sf_dir))
 
 
-VERDICT_SQL = f"""
+def _verdict_sql(dups: str, types_bad: str, eda_counts: str) -> str:
+    return f"""
 WITH sig AS (
   SELECT 'excluded_count' AS "check", COUNT(*) AS n FROM ({_class_sql(GOV_COLS, GOV_SPEC)}) WHERE class = 'prohibited'
   UNION ALL SELECT 'prohibited_features_count', COUNT(*) FROM ({_class_sql(GOV_COLS, GOV_SPEC)}) WHERE class = 'prohibited'
   -- audit: no duplicates and no numeric-as-text column (high missing only warns)
-  UNION ALL SELECT 'audit_compliant', CASE WHEN {GOV_DUPS} = 0 AND {GOV_TYPES_BAD} = 0 THEN 1 ELSE 0 END
-  UNION ALL SELECT "check", n FROM ({GOV_EDA_COUNTS_SQL})),
+  UNION ALL SELECT 'audit_compliant', CASE WHEN {dups} = 0 AND {types_bad} = 0 THEN 1 ELSE 0 END
+  UNION ALL SELECT "check", n FROM ({eda_counts})),
 v AS (SELECT
   CAST(COALESCE(SUM(n) FILTER (WHERE "check" = 'excluded_count'), 0) AS BIGINT) AS excluded_count,
   CAST(COALESCE(SUM(n) FILTER (WHERE "check" = 'audit_compliant'), 0) AS BIGINT) AS audit_compliant,
@@ -1189,6 +1260,26 @@ FROM x
 """
 
 
+VERDICT_SQL = _verdict_sql(GOV_DUPS, GOV_TYPES_BAD, GOV_EDA_COUNTS_SQL)
+# the reference's order: the checks run on the table without its protected columns
+MIN_SQL = f"SELECT * EXCLUDE (c_mktsegment, c_nationkey) FROM ({GOV_SQL})"
+MIN_DUPS = f"(SELECT COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM ({MIN_SQL}))) FROM ({MIN_SQL}))"
+MIN_TYPES_BAD = ("(SELECT COUNT(*) FROM (" + _union_sql(
+    GOV_TEXT[:2], "SELECT '{c}' AS k, COUNT({c}) AS nv, COUNT(*) FILTER (WHERE {c} IS NOT NULL AND "
+                  "regexp_matches({c}, '" + NUMERIC_TEXT_SQL + "')) AS nn FROM (" + MIN_SQL + ")")
+    + ") WHERE nv > 0 AND nn = nv)")
+MIN_EDA_COUNTS_SQL = f"""
+SELECT 'missing_sensitive_attrs_count' AS "check", CAST(2 AS BIGINT) AS n
+UNION ALL SELECT 'underrepresented_groups_count', COUNT(*) FROM ({_underrep_sql("(" + MIN_SQL + ")", GOV_TEXT[:2])})
+"""
+
+
+@register("governance_verdict_orders_minimised", _verdict_sql(MIN_DUPS, MIN_TYPES_BAD, MIN_EDA_COUNTS_SQL))
+def q_governance_verdict_orders_minimised(spark, sf_dir):
+    """O9 in the reference's stage order, without the forest."""
+    return pipe.run_governance(governed_orders(spark, sf_dir), GOV_SPEC, bias_on="minimised", importance=False).verdict
+
+
 @register("governance_verdict_orders", VERDICT_SQL)
 def q_governance_verdict_orders(spark, sf_dir):
     res = pipe.run_governance(governed_orders(spark, sf_dir), GOV_SPEC, bias_on="raw",
@@ -1260,11 +1351,17 @@ def q_json_report_fairness(spark, sf_dir):
     return back.select("protected_attribute", "metric", r6("value").alias("value"))
 
 
-@register("summary_text_orders")
+@register("summary_text_orders", f"""
+SELECT printf({_sql_lit(sinks.SUMMARY_TEMPLATE)}, '{GOV_SPEC.domain}', overall_status, 'at run time',
+              gdpr_article_5_1_c, gdpr_article_5_1_d, gdpr_article_9, eu_ai_act_annex_iii,
+              len(issues), len(warnings), len(recommendations)) AS value
+FROM ({VERDICT_SQL})
+""")
 def q_summary_text_orders(spark, sf_dir):
-    """The plain-text compliance summary (holds the run time, so rows-only)."""
+    """The plain-text compliance summary, the run time masked."""
     res = pipe.run_governance(governed_orders(spark, sf_dir), GOV_SPEC, importance=False)
-    return sinks.summary_text(res.verdict, GOV_SPEC.domain)
+    text = sinks.summary_text(res.verdict, GOV_SPEC.domain)
+    return text.select(F.regexp_replace("value", "Date: [0-9-]{10}T[0-9:]{8}", "Date: at run time").alias("value"))
 
 
 @register("streaming_redaction_documents", f"""

@@ -12,9 +12,9 @@ from ..spec import Thresholds
 # Verdict texts.
 W_NO_EXCLUSION = "No features excluded during data minimisation"
 I_QUALITY = "Data quality checks failed - dataset has accuracy issues"
-W_PROTECTED = "{} protected attributes identified and handled appropriately"
-W_BIAS = "{} potential bias issues detected"
-I_BIAS = "{} significant bias issues detected"
+W_PROTECTED = "%d protected attributes identified and handled appropriately"
+W_BIAS = "%d potential bias issues detected"
+I_BIAS = "%d significant bias issues detected"
 R_UNDERREP = "Consider data augmentation or synthetic data for under-represented groups"
 R_PROXIES = "Review and potentially exclude proxy variables"
 R_DISPARITIES = "Apply bias mitigation techniques before model training"
@@ -25,7 +25,7 @@ SIGNALS = ["excluded_count", "audit_compliant", "prohibited_features_count",
 
 
 def _fmt(template: str, col) -> F.Column:
-    return F.format_string(template.replace("{}", "%d"), col)
+    return F.format_string(template, col)
 
 
 def _non_null_array(*items) -> F.Column:
