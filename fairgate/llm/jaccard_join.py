@@ -339,11 +339,25 @@ def _meetings(first: np.ndarray, own: np.ndarray, low: np.ndarray, high: np.ndar
             yield a[cross], b[cross]
 
 
-def _unrefuted(members: DataFrame, rule: _Rule, block: int = 4096, bucket_rows: int = 20_000) -> DataFrame:
+def _one_each(pairs: np.ndarray, salt: int) -> np.ndarray:
+    """Of the pairs of each class only one: with the smallest partner (salt
+    0), or with one that depends on the salt alone."""
+    if not len(pairs):
+        return pairs
+    cls = np.concatenate([pairs[:, 0], pairs[:, 1]])
+    partner = np.concatenate([pairs[:, 1], pairs[:, 0]])
+    rank = mix64(partner.astype(np.uint64) ^ mix64(cls.astype(np.uint64) + np.uint64(salt))) if salt else partner
+    order = np.lexsort((rank, cls))
+    first = order[np.concatenate([[True], cls[order][1:] != cls[order][:-1]])]
+    return np.unique(pairs[first % len(pairs)], axis=0)
+
+
+def _unrefuted(members: DataFrame, rule: _Rule, salt: int | None = None, block: int = 4096, bucket_rows: int = 20_000) -> DataFrame:
     """Pairs a < b of classes of one combination (rows t1, t2, cls, size,
     extended, comp, parity) in different components that neither lengths nor
-    sketches refute.  A combination of very many classes is cut into blocks,
-    and every two blocks meet in a group of their own."""
+    sketches refute; with a ``salt``, one pair a class and task only.  A
+    combination of very many classes is cut into blocks, and every two blocks
+    meet in a group of their own."""
     sizes = members.groupBy("t1", "t2").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     dealt = (members.join(sizes, ["t1", "t2"]).withColumn("own", F.pmod(F.xxhash64("cls"), "blocks").cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -365,8 +379,10 @@ def _unrefuted(members: DataFrame, rule: _Rule, block: int = 4096, bucket_rows:
             a, b = a[near], b[near]
             allowed = size[a] + size[b] - 2 * rule.overlap(size[a], size[b])
             near = sketch.differ(a, b) <= allowed
-            found.append(np.unique(np.stack([np.minimum(cls[a], cls[b])[near], np.maximum(cls[a], cls[b])[near]], axis=1), axis=0))
+            some = np.unique(np.stack([np.minimum(cls[a], cls[b])[near], np.maximum(cls[a], cls[b])[near]], axis=1), axis=0)
+            found.append(some if salt is None else _one_each(some, salt))
         pairs = np.unique(np.concatenate(found), axis=0)
+        pairs = pairs if salt is None else _one_each(pairs, salt)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return dealt.drop("other", "blocks").groupBy("bucket").applyInArrow(meet, "a bigint, b bigint").distinct()
@@ -438,7 +454,7 @@ def _resolve(pairs: DataFrame, links: DataFrame | None, sets: DataFrame, rule: _
                 break
         # one link a class says as much as all of them
         links = label.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
-    return links, label
+    return label.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")), label
 
 
 def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, rare: int = RARE, stars: int = 1,
@@ -471,16 +487,21 @@ def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int
               .unionByName(combos.select("cls").distinct()).distinct())
     sets = _sets(wanted, classes, docs, width, id_col, text_col)
     links, label = _resolve(tried, None, sets, rule, stars)
-    # classes of a combination that are still apart meet member by member
-    open_ = (combos.join(label, combos["cls"] == label["node"], "left")
-             .select("t1", "t2", "cls", "size", "extended", F.coalesce("component", "cls").alias("comp")))
-    split = open_.groupBy("t1", "t2").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("t1", "t2")
+    # Classes of a combination that are still apart meet member by member.
+    # Nearly all pairs that the sketches leave are links, so one pair a class
+    # joins most of them; the last round tries every pair still between two
+    # components.
     parity = rows.select(F.col("rid").alias("cls"), "parity")
-    open_ = written(open_.join(split, ["t1", "t2"]).join(parity, "cls"), "open", compression="lz4")
-    fresh = materialize(_unrefuted(open_, rule).join(tried, ["a", "b"], "left_anti"))
-    remove(docs.sparkSession, open_)
-    if not fresh.isEmpty():
-        links, label = _resolve(fresh, links, sets, rule, 0)
+    for salt in (0, 1, None):
+        open_ = (combos.join(label, combos["cls"] == label["node"], "left")
+                 .select("t1", "t2", "cls", "size", "extended", F.coalesce("component", "cls").alias("comp")))
+        split = open_.groupBy("t1", "t2").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("t1", "t2")
+        open_ = written(open_.join(split, ["t1", "t2"]).join(parity, "cls"), "open", compression="lz4")
+        fresh = materialize(_unrefuted(open_, rule, salt).join(tried, ["a", "b"], "left_anti"))
+        remove(docs.sparkSession, open_)
+        if not fresh.isEmpty():
+            links, label = _resolve(fresh, links, sets, rule, 0)
+            tried = tried.unionByName(fresh)
     remove(docs.sparkSession, sets)
     member = (rows.select("rid", "doc_id", "n_shingles", "sig", *more).join(classes.select("sig", "cls"), "sig", "left")
               .join(label.withColumnRenamed("node", "cls"), "cls", "left")

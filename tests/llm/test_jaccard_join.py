@@ -156,13 +156,16 @@ def test_blocks_meet_every_pair_once_or_more(spark):
     df = spark.createDataFrame(rows, "t1 bigint, t2 bigint, cls bigint, size bigint, extended boolean, comp bigint, parity binary")
     rule = _Rule(80, 100)
     for block, bucket_rows in ((4096, 20_000), (17, 10)):
-        out = {tuple(r) for r in _unrefuted(df, rule, block, bucket_rows).collect()}
+        out = {tuple(r) for r in _unrefuted(df, rule, None, block, bucket_rows).collect()}
         for i in range(120):
             for j in range(i + 1, 120):
                 both = len(set(found[i].tolist()) & set(found[j].tolist()))
                 if i % 5 != j % 5 and (i % 2 == 0 or j % 2 == 0) and 100 * both >= 80 * (len(found[i]) + len(found[j]) - both):
                     assert (i, j) in out
         assert all(i < j and i % 5 != j % 5 for i, j in out)
+        for salt in (0, 1):
+            some = {tuple(r) for r in _unrefuted(df, rule, salt, block, bucket_rows).collect()}
+            assert some <= out and {i for p in some for i in p} == {i for p in out for i in p} and (len(some) <= 120 or block == 17)
 
 
 def test_one_text_in_many_degrees_of_likeness(spark):
