@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from ..functions.columns import q, ratio, round2_like_numpy, stack, to_long
 from ..functions.text import NUMERIC_TEXT_PATTERN
 from ..spec import DatasetSpec, Thresholds, columns_of
+from .cube import ValueCube
 from .ordering import count_values, exact_quantiles, shared
 
 
@@ -205,7 +206,7 @@ def duplicate_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
                       F.col("n_duplicates").cast("long").alias("n_duplicates"))
 
 
-def numeric_as_text(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def numeric_as_text(df: DataFrame, columns: Sequence[str] | None = None, cube: ValueCube | None = None) -> DataFrame:
     """text columns whose non-NULL values all parse as numbers (pandas
     ``to_numeric`` grammar), by a full scan.  Columns: column, n_values,
     n_numeric, numeric_share, numeric_as_text."""
@@ -214,10 +215,13 @@ def numeric_as_text(df: DataFrame, columns: Sequence[str] | None = None) -> Data
         return df.sparkSession.createDataFrame(
             [], "column string, n_values bigint, n_numeric bigint, "
                 "numeric_share double, numeric_as_text boolean")
-    long = to_long(df, cols).where(F.col("value").isNotNull())
-    agg = long.groupBy("column").agg(
-        F.count(F.lit(1)).alias("n_values"),
-        F.count_if(F.col("value").rlike(NUMERIC_TEXT_PATTERN)).alias("n_numeric"))
+    if cube is not None and cube.has(cols):
+        long = cube.of(cols).select("column", F.col("a").alias("value"), "n")
+    else:
+        long = to_long(df, cols).withColumn("n", F.lit(1).cast("bigint"))
+    agg = long.where(F.col("value").isNotNull()).groupBy("column").agg(
+        F.sum("n").alias("n_values"),
+        F.sum(F.when(F.col("value").rlike(NUMERIC_TEXT_PATTERN), F.col("n")).otherwise(0)).alias("n_numeric"))
     return agg.select(
         "column", "n_values", "n_numeric",
         ratio(F.col("n_numeric"), F.col("n_values")).alias("numeric_share"),

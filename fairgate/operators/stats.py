@@ -16,7 +16,7 @@ Yates-corrected value is max(|O-E| - 1/2, 0)^2 * N * sum(1/R) * sum(1/C).
 
 from __future__ import annotations
 
-from typing import Sequence
+from typing import TYPE_CHECKING, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +27,9 @@ from ..functions.pvalues import chi2_p_value
 from ..spec import DatasetSpec, is_text, matches_by_attribute
 from .ordering import shared
 
+if TYPE_CHECKING:
+    from .cube import ValueCube
+
 DEC = "decimal(38,0)"
 
 
@@ -160,7 +163,7 @@ def missingness_bias(df: DataFrame, target: str, spec: DatasetSpec | None = None
 
 
 def disparity_tests(df: DataFrame, target: str, spec: DatasetSpec,
-                    match_mode: str = "column") -> DataFrame:
+                    match_mode: str = "column", cube: ValueCube | None = None) -> DataFrame:
     """T5 (all tested columns, significant or not): chi-square of each
     protected column (<= ``disparity_max_groups`` distinct values) against
     the target.  Columns: column, chi2, dof, p_value, significant."""
@@ -171,7 +174,8 @@ def disparity_tests(df: DataFrame, target: str, spec: DatasetSpec,
     if target not in df.columns or not pairs:
         return _empty_findings(df, ["column string", "chi2 double", "dof bigint",
                                     "p_value double", "significant boolean"])
-    counts = shared(pair_counts(df, pairs))
+    tested = [a for _, a, _ in pairs]
+    counts = cube.of(tested) if cube is not None and cube.target == target and cube.has(tested) else shared(pair_counts(df, pairs))
     groups = (counts.where(F.col("a").isNotNull()).select("column", "a").distinct()
               .groupBy("column").agg(F.count(F.lit(1)).alias("_groups")))
     few = shared(groups.where(F.col("_groups") <= th.disparity_max_groups).select("column"))
@@ -182,9 +186,9 @@ def disparity_tests(df: DataFrame, target: str, spec: DatasetSpec,
 
 
 def statistical_disparities(df: DataFrame, target: str, spec: DatasetSpec,
-                            match_mode: str = "column") -> DataFrame:
+                            match_mode: str = "column", cube: ValueCube | None = None) -> DataFrame:
     """T5 findings: only the significant rows (column, chi2, p_value, significant)."""
-    return (disparity_tests(df, target, spec, match_mode)
+    return (disparity_tests(df, target, spec, match_mode, cube)
             .where(F.col("significant"))
             .select("column", "chi2", "p_value", "significant"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import association, expect, profile
+from ..operators.cube import ValueCube
 from ..operators.ordering import shared
 from ..spec import DatasetSpec
 
@@ -43,12 +44,12 @@ def audit_status(schema: DataFrame, rollup: DataFrame) -> DataFrame:
 
 
 def run_audit(df: DataFrame, spec: DatasetSpec, reference: DataFrame | None = None,
-              null_counts: DataFrame | None = None) -> AuditResult:
+              null_counts: DataFrame | None = None, cube: ValueCube | None = None) -> AuditResult:
     """O7.  ``null_counts`` (``stats.null_flag_counts``, shared with the bias
     EDA) lets the missing-cell total and the suite skip their own scans."""
     # the numeric-as-text test feeds both the schema status and the type
     # check: one scan, a table of one row per text column
-    nat = shared(profile.numeric_as_text(df))
+    nat = shared(profile.numeric_as_text(df, cube=cube))
     schema = expect.schema_validation(df, nat=nat)
     if null_counts is not None and spec.target in df.columns:
         missing = profile.missing_total_from_counts(null_counts, len(df.columns))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import association, representation, stats
+from ..operators.cube import ValueCube, value_cube
 from ..spec import DatasetSpec
 
 
@@ -26,11 +27,13 @@ class EdaFindings:
 
 def run_bias_eda(df: DataFrame, spec: DatasetSpec,
                  null_counts: DataFrame | None = None,
-                 testable: bool | None = None) -> EdaFindings:
+                 testable: bool | None = None, cube: ValueCube | None = None) -> EdaFindings:
     """O3: missing attributes (X1), rare groups (A2), missingness bias (T2,
     with a target), proxies (T4), disparities (T5, only with a target).
     Shared count tables are written when this is called; the tests on them
-    run when a table is read.  ``testable``: the result of T2's gate, if known."""
+    run when a table is read.  ``testable``: the result of T2's gate, if known;
+    ``cube``: the table's value counts, made here if not given."""
+    cube = cube if cube is not None else value_cube(df, spec)
     has_target = spec.target is not None and spec.target in df.columns
     has_test = has_target and (testable if testable is not None else stats.missingness_testable(df, spec.target, spec))
     miss = (stats.missingness_bias(df, spec.target, spec, counts=null_counts) if has_test
@@ -38,10 +41,10 @@ def run_bias_eda(df: DataFrame, spec: DatasetSpec,
                 [], "column string, chi2 double, p_value double, mechanism string"))
     return EdaFindings(
         missing_sensitive_attrs=representation.missing_sensitive_attributes(df, spec),
-        underrepresented_groups=representation.underrepresented_groups(df, spec),
+        underrepresented_groups=representation.underrepresented_groups(df, spec, cube=cube),
         missingness_bias=miss,
         proxy_variables=association.proxy_variables(df, spec),
-        statistical_disparities=(stats.statistical_disparities(df, spec.target, spec)
+        statistical_disparities=(stats.statistical_disparities(df, spec.target, spec, cube=cube)
                                  if spec.target else None),
     )
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import nan_as_null
 from ..operators import minimise, pii, representation, stats
+from ..operators.cube import value_cube
 from ..operators.ordering import shared
 from ..operators.untested import not_tested
 from ..spec import DatasetSpec
@@ -89,10 +90,12 @@ def run_governance(df: DataFrame, spec: DatasetSpec, bias_on: str = "raw",
     testable = has_target and stats.missingness_testable(analysed, spec.target, spec)
     null_counts = (stats.null_flag_counts(analysed, spec.target, by_value=testable)
                    if has_target and len(analysed.columns) > 1 else None)
-    eda = run_bias_eda(analysed, spec, null_counts, testable)
+    # one scan of values x target feeds A2, A3, T5 and F9
+    cube = value_cube(analysed, spec)
+    eda = run_bias_eda(analysed, spec, null_counts, testable, cube)
     counts = finding_counts(eda)
-    audit = run_audit(analysed, spec, reference, null_counts)
-    rep = representation.representation_for_spec(analysed, spec)
+    audit = run_audit(analysed, spec, reference, null_counts, cube)
+    rep = representation.representation_for_spec(analysed, spec, cube)
     signals = (count_signal(log, "excluded_count")
                .unionByName(count_signal(classes, "prohibited_features_count",
                                          F.col("class") == "prohibited"))
