@@ -62,7 +62,8 @@ class ForestParams:
     execution settings: node-id caching and a larger per-pass node budget
     cut the number of passes over the data for deep trees; training rows
     are spread over ceil(rows / rows_per_partition) partitions, however many
-    that makes.  ``max_classes`` is what Spark ML can learn."""
+    that makes.  ``max_classes`` is what Spark ML can learn; a text target of
+    more is hashed to that many codes, ``hashings`` times."""
     num_trees: int = 100
     max_depth: int = 10
     seed: int = 42
@@ -71,6 +72,7 @@ class ForestParams:
     max_memory_mb: int = 1024
     rows_per_partition: int = 20000
     max_classes: int = 100
+    hashings: int = 4
 
 
 def _forest_features(df: DataFrame, target: str) -> list[str]:
@@ -87,10 +89,13 @@ def _forest_features(df: DataFrame, target: str) -> list[str]:
 def feature_importance(df: DataFrame, target: str, params: ForestParams | None = None) -> DataFrame:
     """Feature, importance (sums to 1), from a random forest on all other
     columns: text columns ordinal-encoded (J7), numeric NULLs mean-imputed
-    (J8), target encoded to class indices.  Rows with a NULL target are
-    left out (the forest cannot learn from them).  Protected columns stay
-    in X.  Sorted by importance, highest first."""
-    from pyspark.ml.classification import RandomForestClassifier
+    (J8), target encoded to class indices.  A target of more classes than a
+    forest can learn is regressed on if it is a number or a time; a text is
+    hashed to fewer codes for each of several smaller forests, whose
+    importances are averaged (two classes that share a code in one of them
+    hardly do in the others).  Rows with a NULL target are left out (the
+    forest cannot learn from them).  Protected columns stay in X.  Sorted by
+    importance, highest first."""
     from pyspark.ml.feature import VectorAssembler
 
     p = params or ForestParams()
@@ -98,10 +103,20 @@ def feature_importance(df: DataFrame, target: str, params: ForestParams | None =
     feats = _forest_features(df, target)
     texts = [c for c in feats if is_text(df.schema[c].dataType)]
     base = df.where(q(target).isNotNull())
-    # one ranked pass encodes the text features and the target together
-    codes = shared(label_codes(base, texts + [target]))
+    many = base.select(q(target)).distinct().limit(p.max_classes + 1).count() > p.max_classes
+    target_type = df.schema[target].dataType
+    regress = many and (is_numeric(target_type) or is_temporal(target_type))
+    labels = ["_label"] if not many or regress else [f"_label{i}" for i in range(p.hashings)]
+    # one ranked pass encodes the text features and a target of few classes together
+    coded = texts if many else texts + [target]
+    codes = shared(label_codes(base, coded)) if coded else None
     enc = base
-    for c in texts + [target]:
+    if regress:
+        enc = enc.withColumn("_label", as_number(base, target))
+    elif many:
+        enc = enc.withColumns({c: F.pmod(F.xxhash64(as_label_text(target), F.lit(i)), F.lit(p.max_classes)).cast("double")
+                               for i, c in enumerate(labels)})
+    for c in coded:
         tbl = (codes.where(F.col("column") == c)
                .select(F.col("value").alias("_v"), F.col("code").alias("_code")))
         enc = (enc.withColumn("_v", as_label_text(c)).join(tbl, "_v", "left").drop("_v")
@@ -109,43 +124,44 @@ def feature_importance(df: DataFrame, target: str, params: ForestParams | None =
                            F.col("_code").cast("double" if c == target else "long"))
                .drop("_code"))
     cols = [f"_f{i}" for i in range(len(feats))]
-    staged = enc.select("_label", *[as_number(enc, c).alias(f"_f{i}") for i, c in enumerate(feats)])
+    staged = enc.select(*labels, *[as_number(enc, c).alias(f"_f{i}") for i, c in enumerate(feats)])
     # J8 mean imputation and the row count in one aggregate (one value per feature)
     stats = staged.agg(F.count(F.lit(1)).alias("_n"), *[F.avg(c).alias(c) for c in cols]).first()
     n_rows = stats["_n"]
-    filled = staged.select("_label", *[F.coalesce(F.col(c), F.lit(stats[c])).alias(c)
+    filled = staged.select(*labels, *[F.coalesce(F.col(c), F.lit(stats[c])).alias(c)
                                        if stats[c] is not None else F.col(c) for c in cols])
     assembled = VectorAssembler(inputCols=cols, outputCol="_features",
                                 handleInvalid="keep").transform(filled)
     n_parts = max(1, math.ceil(n_rows / p.rows_per_partition))
-    train = (assembled.select("_label", "_features").repartition(n_parts)
+    train = (assembled.select(*labels, "_features").repartition(n_parts)
              .persist(StorageLevel.MEMORY_AND_DISK))
     try:
-        model = RandomForestClassifier(
-            labelCol="_label", featuresCol="_features", numTrees=p.num_trees,
-            maxDepth=p.max_depth, seed=p.seed, maxBins=p.max_bins,
-            cacheNodeIds=p.cache_node_ids, maxMemoryInMB=p.max_memory_mb).fit(train)
-        imp = model.featureImportances.toArray().tolist()
+        found = [_forest(p, label, regress, len(labels)).fit(train).featureImportances.toArray() for label in labels]
     finally:
         train.unpersist()
-    rows = [(c, float(v)) for c, v in zip(feats, imp)]
+    rows = [(c, float(v)) for c, v in zip(feats, sum(found) / len(found))]
     return (df.sparkSession.createDataFrame(rows, "feature string, importance double")
             .orderBy(F.desc("importance"), "feature"))
 
 
-def importance_status(df: DataFrame, target: str, params: ForestParams | None = None) -> str | None:
+def _forest(p: ForestParams, label: str, regress: bool, of: int):
+    """One of ``of`` forests that share the trees."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.regression import RandomForestRegressor
+    return (RandomForestRegressor if regress else RandomForestClassifier)(
+        labelCol=label, featuresCol="_features", numTrees=-(-p.num_trees // of), maxDepth=p.max_depth, seed=p.seed,
+        maxBins=p.max_bins, cacheNodeIds=p.cache_node_ids, maxMemoryInMB=p.max_memory_mb)
+
+
+def importance_status(df: DataFrame, target: str) -> str | None:
     """Why T6 cannot be computed (None: it can): looked up before training,
     so a table that no forest can learn from does not end the run."""
-    p = params or ForestParams()
     if target not in df.columns:
         return "the target is no column"
     if not _forest_features(df, target):
         return "there is no feature column"
-    classes = nan_as_null(df).select(q(target).alias("t")).where(F.col("t").isNotNull()).distinct().limit(p.max_classes + 1).count()
-    if classes == 0:
+    if nan_as_null(df).select(q(target).alias("t")).where(F.col("t").isNotNull()).isEmpty():
         return "the target has no value"
-    if classes > p.max_classes:
-        return f"the target has more than {p.max_classes} values"
     return None
 
 

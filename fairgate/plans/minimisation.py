@@ -30,7 +30,7 @@ def run_minimisation(df: DataFrame, spec: DatasetSpec,
     forest can learn the target (``importance_reason`` says why), no forest
     is trained and only protected columns are excluded."""
     classes = minimise.classify_features(df, spec)
-    reason = minimise.importance_status(df, spec.target, forest) if importance else "not asked for"
+    reason = minimise.importance_status(df, spec.target) if importance else "not asked for"
     imps = minimise.feature_importance(df, spec.target, forest) if reason is None else None
     minimal, log = minimise.create_minimal_dataset(
         df, classes, spec, imps, exclude_protected=exclude_protected,

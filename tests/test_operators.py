@@ -578,11 +578,13 @@ def test_full_run_survives_its_input(spark, case):
         with pytest.raises(ValueError, match="map columns"):
             run_governance(df.withColumn("m", F.create_map(F.lit("a"), F.lit(1))), spec)
         return
-    result = run_governance(df, spec, importance=case != "text")
+    result = run_governance(df, spec, forest=minimise.ForestParams(num_trees=4, max_depth=3), importance=case != "text")
     assert result.verdict.count() == 1
     reasons = {(r.check, r.column) for r in result.not_tested.collect()}
-    if case != "text":
+    if case == "empty":
         assert ("importance", "y") in reasons and result.feature_importance is None
+    if case == "continuous":
+        assert ("importance", "y") not in reasons and result.feature_importance.count() == 2
     assert (("missingness", "y") in reasons) == (case == "continuous")
     assert all(t.count() >= 0 for t in result.findings().values())
 
@@ -593,6 +595,20 @@ def test_importances_sum_to_one_and_find_the_target(spark):
     assert sum(r.importance for r in imps) == pytest.approx(1.0) and imps[0].feature == "x"
 
 
+@pytest.mark.parametrize("target", ["number", "text", "day"])
+def test_importances_of_a_target_of_many_values(spark, target):
+    df = spark.range(2000).select((F.col("id") % 500).alias("x"), (F.col("id") % 7).alias("z"), F.concat(F.lit("t"), F.col("id") % 3).alias("c"))
+    y = {"number": F.col("x") * 2.5, "text": F.concat(F.lit("v"), F.col("x")), "day": F.date_add(F.lit("2024-01-01").cast("date"), F.col("x").cast("int"))}[target]
+    imps = minimise.feature_importance(df.withColumn("y", y), "y", minimise.ForestParams(num_trees=8, max_depth=5)).collect()
+    assert sum(r.importance for r in imps) == pytest.approx(1.0) and imps[0].feature == "x" and len(imps) == 3
+
+
+def test_importances_of_a_price(spark):
+    li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select("l_quantity", "l_extendedprice", "l_discount", "l_returnflag")
+    imps = minimise.feature_importance(li, "l_extendedprice", minimise.ForestParams(num_trees=6, max_depth=6)).collect()
+    assert sum(r.importance for r in imps) == pytest.approx(1.0) and imps[0].feature == "l_quantity"
+
+
 PII_CASES = [
     ("ip 1.2.3.45678", "ip 1.2.3.45678"), ("ip 1.2.3.4.", "ip <IP_ADDRESS>."), ("v 1.2.3.4.5", "v 1.2.3.4.5"), ("ip 256.1.1.1", "ip 256.1.1.1"),
     ("ip 10.0.0.1,192.168.1.254", "ip <IP_ADDRESS>,<IP_ADDRESS>"), ("1234-56-78901", "1234-56-78901"), ("123-45-6789", "<US_SSN>"),
