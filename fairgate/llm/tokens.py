@@ -12,6 +12,8 @@ holds the start of a special token (``<|``) goes to the tokenizer whole.
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +22,11 @@ import pyarrow.compute as pc
 from .textutil import words_of
 
 _SENTINEL = "\x01"          # a symbol of its own between words of one call
-_PER_CALL = 64
-#: a letter or digit, a run of ASCII punctuation without the apostrophe, white space or the end
-_TAIL = r"([\pL\pN])([!-&(-/:-@\[-`{-~]+)([ \t\n\f\r]|$)"
+_PER_CALL = 256
+_END = "</w>"               # what the last token of a run of letters ends with
+#: a digit or a letter (of scripts in which normalising leaves no marks), a run
+#: of ASCII punctuation without the apostrophe, white space or the end
+_TAIL = r"([\p{Latin}\p{Greek}\p{Cyrillic}0-9])([!-&(-/:-@\[-`{-~]+)([ \t\n\f\r]|$)"
 
 
 def default_path() -> str:
@@ -68,7 +72,7 @@ class WordTokenizer:
     older one goes, and a word found there moves to the new one, so that
     words in use stay known."""
 
-    def __init__(self, path: str, max_words: int = 300_000, max_bytes: int = 32 << 20):
+    def __init__(self, path: str, max_words: int = 450_000, max_bytes: int = 32 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -77,42 +81,61 @@ class WordTokenizer:
         self.mark = self._whole(_SENTINEL)
         assert len(self.mark) == 1
         self.words, self.older = _Words(), _Words()
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocab.items() if token.endswith(_END)]] = True
 
     def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if _SENTINEL not in w]
-        odd = [w for w in words if _SENTINEL in w]
-        groups = [plain[i:i + _PER_CALL] for i in range(0, len(plain), _PER_CALL)]
-        joined = [f" {_SENTINEL} ".join(g) for g in groups]
-        for group, enc in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
-            ids = np.array(enc.ids, dtype=np.uint32)
+        """Encode new words, many to a call.  The tokens themselves say where
+        a word of letters ends; other words stand between symbols."""
+        letters = [w for w in words if w.isalpha()]
+        left = [w for w in words if not w.isalpha()]
+        for group, ids in self._calls(letters, " "):
+            ends = np.flatnonzero(self.ends[ids])
+            if len(ends) == len(group) and len(ids) == ends[-1] + 1:      # one end a word
+                self.words.add(group, ids, np.diff(ends, prepend=-1))
+            else:
+                left += group
+        for group, ids in self._calls([w for w in left if _SENTINEL not in w], f" {_SENTINEL} "):
             marks = np.flatnonzero(ids == self.mark[0])
             bounds = np.concatenate([[-1], marks, [len(ids)]])
             assert len(bounds) == len(group) + 1
             self.words.add(group, np.delete(ids, marks), np.diff(bounds) - 1)
-        for w in odd:
-            ids = np.array(self._whole(w), dtype=np.uint32)
-            self.words.add([w], ids, np.array([len(ids)]))
+        for w in left:
+            if _SENTINEL in w:
+                ids = np.array(self._whole(w), dtype=np.uint32)
+                self.words.add([w], ids, np.array([len(ids)]))
+
+    def _calls(self, words: list[str], between: str) -> Iterator[tuple[list[str], np.ndarray]]:
+        groups = [words[i:i + _PER_CALL] for i in range(0, len(words), _PER_CALL)]
+        found = self.tokenizer.encode_batch_fast([between.join(g) for g in groups], add_special_tokens=False)
+        return ((g, np.array(e.ids, dtype=np.uint32)) for g, e in zip(groups, found))
 
     def table(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Start in the pool and number of ids of each distinct word."""
         words = words.to_pylist()
         if len(self.words.index) + len(words) > self.max_words or self.words.bytes > self.max_bytes:
             self.words, self.older = _Words(), self.words
-        found = list(map(self.words.index.get, words))
-        if None in found:
-            missing = [w for w, row in zip(words, found) if row is None]
-            before = list(map(self.older.index.get, missing))
-            again = [(w, row) for w, row in zip(missing, before) if row is not None]
-            if again:
-                self.words.add([w for w, _ in again], *self.older.ids(np.array([row for _, row in again])))
-            self._learn([w for w, row in zip(missing, before) if row is None])
-            found = list(map(self.words.index.get, words))
-        rows = np.array(found, dtype=np.int64)
+        rows = self._rows(self.words, words)
+        missing = np.flatnonzero(rows < 0)
+        if len(missing):
+            absent = [words[i] for i in missing]
+            before = self._rows(self.older, absent)
+            again = np.flatnonzero(before >= 0)
+            if len(again):
+                self.words.add([absent[i] for i in again], *self.older.ids(before[again]))
+            self._learn([absent[i] for i in np.flatnonzero(before < 0)])
+            rows[missing] = self._rows(self.words, absent)
         return self.words.start[rows], self.words.length[rows].astype(np.int64)
 
+    @staticmethod
+    def _rows(known: _Words, words: list[str]) -> np.ndarray:
+        """The row of each word, -1 for unknown ones."""
+        return np.fromiter(map(known.index.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = pc.fill_null(texts, "")
         special = np.flatnonzero(pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False))

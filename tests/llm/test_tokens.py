@@ -36,13 +36,20 @@ def test_same_ids_as_the_library(tokenizer):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.text(alphabet="aAé'.,!<|> \n\t1²́ßΣ\x01\x85-_$", max_size=25), min_size=1, max_size=4))
+@given(st.lists(st.text(alphabet="aAé\u0958日'.,!<|> \n\t1²́ßΣ\x01\x85-_$", max_size=25), min_size=1, max_size=4))
 def test_same_ids_on_random_texts(tokenizer, texts):
     ids, offsets = tokenizer.encode(pa.array(texts))
     for i, text in enumerate(texts):
         assert ids[offsets[i]:offsets[i + 1]].tolist() == ids_of(tokenizer, text)
 
 
+def test_letters_that_normalise_to_marks(tokenizer):
+    words = ["\u0958\u0959 क़ख़", "ǆ ﬁﬂ ª ſ K Å", "가각힣 각", "ʰʱ ⅰ Ⅳ ٣ ß ẞ", "日本 " * 40, "абвгд " * 300 + "x\u0958y " * 20]
+    ids, offsets = tokenizer.encode(pa.array(words))
+    for i, text in enumerate(words):
+        assert ids[offsets[i]:offsets[i + 1]].tolist() == ids_of(tokenizer, text), text
+
+
 def test_words_in_use_are_encoded_once():
     tok, learned = WordTokenizer(default_path(), max_words=40), []
     learn = tok._learn
