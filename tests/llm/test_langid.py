@@ -58,3 +58,33 @@ def test_edges(spark):
     assert language_id(empty(spark)).count() == 0
     unlabelled = docs(spark, [(1, "text", None, "a")])
     assert language_id(unlabelled).first().lang_pred == "und"
+
+
+def test_predictions_equal_a_plain_network(spark):
+    """Every text byte by byte: all windows, every filter at every place, mean of the log-probabilities."""
+    import math
+    import re
+    rows = corpus(spark, 24) + [(100, "x" * 700 + "äöü" * 60, "aa", "s"), (101, "123 .", "aa", "s"), (102, None, "aa", "s"), (103, "é", "bb", "s"), (104, "", "cc", "s")]
+    net = fit(docs(spark, corpus(spark, 90)), steps=30)
+    embed, out, out_bias, bias = (np.asarray(a, dtype=np.float64) for a in (net.embed, net.out, net.out_bias, net.bias))
+
+    def log_probs(window):
+        pooled = []
+        for w, f in zip(WIDTHS, net.filters):
+            places = [sum(embed[window[i + j]] @ f[j].astype(np.float64) for j in range(w)) for i in range(len(window) - w + 1)]
+            pooled += np.max(places, axis=0).tolist()
+        z = np.maximum(np.array(pooled) + bias, 0) @ out + out_bias
+        return z - math.log(sum(math.exp(v) for v in z - z.max())) - z.max()
+
+    got = {r.doc_id: r for r in predict(docs(spark, rows), net).collect()}
+    for i, text, *_ in rows:
+        if not re.search(r"[^\W\d_]", text or ""):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        data = text.encode()
+        cut = [data] if len(data) <= 256 else [data[k:k + 256] for k in range(0, len(data) - 255, 256)]
+        if len(data) > 256 and len(data) % 256:
+            cut.append(data[-256:])
+        mean = np.mean([log_probs(c.ljust(256, b"\0")) for c in cut], axis=0)
+        q = np.exp(mean - mean.max()) / np.exp(mean - mean.max()).sum()
+        assert got[i].lang_pred == net.labels[int(q.argmax())] and abs(got[i].score - q.max()) < 1e-3

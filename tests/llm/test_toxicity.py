@@ -82,3 +82,33 @@ def test_stage_keeps_all_columns_and_clean_rows(spark):
 def test_whole_table(spark):
     d, lab = table(spark, SF, "documents"), table(spark, SF, "labels")
     assert toxicity(d, lab).count() == d.count()
+
+
+def test_scores_equal_a_plain_scorer(spark):
+    """Words in lower case without outer ASCII punctuation, the words and their beginnings once a text, one sum."""
+    import math
+    import string
+
+    from fairgate.llm.toxicity import _PUNCTUATION, BEGINNINGS
+    d, lab = corpus(spark)
+    model = fit(d, lab)
+    assert set(string.punctuation) <= set(_PUNCTUATION) and sum(map(len, model.known)) == len(model.weights) > 0
+    weight, at = {}, 0
+    for kind, values in enumerate(model.known):
+        for v in values:
+            weight[kind, v] = model.weights[at]
+            at += 1
+
+    def plain(text):
+        has = set()
+        for w in (text or "").replace("\v", " ").replace("\f", " ").replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" "):
+            w = w.lower().strip(_PUNCTUATION)
+            if w:
+                has |= {(0, w)} | {(k, w[:n]) for k, n in enumerate(BEGINNINGS, 1)}
+        return 1 / (1 + math.exp(-(model.bias + sum(weight.get(f, 0.0) for f in has))))
+
+    rows = edge_rows()[:-1] + [(100 + r.doc_id, r.text, "en", "a") for r in d.limit(60).collect()]
+    got = sorted(((str(r.doc_id), r.score, r.predicted) for r in score(docs(spark, rows), model).collect()))
+    want = sorted((str(i), plain(t), int(plain(t) >= 0.7)) for i, t, *_ in rows)
+    assert [(g[0], g[2]) for g in got] == [(w[0], w[2]) for w in want]
+    assert np.allclose([g[1] for g in got], [w[1] for w in want], atol=1e-9)
