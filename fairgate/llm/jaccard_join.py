@@ -353,13 +353,12 @@ def _one_each(pairs: np.ndarray, salt: int) -> np.ndarray:
 
 
 def _unrefuted(members: DataFrame, rule: _Rule, salt: int | None = None, block: int = 4096, bucket_rows: int = 20_000) -> DataFrame:
-    """Pairs a < b of classes of one combination (rows t1, t2, cls, size,
-    extended, comp, parity) in different components that neither lengths nor
-    sketches refute; with a ``salt``, one pair a class and task only.  A
-    combination of very many classes is cut into blocks, and every two blocks
-    meet in a group of their own."""
-    sizes = members.groupBy("t1", "t2").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    dealt = (members.join(sizes, ["t1", "t2"]).withColumn("own", F.pmod(F.xxhash64("cls"), "blocks").cast("int"))
+    """Pairs a < b of classes of one combination (rows t1, t2, n (rows of the
+    combination), cls, size, extended, comp, parity) in different components
+    that neither lengths nor sketches refute; with a ``salt``, one pair a
+    class and task only.  A combination of very many classes is cut into
+    blocks, and every two blocks meet in a group of their own."""
+    dealt = (members.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("cls"), "blocks").cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")))
     buckets = max(1, members.count() // bucket_rows)
@@ -385,7 +384,7 @@ def _unrefuted(members: DataFrame, rule: _Rule, salt: int | None = None, block:
         pairs = pairs if salt is None else _one_each(pairs, salt)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    return dealt.drop("other", "blocks").groupBy("bucket").applyInArrow(meet, "a bigint, b bigint").distinct()
+    return dealt.drop("other", "blocks", "n").groupBy("bucket").applyInArrow(meet, "a bigint, b bigint").distinct()
 
 
 def _sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
@@ -492,10 +491,10 @@ def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int
     # joins most of them; the last round tries every pair still between two
     # components.
     parity = rows.select(F.col("rid").alias("cls"), "parity")
-    for salt in (0, 1, None):
+    for salt in (0, None):
         open_ = (combos.join(label, combos["cls"] == label["node"], "left")
                  .select("t1", "t2", "cls", "size", "extended", F.coalesce("component", "cls").alias("comp")))
-        split = open_.groupBy("t1", "t2").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("t1", "t2")
+        split = open_.groupBy("t1", "t2").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("t1", "t2", "n")
         open_ = written(open_.join(split, ["t1", "t2"]).join(parity, "cls"), "open", compression="lz4")
         fresh = materialize(_unrefuted(open_, rule, salt).join(tried, ["a", "b"], "left_anti"))
         remove(docs.sparkSession, open_)

@@ -152,8 +152,8 @@ def test_blocks_meet_every_pair_once_or_more(spark):
     base = [f"w{i}" for i in range(40)]
     texts = [" ".join(w if rnd.random() < 0.9 else f"x{rnd.randrange(99)}" for w in base) for _ in range(120)]
     found = shingle_sets(pa.array(texts), 1)
-    rows = [(7, 9, i, len(s), i % 2 == 0, i % 5, _parity(s)) for i, s in enumerate(found)] + [(8, 9, 1, len(found[1]), True, 1, _parity(found[1]))]
-    df = spark.createDataFrame(rows, "t1 bigint, t2 bigint, cls bigint, size bigint, extended boolean, comp bigint, parity binary")
+    rows = [(7, 9, 120, i, len(s), i % 2 == 0, i % 5, _parity(s)) for i, s in enumerate(found)] + [(8, 9, 1, 1, len(found[1]), True, 1, _parity(found[1]))]
+    df = spark.createDataFrame(rows, "t1 bigint, t2 bigint, n bigint, cls bigint, size bigint, extended boolean, comp bigint, parity binary")
     rule = _Rule(80, 100)
     for block, bucket_rows in ((4096, 20_000), (17, 10)):
         out = {tuple(r) for r in _unrefuted(df, rule, None, block, bucket_rows).collect()}
