@@ -72,7 +72,7 @@ class WordTokenizer:
     older one goes, and a word found there moves to the new one, so that
     words in use stay known."""
 
-    def __init__(self, path: str, max_words: int = 450_000, max_bytes: int = 32 << 20):
+    def __init__(self, path: str, max_words: int = 600_000, max_bytes: int = 32 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
