@@ -1369,10 +1369,11 @@ SELECT doc_id, text, lang, source, n_chars FROM {redact_sql("documents", "doc_id
 """)
 def q_streaming_redaction_documents(spark, sf_dir):
     """X4 as a Structured Streaming job (file source -> redaction -> parquet
-    file sink with checkpoint), read back as a batch table."""
+    file sink with checkpoint), read back as a batch table.  The source is
+    the table itself, be it one file or a folder of files."""
     docs = table(spark, sf_dir, "documents")
-    out = stream_redact.run_redaction(spark, sf_dir, docs.schema, glob="documents.parquet")
-    return spark.read.parquet(out)
+    out = stream_redact.run_redaction(spark, stream_redact.file_or_folder(f"{sf_dir.rstrip('/')}/documents.parquet"), docs.schema)
+    return spark.read.schema(docs.schema).parquet(out)
 
 
 # -- A12: means -----------------------------------------------------------------------------

@@ -44,6 +44,13 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{base}/fairgate-scratch/{name}-{uuid.uuid4().hex}"
 
 
+def file_or_folder(path: str) -> str:
+    """``path`` as a pattern that matches nothing else: a stream reads one
+    file only by a pattern, which may as well be a folder of files."""
+    head, _, name = path.rpartition("/")
+    return f"{head}/{{{name}}}"
+
+
 def run_redaction(spark: SparkSession, source: str, schema: T.StructType,
                   columns: Sequence[str] | None = None, output: str | None = None,
                   checkpoint: str | None = None, glob: str | None = None) -> str:

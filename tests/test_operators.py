@@ -376,6 +376,23 @@ def test_streaming_pii_counts_match_batch(spark, tmp_path):
     assert got == want and got
 
 
+def test_streaming_redaction_reads_a_file_or_a_folder_of_files(spark, tmp_path):
+    from fairgate.plans import catalog
+    rows = [(i, f"mail a{i}@example.com now" if i % 3 else None, "en", "web", 5) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(3).write.parquet(f"{tmp_path}/folder/documents.parquet")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/one")
+    (tmp_path / "file").mkdir()
+    next((tmp_path / "one").glob("part-*.parquet")).rename(tmp_path / "file" / "documents.parquet")
+    want = sorted(pii.anonymize(docs, ["text"]).collect())
+    assert any("<EMAIL" in (r.text or "") for r in want)
+    docs.limit(0).write.parquet(f"{tmp_path}/empty/documents.parquet")
+    run = catalog.QUERIES["streaming_redaction_documents"]
+    for name in ("folder", "file"):
+        assert sorted(run(spark, f"{tmp_path}/{name}").collect()) == want
+    assert run(spark, f"{tmp_path}/empty").collect() == []
+
+
 def test_empty_inputs_for_ranked_operators(spark):
     empty = spark.createDataFrame([], "k int, x double, s string")
     assert profile.quartiles(empty, ["x"]).count() == 0
