@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from ..functions.columns import nan_as_null, q
 from ..spec import DatasetSpec, is_numeric, is_temporal, is_text, normalise
 from .encode import as_label_text, as_number, label_codes
-from .ordering import shared
+from .ordering import MOST_BROADCAST, shared
 
 # Rationale and regulation texts of the feature classes and
 # the exclusion log.
@@ -61,9 +61,14 @@ class ForestParams:
     """The reference's forest: 100 trees, depth 10, seed 42.  The rest are
     execution settings: node-id caching and a larger per-pass node budget
     cut the number of passes over the data for deep trees; training rows
-    are spread over ceil(rows / rows_per_partition) partitions, however many
-    that makes.  ``max_classes`` is what Spark ML can learn; a text target of
-    more is hashed to that many codes, ``hashings`` times."""
+    are spread over ceil(rows / rows_per_partition) partitions, but no more
+    than ``max_partitions`` or two a core (every partition sends the counts of
+    all open nodes at every level, so their number must not grow with the
+    rows).  Spark ML holds a row's draws and nodes for all trees that are
+    trained together: beyond ``tree_rows`` rows times trees they are trained
+    in portions, of ``least_trees`` or more.  ``max_classes`` is what Spark ML
+    can learn; a text target of more is hashed to that many codes,
+    ``hashings`` times."""
     num_trees: int = 100
     max_depth: int = 10
     seed: int = 42
@@ -71,6 +76,9 @@ class ForestParams:
     cache_node_ids: bool = True
     max_memory_mb: int = 1024
     rows_per_partition: int = 20000
+    max_partitions: int = 32
+    tree_rows: int = 100_000_000
+    least_trees: int = 10
     max_classes: int = 100
     hashings: int = 4
 
@@ -116,9 +124,12 @@ def feature_importance(df: DataFrame, target: str, params: ForestParams | None =
     elif many:
         enc = enc.withColumns({c: F.pmod(F.xxhash64(as_label_text(target), F.lit(i)), F.lit(p.max_classes)).cast("double")
                                for i, c in enumerate(labels)})
+    sizes = {r["column"]: r["count"] for r in codes.groupBy("column").count().collect()} if coded else {}
     for c in coded:
         tbl = (codes.where(F.col("column") == c)
                .select(F.col("value").alias("_v"), F.col("code").alias("_code")))
+        if sizes.get(c, 0) <= MOST_BROADCAST:     # else Spark shuffles all rows before it knows
+            tbl = F.broadcast(tbl)
         enc = (enc.withColumn("_v", as_label_text(c)).join(tbl, "_v", "left").drop("_v")
                .withColumn("_label" if c == target else c,
                            F.col("_code").cast("double" if c == target else "long"))
@@ -132,11 +143,13 @@ def feature_importance(df: DataFrame, target: str, params: ForestParams | None =
                                        if stats[c] is not None else F.col(c) for c in cols])
     assembled = VectorAssembler(inputCols=cols, outputCol="_features",
                                 handleInvalid="keep").transform(filled)
-    n_parts = max(1, math.ceil(n_rows / p.rows_per_partition))
+    most_parts = max(p.max_partitions, 2 * df.sparkSession.sparkContext.defaultParallelism)
+    n_parts = max(1, min(math.ceil(n_rows / p.rows_per_partition), most_parts))
+    portions = _portions(p, -(-p.num_trees // len(labels)), n_rows)
     train = (assembled.select(*labels, "_features").repartition(n_parts)
              .persist(StorageLevel.MEMORY_AND_DISK))
     try:
-        found = [_forest(p, label, regress, len(labels)).fit(train).featureImportances.toArray() for label in labels]
+        found = [_importances(p, train, label, regress, portions) for label in labels]
     finally:
         train.unpersist()
     rows = [(c, float(v)) for c, v in zip(feats, sum(found) / len(found))]
@@ -144,13 +157,35 @@ def feature_importance(df: DataFrame, target: str, params: ForestParams | None =
             .orderBy(F.desc("importance"), "feature"))
 
 
-def _forest(p: ForestParams, label: str, regress: bool, of: int):
-    """One of ``of`` forests that share the trees."""
+def _portions(p: ForestParams, trees: int, n_rows: int) -> list[int]:
+    """How many trees are trained together, one number for each fit."""
+    at_once = max(p.least_trees, p.tree_rows // max(n_rows, 1))
+    fits = -(-trees // at_once)
+    return [trees // fits + (i < trees % fits) for i in range(fits)]
+
+
+def _importances(p: ForestParams, train: DataFrame, label: str, regress: bool, portions: list[int]):
+    """Importances of the forest that the portions make up: the mean over all
+    its trees that split (Spark ML's own rule within a portion)."""
+    if len(portions) == 1:
+        return _forest(p, label, regress, portions[0], p.seed).fit(train).featureImportances.toArray()
+    total, split = 0.0, 0
+    for i, trees in enumerate(portions):
+        # Spark ML adds the partition's number to the seed: the portions' seeds lie far apart
+        model = _forest(p, label, regress, trees, p.seed + i * 1_000_003).fit(train)
+        n = sum(tree.numNodes > 1 for tree in model.trees)
+        total, split = total + n * model.featureImportances.toArray(), split + n
+    return total / max(split, 1)
+
+
+def _forest(p: ForestParams, label: str, regress: bool, trees: int, seed: int):
+    """``trees`` trees, trained together.  Their node ids are not checkpointed:
+    that would write them all once more, to save few levels."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.regression import RandomForestRegressor
     return (RandomForestRegressor if regress else RandomForestClassifier)(
-        labelCol=label, featuresCol="_features", numTrees=-(-p.num_trees // of), maxDepth=p.max_depth, seed=p.seed,
-        maxBins=p.max_bins, cacheNodeIds=p.cache_node_ids, maxMemoryInMB=p.max_memory_mb)
+        labelCol=label, featuresCol="_features", numTrees=trees, maxDepth=p.max_depth, seed=seed,
+        maxBins=p.max_bins, cacheNodeIds=p.cache_node_ids, maxMemoryInMB=p.max_memory_mb, checkpointInterval=-1)
 
 
 def importance_status(df: DataFrame, target: str) -> str | None:

@@ -620,6 +620,35 @@ def test_importances_of_a_target_of_many_values(spark, target):
     assert sum(r.importance for r in imps) == pytest.approx(1.0) and imps[0].feature == "x" and len(imps) == 3
 
 
+def test_a_forest_in_portions_has_all_trees_and_few_partitions(spark, monkeypatch):
+    p = minimise.ForestParams
+    assert minimise._portions(p(), 100, 1_000_000) == [100]
+    assert minimise._portions(p(), 100, 36_000_000) == [10] * 10
+    assert minimise._portions(p(tree_rows=1, least_trees=3), 10, 500) == [3, 3, 2, 2]
+    fits, of = [], minimise._forest
+
+    def counted(p, label, regress, trees, seed):
+        forest = of(p, label, regress, trees, seed)
+        fit = forest.fit
+
+        def kept(train):
+            model = fit(train)
+            fits.append((model.getNumTrees, seed, train.rdd.getNumPartitions(), train.count()))
+            return model
+        forest.fit = kept
+        return forest
+
+    monkeypatch.setattr(minimise, "_forest", counted)
+    df = spark.range(2000).selectExpr("id % 7 as x", "cast(id % 5 as string) as z", "if(id % 7 > 3, 'a', 'b') as y")
+    # portions, each on all rows; the partitions do not grow with the rows
+    most = max(2, 2 * spark.sparkContext.defaultParallelism)
+    imps = minimise.feature_importance(df, "y", p(num_trees=10, max_depth=4, tree_rows=1, least_trees=3,
+                                                  rows_per_partition=10, max_partitions=2)).collect()
+    assert [f[0] for f in fits] == [3, 3, 2, 2] and len({f[1] for f in fits}) == 4
+    assert {f[2:] for f in fits} == {(most, 2000)}
+    assert sum(r.importance for r in imps) == pytest.approx(1.0) and imps[0].feature == "x"
+
+
 def test_importances_of_a_price(spark):
     li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select("l_quantity", "l_extendedprice", "l_discount", "l_returnflag")
     imps = minimise.feature_importance(li, "l_extendedprice", minimise.ForestParams(num_trees=6, max_depth=6)).collect()
