@@ -77,7 +77,7 @@ class ForestParams:
     max_memory_mb: int = 1024
     rows_per_partition: int = 20000
     max_partitions: int = 32
-    tree_rows: int = 100_000_000
+    tree_rows: int = 400_000_000
     least_trees: int = 10
     max_classes: int = 100
     hashings: int = 4
