@@ -93,7 +93,7 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, max_piece: int = WI
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = worker_tokenizer(path)
         tail = np.array([end_id], dtype="<u4").tobytes()
-        for batch in small_batches(batches, limit=4 << 20):
+        for batch in small_batches(batches, limit=4 << 20, keep=True):
             ids, offsets = tok.encode(batch.column("text"))
             raw = ids.astype("<u4").tobytes()
             row, start, length, crc, total = [], [], [], [], []

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,8 @@ from ..session import ensure_checkpoint_dir
 #: ASCII white space, the separator set of every word in this subpackage
 WHITE = b" \t\n\v\f\r"
 BATCH_BYTES = 8 << 20
+#: what this Python worker keeps from task to task, until a task of other work begins
+KEPT: dict[str, Any] = {}
 
 
 def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -37,9 +40,15 @@ def unused(columns: list[str], *names: str) -> list[str]:
 
 
 def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text",
-                  limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+                  limit: int = BATCH_BYTES, keep: bool = False) -> Iterator[pa.RecordBatch]:
     """Cut batches so that ``column`` holds about ``limit`` bytes in each (one
-    row at least), which bounds the memory of vectorised text work."""
+    row at least), which bounds the memory of vectorised text work.
+
+    Spark leaves a Python worker idle beside later stages, so little stays in
+    it: ``KEPT`` goes unless the task is to ``keep`` it, and in the end the
+    memory that Arrow holds unused."""
+    if not keep:
+        KEPT.clear()
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -52,6 +61,7 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text",
             end = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(at, end - at)
             at = end
+    pa.default_memory_pool().release_unused()
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:

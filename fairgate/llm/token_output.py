@@ -77,7 +77,7 @@ def token_table(docs: DataFrame, path: str, end_id: int = END_ID,
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = worker_tokenizer(path)
-        for batch in small_batches(batches, limit=4 << 20):
+        for batch in small_batches(batches, limit=4 << 20, keep=True):
             ids, offsets = tok.encode(batch.column("text"))
             ids = np.insert(ids, offsets[1:], end_id)
             offsets = offsets + np.arange(len(offsets))
@@ -104,7 +104,7 @@ def id_counts(tokens: DataFrame) -> DataFrame:
     """(id, n): how often each token id occurs in all documents."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.int64)
-        for batch in small_batches(batches, "ids"):
+        for batch in small_batches(batches, "ids", keep=True):
             found = np.bincount(_ids(batch)[0], minlength=len(total))
             found[:len(total)] += total
             total = found
@@ -129,7 +129,7 @@ def write_token_files(docs: DataFrame, out: str, path: str | None = None, end_id
     shared = spark.sparkContext.broadcast(rank_of)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "ids", 4 << 20):
+        for batch in small_batches(batches, "ids", 4 << 20, keep=True):
             ids, offsets = _ids(batch)
             control, data = encode_ranks(shared.value[ids], offsets)
             yield pa.RecordBatch.from_arrays(
@@ -166,7 +166,7 @@ def read_token_files(spark: SparkSession, folder: str, digest: bool = False) ->
     shared = spark.sparkContext.broadcast(ids_of)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "data", 2 << 20):
+        for batch in small_batches(batches, "data", 2 << 20, keep=True):
             counts = batch.column("n_tokens").to_numpy()
             ids = shared.value[decode_ranks(batch.column("control").to_pylist(), batch.column("data").to_pylist(), counts)]
             ends = np.cumsum(counts)

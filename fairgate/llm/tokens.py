@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .textutil import words_of
+from .textutil import KEPT, words_of
 
 _SENTINEL = "\x01"          # a symbol of its own between words of one call
 _PER_CALL = 256
@@ -163,11 +163,9 @@ class WordTokenizer:
         return ids, offsets
 
 
-_ready: dict[str, WordTokenizer] = {}
-
-
 def worker_tokenizer(path: str) -> WordTokenizer:
-    """This Python worker's tokenizer (its table outlives one task)."""
-    if path not in _ready:
-        _ready[path] = WordTokenizer(path)
-    return _ready[path]
+    """This Python worker's tokenizer (its table outlives one task, but not
+    the first task of ``small_batches`` that does not keep it)."""
+    if path not in KEPT:
+        KEPT[path] = WordTokenizer(path)
+    return KEPT[path]

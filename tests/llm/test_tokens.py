@@ -1,5 +1,8 @@
 """Packing and token files against the tokenizers library itself."""
 
+import os
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -9,12 +12,14 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from fairgate.llm.packing import differencing, pack, windows_of
-from fairgate.llm.textutil import scratch_path
+from fairgate.llm.textutil import KEPT, scratch_path, small_batches
 from fairgate.llm.token_output import decode_ranks, encode_ranks, read_token_files, write_token_files
-from fairgate.llm.tokens import WordTokenizer, default_path
+from fairgate.llm.tokens import WordTokenizer, default_path, worker_tokenizer
 
 from .fixtures import docs, edge_rows, empty
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
 
 @pytest.fixture(scope="module")
 def tokenizer():
@@ -162,3 +167,34 @@ def test_packing_wastes_little(spark, tokenizer):
 
 def test_packing_nothing(spark):
     assert pack(empty(spark)).count() == 0
+
+
+def test_words_are_kept_only_for_tasks_that_ask():
+    batch = pa.record_batch({"text": ["some words"]})
+    first = worker_tokenizer(default_path())
+    list(small_batches([batch], keep=True))
+    assert worker_tokenizer(default_path()) is first
+    assert list(small_batches([batch])) == [batch]          # other work begins in this worker
+    assert not KEPT
+    ids, _ = worker_tokenizer(default_path()).encode(batch.column("text"))
+    assert ids.tolist() == ids_of(first, "some words")
+
+
+def test_unused_arrow_memory_is_given_back():
+    code = """if True:
+        import re
+        import pyarrow as pa
+        from fairgate.llm.textutil import small_batches, words_of
+
+        def mb():
+            return sum(map(int, re.findall(r"\\nPss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+        texts = pa.array([" ".join(f"w{i}x{j}" for j in range(40)) for i in range(50_000)])
+        words = [words_of(texts.slice(i, 2000)) for i in range(0, 50_000, 2000)]
+        del words
+        before = mb()
+        list(small_batches([pa.record_batch({"text": ["a"]})]))
+        print(before - mb())
+    """
+    run = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, check=True)
+    assert float(run.stdout) > 15
