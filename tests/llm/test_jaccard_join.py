@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from fairgate.llm import graph
 from fairgate.llm.graph import components
 from fairgate.llm.jaccard_join import jaccard_components, keep_one
 
@@ -92,6 +93,34 @@ def test_stage_keeps_one_of_each_group(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(expected)
 
 
+def test_components_of_few_links_make_few_tasks(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(graph, "materialize", lambda df, f=graph.materialize: rounds.append(1) or f(df))
+    held = {"spark.sql.shuffle.partitions": "61", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    cores = spark.sparkContext.defaultParallelism
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        stars = spark.createDataFrame([(10 * i, 10 * i + j) for i in range(20) for j in range(1, 10)], "u bigint, v bigint")
+        label = components(stars)
+        assert {(r.node, r.component) for r in label.collect()} == {(10 * i + j, 10 * i) for i in range(20) for j in range(10)}
+        assert len(rounds) == 1                                   # stars need no round
+        assert label.rdd.getNumPartitions() <= 2 * cores
+        path = components(spark.createDataFrame([(i, i + 1) for i in range(12)], "u bigint, v bigint"))
+        assert {(r.node, r.component) for r in path.collect()} == {(i, 0) for i in range(13)}
+        assert path.rdd.getNumPartitions() <= 2 * cores
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_small_tables_only_are_gathered(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert graph.portions(spark, 0) == graph.portions(spark, graph.ROWS) == cores
+    assert graph.portions(spark, 10**9) == 10**9 // graph.ROWS
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)]
     label = {r.node: r.component for r in components(spark.createDataFrame(links, "u bigint, v bigint")).collect()}
