@@ -5,11 +5,16 @@ each shard's tree is built once in numpy and written as one row.  A node holds
 a vantage point and, for its near and its far half, the smallest and largest
 distance from it.  A query skips a half when the triangle inequality puts all
 of it farther than ``factor`` times the k-th best distance so far: with factor
-1 nothing nearer can be missed, a smaller factor skips more.
+1 nothing nearer can be missed, a smaller factor skips more.  In the leaves that
+are left, a product of matrices in single precision refutes rows by a bound on
+its error; exact distances decide about the others.
 
-Queries come in blocks; every block meets every shard's tree (a stated query
-set against all rows), each meeting returns k rows a query at most, and a
-ranked window keeps the k nearest.
+Queries come in blocks.  A task holds a few shards' trees (a part) and a few
+blocks (a band); each block goes through the part's trees one after the other
+with its k best so far, so that a tree starts from a small k-th distance.  Each
+part returns k rows a query at most, and a ranked window keeps the k nearest.
+Where the triangle inequality skips nothing (many dimensions), the pairs of
+queries and rows are all visited: time grows with their product.
 
 Defined cases: vectors that are null, empty, all zero, or hold null or
 non-finite components take no part, as query or candidate; nor do rows without
@@ -21,8 +26,6 @@ columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -30,7 +33,11 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-LEAF = 32
+LEAF = 256
+#: queries whose products with a leaf are held at once
+CHUNK = 2048
+#: shards of a part and blocks of a band, at most
+SPAN, BAND = 32, 8
 
 
 def usable(v: Column) -> Column:
@@ -50,57 +57,84 @@ def distances(points: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 class VpTree:
-    """Rows of ``nodes``: vantage row, near start, near end, far end, near
-    child, far child (-1: the rows between are a leaf), over reordered rows;
-    ``bounds``: smallest and largest distance of the near and the far half."""
+    """Rows of ``nodes``: start, middle, end, near child, far child (-1: the
+    rows between are a leaf), over reordered rows; ``vantages``: a node's
+    vantage point; ``bounds``: smallest and largest distance of its near and
+    its far half."""
 
-    def __init__(self, ids: np.ndarray, points: np.ndarray, nodes: np.ndarray, bounds: np.ndarray):
-        self.ids, self.points, self.nodes, self.bounds = ids, points, nodes, bounds
+    def __init__(self, ids: np.ndarray, points: np.ndarray, nodes: np.ndarray, vantages: np.ndarray, bounds: np.ndarray):
+        self.ids, self.points, self.nodes, self.vantages, self.bounds = ids, points, nodes, vantages, bounds
+        self.p2, self.v2 = (points ** 2).sum(axis=1), (vantages ** 2).sum(axis=1)
+        self.scorers: dict[type, np.ndarray] = {}
 
     @classmethod
     def build(cls, ids: np.ndarray, points: np.ndarray, leaf: int = LEAF) -> VpTree:
-        order, nodes, bounds = np.arange(len(ids)), [], []
+        order, nodes, vantages, bounds = np.arange(len(ids)), [], [], []
 
         def split(lo: int, hi: int) -> int:
             if hi - lo <= leaf:
                 return -1
             at = len(nodes)
             nodes.append(None)
-            bounds.append(None)
             rows = order[lo:hi]
             # the row farthest from the first one lies at the edge and parts the rest well
-            far = int(np.argmax(distances(points[rows[0]], points[rows])))
-            rows[0], rows[far] = rows[far], rows[0]
-            d = distances(points[rows[0]], points[rows[1:]])
+            vantage = points[rows[np.argmax(distances(points[rows[0]], points[rows]))]]
+            d = distances(vantage, points[rows])
             by = np.argsort(d, kind="stable")
-            order[lo + 1:hi], d = rows[1:][by], d[by]
-            mid = lo + 1 + len(d) // 2
-            half = mid - lo - 1
-            bounds[at] = (d[0], d[half - 1], d[half], d[-1])
-            nodes[at] = (lo, lo + 1, mid, hi, split(lo + 1, mid), split(mid, hi))
+            order[lo:hi], d = rows[by], d[by]
+            half = len(d) // 2
+            vantages.append(vantage)
+            bounds.append((d[0], d[half - 1], d[half], d[-1]))
+            nodes[at] = (lo, lo + half, hi, split(lo, lo + half), split(lo + half, hi))
             return at
 
         split(0, len(ids))
-        return cls(ids[order], points[order], np.array(nodes, dtype=np.int64).reshape(-1, 6),
-                   np.array(bounds, dtype=np.float64).reshape(-1, 4))
-
-    def search(self, own: np.ndarray, q: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and distances of the k nearest to each query (infinite distance: none)."""
-        n = len(q)
-        best_d, best_i = np.full((n, k), np.inf), np.full((n, k), np.iinfo(np.int64).max)
+        return cls(ids[order], points[order], np.array(nodes, dtype=np.int64).reshape(-1, 5),
+                   np.array(vantages, dtype=np.float64).reshape(-1, points.shape[1]), np.array(bounds, dtype=np.float64).reshape(-1, 4))
+
+    def scorer(self, dtype: type) -> np.ndarray:
+        """Points with minus half their squared length beside them: the product
+        with (q, 1) is larger the nearer the point is."""
+        if dtype not in self.scorers:
+            self.scorers[dtype] = np.hstack([self.points, -self.p2[:, None] / 2]).astype(dtype)
+        return self.scorers[dtype]
+
+    def search(self, own: np.ndarray, q: np.ndarray, k: int, factor: float,
+               best: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and distances of the k nearest to each query (infinite distance:
+        none), among this tree's rows and the ``best`` of other trees (changed
+        in place)."""
+        n, dim = q.shape
+        best_i, best_d = best or (np.full((n, k), np.iinfo(np.int64).max), np.full((n, k), np.inf))
         home = np.full(n, -1)
-        q2, p2 = (q ** 2).sum(axis=1), (self.points ** 2).sum(axis=1)
+        q2 = (q ** 2).sum(axis=1)
+        norms = np.concatenate([q2, self.p2])
+        # single precision unless squares come near its range
+        dtype = np.float32 if len(norms) and norms.min() > 1e-12 and norms.max() < 1e30 else np.float64
+        rows, asked = self.scorer(dtype), np.hstack([q, np.ones((n, 1))]).astype(dtype)
+        error = (dim + 16) * float(np.finfo(dtype).eps)          # of a product, relative to both squared lengths
 
         def offer(active: np.ndarray, lo: int, hi: int) -> None:
-            # a product of matrices finds who may be near enough, exact distances decide
-            size = q2[active, None] + p2[lo:hi]
-            rough = size - 2 * (q[active] @ self.points[lo:hi].T)
-            maybe = rough <= best_d[active, -1:] ** 2 + 1e-9 * size
-            who, row = np.nonzero(maybe & (self.ids[lo:hi] != own[active, None]))
+            for at in range(0, len(active), CHUNK):
+                offer_some(active[at:at + CHUNK], lo, hi)
+
+        def offer_some(active: np.ndarray, lo: int, hi: int) -> None:
+            # products find who may be near enough, exact distances decide
+            score = asked[active] @ rows[lo:hi].T
+            slack = error * (q2[active] + self.p2[lo:hi].max())
+            least = (q2[active] - best_d[active, -1] ** 2) / 2 - slack
+            if hi - lo > k + 1 and np.isinf(least).any():        # the k + 1 best (one may be the query itself)
+                cut = np.partition(score, hi - lo - k - 1, axis=1)[:, hi - lo - k - 1]
+                least = np.maximum(least, cut - 2 * slack)
+            who, row = np.divmod(np.flatnonzero(~(score < least[:, None].astype(dtype))), hi - lo)
+            who, row = active[who], row + lo
+            other = self.ids[row] != own[who]
+            who, row = who[other], row[other]
             if not len(who):
                 return
-            who, row = active[who], row + lo
             d = np.sqrt(((q[who] - self.points[row]) ** 2).sum(axis=1))
+            near = d <= best_d[who, -1]
+            who, row, d = who[near], row[near], d[near]
             touched = np.unique(who)
             who = np.concatenate([np.repeat(touched, k), who])
             d = np.concatenate([best_d[touched].ravel(), d])
@@ -112,6 +146,11 @@ class VpTree:
             best_d[who[keep], place[keep]] = d[keep]
             best_i[who[keep], place[keep]] = ids[keep]
 
+        # squared distances of the queries to the vantage points, and what rounding can add to them
+        to_vantage = q2[:, None] + self.v2 - 2 * (q @ self.vantages.T)
+        blur = (dim + 16) * 2.0 ** -51 * (q2[:, None] + self.v2)
+        lower, upper = np.sqrt(np.maximum(to_vantage - blur, 0)), np.sqrt(np.maximum(to_vantage + blur, 0))
+
         def visit(node: int, lo: int, hi: int, active: np.ndarray, descend: bool) -> None:
             """All that may be near; with ``descend``, only the likelier half."""
             if not len(active):
@@ -122,23 +161,21 @@ class VpTree:
                     home[active] = lo
                 offer(active, lo, hi)
                 return
-            vantage, near, mid, end, near_child, far_child = self.nodes[node]
+            start, mid, end, near_child, far_child = self.nodes[node]
             near_lo, near_hi, far_lo, far_hi = self.bounds[node]
-            d = np.sqrt(((q[active] - self.points[vantage]) ** 2).sum(axis=1))
             if descend:
-                inside = d < (near_hi + far_lo) / 2
-                visit(near_child, near, mid, active[inside], True)
+                inside = upper[active, node] < (near_hi + far_lo) / 2
+                visit(near_child, start, mid, active[inside], True)
                 visit(far_child, mid, end, active[~inside], True)
                 return
-            offer(active, vantage, vantage + 1)
-            for child, start, stop, least, most in ((near_child, near, mid, near_lo, near_hi), (far_child, mid, end, far_lo, far_hi)):
-                bound = np.maximum(d - most, least - d)          # no row of the half is nearer
-                visit(child, start, stop, active[~(bound > factor * best_d[active, -1] * (1 + 1e-9))], False)
+            for child, lo, hi, least, most in ((near_child, start, mid, near_lo, near_hi), (far_child, mid, end, far_lo, far_hi)):
+                bound = np.maximum(lower[active, node] - most, least - upper[active, node])   # no row of the half is nearer
+                visit(child, lo, hi, active[~(bound > factor * best_d[active, -1] * (1 + 1e-9))], False)
 
         # first the leaf that each query falls into, for a small k-th distance, then the rest
         root = 0 if len(self.nodes) else -1
         if root == 0:
-            visit(root, 0, len(self.ids), np.arange(n), True)
+            visit(root, 0, len(self.ids), np.nonzero(np.isinf(best_d[:, -1]))[0], True)
         visit(root, 0, len(self.ids), np.arange(n), False)
         return best_i, best_d
 
@@ -159,27 +196,35 @@ def _row(key: tuple, names: list[str], arrays: list[np.ndarray]) -> pa.Table:
     return pa.table(columns, names=names)
 
 
-def _read(value: bytes, dtype: str = "f8") -> np.ndarray:
-    return np.frombuffer(value, dtype)
+def _reader(table: pa.Table):
+    """(row, column, type) -> the array written there."""
+    return lambda r, c, dtype: np.frombuffer(table.column(c)[r].as_buffer(), dtype)
+
+
+def _exact(vectors: DataFrame) -> str:
+    """The type that holds the components as they are."""
+    return "f4" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "f8"
 
 
-def build_index(vectors: DataFrame, shard_rows: int = 2048, leaf: int = LEAF) -> tuple[DataFrame, int]:
+def build_index(vectors: DataFrame, shard_rows: int = 4096, leaf: int = LEAF) -> tuple[DataFrame, int]:
     """One row per (dim, shard) with its tree, and the number of shards."""
     fine = (vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
             .select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.size("embedding").alias("dim")))
     shards = max(1, -(-fine.count() // shard_rows))
+    exact = _exact(vectors)
 
     def build(key: tuple, table: pa.Table) -> pa.Table:
         tree = VpTree.build(*_vectors(table), leaf)
-        return _row(key, ["dim", "shard", "ids", "points", "nodes", "bounds"], [tree.ids, tree.points, tree.nodes, tree.bounds])
+        return _row(key, ["dim", "shard", "ids", "points", "nodes", "vantages", "bounds"],
+                    [tree.ids, tree.points.astype(exact), tree.nodes, tree.vantages, tree.bounds])
 
     trees = (fine.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-             .groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, ids binary, points binary, nodes binary, bounds binary"))
+             .groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, ids binary, points binary, nodes binary, vantages binary, bounds binary"))
     return materialize(trees), shards
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, factor: float = 1.0,
-            shard_rows: int = 2048, block_rows: int = 1024) -> DataFrame:
+            shard_rows: int = 4096, block_rows: int = 16384) -> DataFrame:
     """query_id, rank, vec_id, score (Euclidean distance): the k nearest of
     ``vectors`` (vec_id, embedding) to each row of ``queries`` (same columns),
     leaving out the row with the query's own id."""
@@ -187,29 +232,45 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, factor: float =
     fine = (queries.where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
             .select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.size("embedding").alias("dim")))
     blocks = max(1, -(-fine.count() // block_rows))
+    exact, exact_q = _exact(vectors), _exact(queries)
+    span = max(1, min(SPAN, shards // 64))                # few shards: a task each
+    parts, bands = -(-shards // span), -(-blocks // BAND)
+    # as many partitions as tasks' worth of work: by bytes, Spark would make too few
+    dealt = min(4 * parts * bands, 2000)
 
     def gather(key: tuple, table: pa.Table) -> pa.Table:
-        return _row(key, ["dim", "block", "query_ids", "query_points"], list(_vectors(table)))
+        ids, points = _vectors(table)
+        return _row(key, ["dim", "block", "query_ids", "query_points"], [ids, points.astype(exact_q)])
 
     asked = (fine.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
              .groupBy("dim", "block").applyInArrow(gather, "dim int, block int, query_ids binary, query_points binary")
-             .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))))
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):               # a row is one block against one tree
-                get = lambda c: batch.column(c)[r].as_py()  # noqa: E731, B023
-                dim = get("dim")
-                tree = VpTree(_read(get("ids"), "i8"), _read(get("points")).reshape(-1, dim),
-                              _read(get("nodes"), "i8").reshape(-1, 6), _read(get("bounds")).reshape(-1, 4))
-                own = _read(get("query_ids"), "i8")
-                ids, d = tree.search(own, _read(get("query_points")).reshape(-1, dim), k, factor)
-                there = np.isfinite(d)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(own, k)[there.ravel()]), pa.array(ids[there]), pa.array(d[there])],
-                    ["query_id", "vec_id", "score"])
-
-    found = asked.join(trees, ["dim", "shard"]).mapInArrow(search, "query_id bigint, vec_id bigint, score double")
+             .withColumn("band", F.col("block") % bands)
+             .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))))
+    stored = (trees.withColumn("part", F.col("shard") % parts)
+              .withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(bands - 1)))))
+
+    def search(key: tuple, mine: pa.Table, blocks: pa.Table) -> pa.Table:
+        """A band's blocks, each through all trees of a part."""
+        dim = key[0].as_py()
+        at = _reader(blocks)
+        found = [(at(b, "query_ids", "i8"), at(b, "query_points", exact_q).astype("f8").reshape(-1, dim))
+                 for b in range(blocks.num_rows)]
+        best = [(np.full((len(own), k), np.iinfo(np.int64).max), np.full((len(own), k), np.inf)) for own, _ in found]
+        at = _reader(mine)
+        for t in range(mine.num_rows if found else 0):
+            tree = VpTree(at(t, "ids", "i8"), at(t, "points", exact).astype("f8").reshape(-1, dim), at(t, "nodes", "i8").reshape(-1, 5),
+                          at(t, "vantages", "f8").reshape(-1, dim), at(t, "bounds", "f8").reshape(-1, 4))
+            for (own, q), so_far in zip(found, best):
+                tree.search(own, q, k, factor, so_far)
+        there = [np.isfinite(d) for _, d in best]
+        columns = ([np.repeat(own, k)[t.ravel()] for (own, _), t in zip(found, there)],
+                   [ids[t] for (ids, _), t in zip(best, there)], [d[t] for (_, d), t in zip(best, there)])
+        return pa.table([pa.array(np.concatenate(c) if c else [], kind)
+                         for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
+
+    keys = ["dim", "part", "band"]
+    found = (stored.repartition(dealt, *keys).groupBy(*keys).cogroup(asked.repartition(dealt, *keys).groupBy(*keys))
+             .applyInArrow(search, "query_id bigint, vec_id bigint, score double"))
     # Spark keeps the first k of each query in every task before the shuffle
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

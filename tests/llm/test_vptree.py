@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from fairgate.llm.vptree import VpTree, nearest
 
@@ -56,3 +57,30 @@ def test_factor_trades_recall_for_work():
         true.append(set(np.lexsort((ids, d))[:10].tolist()))
     recall = {f: np.mean([len(set(row) & t) / 10 for row, t in zip(tree.search(ids[:50], q, 10, f)[0].tolist(), true)]) for f in (1.0, 0.7, 0.05)}
     assert recall[1.0] == 1 and 0.9 <= recall[0.7] <= 1 and recall[0.05] < recall[1.0]
+
+
+def test_parts_of_several_trees_and_bands_of_several_blocks(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(x) for x in rng.normal(size=5).astype(np.float32)]) for i in range(600)]
+    rows += [(1000 + i, rows[i % 3][1]) for i in range(20)]                     # ties across trees
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    out = nearest(df, df.where("vec_id % 20 = 0"), k=10, shard_rows=3, block_rows=2)
+    assert got(out) == brute(rows, [i for i, _ in rows if i % 20 == 0], 10)
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-9, 1e20])
+def test_a_tree_goes_on_from_the_best_of_others(scale):
+    rng = np.random.default_rng(8)
+    points = (rng.normal(size=(3000, 12)) * scale).astype(np.float32).astype(np.float64)
+    points[::300] = points[1]
+    points[5] *= 1e4                              # one long vector beside short ones
+    ids, q = np.arange(3000), points[:70]
+    own = ids[:70]
+    best = (np.full((70, 10), np.iinfo(np.int64).max), np.full((70, 10), np.inf))
+    for i in range(3):
+        VpTree.build(ids[i::3], points[i::3], leaf=40).search(own, q, 10, 1.0, best)
+    for i, x in enumerate(q):
+        d = np.sqrt(((points - x) ** 2).sum(axis=1))
+        d[i] = np.inf
+        near = np.lexsort((ids, d))[:10]
+        assert best[0][i].tolist() == near.tolist() and best[1][i].tolist() == d[near].tolist()
