@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import nan_as_null, q
 from ..spec import DatasetSpec, is_numeric, is_temporal, is_text, normalise
+from . import forest
 from .encode import as_label_text, as_number, label_codes
 from .ordering import MOST_BROADCAST, shared
 
@@ -66,9 +67,10 @@ class ForestParams:
     all open nodes at every level, so their number must not grow with the
     rows).  Spark ML holds a row's draws and nodes for all trees that are
     trained together: beyond ``tree_rows`` rows times trees they are trained
-    in portions, of ``least_trees`` or more.  ``max_classes`` is what Spark ML
-    can learn; a text target of more is hashed to that many codes,
-    ``hashings`` times."""
+    in portions, of ``least_trees`` or more.  Beyond ``counted_rows`` rows times
+    trees its time and memory no longer fit, and the same forest is grown from
+    counts (``forest``).  ``max_classes`` is what Spark ML can learn; a text
+    target of more is hashed to that many codes, ``hashings`` times."""
     num_trees: int = 100
     max_depth: int = 10
     seed: int = 42
@@ -79,6 +81,7 @@ class ForestParams:
     max_partitions: int = 32
     tree_rows: int = 400_000_000
     least_trees: int = 10
+    counted_rows: int = 100_000_000
     max_classes: int = 100
     hashings: int = 4
 
@@ -141,17 +144,22 @@ def feature_importance(df: DataFrame, target: str, params: ForestParams | None =
     n_rows = stats["_n"]
     filled = staged.select(*labels, *[F.coalesce(F.col(c), F.lit(stats[c])).alias(c)
                                        if stats[c] is not None else F.col(c) for c in cols])
-    assembled = VectorAssembler(inputCols=cols, outputCol="_features",
-                                handleInvalid="keep").transform(filled)
     most_parts = max(p.max_partitions, 2 * df.sparkSession.sparkContext.defaultParallelism)
     n_parts = max(1, min(math.ceil(n_rows / p.rows_per_partition), most_parts))
-    portions = _portions(p, -(-p.num_trees // len(labels)), n_rows)
-    train = (assembled.select(*labels, "_features").repartition(n_parts)
-             .persist(StorageLevel.MEMORY_AND_DISK))
-    try:
-        found = [_importances(p, train, label, regress, portions) for label in labels]
-    finally:
-        train.unpersist()
+    trees = -(-p.num_trees // len(labels))
+    if n_rows * p.num_trees > p.counted_rows:
+        classes = 0 if regress else p.max_classes if many else sizes.get(target, 1)
+        found = forest.importances(filled, labels, cols, classes, trees, p.max_depth, p.max_bins, p.seed, n_parts)
+    else:
+        assembled = VectorAssembler(inputCols=cols, outputCol="_features",
+                                    handleInvalid="keep").transform(filled)
+        portions = _portions(p, trees, n_rows)
+        train = (assembled.select(*labels, "_features").repartition(n_parts)
+                 .persist(StorageLevel.MEMORY_AND_DISK))
+        try:
+            found = [_importances(p, train, label, regress, portions) for label in labels]
+        finally:
+            train.unpersist()
     rows = [(c, float(v)) for c, v in zip(feats, sum(found) / len(found))]
     return (df.sparkSession.createDataFrame(rows, "feature string, importance double")
             .orderBy(F.desc("importance"), "feature"))
