@@ -34,17 +34,17 @@ CHUNK_ROWS = 131_072
 HELD_BYTES, BLOCK_BYTES = 96 << 20, 1 << 20
 
 
-def split_points(df: DataFrame, cols: list[str], max_bins: int) -> list[np.ndarray]:
-    """Ascending upper bounds of each feature's bins but the last."""
+def split_points(df: DataFrame, cols: list[str], max_bins: int, distinct: list[int]) -> list[np.ndarray]:
+    """Ascending upper bounds of each feature's bins but the last;
+    ``distinct``: about how many values each feature has."""
     at = [i / max_bins for i in range(1, max_bins)]
+    few = [i for i, n in enumerate(distinct) if n <= 2 * max_bins]
     found = df.agg(*[F.percentile_approx(c, at, 2000).alias(f"at{i}") for i, c in enumerate(cols)],
-                   *[F.approx_count_distinct(c).alias(f"n{i}") for i, c in enumerate(cols)]).first()
-    few = [i for i in range(len(cols)) if found[f"n{i}"] <= 2 * max_bins]
-    values = df.agg(*[F.collect_set(cols[i]).alias(f"v{i}") for i in few]).first() if few else {}
+                   *[F.collect_set(cols[i]).alias(f"v{i}") for i in few]).first()
     out = []
     for i in range(len(cols)):
-        if i in few and len(values[f"v{i}"]) <= max_bins:
-            out.append(np.array(sorted(values[f"v{i}"])[:-1], dtype=np.float64))
+        if i in few and len(found[f"v{i}"]) <= max_bins:
+            out.append(np.array(sorted(found[f"v{i}"])[:-1], dtype=np.float64))
         else:
             out.append(np.unique(np.array(found[f"at{i}"] or [], dtype=np.float64)))
     return out
@@ -235,10 +235,10 @@ def _grown(chunks: DataFrame, label: int, classes: int, n_features: int, bins: i
 
 
 def importances(df: DataFrame, labels: list[str], cols: list[str], classes: int, trees: int, depth: int,
-                max_bins: int, seed: int, parts: int) -> list[np.ndarray]:
+                max_bins: int, seed: int, parts: int, distinct: list[int]) -> list[np.ndarray]:
     """For each label column (class numbers below ``classes``, or 0 classes: a
     number to regress on) the importances of a forest of ``trees``."""
-    points = split_points(df, cols, max_bins)
+    points = split_points(df, cols, max_bins, distinct)
     bins = 1 + max(len(p) for p in points)
     if not classes:                                   # sums of squares lose fewest digits around the mean
         means = df.agg(*[F.avg(c) for c in labels]).first()

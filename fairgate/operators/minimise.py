@@ -4,7 +4,8 @@ minimal table with its exclusion log, and column selection
 
 Only schema-sized results (one row per column) ever reach the driver: the
 class list and the low-importance names decide which columns ``drop``
-removes.  The forest is Spark ML's distributed RandomForestClassifier.
+removes.  The forest is Spark ML's distributed RandomForestClassifier, or on
+large tables the one of ``forest``.
 """
 
 from __future__ import annotations
@@ -140,7 +141,8 @@ def feature_importance(df: DataFrame, target: str, params: ForestParams | None =
     cols = [f"_f{i}" for i in range(len(feats))]
     staged = enc.select(*labels, *[as_number(enc, c).alias(f"_f{i}") for i, c in enumerate(feats)])
     # J8 mean imputation and the row count in one aggregate (one value per feature)
-    stats = staged.agg(F.count(F.lit(1)).alias("_n"), *[F.avg(c).alias(c) for c in cols]).first()
+    stats = staged.agg(F.count(F.lit(1)).alias("_n"), *[F.avg(c).alias(c) for c in cols],
+                       *[F.approx_count_distinct(c).alias(f"_n{c}") for c in cols]).first()
     n_rows = stats["_n"]
     filled = staged.select(*labels, *[F.coalesce(F.col(c), F.lit(stats[c])).alias(c)
                                        if stats[c] is not None else F.col(c) for c in cols])
@@ -149,7 +151,8 @@ def feature_importance(df: DataFrame, target: str, params: ForestParams | None =
     trees = -(-p.num_trees // len(labels))
     if n_rows * p.num_trees > p.counted_rows:
         classes = 0 if regress else p.max_classes if many else sizes.get(target, 1)
-        found = forest.importances(filled, labels, cols, classes, trees, p.max_depth, p.max_bins, p.seed, n_parts)
+        found = forest.importances(filled, labels, cols, classes, trees, p.max_depth, p.max_bins, p.seed, n_parts,
+                                   [stats[f"_n{c}"] for c in cols])
     else:
         assembled = VectorAssembler(inputCols=cols, outputCol="_features",
                                     handleInvalid="keep").transform(filled)
